@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .lines import op9_lines
 from .quality import op2_quality
 from .sharding import op8_sharding
+from .simhash import op1_simhash
+from .token_counts import op6_token_counts
 
-QUERIES = {"op2_quality": op2_quality, "op8_sharding": op8_sharding, "op9_lines": op9_lines}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op6_token_counts, op8_sharding, op9_lines, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
