@@ -43,7 +43,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     gone = written(covered_lines(docs, window), "gone")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
-    joined = null_safe_join(row, gone, ["doc_id", "text_key"], "left")
+    joined = null_safe_join(row, gone.hint("merge"), ["doc_id", "text_key"], "left")
     lines = F.split("row.text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
@@ -55,6 +55,6 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = written(covered_lines(docs), "gone")
     row = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    joined = null_safe_join(row, gone, ["doc_id", "text_key"], "left")
+    joined = null_safe_join(row, gone.hint("merge"), ["doc_id", "text_key"], "left")
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
     return joined.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"), F.md5(F.array_join(left, "\n").cast("binary")).alias("text_md5"))
