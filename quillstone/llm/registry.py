@@ -5,9 +5,11 @@ from __future__ import annotations
 from .decontaminate import op10_decontaminate
 from .lines import op9_lines
 from .quality import op2_quality
+from .sentencepieces import op5_sentencepiece
 from .sharding import op8_sharding
 from .simhash import op1_simhash
+from .suffixes import op7_suffixes
 from .token_counts import op6_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op6_token_counts, op8_sharding, op9_lines, op10_decontaminate)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
