@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .html import op3_html
 from .lines import op9_lines
 from .quality import op2_quality
 from .sentencepieces import op5_sentencepiece
@@ -11,5 +12,5 @@ from .simhash import op1_simhash
 from .suffixes import op7_suffixes
 from .token_counts import op6_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op3_html, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

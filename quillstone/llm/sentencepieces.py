@@ -52,6 +52,8 @@ class Pieces:
         self.ids: dict[str, int] = {}
         self.spelled: list[bytes] = []
         self.byte = [0] * 256
+        # pieces that merges never reach have a score out of all range; here they are as good as the last merge
+        floor = min(x for k in range(sp.get_piece_size()) if (x := sp.get_score(k)) > -1e8)
         for k in range(sp.get_piece_size()):
             piece = sp.id_to_piece(k)
             self.spelled.append(b"")
@@ -59,8 +61,7 @@ class Pieces:
                 self.byte[int(piece[1:-1], 16)] = k
                 self.spelled[k] = bytes([int(piece[1:-1], 16)])
             elif not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)):
-                # a vocabulary may hold a piece that it never merges to; its score then is out of all range
-                self.ids[piece], self.score[piece] = k, max(sp.get_score(k), -1e6)
+                self.ids[piece], self.score[piece] = k, max(sp.get_score(k), floor)
                 self.spelled[k] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.score.values()) - PENALTY
