@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+
 from .decontaminate import op10_decontaminate
 from .html import op3_html
+from .katz import op4_katz
 from .lines import op9_lines
 from .quality import op2_quality
 from .sentencepieces import op5_sentencepiece
@@ -12,5 +15,5 @@ from .simhash import op1_simhash
 from .suffixes import op7_suffixes
 from .token_counts import op6_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op3_html, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op3_html, op4_katz, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)} | {"pipeline": pipeline}
 ORACLES: dict[str, str] = {}
