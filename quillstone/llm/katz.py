@@ -86,8 +86,9 @@ def blocks(docs: DataFrame, block: int) -> DataFrame:
         held = 0
 
         def flush():
-            vocabulary, tokens = np.unique(np.concatenate(seqs), return_inverse=True)
-            return pa.RecordBatch.from_pydict({"block": [part + made], "vocabulary": [pack_sorted(vocabulary)], "tokens": [pack(tokens.astype(np.uint32))], "pieces": [pack(np.array(pieces, np.int64).ravel())], "doc_ids": pa.array([ids], pa.list_(pa.int64()))}, schema=kind)
+            # the end is in every vocabulary: its count is that of the training texts
+            vocabulary, tokens = np.unique(np.concatenate([*seqs, np.array([END], np.uint64)]), return_inverse=True)
+            return pa.RecordBatch.from_pydict({"block": [part + made], "vocabulary": [pack_sorted(vocabulary)], "tokens": [pack(tokens[:-1].astype(np.uint32))], "pieces": [pack(np.array(pieces, np.int64).ravel())], "doc_ids": pa.array([ids], pa.list_(pa.int64()))}, schema=kind)
 
         kind = pa.schema([("block", pa.int64()), ("vocabulary", pa.binary()), ("tokens", pa.binary()), ("pieces", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
         for b in batches:
