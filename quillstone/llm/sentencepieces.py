@@ -80,31 +80,28 @@ class Pieces:
 
     def forward(self, word: str) -> tuple[list[float], list[int], float]:
         """Best score to each place, where the best last edge begins, and the second best score to the end."""
-        n, longest, begun = len(word), self.longest, self.begun
+        n, get, score, unknown = len(word), self.begun.get, self.score, self.unknown
         low = float("-inf")
-        best, back, second = [0.0] + [low] * n, [0] * (n + 1), [low] * (n + 1)
+        best, back, second = [low] * (n + 1), [0] * (n + 1), [low] * (n + 1)
+        best[0] = 0.0
         for begin in range(n):
-            b, r = best[begin], second[begin]
-            if word[begin] not in self.score:
-                b, r, s = b + self.unknown, r + self.unknown, None
-                end = begin + 1
-                if b > best[end]:
-                    best[end], back[end], second[end] = b, begin, max(best[end], r)
-                else:
-                    second[end] = max(second[end], b)
-                b, r = best[begin], second[begin]
-            for end in range(begin + 1, min(n, begin + longest) + 1):
-                s = begun.get(word[begin:end], 1.0)
+            b, r, end = best[begin], second[begin], begin + 1
+            s = score.get(word[begin], unknown)
+            while True:
+                if s is not None:
+                    s0 = b + s
+                    if s0 > best[end]:
+                        s1 = r + s
+                        second[end] = best[end] if best[end] > s1 else s1
+                        best[end], back[end] = s0, begin
+                    elif s0 > second[end]:
+                        second[end] = s0
+                end += 1
+                if end > n:
+                    break
+                s = get(word[begin:end], 1.0)
                 if s == 1.0:
                     break
-                if s is None:
-                    continue
-                s0, s1 = b + s, r + s
-                if s0 > best[end]:
-                    second[end] = best[end] if best[end] > s1 else s1
-                    best[end], back[end] = s0, begin
-                elif s0 > second[end]:
-                    second[end] = s0
         return best, back, second[n]
 
     def edge(self, text: str) -> tuple[int, ...]:
@@ -116,11 +113,12 @@ class Pieces:
         found = self.older.get(word)
         if found is None:
             best, back, second = self.forward(word)
-            cuts, at = [], len(word)
+            ids, at, known = [], len(word), self.ids
             while at:
-                cuts.append(self.edge(word[back[at] : at]))
+                k = known.get(word[back[at] : at])
+                ids += (k,) if k is not None else self.edge(word[back[at] : at])[::-1]
                 at = back[at]
-            found = best[-1], best[-1] - second, tuple(k for c in reversed(cuts) for k in c)
+            found = best[-1], best[-1] - second, tuple(reversed(ids))
         if len(word) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known, self.older = {}, self.known
