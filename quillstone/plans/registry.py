@@ -1,4 +1,146 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions import scalars
+from ..operators import rows, scoring, segments
+from ..sources import corpora
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rx(pattern: str, column: str = "text") -> str:
+    return f"regexp_matches({column}, {q(pattern)})"
+
+
+def weights(table) -> str:
+    return " + ".join(f"CASE WHEN {rx(p)} THEN {w} ELSE 0 END" for p, w in table)
+
+
+_ODD = q(corpora.ODD_SPACE.replace("\t", "\\t").replace("\x0b", "\\v").replace("\f", "\\f").replace("\r", "\\r"))
+C1 = f"c AS (SELECT doc_id, CAST(generate_subscripts(l, 1) AS INT) AS para, trim(regexp_replace(unnest(l), {_ODD}, ' ', 'g'), ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
+C2 = "c AS (" + corpora.HANDOUTS.replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
+BOUND = "(" + " OR ".join(rx(p) for p in P.BOUNDARY) + ")"
+HEAD = f"({rx(P.NUMBER)} OR {rx(P.KNOWLEDGE_HEADING)} OR {rx(P.TYPE_MARKER)})"
+SECTION = "CASE " + " ".join(f"WHEN {rx(p)} THEN {q(k)}" for p, k in P.SECTION) + " END"
+W = "OVER (PARTITION BY doc_id ORDER BY para)"
+
+
+def after(pattern: str) -> str:
+    return f"length(trim(regexp_replace(text, {q(pattern)}, ''), ' '))"
+
+
+def fold_sql(name: str, number: str, condition: str, begin: str) -> str:
+    """Paragraphs with a number, walked in order; hit is whether a row goes on from those before."""
+    return f"""{name}_r AS (SELECT doc_id, para, CAST(regexp_extract(text, {q(number)}, 1) AS INT) AS num, row_number() {W} AS rn FROM c WHERE {condition}),
+{name}_w AS (SELECT doc_id, para, rn, num <= 2 AS hit, CASE WHEN num <= 2 THEN num ELSE 0 END AS last, CASE WHEN num <= 2 THEN 1 ELSE 0 END AS hits FROM {name}_r WHERE rn = 1 AND num <> 1
+  UNION ALL SELECT doc_id, para, rn, true, 1, 1 FROM {name}_r WHERE rn = 1 AND num = 1
+  UNION ALL SELECT r.doc_id, r.para, r.rn, r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin}, CASE WHEN r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin} THEN r.num ELSE w.last END, w.hits + CASE WHEN r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin} THEN 1 ELSE 0 END
+  FROM {name}_w w JOIN {name}_r r ON r.doc_id = w.doc_id AND r.rn = w.rn + 1)"""
+
+
+def boundary_sql(corpus: str) -> str:
+    return f"""WITH RECURSIVE {corpus},
+{fold_sql("m", P.MAIN_NUMBER, f"{rx(P.MAIN_NUMBER)} AND {after(P.MAIN_NUMBER)} >= 8", "(r.num <= 2 AND w.hits = 0)")},
+{fold_sql("a", P.NUMBER, rx(P.NUMBER), "r.num <= 2")},
+s AS (SELECT *, {weights(P.QUESTION)} AS q, {weights(P.KNOWLEDGE)} AS k FROM c),
+l AS (SELECT *, lead(q, 1) {W} AS q1, lead(k, 1) {W} AS k1, lead(q, 2) {W} AS q2, lead(k, 2) {W} AS k2 FROM s),
+d0 AS (SELECT doc_id, CAST(min(para) AS INT) AS first, CAST(max(para) AS INT) AS last, count(*) AS n, coalesce(min(CASE WHEN {BOUND} AND NOT {rx(P.DOTTED)} THEN para END), min(CASE WHEN q > k AND q >= 2 AND q1 > k1 AND q1 >= 1 AND q2 > k2 AND q2 >= 1 THEN para END)) AS b0, min(CASE WHEN {rx(P.NUMBER)} THEN para END) AS b3 FROM l GROUP BY doc_id),
+d1 AS (SELECT d0.*, (SELECT max(para) FROM c WHERE c.doc_id = d0.doc_id AND para < b0 AND {rx(P.NUMBER)} AND {after(P.NUMBER)} >= 6) AS found FROM d0),
+d2 AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN b0 IS NULL THEN b3 WHEN found IS NOT NULL AND b0 - found <= greatest(15, n // 5) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d1.doc_id AND para > found AND para < b0 AND {rx(P.KNOWLEDGE_HEADING)}) THEN found ELSE b0 END AS boundary FROM d1),
+many AS (SELECT doc_id FROM m_w WHERE hit GROUP BY doc_id HAVING count(*) >= 3),
+pts AS (SELECT doc_id, para FROM m_w WHERE hit AND doc_id IN (SELECT doc_id FROM many) UNION ALL SELECT doc_id, para FROM a_w WHERE hit AND doc_id NOT IN (SELECT doc_id FROM many)),
+lp AS (SELECT p.doc_id, p.para, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.para) - 1 AS i, count(*) OVER (PARTITION BY p.doc_id) AS np FROM pts p JOIN d2 USING (doc_id) WHERE p.para >= boundary),
+cu AS (SELECT doc_id, np, greatest(1, CAST(round_even(np * 0.7::DOUBLE, 0) AS INT)) AS cut FROM (SELECT DISTINCT doc_id, np FROM lp)),
+cc AS (SELECT d2.*, greatest(boundary, CASE WHEN np >= 2 THEN CASE WHEN cut < np THEN (SELECT para - 1 FROM lp WHERE lp.doc_id = d2.doc_id AND i = cut) ELSE last END ELSE boundary + CAST(floor((last - boundary) * 0.7::DOUBLE) AS INT) END) AS cutp FROM d2 LEFT JOIN cu USING (doc_id) WHERE boundary IS NOT NULL)
+"""
+
+
+BLOCKS = f"""SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, CAST(CASE WHEN boundary > first THEN first ELSE 1 END AS INT) AS start_para, CAST(CASE WHEN boundary > first THEN boundary - 1 ELSE 0 END AS INT) AS end_para FROM cc
+UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(boundary AS INT), CAST(cutp AS INT) FROM cc
+UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(cutp + 1 AS INT), last FROM cc WHERE cutp < last"""
+
+ANSWERS = f"a AS (SELECT *, max(CASE WHEN contains(text, {q(P.ANSWER)}) THEN para END) {W} AS marker, max(CASE WHEN {HEAD} THEN para END) {W} AS head FROM c), g AS (SELECT *, marker IS NOT NULL AND coalesce(head, 0) <= marker AS gone FROM a)"
+
+
+def over(corpus, operator):
+    return lambda spark, sf_dir: operator(corpus(spark, sf_dir))
+
+
+def read(name, operator):
+    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def outline(paras):
+    return paras.filter((F.col("text") != "") & ((F.col("para") <= 60) | (F.length("text") < 50))).select("doc_id", "para", F.substring("text", 1, 80).alias("head"))
+
+
+def similarity(vectors):
+    """Each vector's likeness to the templates: the first vector of each label. Labels are a closed set, so the templates are few."""
+    templates = vectors.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("t")).select(F.col("label").alias("category"), F.col("t.embedding").alias("template"))
+    each = F.array_sort(F.collect_list(F.struct("category", "template")))
+    packed = templates.agg(each.alias("templates"))
+    out = vectors.withColumn("one", F.lit(1)).join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
+    likeness = F.transform("templates", lambda t: F.struct(F.round(scalars.cosine(F.col("embedding"), t["template"]), 6).alias("similarity"), (-t["category"]).alias("rank")))
+    best = F.array_max(likeness)
+    return out.select("vec_id", (-best["rank"]).alias("category"), best["similarity"].alias("similarity"))
+
+
+QUERIES = {
+    "split_blocks_scored": over(corpora.handouts, lambda p: segments.blocks(segments.boundaries(p))),
+    "split_blocks_documents": over(corpora.documents, lambda p: segments.blocks(segments.boundaries(p))),
+    "find_boundary": over(corpora.handouts, lambda p: segments.boundaries(p).filter("boundary IS NOT NULL").select("doc_id", F.col("boundary").cast("int").alias("boundary"))),
+    "numbered_positions": over(corpora.handouts, lambda p: segments.boundaries(p).select("doc_id", F.explode("points").alias("para"))),
+    "para_scores": over(corpora.documents, lambda p: scoring.scored(p).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
+    "handout_scores": over(corpora.handouts, lambda p: scoring.scored(p).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
+    "type_positions": over(corpora.handouts, scoring.type_positions),
+    "scan_grep": over(corpora.handouts, lambda p: p.filter(F.col("text").rlike("定义.*[0-9]")).select("doc_id", "para", F.substring("text", 1, 80).alias("head"))),
+    "scan_outline": over(corpora.documents, outline),
+    "full_split": over(corpora.documents, rows.extent),
+    "question_spans": over(corpora.handouts, rows.question_spans),
+    "question_kinds": over(corpora.handouts, rows.question_kinds),
+    "compress_blanks": over(corpora.handouts, lambda p: rows.compress_blanks(p).select("doc_id", "para", "text", "has_img")),
+    "renumber": over(corpora.handouts, rows.renumber),
+    "position_ratio": over(corpora.documents, rows.position_ratio),
+    "gap_runs": over(corpora.handouts, lambda p: rows.gap_runs(p.filter(scoring.knowing(F.col("text"))).select("doc_id", "para"))),
+    "answer_delete_ranges": over(corpora.handouts, rows.answer_ranges),
+    "student_rows": over(corpora.handouts, rows.student_rows),
+    "question_density": over(corpora.handouts, rows.density),
+    "practice_boundary": over(corpora.handouts, rows.practice_boundary),
+    "short_text": over(corpora.documents, lambda p: p.select("doc_id", "para", scalars.short(F.col("text"), 80).alias("head"))),
+    "academic_year": read("orders", lambda o: o.select("o_orderkey", scalars.academic_year(F.col("o_orderdate")).alias("academic_year"))),
+    "is_red": read("orders", lambda o: o.withColumn("colour", F.lpad(F.hex(F.col("o_orderkey") * 7919 % 16777216), 6, "0")).select("o_orderkey", "colour", scalars.is_red(F.col("colour")).alias("is_red"))),
+    "template_similarity": read("embeddings", similarity),
+}
+
+ORACLES = {
+    "split_blocks_scored": boundary_sql(C2) + BLOCKS,
+    "split_blocks_documents": boundary_sql(C1) + BLOCKS,
+    "find_boundary": boundary_sql(C2) + "SELECT doc_id, CAST(boundary AS INT) AS boundary FROM d2 WHERE boundary IS NOT NULL",
+    "numbered_positions": boundary_sql(C2) + "SELECT doc_id, para FROM pts",
+    "para_scores": f"WITH {C1} SELECT doc_id, para, {weights(P.QUESTION)} AS q, {weights(P.KNOWLEDGE)} AS k, {BOUND} AS is_boundary, {SECTION} AS section_type FROM c",
+    "handout_scores": f"WITH {C2} SELECT doc_id, para, {weights(P.QUESTION)} AS q, {weights(P.KNOWLEDGE)} AS k, {BOUND} AS is_boundary, {SECTION} AS section_type FROM c",
+    "type_positions": f"WITH {C2} SELECT doc_id, CAST(regexp_extract(text, {q(P.TYPE_MARKER)}, 1) AS INT) AS type_no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL",
+    "scan_grep": f"WITH {C2} SELECT doc_id, para, substring(text, 1, 80) AS head FROM c WHERE {rx('定义.*[0-9]')}",
+    "scan_outline": f"WITH {C1} SELECT doc_id, para, substring(text, 1, 80) AS head FROM c WHERE text <> '' AND (para <= 60 OR length(text) < 50)",
+    "full_split": f"WITH {C1} SELECT doc_id, min(para) AS start_para, max(para) AS end_para, count(*) AS n_paras FROM c GROUP BY doc_id",
+    "question_spans": f"WITH {C2}, h AS (SELECT doc_id, para, text, max(para) OVER (PARTITION BY doc_id) AS last FROM c), n AS (SELECT *, lead(para) {W} AS nxt FROM h WHERE {HEAD}) SELECT doc_id, para AS start_para, CAST(coalesce(nxt - 1, last) AS INT) AS end_para FROM n WHERE {rx(P.NUMBER)}",
+    "question_kinds": f"WITH {C2}, h AS (SELECT *, max(CASE WHEN {HEAD} THEN para END) {W} AS head FROM c) SELECT h.doc_id, h.head AS para, CASE WHEN bool_or({rx(P.OPTION, 'h.text')}) THEN 'choice' WHEN bool_or({rx(P.BLANK, 'h.text')}) THEN 'blank' ELSE 'short' END AS kind FROM h JOIN c x ON x.doc_id = h.doc_id AND x.para = h.head WHERE {rx(P.NUMBER, 'x.text')} GROUP BY h.doc_id, h.head",
+    "compress_blanks": f"WITH {C2}, n AS (SELECT *, lead(text) {W} AS nxt FROM c) SELECT doc_id, para, text, has_img FROM n WHERE NOT (text = '' AND coalesce(nxt = '', false))",
+    "renumber": f"WITH {C2} SELECT doc_id, para, CASE WHEN {rx(P.NUMBER)} THEN concat(CAST(row_number() OVER (PARTITION BY doc_id, {rx(P.NUMBER)} ORDER BY para) AS VARCHAR), regexp_replace(text, '^\\s*[0-9]{{1,3}}', '')) ELSE text END AS text FROM c",
+    "position_ratio": f"WITH {C1} SELECT doc_id, para, round(percent_rank() {W}, 9) AS ratio FROM c",
+    "gap_runs": f"WITH {C2}, s AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS total, lag(para) {W} AS prev FROM c WHERE {weights(P.KNOWLEDGE)} > {weights(P.QUESTION)}), r AS (SELECT *, sum(CASE WHEN para - prev > 3 AND total >= 3 THEN 1 ELSE 0 END) {W} AS run FROM s) SELECT doc_id, min(para) AS start_para, max(para) AS end_para, count(*) AS n FROM r GROUP BY doc_id, run, total HAVING count(*) >= 3 OR total < 3",
+    "answer_delete_ranges": f"WITH {C2}, {ANSWERS}, i AS (SELECT doc_id, para, para - row_number() {W} AS run FROM g WHERE gone) SELECT doc_id, min(para) AS start_para, max(para) AS end_para FROM i GROUP BY doc_id, run",
+    "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE NOT (text = '' AND coalesce(nxt = '', false))",
+    "question_density": "WITH " + C2 + f", n AS (SELECT doc_id, para, lead(para, 2) {W} AS third FROM c WHERE " + rx(P.NUMBER + r"\s*\S") + ") SELECT doc_id, min(para) AS para FROM n WHERE third - para <= 18 GROUP BY doc_id",
+    "practice_boundary": f"WITH {C2}, p AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(b)}, {q(a)})" for k, (b, a) in enumerate(P.PRACTICE_PAIRS)) + ") v(pair, basic, advanced)), b AS (SELECT doc_id, pair, min(para) AS since FROM c JOIN p ON contains(text, basic) GROUP BY ALL), x AS (SELECT b.doc_id, b.pair, min(c.para) AS para FROM b JOIN p USING (pair) JOIN c ON c.doc_id = b.doc_id AND contains(c.text, p.advanced) AND c.para >= b.since GROUP BY ALL) SELECT doc_id, arg_min(para, pair) AS para FROM x GROUP BY doc_id",
+    "short_text": f"WITH {C1}, t AS (SELECT doc_id, para, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c) SELECT doc_id, para, CASE WHEN length(t) > 80 THEN concat(substring(t, 1, 79), '…') ELSE t END AS head FROM t",
+    "academic_year": "SELECT o_orderkey, concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年') AS academic_year FROM orders",
+    "is_red": "WITH h AS (SELECT o_orderkey, o_orderkey * 7919 % 16777216 AS v FROM orders) SELECT o_orderkey, lpad(upper(format('{:x}', v)), 6, '0') AS colour, (v // 65536 >= 100 AND v // 256 % 256 <= 70 AND v % 256 <= 70) AS is_red FROM h",
+    "template_similarity": "WITH t AS (SELECT label AS category, arg_min(embedding, vec_id) AS template FROM embeddings GROUP BY label), s AS (SELECT vec_id, category, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(template AS DOUBLE[])))), 6) AS similarity FROM embeddings, t) SELECT vec_id, category, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, category) = 1",
+}
