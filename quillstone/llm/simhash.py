@@ -150,42 +150,41 @@ def bands(remaining: list[int], differences: int) -> list[list[int]]:
     return [b for k in range(n) if (b := remaining[k * len(remaining) // n : (k + 1) * len(remaining) // n])]
 
 
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << 64) if m >= 1 << 63 else m
-
-
 def routed(rows: DataFrame, differences: int) -> DataFrame:
-    """Each (code, mask, key) once for each band of the bits that ``mask`` leaves free; ``mask`` and ``key`` then hold the band too.
+    """Each (code, mask, free) once for each band of the bits ``free``; ``mask`` then holds the band too, and ``key`` the code's bits under it."""
+    import pyarrow as pa
 
-    The masks of one level are few: (differences + 1) to the power of the level.
-    """
-    masks = [r[0] for r in rows.select("mask").distinct().collect()]
-    out = F.array().cast("array<struct<mask:bigint,key:bigint>>")
-    for m in masks:
-        free = [b for b in range(BITS) if not (m >> b) & 1]
-        more = [m | _mask(b) for b in bands(free, differences)]
-        out = F.when(F.col("mask") == m, F.array(*(F.struct(F.lit(x).cast("long").alias("mask"), F.col("code").bitwiseAND(F.lit(x).cast("long")).alias("key")) for x in more))).otherwise(out)
-    return rows.select("code", F.explode(out).alias("r")).select("code", "r.*")
+    def run(batches):
+        for b in batches:
+            code, mask, free = (np.asarray(c).view(np.uint64) for c in b.columns)
+            for m, f in np.unique(np.stack([mask, free]), axis=1).T.tolist():
+                own = code[(mask == np.uint64(m)) & (free == np.uint64(f))]
+                for band in bands([k for k in range(BITS) if (f >> k) & 1], differences):
+                    more = np.full(len(own), m | sum(1 << k for k in band), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, more, own & more)], names=["code", "mask", "key"])
+
+    return rows.select("code", "mask", "free").mapInArrow(run, "code long, mask long, key long")
 
 
 def linked(codes: DataFrame, differences: int = DIFFERENCES, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between fingerprints, enough to connect all that links of at most ``differences`` bits connect.
 
-    codes: distinct fingerprints (code: long).
+    codes: distinct fingerprints (code: long). A group of more than ``group`` (at least 2 to the power of differences + 1)
+    is dealt out again by bands of the bits in which its members differ at all, so that every band parts it.
     """
-    rows = codes.select("code", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("key"))
+    rows = codes.select("code", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("free"))
     edges = None
     while True:
         rows = written(routed(rows, differences), "routed")
-        large = written(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("mask", "key"), "large")
+        sized = rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.expr("bit_or(code) & ~bit_and(code)").alias("free"))
+        large = written(sized.filter(F.col("n") > group).select("mask", "key", "free"), "large")
         hot = bool(large.take(1))
         fit = rows.join(large, ["mask", "key"], "left_anti") if hot else rows
         found = _indexed(fit, differences)
         edges = found if edges is None else edges.unionByName(found)
         if not hot:
             return edges
-        rows = rows.join(large, ["mask", "key"], "left_semi")
+        rows = rows.join(large, ["mask", "key"]).select("code", "mask", "free")
 
 
 def _indexed(rows: DataFrame, differences: int, batch: int = BATCH) -> DataFrame:
