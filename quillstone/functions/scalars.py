@@ -17,6 +17,11 @@ def academic_year(day: Column) -> Column:
     return F.concat(first.cast("string"), F.lit("-"), (first + 1).cast("string"), F.lit("学年"))
 
 
+def file_base(*parts: Column) -> Column:
+    """Parts joined by underscores, the null and empty ones left out."""
+    return F.concat_ws("_", *(F.nullif(p, F.lit("")) for p in parts))
+
+
 def is_red(colour: Column) -> Column:
     """RRGGBB that reads as red; anything else is not."""
     part = lambda k: F.conv(F.substring(colour, k, 2), 16, 10).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import rows, scoring, segments
+from ..operators import assembly, rows, scoring, segments
 from ..sources import corpora
 
 
@@ -91,6 +91,20 @@ def similarity(vectors):
     return out.select("vec_id", (-best["rank"]).alias("category"), best["similarity"].alias("similarity"))
 
 
+def knowledge(paras):
+    return paras.filter(scoring.knowing(F.col("text"))).select("doc_id", "para")
+
+
+def scored_blocks(paras):
+    return segments.blocks(segments.boundaries(paras))
+
+
+def filename(orders):
+    """year_priority_status_version.docx, without the parts that are empty."""
+    year = scalars.academic_year(F.col("o_orderdate"))
+    return orders.select("o_orderkey", F.concat(scalars.file_base(year, F.trim("o_orderpriority"), F.nullif(F.col("o_orderstatus"), F.lit("O"))), F.lit("_教师版.docx")).alias("filename"))
+
+
 QUERIES = {
     "split_blocks_scored": over(corpora.handouts, lambda p: segments.blocks(segments.boundaries(p))),
     "split_blocks_documents": over(corpora.documents, lambda p: segments.blocks(segments.boundaries(p))),
@@ -108,6 +122,10 @@ QUERIES = {
     "renumber": over(corpora.handouts, rows.renumber),
     "position_ratio": over(corpora.documents, rows.position_ratio),
     "gap_runs": over(corpora.handouts, lambda p: rows.gap_runs(p.filter(scoring.knowing(F.col("text"))).select("doc_id", "para"))),
+    "pair_examples": over(corpora.handouts, lambda p: assembly.paired(rows.gap_runs(knowledge(p)), p.filter(F.col("text").rlike("^【例 *[0-9]+】"))).fillna(0, ["example"])),
+    "validate_blocks": over(corpora.handouts, lambda p: assembly.validated(scored_blocks(p), rows.extent(p))),
+    "assemble_rows": over(corpora.handouts, lambda p: assembly.assembled(p, scored_blocks(p))),
+    "filename": read("orders", filename),
     "answer_delete_ranges": over(corpora.handouts, rows.answer_ranges),
     "student_rows": over(corpora.handouts, rows.student_rows),
     "question_density": over(corpora.handouts, rows.density),
@@ -135,6 +153,17 @@ ORACLES = {
     "renumber": f"WITH {C2} SELECT doc_id, para, CASE WHEN {rx(P.NUMBER)} THEN concat(CAST(row_number() OVER (PARTITION BY doc_id, {rx(P.NUMBER)} ORDER BY para) AS VARCHAR), regexp_replace(text, '^\\s*[0-9]{{1,3}}', '')) ELSE text END AS text FROM c",
     "position_ratio": f"WITH {C1} SELECT doc_id, para, round(percent_rank() {W}, 9) AS ratio FROM c",
     "gap_runs": f"WITH {C2}, s AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS total, lag(para) {W} AS prev FROM c WHERE {weights(P.KNOWLEDGE)} > {weights(P.QUESTION)}), r AS (SELECT *, sum(CASE WHEN para - prev > 3 AND total >= 3 THEN 1 ELSE 0 END) {W} AS run FROM s) SELECT doc_id, min(para) AS start_para, max(para) AS end_para, count(*) AS n FROM r GROUP BY doc_id, run, total HAVING count(*) >= 3 OR total < 3",
+    "pair_examples": f"""WITH RECURSIVE {C2}, s AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS total, lag(para) {W} AS prev FROM c WHERE {weights(P.KNOWLEDGE)} > {weights(P.QUESTION)}), r AS (SELECT *, sum(CASE WHEN para - prev > 3 AND total >= 3 THEN 1 ELSE 0 END) {W} AS run FROM s), g AS (SELECT doc_id, CAST(min(para) AS INT) AS start_para, CAST(max(para) AS INT) AS end_para FROM r GROUP BY doc_id, run, total HAVING count(*) >= 3 OR total < 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_para) AS rn FROM g),
+e AS (SELECT doc_id, list(para) AS ex FROM c WHERE regexp_matches(text, '^【例 *[0-9]+】') GROUP BY doc_id),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS INT) AS start_para, CAST(0 AS INT) AS end_para, CAST(NULL AS INT) AS example, CAST([] AS INT[]) AS used FROM (SELECT DISTINCT doc_id FROM n)
+  UNION ALL SELECT doc_id, rn, start_para, end_para, example, CASE WHEN example IS NULL THEN used ELSE list_append(used, example) END FROM (
+    SELECT n.doc_id, n.rn, n.start_para, n.end_para, w.used, list_min(list_filter(coalesce(e.ex, CAST([] AS INT[])), lambda p: p >= n.end_para AND p <= n.end_para + 20 AND NOT list_contains(w.used, p))) AS example
+    FROM w JOIN n ON n.doc_id = w.doc_id AND n.rn = w.rn + 1 LEFT JOIN e ON e.doc_id = n.doc_id))
+SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHERE rn > 0""",
+    "validate_blocks": boundary_sql(C2) + f", b AS ({BLOCKS}), p AS (SELECT *, lag(end_para) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM b) SELECT p.doc_id, count(*) <> 3 AS not_three, bool_or(start_para > end_para) AS reversed, bool_or(start_para < d.first OR end_para > d.last) AS outside, coalesce(bool_or(start_para <= prev), false) AS overlapping FROM p JOIN d2 d ON d.doc_id = p.doc_id GROUP BY p.doc_id",
+    "assemble_rows": boundary_sql(C2) + f", b AS ({BLOCKS}) SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY ord, para) AS INT) AS pos, marker, para, text FROM c JOIN b ON c.doc_id = b.doc_id AND para BETWEEN start_para AND end_para",
+    "filename": "SELECT o_orderkey, concat(concat_ws('_', concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年'), nullif(trim(o_orderpriority), ''), nullif(o_orderstatus, 'O')), '_教师版.docx') AS filename FROM orders",
     "answer_delete_ranges": f"WITH {C2}, {ANSWERS}, i AS (SELECT doc_id, para, para - row_number() {W} AS run FROM g WHERE gone) SELECT doc_id, min(para) AS start_para, max(para) AS end_para FROM i GROUP BY doc_id, run",
     "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE NOT (text = '' AND coalesce(nxt = '', false))",
     "question_density": "WITH " + C2 + f", n AS (SELECT doc_id, para, lead(para, 2) {W} AS third FROM c WHERE " + rx(P.NUMBER + r"\s*\S") + ") SELECT doc_id, min(para) AS para FROM n WHERE third - para <= 18 GROUP BY doc_id",

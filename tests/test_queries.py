@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
-from quillstone.operators import rows, segments
+from quillstone.operators import assembly, rows, segments
 from quillstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,16 @@ def test_blank_runs_and_renumbering(spark):
     f = paras(spark, ["3．甲", "", "", "7、乙", ""])
     assert [r.para for r in rows.compress_blanks(f).orderBy("para").collect()] == [1, 3, 4, 5]
     assert [r.text for r in rows.renumber(f).orderBy("para").collect()] == ["1．甲", "", "", "2、乙", ""]
+
+
+def test_examples_are_taken_once(spark):
+    runs = spark.createDataFrame([(1, 1, 4), (1, 5, 9), (2, 1, 3)], "doc_id long, start_para int, end_para int")
+    examples = spark.createDataFrame([(1, 10)], "doc_id long, para int")
+    assert sorted(map(tuple, assembly.paired(runs, examples).collect())) == [(1, 1, 4, 10), (1, 5, 9, None), (2, 1, 3, None)]
+
+
+def test_faulty_blocks_are_found(spark):
+    blocks = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 5, 4), (1, 3, 6, 99), (2, 1, 1, 9)], "doc_id long, ord int, start_para int, end_para int")
+    extents = spark.createDataFrame([(1, 1, 20), (2, 1, 9)], "doc_id long, start_para int, end_para int")
+    got = {r.doc_id: tuple(r)[1:] for r in assembly.validated(blocks, extents).collect()}
+    assert got == {1: (False, True, True, True), 2: (True, False, False, False)}
