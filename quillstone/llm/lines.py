@@ -58,3 +58,17 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = null_safe_join(row, gone.hint("merge"), ["doc_id", "text_key"], "left")
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
     return joined.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"), F.md5(F.array_join(left, "\n").cast("binary")).alias("text_md5"))
+
+
+#: The rows of op9_lines in DuckDB's SQL.
+SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, text, place, array_to_string(l[place + 1 : place + 3], chr(10)) AS win FROM (SELECT doc_id, text, l, unnest(range(0, len(l) - 2)) AS place FROM d WHERE len(l) >= 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, place) AS rn, count(*) OVER (PARTITION BY win) AS n FROM h),
+c AS (SELECT doc_id, text, unnest([place, place + 1, place + 2]) AS line, rn FROM f WHERE n > 1),
+g AS (SELECT doc_id, text, line FROM c GROUP BY ALL HAVING min(rn) > 1),
+s AS (SELECT doc_id, text, list(line ORDER BY line) AS gone FROM g GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed,
+  md5(array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10))) AS text_md5
+FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) LEFT JOIN s USING (doc_id, text)
+"""
