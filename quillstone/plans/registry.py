@@ -107,7 +107,8 @@ def filename(orders):
 
 QUERIES = {
     "split_blocks_scored": over(corpora.handouts, lambda p: segments.blocks(segments.boundaries(p))),
-    "split_blocks_documents": over(corpora.documents, lambda p: segments.blocks(segments.boundaries(p))),
+    # the windows need this shuffle anyway; before the patterns run, it also spreads a file of few row groups
+    "split_blocks_documents": over(corpora.documents, lambda p: segments.blocks(segments.boundaries(p.repartition("doc_id")))),
     "find_boundary": over(corpora.handouts, lambda p: segments.boundaries(p).filter("boundary IS NOT NULL").select("doc_id", F.col("boundary").cast("int").alias("boundary"))),
     "numbered_positions": over(corpora.handouts, lambda p: segments.boundaries(p).select("doc_id", F.explode("points").alias("para"))),
     "para_scores": over(corpora.documents, lambda p: scoring.scored(p).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
