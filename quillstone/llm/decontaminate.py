@@ -257,3 +257,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     places = F.transform("matches", lambda m: F.concat_ws(":", m["item"], m["at"].cast("string"), m["item_at"].cast("string"), m["words"].cast("string")))
     return found.select(*found.columns[:-1], F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0).cast("long")).alias("longest_words"), F.array_join(F.array_sort(places), ",").alias("places"))
+
+
+#: The rows of op10_decontaminate in DuckDB's SQL: every window of a document against every window of the benchmark.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT item, item_at, least(len(ws), 10) AS n, array_to_string(ws[item_at + 1 : item_at + least(len(ws), 10)], ' ') AS win FROM (SELECT item, ws, unnest(range(0, greatest(1, len(ws) - 9))) AS item_at FROM i WHERE len(ws) > 0)),
+dw AS (SELECT rid, n, pos, array_to_string(ws[pos + 1 : pos + n], ' ') AS win FROM (SELECT rid, ws, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+h AS (SELECT rid, item, pos, item_at, n FROM dw JOIN iw USING (n, win)),
+c AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid),
+m AS (SELECT rid, item, min(pos) AS pos, min(item_at) AS item_at, max(pos) - min(pos) + n AS words FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid, item, pos - item_at, n ORDER BY pos) AS run FROM (SELECT DISTINCT * FROM h)) GROUP BY rid, item, pos - item_at, n, run),
+o AS (SELECT rid, max(words) AS longest_words, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT rid, words, concat(item, ':', pos, ':', item_at, ':', words) AS place FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest_words, 0) AS BIGINT) AS longest_words, coalesce(places, '') AS places
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid) LEFT JOIN o USING (rid)
+"""

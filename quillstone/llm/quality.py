@@ -161,3 +161,38 @@ def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The rows of op2_quality in DuckDB's SQL: histograms, quartiles and fences are integers there too."""
+    space = r"[\x20\x09-\x0D]"
+    measures = ", ".join(f"{{'measure': '{m}', 'v': {e.replace(' div ', ' // ').replace('1L', '1')}}}" for m, e in MEASURES.items())
+    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in SLACK.items()) + " END"
+    two = ", ".join(f"'{m}'" for m in TWO_SIDED)
+
+    def drawn_sql(keys: str) -> str:
+        by = ", ".join(filter(None, [keys, "measure"]))
+        return f"""(SELECT {by}, total, CASE WHEN measure IN ({two}) THEN q1 - greatest({FENCE} * (q3 - q1), {slack}) END AS low, q3 + greatest({FENCE} * (q3 - q1), {slack}) AS high FROM (
+  SELECT {by}, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN (bucket - 32 * s) << s END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN ((bucket - 32 * s + 1) << s) - 1 END) AS q3 FROM (
+    SELECT {by}, bucket, CAST(greatest(bucket // 32 - 1, 0) AS BIGINT) AS s, CAST(sum(sum(n)) OVER (PARTITION BY {by} ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(sum(n)) OVER (PARTITION BY {by}) AS BIGINT) AS total FROM sketch GROUP BY {by}, bucket)
+  GROUP BY {by}))"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(1) || 'null') AS lang, coalesce(source, chr(1) || 'null') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+g AS (SELECT rid, k, array_to_string(ws[k : k + {WINDOW - 1}], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS k FROM w WHERE len(ws) > {WINDOW})),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(k, k + {WINDOW})) AS p FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, win) AS c FROM g) WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+c AS (SELECT d.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d JOIN w USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+p AS (SELECT rid, lang, source, base_failed, m.measure AS measure, CAST(m.v AS BIGINT) AS v FROM (SELECT rid, lang, source, base_failed, unnest([{measures}]) AS m FROM f)),
+sketch AS (SELECT lang, source, measure, 32 * greatest(length(bin(v)) - 6, 0) + (v >> greatest(length(bin(v)) - 6, 0)) AS bucket, count(*) AS n FROM p WHERE NOT base_failed GROUP BY ALL),
+own AS {drawn_sql("lang, source")}, by_lang AS {drawn_sql("lang")}, every AS {drawn_sql("")},
+v AS (SELECT rid, bool_and(CASE WHEN o.total >= {MIN_GROUP} THEN v <= o.high AND v >= coalesce(o.low, v) WHEN b.total >= {MIN_GROUP} THEN v <= b.high AND v >= coalesce(b.low, v) ELSE coalesce(v <= e.high AND v >= coalesce(e.low, v), true) END) AS good
+  FROM p LEFT JOIN own o USING (lang, source, measure) LEFT JOIN by_lang b USING (lang, measure) LEFT JOIN every e USING (measure) GROUP BY rid)
+SELECT doc_id, {", ".join(COUNTS)}, base_failed, NOT base_failed AND good AS kept FROM f JOIN v USING (rid)
+"""
+
+
+SQL = _sql()
