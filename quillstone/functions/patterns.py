@@ -160,3 +160,50 @@ BLANK = r"[（(]\s*[）)]\s*$|__+"
 ANSWER = r"【答案】"
 #: Headings at which what an answer takes with it ends: sections, types and numbered questions.
 MARKER_KNOWLEDGE, MARKER_DRILL, MARKER_CONSOLIDATION = "知识精讲", "即时训练", "六、巩固练习"
+
+# Words that mark where practice and where consolidation begins, in the order in which they are looked for.
+PRACTICE_WORDS = [
+    "基础速刷", "基础训练", "基础演练", "基础练习", "基础巩固", "基础达标", "对点训练", "即学即练", "真题闯关",
+    "真题演练", "当堂检测", "随堂检测", "课堂练习", "达标检测", "基础篇", "A组", "即时训练",
+]
+STRONG_PRACTICE_WORDS = ["基础速刷", "基础训练", "真题闯关", "即时训练"]
+CONSOLIDATION_WORDS = [
+    "能力跃升", "能力提升", "能力进阶", "能力突破", "综合提升", "综合训练", "拔高训练", "拓展训练", "变式训练",
+    "课后三阶", "素养提升", "提高篇", "B组", "巩固练习", "出门测试", "出门测速",
+]
+STRONG_CONSOLIDATION_WORDS = ["能力跃升", "能力提升", "课后三阶", "巩固练习"]
+
+# Words in headings of a table of contents.
+TOC_BASIC = [
+    "基础训练", "基础巩固", "基础过关", "基础达标", "基础速刷", "基础演练", "基础练习", "基础篇", "对点训练", "即学即练",
+    "当堂检测", "随堂检测", "课堂练习", "达标检测", "真题闯关", "溯源演练", "真题演练", "真题再现", "真题", "即时训练",
+]
+TOC_ADVANCED = [
+    "培优训练", "培优提升", "培优", "提优训练", "提优", "能力提升", "能力跃升", "能力进阶", "能力突破", "综合提升",
+    "综合训练", "综合应用", "拔高训练", "拔高", "拓展训练", "拓展提升", "拓展延伸", "变式训练", "课后三阶", "精准练习",
+    "分层集训", "巩固练习", "巩固训练", "出门测试", "素养提升", "提高篇", "B组",
+]
+TOC_PRACTICE = ["完成句子", "完型填空", "阅读理解", "短文填空", "语法填空", "写作", "听力", "模拟", "强化演练"]
+TOC_KNOWLEDGE = [
+    "考情", "分析解读", "备考策略", "命题预测", "基础", "知识梳理", "知识导图", "核心梳理", "重难", "核心突破", "教材精研",
+    "内容全解", "本节导航", "目标清单", "避坑指南", "解题通法", "课标单词", "目标短语", "常考句型", "重点语法", "知识清单",
+    "课堂启动", "知识回顾", "归纳总结", "解题技巧", "考法预测", "答案与解析", "语篇导读", "长难句分析", "深化点拨",
+    "典例精讲", "典型例题", "经典例题", "例题讲解",
+]
+
+# Single patterns of the tiers, of candidates and of example groups.
+SEPARATOR = r"^[~/\-_=*#]{10,}\s*$"
+SECTION_HEADER = r"(?i)^([一二三四五六七八九十]+[、.．]|(题型|考点|知识点|专题|Part|Section|Lesson|Unit))"
+PART_HEADER = r"^(即时训练|巩固练习|归纳总结|课堂启动|知识回顾|出门测试)"
+ENGLISH = r"^[A-Za-z0-9\s,.!?;:\"'\-()]{30,}"
+READING = r"^【真题再现】"
+READING_ENDS = r"^(重难[0-9]+|【解题技巧】|【考法预测】|【答案与解析】|【语篇导读】|【长难句分析】|知识点|考点|知识要点|知识梳理|核心知识|[一二三四五六七八九十]+[、.．]\s*[^0-9])"
+READING_START = r"(?i)^(【真题再现】|Passage\s+[0-9]+|Reading\s+Comprehension)"
+COURSE_SECTION = r"^(0[1-5])\s+(.+)$"
+YEAR_TAG = r"[（(]\s*[0-9]{4}\s*[.·年]"
+DECOR = r"^[/\\~\-_=*#\s·.。、，,|]*$"
+TYPE_ROW = r"^【题型\s*[0-9]+"
+EXAM_QUESTION = r"^\s*[0-9]{1,3}\s*[.．、]\s*[（(]\s*(20[0-9][0-9]|[0-9]{2}-)"
+SECTOR = r"提升专练|真题感知"
+TOC_SECTION = r"^0([0-9])\s+[^\s]+·[^\s]+"
+TOC_NUMBERED = r"^(第[一二三四五六七八九十0-9]+[部分章节课时单元模块]|专题\s*[0-9]+|考点\s*[0-9]+)"

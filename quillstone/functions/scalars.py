@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
+
 
 def short(text: Column, limit: int) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -32,3 +34,19 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(0.0)
+
+
+def clean_toc_name(line: Column) -> Column:
+    """A line of a table of contents without its leader dots and page number."""
+    t = F.trim(line)
+    name = F.regexp_extract(t, r"^(.+?)\s*\.{5,}\s*[0-9]*\s*$", 1)
+    return F.when(name != "", F.trim(name)).otherwise(F.trim(F.regexp_replace(t, r"\.{3,}\s*[0-9]*$", "")))
+
+
+def toc_role(name: Column) -> Column:
+    """advanced_practice, basic_practice, practice or knowledge, by words first and then by numbers; null for neither."""
+    has = lambda words: name.rlike("|".join(words))
+    section = F.regexp_extract(name, P.TOC_SECTION, 1)
+    by_word = F.when(has(P.TOC_ADVANCED), "advanced_practice").when(has(P.TOC_BASIC), "basic_practice").when(has(P.TOC_PRACTICE), "practice").when(has(P.TOC_KNOWLEDGE), "knowledge")
+    by_number = F.when(section.isin("0", "1", "2", "3"), "knowledge").when(section == "4", "basic_practice").when(section != "", "advanced_practice")
+    return F.coalesce(by_word, by_number, F.when(name.rlike(P.TOC_NUMBERED), "practice"))

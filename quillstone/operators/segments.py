@@ -51,8 +51,12 @@ def fold_numbers(rows: Column, strict: bool) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["hits"])
 
 
-def boundaries(paras: DataFrame) -> DataFrame:
-    """doc_id, first, last, n, boundary (null where none) and points (question starts), a row for each document; one shuffle."""
+def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, first, last, n, boundary (null where none) and points (question starts), a row for each document; one shuffle.
+
+    extra: further aggregates over a document's paragraphs, by name; they come from the same shuffle.
+    """
+    extra = extra or {}
     f = marked(paras)
     rows = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("para", F.col(c).cast("int").alias("number")))))
     before = F.col("para") < F.col("b0")
@@ -60,27 +64,40 @@ def boundaries(paras: DataFrame) -> DataFrame:
         F.min("para").alias("first"), F.max("para").alias("last"), F.count("*").alias("n"), F.first("b0").alias("b0"),
         F.max(F.when(F.col("question") & before, F.col("para"))).alias("found"), F.max(F.when(F.col("heading") & before, F.col("para"))).alias("heading"),
         F.min(F.when(F.col("numbered"), F.col("para"))).alias("b3"), rows("main").alias("main"), rows("number").alias("any"),
+        *(c.alias(k) for k, c in extra.items()),
     )
     near = (F.col("b0") - F.col("found") <= F.greatest(F.lit(15), F.floor(F.col("n") / 5))) & (F.coalesce("heading", F.lit(-1)) <= F.col("found"))
     boundary = F.when(F.col("n") < 3, None).when(F.col("b0").isNull(), F.col("b3")).when(near, F.col("found")).otherwise(F.col("b0"))
     main = fold_numbers(F.col("main"), True)
     points = F.when(F.size(main) >= 3, main).otherwise(fold_numbers(F.col("any"), False))
-    return docs.select("doc_id", "first", "last", "n", boundary.alias("boundary"), points.alias("points"))
+    return docs.select("doc_id", "first", "last", "n", boundary.alias("boundary"), points.alias("points"), *extra)
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """The three blocks of documents with a boundary: ord, marker, start_para, end_para; an empty block is 1 to 0."""
-    b, last = F.col("boundary"), F.col("last")
-    f = found.filter(b.isNotNull()).withColumn("later", F.filter("points", lambda p: p >= b))
-    cut = F.greatest(F.lit(1), F.rint(F.size("later") * F.lit(0.7)).cast("int"))
-    by_question = F.when(cut < F.size("later"), F.get("later", cut) - 1).otherwise(last)
+def block(ord: int, marker: str, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(ord).alias("ord"), F.lit(marker).alias("marker"), start.cast("int").alias("start_para"), end.cast("int").alias("end_para"))
+
+
+def share(points: Column) -> Column:
+    """How many of the points come before the last block: seven tenths, halves to even, one at least."""
+    return F.greatest(F.lit(1), F.rint(F.size(points) * F.lit(0.7)).cast("int"))
+
+
+def before(point: Column) -> Column:
+    """The block of knowledge before ``point``; 1 to 0 if there is none."""
+    empty = point <= F.col("first")
+    return block(1, P.MARKER_KNOWLEDGE, F.when(empty, 1).otherwise(F.col("first")), F.when(empty, 0).otherwise(point - 1))
+
+
+def cut_at(b: Column) -> Column:
+    """An array with the two or three blocks that a boundary makes of a row of ``boundaries``."""
+    last, later = F.col("last"), F.filter("points", lambda p: p >= b)
+    by_question = F.when(share(later) < F.size(later), F.get(later, share(later)) - 1).otherwise(last)
     by_share = b + ((last - b) * F.lit(0.7)).cast("int")
-    f = f.withColumn("cut", F.greatest(F.when(F.size("later") >= 2, by_question).otherwise(by_share), b))
-    empty = b <= F.col("first")
-    block = lambda k, m, s, e: F.struct(F.lit(k).alias("ord"), F.lit(m).alias("marker"), s.cast("int").alias("start_para"), e.cast("int").alias("end_para"))
-    made = F.array(
-        block(1, P.MARKER_KNOWLEDGE, F.when(empty, 1).otherwise(F.col("first")), F.when(empty, 0).otherwise(b - 1)),
-        block(2, P.MARKER_DRILL, b, F.col("cut")),
-        F.when(F.col("cut") < last, block(3, P.MARKER_CONSOLIDATION, F.col("cut") + 1, last)),
-    )
-    return f.select("doc_id", F.explode(F.array_compact(made)).alias("b")).select("doc_id", "b.*")
+    cut = F.greatest(F.when(F.size(later) >= 2, by_question).otherwise(by_share), b)
+    return F.array_compact(F.array(before(b), block(2, P.MARKER_DRILL, b, cut), F.when(cut < last, block(3, P.MARKER_CONSOLIDATION, cut + 1, last))))
+
+
+def blocks(found: DataFrame) -> DataFrame:
+    """The blocks of documents with a boundary: ord, marker, start_para, end_para; an empty block is 1 to 0."""
+    b = F.col("boundary")
+    return found.filter(b.isNotNull()).select("doc_id", F.explode(cut_at(b)).alias("b")).select("doc_id", "b.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, rows, scoring, segments
+from ..operators import assembly, candidates, rows, scoring, segments, tiers
 from ..sources import corpora
 
 
@@ -65,6 +65,82 @@ BLOCKS = f"""SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, CAST(CA
 UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(boundary AS INT), CAST(cutp AS INT) FROM cc
 UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(cutp + 1 AS INT), last FROM cc WHERE cutp < last"""
 
+AUTO = boundary_sql(C2) + f""", fe AS (SELECT *, lead(para, 1) {W} AS p1, lead(text, 1) {W} AS t1, lead(para, 2) {W} AS p2, lead(text, 2) {W} AS t2 FROM c),
+sp AS (SELECT doc_id, p1 AS at_p, coalesce({rx(P.ENGLISH)} AND p2 = para + 2 AND {rx(P.ENGLISH, 't2')}, false) AS prose FROM fe WHERE regexp_matches(regexp_replace(text, '/+$', ''), {q(P.SEPARATOR)}) AND p1 = para + 1 AND ({rx(P.SECTION_HEADER, 't1')} OR {rx(P.PART_HEADER, 't1')}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY para) = 1),
+tk AS (SELECT doc_id, min(para) AS taken FROM c WHERE {BOUND} OR ({SECTION}) = 'practice' GROUP BY doc_id),
+ty AS (SELECT doc_id, CAST(regexp_extract(text, {q(P.TYPE_MARKER)}, 1) AS INT) AS no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL),
+tl AS (SELECT doc_id, list(para ORDER BY no) AS types FROM ty GROUP BY doc_id),
+bl AS (SELECT doc_id, list(para ORDER BY para) FILTER (text = '') AS blanks, list(para ORDER BY para) FILTER ({rx(P.SECTION_HEADER)}) AS headers FROM c GROUP BY doc_id),
+pl AS (SELECT doc_id, list(para ORDER BY para) AS points FROM pts GROUP BY doc_id),
+x0 AS (SELECT d2.doc_id, first, last, n, boundary, types, blanks, headers, coalesce(points, []) AS points, CASE WHEN types IS NOT NULL THEN 'type' WHEN at_p IS NOT NULL AND NOT coalesce(taken < at_p, false) AND NOT (prose AND at_p + 1 < last) THEN 'separator' WHEN boundary IS NOT NULL THEN 'score' ELSE 'proportional' END AS tier, at_p FROM d2 LEFT JOIN sp USING (doc_id) LEFT JOIN tk USING (doc_id) LEFT JOIN tl USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN pl USING (doc_id)),
+x1 AS (SELECT *, CASE tier WHEN 'type' THEN types[1] WHEN 'separator' THEN at_p WHEN 'score' THEN boundary END AS b, CASE tier WHEN 'type' THEN types ELSE list_filter(points, lambda p: p >= CASE tier WHEN 'separator' THEN at_p ELSE boundary END) END AS pt,
+  first + CAST(trunc((last - first) * 0.5::DOUBLE) AS INT) AS g1, first + CAST(trunc((last - first) * 0.85::DOUBLE) AS INT) AS g2 FROM x0),
+x2 AS (SELECT *, greatest(1, CAST(round_even(len(pt) * 0.7::DOUBLE, 0) AS INT)) AS cut, {", ".join(f"coalesce(list_sort(list_filter(list_transform(blanks, lambda p: [abs(p - {g}), p]), lambda e: e[1] <= greatest(3, n // 20)))[1][2], list_sort(list_filter(list_transform(headers, lambda p: [abs(p - {g}), p]), lambda e: e[1] <= greatest(5, n // 10)))[1][2], {g}) AS s{g[1]}" for g in ("g1", "g2"))} FROM x1),
+x3 AS (SELECT *, greatest(first, least(s1, last)) AS p1, greatest(greatest(first, least(s1, last)) + 1, least(s2, last)) AS p2, CASE WHEN len(pt) >= 2 THEN CASE WHEN cut < len(pt) THEN pt[cut + 1] - 1 ELSE last END ELSE b + CAST(trunc((last - b) * 0.7::DOUBLE) AS INT) END AS e0 FROM x2),
+x4 AS (SELECT doc_id, tier, first, last, CASE tier WHEN 'proportional' THEN p1 ELSE b END AS b, CASE tier WHEN 'proportional' THEN p2 - 1 WHEN 'type' THEN e0 ELSE greatest(b, e0) END AS e, CASE tier WHEN 'proportional' THEN first WHEN 'type' THEN first ELSE b END AS since FROM x3),
+ev AS (SELECT doc_id, para, {rx(P.READING)} AS begins FROM c WHERE {rx(P.READING)} OR {rx(P.READING_ENDS)}),
+rs AS (SELECT doc_id, para AS rs, begins, lead(para) {W} - 1 AS re FROM ev),
+x5 AS (SELECT x4.*, (SELECT arg_min(coalesce(re, last), rs) FROM rs WHERE rs.doc_id = x4.doc_id AND begins AND rs >= since AND rs <= e AND e < coalesce(re, last)) AS moved FROM x4),
+x6 AS (SELECT *, tier IN ('type', 'proportional') OR e < last AS third FROM x5)
+SELECT doc_id, tier, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, CAST(CASE WHEN tier = 'proportional' THEN first WHEN b > first THEN first ELSE 1 END AS INT) AS start_para, CAST(CASE WHEN tier = 'proportional' THEN greatest(first, b - 1) WHEN b > first THEN b - 1 ELSE 0 END AS INT) AS end_para FROM x6
+UNION ALL SELECT doc_id, tier, 2, {q(P.MARKER_DRILL)}, CAST(b AS INT), CAST(CASE WHEN third THEN coalesce(moved, e) ELSE e END AS INT) FROM x6
+UNION ALL SELECT doc_id, tier, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(coalesce(moved, e) + 1 AS INT), last FROM x6 WHERE third"""
+
+IMAGES = boundary_sql(C2) + f""", bb AS ({BLOCKS}), pi AS (SELECT doc_id, list(para) AS pics FROM c WHERE has_img AND {rx(P.DECOR)} GROUP BY doc_id),
+b1 AS (SELECT doc_id, max(start_para) FILTER (ord = 1) AS s1, max(end_para) FILTER (ord = 1) AS e1, max(start_para) FILTER (ord = 2) AS s2, max(end_para) FILTER (ord = 2) AS e2, max(start_para) FILTER (ord = 3) AS s3, max(end_para) FILTER (ord = 3) AS e3 FROM bb GROUP BY doc_id),
+i1 AS (SELECT b1.*, coalesce(pics, []) AS pics FROM b1 LEFT JOIN pi USING (doc_id)),
+i2 AS (SELECT *, {{back('s2', 's1')}} AS k2 FROM i1), i3 AS (SELECT *, {{back('s3', '(s2 - k2)')}} AS k3 FROM i2)
+SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, s1 AS start_para, CAST(CASE WHEN k2 > 0 THEN s2 - k2 - 1 ELSE e1 END AS INT) AS end_para FROM i3
+UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(s2 - k2 AS INT), CAST(CASE WHEN s3 IS NOT NULL AND k3 > 0 THEN s3 - k3 - 1 ELSE e2 END AS INT) FROM i3
+UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(s3 - k3 AS INT), e3 FROM i3 WHERE s3 IS NOT NULL"""
+for _s, _lo in (("s2", "s1"), ("s3", "(s2 - k2)")):
+    _at = [f"list_contains(pics, {_s} - {k}) AND {_s} - {k} >= {_lo}" for k in (1, 2, 3)]
+    IMAGES = IMAGES.replace("{back('" + _s + "', '" + _lo + "')}", f"CASE WHEN {_at[0]} AND {_at[1]} AND {_at[2]} THEN 3 WHEN {_at[0]} AND {_at[1]} THEN 2 WHEN {_at[0]} THEN 1 ELSE 0 END")
+
+
+def words_sql(words: list[str], strong: list[str], kind: str, scores: tuple[int, int], seq: int) -> str:
+    word = "CASE " + " ".join(f"WHEN contains(text, {q(w)}) THEN {q(w)}" for w in words) + " END"
+    listed = ", ".join(q(w) for w in strong)
+    return f"SELECT doc_id, '{kind}' AS kind, para, CASE WHEN word IN ({listed}) THEN {scores[0]} ELSE {scores[1]} END AS score, concat('word ', word) AS reason, 'marker' AS source, {seq} AS seq FROM (SELECT *, {word} AS word FROM ok) WHERE word IS NOT NULL"
+
+
+CANDIDATES = f"""WITH RECURSIVE {C2}, {fold_sql("n", P.NUMBER + r"\s*\S", rx(P.NUMBER + r"\s*\S"), "r.num <= 2")},
+e0 AS (SELECT doc_id, CAST(min(para) AS INT) AS first, CAST(max(para) AS INT) AS last FROM c GROUP BY doc_id),
+se AS (SELECT *, regexp_extract(text, {q(P.COURSE_SECTION)}, 1) AS sec FROM c),
+ok AS (SELECT * FROM se WHERE text <> '' AND NOT {rx(P.DOTTED)} AND NOT (sec = '04' AND EXISTS (SELECT 1 FROM se y WHERE y.doc_id = se.doc_id AND y.sec = '05' AND y.para - se.para BETWEEN 1 AND 2)) AND NOT (sec = '05' AND EXISTS (SELECT 1 FROM se y WHERE y.doc_id = se.doc_id AND y.sec = '04' AND se.para - y.para BETWEEN 1 AND 2))),
+hit AS (SELECT doc_id, para, lead(para, 2) {W} AS third FROM n_w WHERE hit),
+de AS (SELECT doc_id, min(para) AS para FROM hit WHERE third - para <= 18 GROUP BY doc_id),
+ds AS (SELECT de.doc_id, de.para, {rx(P.YEAR_TAG)} OR {rx(P.BLANK)} OR EXISTS (SELECT 1 FROM c y WHERE y.doc_id = c.doc_id AND y.para > c.para AND y.para <= c.para + 5 AND {rx(P.OPTION, 'y.text')}) AS strong, (de.para - first) / greatest(last - first, 1)::DOUBLE >= 0.25 AS late FROM de JOIN c USING (doc_id, para) JOIN e0 USING (doc_id)),
+ca AS (SELECT doc_id, 'practice' AS kind, para, 96 AS score, 'section 04' AS reason, 'toc' AS source, 1 AS seq FROM ok WHERE sec = '04'
+  UNION ALL SELECT doc_id, 'consolidation', para, 98, 'section 05', 'toc', 2 FROM ok WHERE sec = '05'
+  UNION ALL {words_sql(P.PRACTICE_WORDS, P.STRONG_PRACTICE_WORDS, 'practice', (97, 90), 3)}
+  UNION ALL {words_sql(P.CONSOLIDATION_WORDS, P.STRONG_CONSOLIDATION_WORDS, 'consolidation', (98, 91), 4)}
+  UNION ALL SELECT doc_id, 'practice', para, 88, 'reading', 'reading', 5 FROM ok WHERE {rx(P.READING_START)}
+  UNION ALL SELECT doc_id, 'practice', para, CASE WHEN strong THEN 86 WHEN late THEN 74 ELSE 62 END, CASE WHEN strong THEN 'questions with years, options or blanks' WHEN late THEN 'questions, late' ELSE 'questions, early' END, 'density', 6 FROM ds),
+me AS (SELECT doc_id, kind, para, max(score) AS score, arg_max(source, score * 10 - seq) AS source, string_agg(reason, '；' ORDER BY seq) AS reason FROM ca GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, para) AS place FROM me),
+ch0 AS (SELECT e0.*, p.para AS p_para, p.score AS p_score, p.source AS p_source, (SELECT arg_min({{'para': k.para, 'score': k.score, 'source': k.source}}, place) FROM rk k WHERE k.doc_id = e0.doc_id AND k.kind = 'consolidation' AND k.para > p.para) AS later, coalesce((SELECT list(h.para ORDER BY h.para) FROM hit h WHERE h.doc_id = e0.doc_id AND h.para >= p.para), []) AS hits FROM e0 LEFT JOIN rk p ON p.doc_id = e0.doc_id AND p.kind = 'practice' AND p.place = 1),
+ch1 AS (SELECT *, greatest(1, CAST(round_even(len(hits) * 0.7::DOUBLE, 0) AS INT)) AS cut FROM ch0),
+ch AS (SELECT *, CASE WHEN later IS NOT NULL THEN later WHEN p_para IS NULL THEN NULL WHEN len(hits) >= 4 AND cut < len(hits) THEN {{'para': hits[cut + 1], 'score': 55, 'source': 'fallback'}} ELSE {{'para': greatest(p_para + 1, least(p_para + CAST(trunc((last - p_para) * 0.7::DOUBLE) AS INT), last)), 'score': 45, 'source': 'fallback'}} END AS c FROM ch1)
+"""
+
+
+def close_sql(kind: str) -> str:
+    return f"coalesce((SELECT a.score - b.score <= 5 AND abs(a.para - b.para) >= 20 FROM rk a JOIN rk b ON a.doc_id = b.doc_id AND a.kind = b.kind WHERE a.doc_id = ch.doc_id AND a.kind = '{kind}' AND a.place = 1 AND b.place = 2), false)"
+
+
+GROUPS = f"""WITH {C2}, s AS (SELECT *, sum(CASE WHEN {rx(P.TYPE_ROW)} THEN 1 ELSE 0 END) {W} AS section, count(*) OVER (PARTITION BY doc_id) AS total, max(para) OVER (PARTITION BY doc_id) AS last FROM c),
+g AS (SELECT doc_id, section, any_value(total) AS total, any_value(last) AS last, max(para) AS section_end, list(para ORDER BY para) FILTER ({rx(P.EXAM_QUESTION)}) AS asked FROM s WHERE section > 0 GROUP BY doc_id, section),
+r AS (SELECT doc_id, total, asked[1] AS start_para, CAST(CASE WHEN len(asked) > 1 THEN asked[2] - 1 WHEN section_end = last THEN last END AS INT) AS end_para FROM g WHERE asked IS NOT NULL)
+SELECT doc_id, start_para, end_para, sum(end_para - start_para + 1) OVER (PARTITION BY doc_id) <= total * 0.4 AS sound FROM r WHERE end_para IS NOT NULL"""
+
+IDEAL = f"""WITH {C2}, s AS (SELECT *, min(CASE WHEN {rx(P.TYPE_ROW)} THEN para END) OVER (PARTITION BY doc_id) AS since FROM c),
+d AS (SELECT doc_id, CAST(min(para) AS INT) AS first, CAST(max(para) AS INT) AS last, any_value(since) AS since, min(CASE WHEN {rx(P.SECTOR)} AND para >= since THEN para END) AS sector, list(para ORDER BY para) FILTER ({rx(P.EXAM_QUESTION)}) AS asked FROM s WHERE since IS NOT NULL GROUP BY doc_id),
+e AS (SELECT *, coalesce(sector, asked[11]) AS third FROM d WHERE len(asked) >= 2)
+SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, CAST(since - 1 AS INT) AS end_para FROM e
+UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, since, CAST(coalesce(third - 1, last) AS INT) FROM e
+UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, third, last FROM e WHERE third IS NOT NULL"""
+
 ANSWERS = f"a AS (SELECT *, max(CASE WHEN contains(text, {q(P.ANSWER)}) THEN para END) {W} AS marker, max(CASE WHEN {HEAD} THEN para END) {W} AS head FROM c), g AS (SELECT *, marker IS NOT NULL AND coalesce(head, 0) <= marker AS gone FROM a)"
 
 
@@ -99,6 +175,20 @@ def scored_blocks(paras):
     return segments.blocks(segments.boundaries(paras))
 
 
+def candidate_query(operator):
+    return over(corpora.handouts, lambda p: operator(candidates.collected(p)))
+
+
+def contents(orders):
+    """Lines as tables of contents have them: names, leader dots and page numbers."""
+    line = F.concat(F.trim("o_orderpriority"), F.repeat(F.lit("."), (F.col("o_orderkey") % 9).cast("int")), F.lit(" "), F.col("o_custkey").cast("string"))
+    return orders.select("o_orderkey", scalars.clean_toc_name(line).alias("name"))
+
+
+def roles(paras):
+    return paras.withColumn("role", scalars.toc_role(F.col("text"))).filter("role IS NOT NULL").select("doc_id", "para", "role")
+
+
 def filename(orders):
     """year_priority_status_version.docx, without the parts that are empty."""
     year = scalars.academic_year(F.col("o_orderdate"))
@@ -135,6 +225,19 @@ QUERIES = {
     "academic_year": read("orders", lambda o: o.select("o_orderkey", scalars.academic_year(F.col("o_orderdate")).alias("academic_year"))),
     "is_red": read("orders", lambda o: o.withColumn("colour", F.lpad(F.hex(F.col("o_orderkey") * 7919 % 16777216), 6, "0")).select("o_orderkey", "colour", scalars.is_red(F.col("colour")).alias("is_red"))),
     "template_similarity": read("embeddings", similarity),
+    "auto_split": over(corpora.handouts, tiers.auto_split),
+    "reading_spans": over(corpora.handouts, tiers.reading_spans),
+    "image_fix": over(corpora.handouts, lambda p: tiers.images_moved(scored_blocks(p), p)),
+    "example_groups": over(corpora.handouts, tiers.example_groups),
+    "ideal_split": over(corpora.handouts, tiers.ideal_split),
+    "candidates": candidate_query(candidates.merged),
+    "candidate_choice": candidate_query(candidates.choice),
+    "candidate_blocks": candidate_query(candidates.candidate_blocks),
+    "needs_review": candidate_query(candidates.review),
+    "candidate_report": candidate_query(candidates.report),
+    "para_count": over(corpora.documents, lambda p: p.groupBy("doc_id").agg(F.count("*").alias("n"))),
+    "clean_toc_name": read("orders", contents),
+    "toc_role": over(corpora.handouts, roles),
 }
 
 ORACLES = {
@@ -173,4 +276,17 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "academic_year": "SELECT o_orderkey, concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年') AS academic_year FROM orders",
     "is_red": "WITH h AS (SELECT o_orderkey, o_orderkey * 7919 % 16777216 AS v FROM orders) SELECT o_orderkey, lpad(upper(format('{:x}', v)), 6, '0') AS colour, (v // 65536 >= 100 AND v // 256 % 256 <= 70 AND v % 256 <= 70) AS is_red FROM h",
     "template_similarity": "WITH t AS (SELECT label AS category, arg_min(embedding, vec_id) AS template FROM embeddings GROUP BY label), s AS (SELECT vec_id, category, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(template AS DOUBLE[])))), 6) AS similarity FROM embeddings, t) SELECT vec_id, category, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, category) = 1",
+    "auto_split": AUTO,
+    "reading_spans": f"WITH {C2}, e AS (SELECT doc_id, para, {rx(P.READING)} AS begins, max(para) OVER (PARTITION BY doc_id) AS last FROM c QUALIFY begins OR {rx(P.READING_ENDS)}), n AS (SELECT *, lead(para) {W} AS nxt FROM e) SELECT doc_id, para AS start_para, CAST(coalesce(nxt - 1, last) AS INT) AS end_para FROM n WHERE begins",
+    "image_fix": IMAGES,
+    "example_groups": GROUPS,
+    "ideal_split": IDEAL,
+    "candidates": CANDIDATES + "SELECT * FROM me",
+    "candidate_choice": CANDIDATES + "SELECT doc_id, p_para AS practice_para, p_score AS practice_score, p_source AS practice_source, c.para AS consolidation_para, c.score AS consolidation_score, c.source AS consolidation_source FROM ch WHERE p_para IS NOT NULL",
+    "candidate_blocks": CANDIDATES + f", k0 AS (SELECT doc_id, first, last, coalesce(p_para, first + CAST(trunc((last - first) * 0.5::DOUBLE) AS INT)) AS p0, c.para AS c0 FROM ch), k1 AS (SELECT *, greatest(first, least(p0, last)) AS p, coalesce(c0, p0 + CAST(trunc((last - p0) * 0.7::DOUBLE) AS INT)) AS c1 FROM k0), k AS (SELECT *, CASE WHEN p < last THEN greatest(p + 1, least(c1, last)) ELSE last END AS c FROM k1) SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, CAST(greatest(first, p - 1) AS INT) AS end_para FROM k UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(p AS INT), CAST(greatest(p, c - 1) AS INT) FROM k UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(c AS INT), last FROM k",
+    "needs_review": CANDIDATES + f"SELECT doc_id, CASE WHEN p_para IS NULL THEN 'no practice' WHEN c IS NULL THEN 'no consolidation' WHEN p_score < 80 THEN 'practice unsure' WHEN c.score < 80 THEN 'consolidation unsure' WHEN {close_sql('practice')} THEN 'several practices' WHEN {close_sql('consolidation')} THEN 'several consolidations' ELSE 'none' END AS why FROM ch",
+    "candidate_report": CANDIDATES + "SELECT doc_id, kind, string_agg(concat_ws(' ', CAST(para AS VARCHAR), CAST(score AS VARCHAR), source, reason), chr(10) ORDER BY place) AS lines FROM rk WHERE place <= 6 GROUP BY ALL",
+    "para_count": f"WITH {C1} SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id",
+    "clean_toc_name": r"WITH t AS (SELECT o_orderkey, trim(concat(trim(o_orderpriority), repeat('.', CAST(o_orderkey % 9 AS INT)), ' ', o_custkey)) AS t FROM orders) SELECT o_orderkey, trim(CASE WHEN regexp_extract(t, '^(.+?)\s*\.{5,}\s*[0-9]*\s*$', 1) <> '' THEN regexp_extract(t, '^(.+?)\s*\.{5,}\s*[0-9]*\s*$', 1) ELSE regexp_replace(t, '\.{3,}\s*[0-9]*$', '') END) AS name FROM t",
+    "toc_role": f"WITH {C2}, r AS (SELECT doc_id, para, CASE WHEN {rx('|'.join(P.TOC_ADVANCED))} THEN 'advanced_practice' WHEN {rx('|'.join(P.TOC_BASIC))} THEN 'basic_practice' WHEN {rx('|'.join(P.TOC_PRACTICE))} THEN 'practice' WHEN {rx('|'.join(P.TOC_KNOWLEDGE))} THEN 'knowledge' WHEN regexp_extract(text, {q(P.TOC_SECTION)}, 1) IN ('0', '1', '2', '3') THEN 'knowledge' WHEN regexp_extract(text, {q(P.TOC_SECTION)}, 1) = '4' THEN 'basic_practice' WHEN {rx(P.TOC_SECTION)} THEN 'advanced_practice' WHEN {rx(P.TOC_NUMBERED)} THEN 'practice' END AS role FROM c) SELECT * FROM r WHERE role IS NOT NULL",
 }

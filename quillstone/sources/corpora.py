@@ -21,7 +21,7 @@ SELECT doc_id, para,
     WHEN para <= q0 AND para % 4 = 2 THEN concat('【例', para, '】判断 ', l_partkey, ' 是否成立')
     WHEN para <= q0 AND para % 7 = 5 THEN ''
     WHEN para <= q0 THEN concat('定义与公式：编号 ', l_partkey, ' 其中数量为 ', CAST(l_quantity AS INT))
-    WHEN para = q0 + 1 THEN CASE v WHEN 0 THEN '【题型1 基本题型】' WHEN 1 THEN '【真题演练】' WHEN 2 THEN '~~~~~~~~~~~~' WHEN 3 THEN '基础训练' ELSE '说明段落' END
+    WHEN para = q0 + 1 THEN CASE v WHEN 0 THEN '【题型1 基本题型】' WHEN 1 THEN CASE WHEN doc_id % 12 = 1 THEN '【真题再现】' ELSE '【真题演练】' END WHEN 2 THEN '~~~~~~~~~~~~' WHEN 3 THEN '基础训练' ELSE '说明段落' END
     WHEN v = 2 AND para = q0 + 2 THEN '一、分层练习'
     WHEN v = 3 AND para = CAST(floor(n * 0.75) AS INT) THEN '能力提升'
     WHEN v = 5 THEN concat('普通段落 ', l_partkey)
