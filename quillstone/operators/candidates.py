@@ -100,7 +100,7 @@ def candidate_blocks(found: DataFrame) -> DataFrame:
     made = F.array(
         block(1, P.MARKER_KNOWLEDGE, first, F.greatest(first, F.col("p") - 1)), block(2, P.MARKER_DRILL, F.col("p"), F.greatest(F.col("p"), F.col("c") - 1)), block(3, P.MARKER_CONSOLIDATION, F.col("c"), last)
     )
-    return f.select("doc_id", F.explode(made).alias("b")).select("doc_id", "b.*")
+    return f.select("doc_id", F.explode_outer(made).alias("b")).select("doc_id", "b.*")
 
 
 def review(found: DataFrame) -> DataFrame:

@@ -100,4 +100,4 @@ def cut_at(b: Column) -> Column:
 def blocks(found: DataFrame) -> DataFrame:
     """The blocks of documents with a boundary: ord, marker, start_para, end_para; an empty block is 1 to 0."""
     b = F.col("boundary")
-    return found.filter(b.isNotNull()).select("doc_id", F.explode(cut_at(b)).alias("b")).select("doc_id", "b.*")
+    return found.filter(b.isNotNull()).select("doc_id", F.explode_outer(cut_at(b)).alias("b")).select("doc_id", "b.*")

@@ -96,7 +96,8 @@ def auto_split(paras: DataFrame, ratios: tuple[float, float] = (0.5, 0.85)) -> D
     d = d.withColumns({"at": F.when(F.col("tier") == "separator", s["at"]).when(F.col("tier") == "score", F.col("boundary")), "p2": F.greatest(F.col("p1") + 1, "p2")})
     by_type, by_share = type_blocks(F.col("points_of_types")), proportional_blocks(F.col("p1"), F.col("p2"))
     d = d.withColumn("made", F.when(F.col("tier") == "type", by_type).when(F.col("at").isNotNull(), cut_at(F.col("at"))).otherwise(by_share))
-    return protected(d, F.coalesce("at", "first")).select("doc_id", "tier", F.explode("made").alias("b")).select("doc_id", "tier", "b.*")
+    # outer, as no array is empty and the filter that explode brings would carry copies of all these expressions down the plan
+    return protected(d, F.coalesce("at", "first")).select("doc_id", "tier", F.explode_outer("made").alias("b")).select("doc_id", "tier", "b.*")
 
 
 def reading_spans(paras: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def images_moved(blocks: DataFrame, paras: DataFrame) -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(b)).otherwise(F.array_append(shorter, moved)).cast(kind)
 
     made = F.aggregate("made", F.array().cast(kind), step)
-    return each.join(pictures, "doc_id").select("doc_id", F.explode(made).alias("b")).select("doc_id", "b.*")
+    return each.join(pictures, "doc_id").select("doc_id", F.explode_outer(made).alias("b")).select("doc_id", "b.*")
 
 
 def example_groups(paras: DataFrame, most: float = 0.4) -> DataFrame:
