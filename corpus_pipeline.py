@@ -14,7 +14,7 @@ from quillstone.llm.decontaminate import decontaminate
 from quillstone.llm.lines import dedup_lines
 from quillstone.llm.quality import keep_good
 from quillstone.llm.sentencepieces import encoded
-from quillstone.llm.simhash import keep_one
+from quillstone.llm.similar import keep_one_alike
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id."""
-    return keep_one(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more) stays, that with the least doc_id."""
+    return keep_one_alike(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillstone.llm import decontaminate, html, katz, lines, quality, sentencepieces, sharding, simhash, suffixes, token_counts
+from quillstone.llm import decontaminate, html, katz, lines, quality, sentencepieces, sharding, similar, simhash, suffixes, token_counts
 from quillstone.llm.common import WORD, lower_ascii
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,72 @@ def test_simhash(docs, pairs):
     assert kept.count() == len({find(k) for k in range(len(pairs))})
 
 
+def brute_alike(pairs):
+    """The doc_ids that stay, by comparing all pairs."""
+    sets = []
+    for _, t in pairs:
+        w = WORD.findall(lower_ascii(t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(pairs)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                label[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for k, (d, _) in enumerate(pairs):
+        groups[find(k)].append(d)
+    return sorted((min((d for d in g if d is not None), default=None) for g in groups.values()), key=str)
+
+
+def test_near_duplicate_stage(spark, docs, pairs):
+    import corpus_pipeline
+
+    random.seed(7)
+    word = lambda: f"w{random.randrange(900)}"
+    base = [word() for _ in range(100)]
+    edited = []
+    for k in range(40):
+        # up to two words replaced: similarities of 0.81 and more to the base, less to each other; some chains of edits
+        own = list(edited[-1][1].split() if k % 4 == 3 else base)
+        for at in random.sample(range(100), 1 + k % 2):
+            own[at] = word()
+        edited.append((20000 - k, " ".join(own)))
+    more = spark.createDataFrame([(d, t, None, None, None, "c", "k", 1, 2, "r") for d, t in edited], SCHEMA)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(more), SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == brute_alike(pairs + edited)
+
+
+def test_minhashes_find_what_is_alike():
+    rng = np.random.default_rng(3)
+    minhashes, missed = similar.MinHashes(), 0
+    for n in (4, 8, 40, 360, 9000):
+        for _ in range(100):
+            own = rng.integers(0, 2**64, n + n // 4, np.uint64, endpoint=False)
+            missed += not (minhashes.keys(own) == minhashes.keys(own[:n])).any()
+    assert missed == 0
+
+
+def test_sets_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        sets = [np.unique(rng.choice(14, rng.integers(1, 14), replace=False)).astype(np.uint64) for _ in range(12)]
+        want = np.arange(12)
+        for _ in range(12):
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+                        want[i] = want[j] = min(want[i], want[j])
+        assert (similar.alike(sets) == want).all()
+
+
 def test_large_groups_are_dealt_again(spark):
     rng = np.random.default_rng(5)
     codes = np.unique(np.concatenate([rng.integers(0, 2**62, 300), (5 << 40) + rng.integers(0, 4000, 900)]))
