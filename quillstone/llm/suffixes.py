@@ -80,15 +80,21 @@ def minimisers(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return least, np.flatnonzero(doubled(padded, span, np.maximum) == g)
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """The rows of (hash, doc, at) whose hash another document has too. Rows that repeat (hash, doc) count as one; one of them stays at least."""
+def neighbours(rows: DataFrame, within: bool = False) -> DataFrame:
+    """The rows of (hash, doc, n, at) whose hash another document has too, or, if ``within``, that stand for more than one place (n) of their document.
+
+    Rows that repeat (hash, doc) count as one; one of them stays at least.
+    """
     import pyarrow as pa
 
     def run(batches):
         before, held, first = None, None, True
 
+        def own(b):
+            return (np.asarray(b.column(2)) > 1) & within
+
         def out(b, keep, state):
-            return pa.RecordBatch.from_arrays([*b.take(pa.array(keep)).columns, pa.array(state)], names=["hash", "doc", "at", "state"])
+            return pa.RecordBatch.from_arrays([*b.take(pa.array(keep)).columns, pa.array(state)], names=["hash", "doc", "n", "at", "state"])
 
         for b in batches:
             if not b.num_rows:
@@ -97,9 +103,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
             b = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
             h = np.asarray(b.column(0))
             d = np.asarray(b.column(1))
-            # neighbours that begin alike in two documents; a document is not its own neighbour
+            # neighbours that begin alike in two documents; the places of one document are in one row
             same = np.concatenate([[before is not None and before[0] == h[0] and before[1] != d[0]], (h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-            state = (same | np.append(same[1:], False)).astype(np.int8)
+            state = (same | np.append(same[1:], False) | own(b)).astype(np.int8)
             state[0] |= 2 * first
             if len(h) > 1:
                 keep = np.flatnonzero(state[:-1])
@@ -107,11 +113,11 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 before, first = (h[-2], d[-2]), False
             held = b.slice(len(h) - 1)
         if held is not None:
-            yield out(held, [0], np.array([2 | (before is not None and before[0] == h[-1] and before[1] != d[-1])], np.int8))
+            yield out(held, [0], np.array([2 | (before is not None and before[0] == h[-1] and before[1] != d[-1]) | own(held)[0]], np.int8))
 
     kind = rows.schema["at"].dataType.simpleString()
-    order = rows.repartitionByRange("hash", "doc").sortWithinPartitions("hash", "doc").select("hash", "doc", "at")
-    found = written(order.mapInArrow(run, f"hash long, doc long, at {kind}, state byte"), "neighbours")
+    order = rows.repartitionByRange("hash", "doc").sortWithinPartitions("hash", "doc").select("hash", "doc", "n", "at")
+    found = written(order.mapInArrow(run, f"hash long, doc long, n int, at {kind}, state byte"), "neighbours")
     sure = found.filter("state & 1 = 1").select("hash", "doc", "at")
     # a row at either end of a task: its neighbour is an end of another task
     ends = found.filter("state & 2 = 2")
@@ -125,31 +131,32 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, repeat: int, gram: int) -> DataFrame:
-    """(hash, doc, at): the sparse suffixes of each document, by the hash of their first words. docs: doc, text."""
+    """(hash, doc, n, at): the sparse suffixes of each document, by the hash of their first words, with the number of their places and the first. docs: doc, text."""
     import pyarrow as pa
 
     def run(batches):
         word_hashes = Hashes()
         for b in batches:
-            hashes, owner, at = [], [], []
+            hashes, owner, many, at = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = WORD.findall(text)
                 if len(words) < repeat:
                     continue
                 g = grams(word_hashes(words), gram)
                 _, place = minimisers(g, repeat - gram + 1)
-                found, first = np.unique(g[place], return_index=True)
+                found, first, count = np.unique(g[place], return_index=True, return_counts=True)
                 hashes.append(found)
                 owner.append(np.full(len(found), doc, np.int64))
+                many.append(count)
                 at.append(place[first])
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(at).astype(np.int32))], names=["hash", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owner)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (many, at))], names=["hash", "doc", "n", "at"])
 
-    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long, at int")
+    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long, n int, at int")
 
 
 def windows(candidates: DataFrame, repeat: int, gram: int) -> DataFrame:
-    """(hash, doc, at): windows of ``repeat`` words about the candidates. candidates: doc, text, near (hashes of suffixes). at: all places of the window."""
+    """(hash, doc, n, at): windows of ``repeat`` words about the candidates. candidates: doc, text, near (hashes of suffixes). at: all n places of the window."""
     import pyarrow as pa
 
     def run(batches):
@@ -165,22 +172,24 @@ def windows(candidates: DataFrame, repeat: int, gram: int) -> DataFrame:
                 key, at = key[order], at[order].astype(np.int32)
                 cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)).astype(np.int32)), pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(np.full(len(cut), doc, np.int64)), places], names=["hash", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(np.full(len(cut), doc, np.int64)), pa.array(np.diff(np.append(cut, len(at))).astype(np.int32)), places], names=["hash", "doc", "n", "at"])
 
-    return candidates.select("doc", "text", "near").mapInArrow(run, "hash long, doc long, at array<int>")
+    return candidates.select("doc", "text", "near").mapInArrow(run, "hash long, doc long, n int, at array<int>")
 
 
-def repeated_spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, within: bool = False) -> DataFrame:
     """(doc_id, doc, spans): for documents that share ``repeat`` words in a row with another, the merged spans (at, n_words) of such passages.
 
+    With ``within``, words that a document has at two places of its own (they may overlap) are repeats too.
+
     Words are as in the text, their case included; spans count words from 0. Documents with no repeat, with fewer words
     than one, or with a null text give no row. Rows that repeat both doc_id and text are one document and give one row;
-    a repeat within one document alone is none. Other columns of ``docs`` are neither read nor returned.
+    their places are no repeats of each other. Other columns of ``docs`` are neither read nor returned.
     """
     keyed = _docs(docs)
-    alike = neighbours(suffixes(keyed, repeat, gram))
+    alike = neighbours(suffixes(keyed, repeat, gram), within)
     near = written(alike.groupBy("doc").agg(F.collect_set("hash").alias("near")), "near")
-    shared = neighbours(windows(keyed.join(near.hint("merge"), "doc"), repeat, gram))
+    shared = neighbours(windows(keyed.join(near.hint("merge"), "doc"), repeat, gram), within)
     places = shared.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     begins = F.expr(f"filter(at, (x, i) -> i = 0 OR x - at[i - 1] > {repeat})")
     ends = F.expr(f"filter(at, (x, i) -> i = size(at) - 1 OR at[i + 1] - x > {repeat})")
@@ -189,8 +198,8 @@ def repeated_spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> D
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_spans, n_repeated_words, longest and the spans as text, for documents with repeats."""
-    found = repeated_spans(table(spark, sf_dir, "documents"))
+    """doc_id, n_spans, n_repeated_words, longest and the spans as text, for documents with repeats, across documents or within one."""
+    found = repeated_spans(table(spark, sf_dir, "documents"), within=True)
     sizes = F.transform("spans", lambda s: s["n_words"])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["at"].cast("string"), s["n_words"].cast("string"))), ",")
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeated_words"), F.array_max(sizes).cast("long").alias("longest"), text.alias("spans"))

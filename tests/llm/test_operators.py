@@ -259,6 +259,35 @@ def test_suffixes(docs, pairs):
     assert len(got) == len(want) and {(r.doc_id, tuple(map(tuple, r.spans))) for r in got} == want
 
 
+def test_suffixes_within_documents(spark, docs, pairs, tmp_path):
+    random.seed(9)
+    word = lambda: f"v{random.randrange(10**6)}"
+    a, b = ([word() for _ in range(n)] for n in (60, 49))
+    own = [(9101, " ".join([*a, "x", *a])), (9102, " ".join([*b, "x", *b])), (9103, "y " * 51)]
+    own += [(9104 + k, " ".join([*(c := [word() for _ in range(50 + k)]), *(word() for _ in range(30 * k)), *c])) for k in range(20)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    places = defaultdict(set)
+    for d, t in [*pairs, *own]:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 49):
+            places[tuple(w[k : k + 50])].add((d, t, k))
+    want = set()
+    for d, t in [*pairs, *own]:
+        w, spans = WORD.findall(t or ""), []
+        for k in range(len(w) - 49):
+            if len(places[tuple(w[k : k + 50])]) > 1:
+                if spans and k <= spans[-1][0] + spans[-1][1]:
+                    spans[-1][1] = k + 50 - spans[-1][0]
+                else:
+                    spans.append([k, 50])
+        if spans:
+            want.add((d, len(spans), sum(n for _, n in spans), max(n for _, n in spans), ",".join(f"{k}+{n}" for k, n in spans)))
+    assert {9003, 9101, 9103, *range(9104, 9124)} <= {w[0] for w in want} and 9102 not in {w[0] for w in want}
+    got = rows_of(suffixes.op7_suffixes(spark, str(tmp_path)))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_sharding(docs, pairs):
     out = sharding.shard(docs, rows_per_bucket=3).collect()
     assert len(out) == len(pairs)
