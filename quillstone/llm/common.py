@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,38 +29,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none, as in tests, a temporary one is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the session's checkpoint folder.
+
+    Where there is neither, a session that runs in this process alone (master local) gets a temporary one; a cluster has to name one.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         place = spark.sparkContext.getCheckpointDir()
     return place
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: the lineage ends here."""
+    """Writes a table into the shared folder and reads it again: the lineage ends here.
+
+    A plan that reads it may run long after, so nothing here removes it: whoever owns the folder empties it between jobs.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def add_columns(df: DataFrame, read: list[str], fields: list[T.StructField], rows: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Appends columns that ``rows`` makes, batch by batch, from the lists of values of the columns ``read``."""
+#: Bytes of text that are Python objects at the same time in a task (one text at least).
+SLICE = 1 << 20
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """An array of texts in parts of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def add_columns(df: DataFrame, read: str, fields: list[T.StructField], rows: Callable[[list], Iterator[tuple]]) -> DataFrame:
+    """Appends columns that ``rows`` makes from lists of values of the text column ``read``.
+
+    Only that column goes to Python and only the new ones come back; the rest of a row stays in the JVM. The function
+    counts as nondeterministic so that no filter behind it makes Spark call it twice.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     new = to_arrow_schema(T.StructType(fields))
-    names = df.columns
-
-    def run(batches):
-        for batch in batches:
-            made = list(rows(*(batch.column(names.index(c)).to_pylist() for c in read)))
-            cols = list(zip(*made)) if made else [()] * len(new)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(cols, new))], names=[*names, *new.names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            parts = []
+            for part in slices(texts):
+                made = list(rows(part.to_pylist()))
+                parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), new)], fields=list(new)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(new)))
+
+    made = F.arrow_udf(run, T.StructType(fields)).asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*kept, made(F.col(f"`{read}`")).alias("_made")).select(*kept, *(F.col(f"_made.`{f.name}`").alias(f.name) for f in fields))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

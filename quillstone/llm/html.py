@@ -313,7 +313,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     are alike; other columns of ``pages`` are neither read nor returned.
     """
     field = T.StructField("text", T.StringType())
-    return add_columns(pages.select("page_id", "html"), ["html"], [field], lambda pages: ((visible_text(p),) for p in pages)).drop("html")
+    return add_columns(pages.select("page_id", "html"), "html", [field], lambda pages: ((visible_text(p),) for p in pages)).drop("html")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

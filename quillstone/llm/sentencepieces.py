@@ -201,7 +201,7 @@ def encoded(docs: DataFrame, path: str | None = None, n: int = BEST) -> DataFram
             ids, found = pieces.encode(text, n)
             yield ids, [s for s, _ in found], [[{"word": k, "ids": list(v)} for k, v in changes] for _, changes in found], pieces.decode(ids) == text.replace(MARK, " ")
 
-    return add_columns(docs.select("doc_id", "text"), ["text"], fields, rows).drop("text")
+    return add_columns(docs.select("doc_id", "text"), "text", fields, rows).drop("text")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

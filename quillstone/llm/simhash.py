@@ -6,10 +6,16 @@ all below it share (its mask and pattern). The search for links descends pairs o
 patterns are fixed and differ accumulate on the way down, and a pair of groups is pruned once they exceed k. Where the
 bits that are not shared number at most k, the two groups are linked as a whole. A group too large for a task is dealt
 out again by bands of its remaining bits, which loses no link.
+
+``keep_one`` follows another rule, that of near duplicates by word shingles: a Jaccard similarity of 0.8 or more. Sets that
+similar differ in some ten bits of their fingerprints (four standard deviations: WIDE bits), too many for bands of bits to
+route by. There minhash bands route the fingerprints to groups, the same index prunes each group at WIDE bits, and the sets
+of what it leaves linked are compared exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -19,6 +25,9 @@ from pyspark.sql import types as T
 
 from .common import WORD, add_columns, lower_ascii, table, written
 from .components import components
+from .similar import LEAST, MinHashes, alike, set_code, shingle_set
+from .similar import SHINGLE as WORDS
+from .suffixes import Hashes
 
 SHINGLE, BITS, SEED = 3, 64, 42
 DIFFERENCES = 3
@@ -26,6 +35,8 @@ DIFFERENCES = 3
 GROUP, BATCH = 20_000, 50_000
 FAN = 8
 BLOCK = 1 << 16
+#: Differing bits of fingerprints up to which sets of shingles are compared, and shingles that a task compares with as many others.
+WIDE, COMPARED = 24, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -39,11 +50,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     joined = map(" ".join, zip(*(islice(words, k, None) for k in range(shingle)))) if len(words) >= shingle else iter([" ".join(words)])
     ones = np.zeros(BITS, np.int64)
     for lo in range(0, n, BLOCK):
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in islice(joined, BLOCK)), np.uint64, min(BLOCK, n - lo))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += ones_of(np.fromiter((xxh64_intdigest(s, SEED) for s in islice(joined, BLOCK)), np.uint64, min(BLOCK, n - lo)))
+    return majority(ones, n)
+
+
+def ones_of(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles' hashes, as a signed integer; nought for none."""
+    return majority(sum((ones_of(shingles[lo : lo + BLOCK]) for lo in range(0, len(shingles), BLOCK)), np.zeros(BITS, np.int64)), len(shingles))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each code in the Gray order: the inverse of r ^ (r >> 1)."""
     x = x.copy()
@@ -188,46 +212,51 @@ def linked(codes: DataFrame, differences: int = DIFFERENCES, group: int = GROUP)
 
 
 def _indexed(rows: DataFrame, differences: int, batch: int = BATCH) -> DataFrame:
-    """The edges within groups: groups come together by a shuffle and are indexed some at a time."""
+    """The edges (a, b) within groups (mask, key) of codes: groups come together by a shuffle and are indexed some at a time.
+
+    A column ``node`` names what a code stands for, and edges are between nodes; without it, nodes are codes.
+    """
     import pyarrow as pa
 
     def run(batches):
         held: list = []
         size = 0
 
-        def flush(mask, key, code):
+        def flush(mask, key, code, node):
             new = np.ones(len(code), bool)
             new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
             number = np.cumsum(new)
             count = np.bincount(number)
             keep = count[number] > 1
-            code, number = code[keep].view(np.uint64), number[keep]
+            code, node, number = code[keep].view(np.uint64), node[keep], number[keep]
             order = np.lexsort((gray_rank(code), number))
-            code, number = code[order], number[order]
+            code, node, number = code[order], node[order], number[order]
             to = links(code, number, differences)
-            at = np.flatnonzero(to != np.arange(len(to)))
+            at = np.flatnonzero(node != node[to])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(code[at].view(np.int64)), pa.array(code[to[at]].view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[to[at]])], names=["a", "b"])
 
         for b in batches:
-            held.append([np.asarray(b.column(k)) for k in range(3)])
+            held.append([np.asarray(b.column(k)) for k in range(4)])
             size += b.num_rows
             if size >= batch:
-                mask, key, code = (np.concatenate(c) for c in zip(*held))
+                whole = [np.concatenate(c) for c in zip(*held)]
+                mask, key = whole[:2]
                 cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))
                 if len(cut):
                     k = cut[-1] + 1
-                    yield from flush(mask[:k], key[:k], code[:k])
-                    held, size = [[mask[k:], key[k:], code[k:]]], len(code) - k
+                    yield from flush(*(c[:k] for c in whole))
+                    held, size = [[c[k:] for c in whole]], len(key) - k
         if held:
             yield from flush(*(np.concatenate(c) for c in zip(*held)))
 
-    return rows.select("mask", "key", "code").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
+    node = F.col("node") if "node" in rows.columns else F.col("code")
+    return rows.select("mask", "key", "code", node.alias("node")).repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with a column ``_code``: the fingerprint of the whole text."""
-    return add_columns(docs, ["text"], [T.StructField("_code", T.LongType())], lambda texts: ((fingerprint(t, shingle),) for t in texts))
+    return add_columns(docs, "text", [T.StructField("_code", T.LongType())], lambda texts: ((fingerprint(t, shingle),) for t in texts))
 
 
 def classes(coded: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
@@ -254,18 +283,111 @@ def hexed(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
 
-def keep_one(docs: DataFrame, differences: int = DIFFERENCES, shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each component, that of its least doc_id, with all columns, whatever their names.
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hash, code, size, fingerprint, keys): the hash of the text, and of its set of shingles a hash, the size, the SimHash and the bands' keys."""
+    fields = [T.StructField("code", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    minhashes, word_hashes = MinHashes(), Hashes()
 
-    Of rows that share that doc_id and its component one stays; null doc_ids come last.
+    def rows(texts: list) -> Iterator[tuple]:
+        for text in texts:
+            s = shingle_set(text, word_hashes, shingle)
+            yield set_code(s), len(s), set_fingerprint(s), minhashes.keys(s).tolist() if len(s) else []
+
+    return add_columns(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), "text", fields, rows).drop("text")
+
+
+def _candidates(nodes: DataFrame, group: int, wide: int = WIDE) -> DataFrame:
+    """(node, component) for the sets that others may be similar to. nodes: code, fingerprint, keys.
+
+    Groups of a band that hold more than ``group`` sets (close copies, in the main) aren't indexed in a task: all their
+    members go to one component, so that nothing is lost.
     """
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
-    coded = written(fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_code").alias("code")), "coded")
-    found = classes(coded, differences)
-    best = written(coded.join(found, "code").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("doc_id", "code")).alias("b")).select("b.*"), "best")
-    kept = fingerprints(packed).select("row", "doc_id", F.col("_code").alias("code"))
-    joined = kept.join(best.withColumnsRenamed({"doc_id": "best_id", "code": "best_code"}).hint("merge"), (F.col("code") == F.col("best_code")) & F.col("doc_id").eqNullSafe(F.col("best_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "code"]).select("row.*")
+    banded = written(nodes.select("code", "fingerprint", F.explode("keys").alias("key")), "banded")
+    sized = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("code").alias("least")).filter("n > 1")
+    shared = written(banded.join(sized, "key"), "shared")
+    found = _indexed(shared.filter(F.col("n") <= group).select(F.lit(0).cast("long").alias("mask"), "key", F.col("fingerprint").alias("code"), F.col("code").alias("node")), wide)
+    return components(found.unionByName(shared.filter(F.col("n") > group).select(F.col("code").alias("a"), F.col("least").alias("b"))))
+
+
+def _compared(rows: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """(code, label): edges that connect similar sets. rows: the group (candidate, i, j), code, label and part of a text; a group is one task's at a time."""
+    import pyarrow as pa
+
+    def run(batches):
+        word_hashes, group, held = Hashes(), None, {}
+
+        def flush():
+            codes = np.array(sorted(held), np.int64)
+            label, part = (np.array([held[c][k] for c in codes.tolist()]) for k in (1, 2))
+            to = alike([held[c][0] for c in codes.tolist()], least, label, part if group[1] != group[2] else None)
+            at = np.flatnonzero(codes[to] != codes)
+            return pa.RecordBatch.from_arrays([pa.array(codes[at]), pa.array(codes[to[at]])], names=["code", "label"])
+
+        for b in batches:
+            for c, i, j, code, label, part, text in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6)):
+                if (c, i, j) != group:
+                    if held:
+                        yield flush()
+                    group, held = (c, i, j), {}
+                if code not in held:
+                    held[code] = shingle_set(text.as_py(), word_hashes, shingle), label, part
+        if held:
+            yield flush()
+
+    key = ["candidate", "i", "j"]
+    return rows.select(*key, "code", "label", "part", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "code long, label long")
+
+
+def similar_sets(texts: DataFrame, shingle: int = WORDS, least: tuple[int, int] = LEAST, compared: int = COMPARED) -> DataFrame:
+    """(code, label): for sets that are linked to others, the least code of their component. texts: candidate, code, size, text.
+
+    Groups of candidates of up to ``compared`` shingles are compared in one task. Larger ones are dealt into parts of that
+    size by a hash: first each part is compared in itself, then the parts with each other, where sets that are in one
+    component already are passed over; groups that the first pass has made one component are left out of the second.
+    """
+    total = texts.groupBy("candidate").agg(F.ceil(F.sum("size") / compared).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("code", F.lit(1)), F.col("parts")).cast("int")
+    dealt = written(texts.select("candidate", "code", "text").join(total, "candidate").withColumn("part", part), "dealt")
+    first = dealt.select("candidate", F.col("part").alias("i"), F.col("part").alias("j"), "code", F.col("code").alias("label"), "part", "text")
+    edges = written(_compared(first, shingle, least), "compared")
+    split = dealt.filter("parts > 1")
+    if split.take(1):
+        found = components(edges.select(F.col("code").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("code"), F.col("component").alias("label"))
+        known = split.select("candidate", "code", "parts", "part").join(found, "code", "left").withColumn("label", F.coalesce("label", "code"))
+        open_ = written(known.groupBy("candidate").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("candidate"), "open")
+        rest = split.select("candidate", "code", "text").join(known.join(open_, "candidate", "left_semi").hint("merge"), ["candidate", "code"])
+        pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+        second = _compared(pairs.select("candidate", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "code", "label", "part", "text"), shingle, least)
+        edges = edges.unionByName(written(second, "compared"))
+    return components(edges.select(F.col("code").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("code"), F.col("component").alias("label"))
+
+
+def keep_one(docs: DataFrame, shingle: int = WORDS, least: tuple[int, int] = LEAST, group: int = GROUP, compared: int = COMPARED) -> DataFrame:
+    """One row of ``docs`` (doc_id, text) for each component of similar texts, that of its least doc_id, with all columns, whatever their names.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles (runs of words, A-Z in lower case) is ``least``
+    or more; texts without a word, nulls among them, are all alike. Of rows that share that doc_id and its text one stays;
+    null doc_ids come last. An empty table stays empty.
+    """
+    coded = written(_sets(docs, shingle), "coded")
+    order = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")
+    nodes = written(coded.groupBy("code").agg(F.min(order).alias("best"), *(F.first(c).alias(c) for c in ("size", "fingerprint", "keys"))), "nodes")
+    candidates = _candidates(nodes.select("code", "fingerprint", "keys"), group)
+    chosen = written(candidates.join(nodes.select(F.col("code").alias("node"), "size", "best"), "node").select(F.col("component").alias("candidate"), F.col("node").alias("code"), "size", "best.doc_id", "best.hash"), "candidates")
+    texts = keyed(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")).join(keyed(chosen).hint("merge"), KEYS)
+    labels = similar_sets(texts.select("candidate", "code", "size", "text"), shingle, least, compared)
+    named = nodes.select("code", "best").join(labels, "code", "left")
+    kept = written(named.groupBy(F.coalesce("label", "code").alias("label")).agg(F.min("best").alias("best")).select("best.doc_id", "best.hash"), "kept")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    return keyed(packed).join(keyed(kept).hint("merge"), KEYS, "left_semi").dropDuplicates(KEYS).select("row.*")
+
+
+#: doc_id as two columns that are never null, with the hash of the text: plain keys, so that one shuffle serves a join and what follows.
+KEYS = ["hash", "id", "none"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.isnull("doc_id")}).drop("doc_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,18 @@
-"""Near duplicates by the Jaccard similarity of their word shingles.
-
-Bands of minhashes only find candidates: documents that agree on all rows of a band are in one candidate group, and the
-groups are closed over all bands. Within a group the shingle sets themselves are compared, so every link is exact, and a
-pair is missed only if its documents share no band and no chain of bands joins them. With 32 bands of 4 rows two
-documents at a similarity of 0.8 share none with a chance of (1 - 0.8 ** 4) ** 32, which is 5e-8.
-"""
+"""Sets of word shingles: their minhashes, which route near duplicates to groups, and their exact Jaccard similarity."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD, lower_ascii, written
-from .components import components
+from .common import WORD, lower_ascii
 from .suffixes import Hashes, grams, mixed
 
 SHINGLE = 5
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
 #: Shingles whose minhashes are taken at once.
-BLOCK = 4096
+BLOCK = 2048
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +32,8 @@ def set_code(shingles: np.ndarray) -> int:
 
 
 class MinHashes:
+    """Two sets of similarity s agree on all rows of a band with a chance of s ** rows: at 0.8, on none of 40 bands of 5 with 1e-7."""
+
     def __init__(self, bands: int = BANDS, rows: int = ROWS):
         rng = np.random.default_rng(42)
         self.bands, self.rows = bands, rows
@@ -61,20 +53,24 @@ class MinHashes:
         return key.view(np.int64)
 
 
-def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
-    """For each set the least position in its component; sets as similar as ``least`` are linked, and all pairs are looked at.
+def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST, label: np.ndarray | None = None, part: np.ndarray | None = None) -> np.ndarray:
+    """For each set the least position in its component; sets as similar as ``least`` are linked.
 
-    Pairs that are in one component already are passed over, so a group in which all are alike takes one step a set.
+    All pairs are looked at but those whose ``label`` is equal from the start or has become so, and, if ``part`` is given,
+    those within a part: a group in which all are alike takes one step a set.
     """
     n = len(sets)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     own = np.zeros(int(ids.max()) + 1, bool)
     for p in range(n - 1):
         small, large = np.minimum(sizes[p], sizes[p + 1 :]), np.maximum(sizes[p], sizes[p + 1 :])
-        others = p + 1 + np.flatnonzero((label[p + 1 :] != label[p]) & (small * least[1] >= large * least[0]))
+        wanted = (label[p + 1 :] != label[p]) & (small * least[1] >= large * least[0])
+        if part is not None:
+            wanted &= part[p + 1 :] != part[p]
+        others = p + 1 + np.flatnonzero(wanted)
         if not len(others):
             continue
         own[mine := ids[starts[p] : starts[p] + sizes[p]]] = True
@@ -86,75 +82,3 @@ def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
             joined = np.unique(np.append(label[found], label[p]))
             label[np.isin(label, joined)] = joined[0]
     return label
-
-
-def _coded(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, hash, code, keys): the hash of the text, that of its set of shingles, and its bands' keys."""
-    import pyarrow as pa
-
-    def run(batches):
-        word_hashes, minhashes = Hashes(), MinHashes()
-        for b in batches:
-            codes, keys = [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, word_hashes, shingle)
-                codes.append(set_code(s))
-                keys.append(minhashes.keys(s) if len(s) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "hash", "code", "keys"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    fields = [rows.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("code", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    return rows.mapInArrow(run, T.StructType(fields))
-
-
-def _compared(rows: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(code, label): the least code of the component of each. rows: candidate group, code, text; a group is one task's at a time."""
-    import pyarrow as pa
-
-    def run(batches):
-        word_hashes, group, held = Hashes(), None, {}
-
-        def flush():
-            codes = np.array(sorted(held), np.int64)
-            label = codes[alike([held[c] for c in codes.tolist()], least)]
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(label)], names=["code", "label"])
-
-        for b in batches:
-            for g, code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if g != group:
-                    if held:
-                        yield flush()
-                    group, held = g, {}
-                if code not in held:
-                    held[code] = shingle_set(text.as_py(), word_hashes, shingle)
-        if held:
-            yield flush()
-
-    return rows.select("candidate", "code", "text").repartition("candidate").sortWithinPartitions("candidate").mapInArrow(run, "code long, label long")
-
-
-def keep_one_alike(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """One row of ``docs`` (doc_id, text) for each component of similar texts, that of its least doc_id, with all columns, whatever their names.
-
-    Texts are linked if the Jaccard similarity of their sets of shingles (runs of words, A-Z in lower case) is ``least``
-    or more; texts without a word are all alike. Of rows that share that doc_id and its component one stays; null doc_ids
-    come last. A group of candidates (distinct texts that bands join) has to fit in a task.
-    """
-    coded = written(_coded(docs, shingle), "coded")
-    order = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")
-    nodes = written(coded.groupBy("code").agg(F.min(order).alias("best"), F.first("keys").alias("keys")), "nodes")
-    banded = nodes.select("code", F.explode("keys").alias("key"))
-    edges = banded.select("code", F.min("code").over(Window.partitionBy("key")).alias("to")).filter("code <> to")
-    candidates = components(edges.select(F.col("code").alias("a"), F.col("to").alias("b")))
-    candidates = candidates.join(nodes.select(F.col("code").alias("node"), "best"), "node")
-    candidates = written(candidates.select("component", "node", F.col("best.doc_id").alias("best_id"), F.col("best.hash").alias("best_hash")), "candidates")
-    on = (F.col("hash") == F.col("best_hash")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(candidates.hint("merge"), on)
-    compared = _compared(texts.select(F.col("component").alias("candidate"), F.col("node").alias("code"), "text"), shingle, least)
-    named = nodes.select("code", "best").join(written(compared, "compared"), "code", "left")
-    kept = named.groupBy(F.coalesce("label", "code").alias("label")).agg(F.min("best").alias("best"))
-    kept = written(kept.select(F.col("best.doc_id").alias("best_id"), F.col("best.hash").alias("best_hash")), "kept")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
-    return packed.join(kept.hint("merge"), on, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -126,7 +126,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
             yield len((text or "").encode()), n, n > limit
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return add_columns(docs.select("doc_id", "text"), ["text"], fields, rows).drop("text")
+    return add_columns(docs.select("doc_id", "text"), "text", fields, rows).drop("text")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,9 +69,6 @@ def test_simhash(docs, pairs):
         least[find(k)] += [d] if d is not None else []
     want = sorted(((d, f"{c:016x}", min(least[find(k)], default=None)) for k, ((d, _), c) in enumerate(zip(pairs, codes))), key=str)
     assert rows_of(simhash.near_duplicates(docs)) == want
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len({find(k) for k in range(len(pairs))})
 
 
 def brute_alike(pairs):
@@ -170,13 +167,13 @@ def brute_counts(text):
         if WORD.search(line):
             dup += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(re.findall(r"[!-/:-@\[-`{-~]", text))
 
 
 def test_quality(docs, pairs):
     got = quality.quality(docs)
     want = sorted(((d, *(c := brute_counts(t)), c[0] < 10 or 100 * c[4] > 20 * c[0]) for d, t in pairs), key=str)
-    assert rows_of(got.select("doc_id", *quality.COUNTS[:5], "base_failed")) == want
+    assert rows_of(got.select("doc_id", *quality.COUNTS, "base_failed")) == want
     assert got.filter("base_failed AND kept").count() == 0
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
@@ -238,54 +235,62 @@ def test_decontamination(spark, docs, pairs):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_suffixes(docs, pairs):
-    owners = defaultdict(set)
-    for d, t in pairs:
-        w = WORD.findall(t or "")
+def brute_repeats(pairs, across_only=False):
+    """(doc_id, spans, gone) of documents with repeated windows of fifty words."""
+    order = lambda p: (p[0] is None, p[0] or 0)
+    places = defaultdict(list)
+    for d, t in sorted({p for p in pairs if p[1] is not None}, key=order):
+        w = WORD.findall(t)
         for k in range(len(w) - 49):
-            owners[tuple(w[k : k + 50])].add((d, t))
-    want = set()
-    for d, t in pairs:
-        w, spans = WORD.findall(t or ""), []
-        for k in range(len(w) - 49):
-            if len(owners[tuple(w[k : k + 50])]) > 1:
-                if spans and k <= spans[-1][0] + spans[-1][1]:
-                    spans[-1][1] = k + 50 - spans[-1][0]
-                else:
-                    spans.append([k, 50])
-        if spans:
-            want.add((d, tuple(map(tuple, spans))))
+            places[tuple(w[k : k + 50])].append((d, t, k))
+    out = []
+
+    def runs(at):
+        at, spans = sorted(at), []
+        for k in at:
+            if spans and k <= spans[-1][0] + spans[-1][1]:
+                spans[-1][1] = k + 1 - spans[-1][0]
+            else:
+                spans.append([k, 1])
+        return tuple(map(tuple, spans))
+
+    cover, stay, late = defaultdict(set), defaultdict(set), defaultdict(set)
+    for own in places.values():
+        if len(own) > 1 and (not across_only or len({p[:2] for p in own}) > 1):
+            for n, (d, t, k) in enumerate(own):
+                cover[d, t].update(range(k, k + 50))
+                (late if n else stay)[d, t].update(range(k, k + 50))
+    for d, t in cover:
+        out.append((d, runs(cover[d, t]), runs(late[d, t] - stay[d, t])))
+    return sorted(out, key=str)
+
+
+def test_suffixes(docs, pairs):
     got = suffixes.repeated_spans(docs).collect()
-    assert len(got) == len(want) and {(r.doc_id, tuple(map(tuple, r.spans))) for r in got} == want
+    assert sorted(((r.doc_id, tuple(map(tuple, r.spans)), tuple(map(tuple, r.gone))) for r in got), key=str) == brute_repeats(pairs, across_only=True)
 
 
 def test_suffixes_within_documents(spark, docs, pairs, tmp_path):
     random.seed(9)
     word = lambda: f"v{random.randrange(10**6)}"
     a, b = ([word() for _ in range(n)] for n in (60, 49))
-    own = [(9101, " ".join([*a, "x", *a])), (9102, " ".join([*b, "x", *b])), (9103, "y " * 51)]
+    own = [(9101, " ".join([*a, "x", *a])), (9102, " ".join([*b, "x", *b])), (9103, "y " * 51), (None, " ".join(["z", *a])), (9200, "q " * 40_000)]
     own += [(9104 + k, " ".join([*(c := [word() for _ in range(50 + k)]), *(word() for _ in range(30 * k)), *c])) for k in range(20)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    places = defaultdict(set)
-    for d, t in [*pairs, *own]:
-        w = WORD.findall(t or "")
-        for k in range(len(w) - 49):
-            places[tuple(w[k : k + 50])].add((d, t, k))
-    want = set()
-    for d, t in [*pairs, *own]:
-        w, spans = WORD.findall(t or ""), []
-        for k in range(len(w) - 49):
-            if len(places[tuple(w[k : k + 50])]) > 1:
-                if spans and k <= spans[-1][0] + spans[-1][1]:
-                    spans[-1][1] = k + 50 - spans[-1][0]
-                else:
-                    spans.append([k, 50])
-        if spans:
-            want.add((d, len(spans), sum(n for _, n in spans), max(n for _, n in spans), ",".join(f"{k}+{n}" for k, n in spans)))
+    text = lambda spans: ",".join(f"{k}+{n}" for k, n in spans)
+    repeats = brute_repeats([*pairs, *own])
+    want = sorted(((d, len(s), sum(n for _, n in s), max(n for _, n in s), text(s), sum(n for _, n in g), text(g)) for d, s, g in repeats), key=str)
     assert {9003, 9101, 9103, *range(9104, 9124)} <= {w[0] for w in want} and 9102 not in {w[0] for w in want}
-    got = rows_of(suffixes.op7_suffixes(spark, str(tmp_path)))
-    assert len(got) == len(want) and set(got) == want
+    assert rows_of(suffixes.op7_suffixes(spark, str(tmp_path))) == want
+    kept = suffixes.dedup_suffixes(docs)
+    assert kept.columns == docs.columns
+    gone = {d: g for d, _, g in repeats}
+    left = {r.doc_id: r.text for r in kept.filter("doc_id IS NOT NULL").collect()}
+    for d, t in own:
+        if d is not None:
+            lost = {k for at, n in gone.get(d, ()) for k in range(at, at + n)}
+            assert WORD.findall(left[d]) == [w for k, w in enumerate(WORD.findall(t)) if k not in lost]
 
 
 def test_sharding(docs, pairs):
