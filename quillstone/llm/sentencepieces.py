@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ MARK = "▁"
 BEST = 4
 #: Loss of a character that is spelled in bytes, below the least score of any piece.
 PENALTY = 10.0
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -126,25 +127,36 @@ class Pieces:
         return found
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations by backward A* from the end; equal scores in the order of their cuts from the end."""
+        """The n best segmentations by backward A* from the end; of equal scores those met first.
+
+        As the heuristic is exact, every open way stands for a segmentation with just its score: only as many of them are
+        kept open as are still wanted. A way is the link of its last cut to the way it comes from.
+        """
         best, _, _ = self.forward(word)
-        score, out = self.score.get, []
-        # (negated score of the best way through here, cuts so far from the end, score from here to the end)
-        heap: list[tuple[float, tuple[int, ...], float]] = [(-best[-1], (len(word),), 0.0)]
-        while heap and len(out) < n:
-            rank, cuts, after = heapq.heappop(heap)
-            end = cuts[-1]
+        score, longest, out, met = self.score.get, self.longest, [], 0
+        # (negated score of the best segmentation through here, number, place, score from here to the end, way to the end)
+        ways: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(word), 0.0, None)]
+        while ways and len(out) < n:
+            rank, _, end, after, way = ways.pop(0)
             if end == 0:
-                ids = tuple(k for b, e in zip(cuts[:0:-1], cuts[-2::-1]) for k in self.edge(word[b:e]))
-                out.append((-rank, ids))
+                ids, at = [], 0
+                while way is not None:
+                    ids += self.edge(word[at : way[0]])
+                    at, way = way
+                out.append((-rank, tuple(ids)))
                 continue
-            for begin in range(max(0, end - self.longest), end):
+            way, wanted = (end, way), n - len(out)
+            for begin in range(max(0, end - longest), end):
                 s = score(word[begin:end])
                 if s is None:
                     if begin < end - 1:
                         continue
                     s = self.unknown
-                heapq.heappush(heap, (-(best[begin] + s + after), (*cuts, begin), s + after))
+                rank = -(best[begin] + s + after)
+                if len(ways) < wanted or rank < ways[-1][0]:
+                    met += 1
+                    insort(ways, (rank, met, begin, s + after, way))
+                    del ways[wanted:]
         return out
 
     def encode(self, text: str, n: int = BEST) -> tuple[list[int], list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:

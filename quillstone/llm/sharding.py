@@ -1,10 +1,13 @@
 """Sharding by a hierarchical weighted hash tree.
 
-The tree has regions, racks and shards. A shard's draw for a key is an exponential variate whose rate is its weight,
-made from a hash of the key and the shard's path. A rack's draw is the least of its shards', which is an exponential
-variate whose rate is the rack's weight, and a region's the least of its racks'. A row descends to the region with the
-least draw, in it to the rack and in that to the shard. As draws are handed up, a change of one shard's weight alters the
-draws on its own path alone: rows move into that subtree or out of it, and a new shard takes rows only into itself.
+The tree has regions, racks and shards. At each level a row's key draws an exponential variate for every child of the node
+it has come to, from a hash of the key and the child's path, at the rate of the weight below that child; the row descends to
+the child with the least draw, region first, then rack, then shard. So it falls to a shard with a chance in proportion to the
+shard's weight, and draws eleven times or so, whatever the number of shards in other regions.
+
+A change of a shard's weight alters the rates of its rack and its region alone: rows move into that region or out of it, and
+inside it into the rack or out of it. Shards that come later are regions of their own: the draws of all older regions stay,
+so that a new shard takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -19,64 +22,82 @@ SHARDS = 40
 #: Shards in a rack and racks in a region.
 RACK, REGION = 4, 3
 ROWS_PER_BUCKET = 1_000_000
+#: Equal rows that are made at once.
+CHUNK = 10_000
 
 
-def draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential variate of rate ``weight`` that the key and the shard decide."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(f"shard {shard}"), key), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+def tree(weights: list[float], base: int, rack: int = RACK, region: int = REGION) -> dict[str, dict[str, dict[str, int]]]:
+    """Shards by region, rack and shard path. The first ``base`` shards fill racks and regions; each later one is a region. Those without weight are left out."""
+    out: dict[str, dict[str, dict[str, int]]] = {}
+    for shard, weight in enumerate(weights):
+        at = f"{shard // (rack * region)}" if shard < base else f"+{shard}"
+        under = f"{at}/{shard // rack % region}" if shard < base else f"{at}/0"
+        if weight > 0:
+            out.setdefault(at, {}).setdefault(under, {})[f"{under}/{shard}"] = shard
+    return out
+
+
+def draw(key: Column, path: str, weight: float) -> Column:
+    """An exponential variate of rate ``weight`` that the key and the path decide."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(path), key), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     return -F.log(uniform) / F.lit(float(weight))
 
 
-def tree(weights: list[float], rack: int = RACK, region: int = REGION) -> list[list[list[int]]]:
-    """Regions of racks of the shards whose weight is positive. A shard's place follows from its number alone."""
-    out: list[list[list[int]]] = []
-    for shard, weight in enumerate(weights):
-        r, k = shard // (rack * region), shard // rack % region
-        while len(out) <= r:
-            out.append([])
-        while len(out[r]) <= k:
-            out[r].append([])
-        if weight > 0:
-            out[r][k].append(shard)
-    return [kept for region_ in out if (kept := [k for k in region_ if k])]
+def _least(key: Column, children: dict[str, float]) -> Column:
+    """The path of the child with the least draw."""
+    if len(children) == 1:
+        return F.lit(next(iter(children)))
+    return F.least(*(F.struct(draw(key, path, weight).alias("draw"), F.lit(path).alias("path")) for path, weight in children.items()))["path"]
 
 
-def _least(found: list[Column]) -> Column:
-    return F.least(*found) if len(found) > 1 else found[0]
+def _by_node(at: Column, below: dict[str, Column]) -> Column:
+    out = None
+    for path, value in below.items():
+        out = F.when(at == path, value) if out is None else out.when(at == path, value)
+    return out
 
 
-def descend(key: Column, weights: list[float], rack: int = RACK, region: int = REGION) -> Column:
-    """The shard to which a key descends. Each level compares structs of a draw and what lies below it."""
-    regions = []
-    for racks in tree(weights, rack, region):
-        below = [_least([F.struct(draw(key, s, weights[s]).alias("draw"), F.lit(s).alias("shard")) for s in shards]) for shards in racks]
-        regions.append(_least(below))
-    return _least(regions)["shard"]
+def descended(rows: DataFrame, name: str, weights: list[float], base: int, rack: int = RACK, region: int = REGION) -> DataFrame:
+    """``rows`` (key) with a column ``name``: the shard to which the key descends."""
+    regions = tree(weights, base, rack, region)
+    racks = {p: shards for under in regions.values() for p, shards in under.items()}
+    heavy = lambda shards: float(sum(weights[s] for s in shards.values()))
+    key = F.col("key")
+    rows = rows.withColumn("_region", _least(key, {r: sum(map(heavy, under.values())) for r, under in regions.items()}))
+    rows = rows.withColumn("_rack", _by_node(F.col("_region"), {r: _least(key, {p: heavy(s) for p, s in under.items()}) for r, under in regions.items()}))
+    leaf = _by_node(F.col("_rack"), {p: _least(key, {q: weights[s] for q, s in shards.items()}) for p, shards in racks.items()})
+    return rows.withColumn(name, F.substring_index(leaf, "/", -1).cast("int")).drop("_region", "_rack")
 
 
-def shard(docs: DataFrame, weights: list[float] | None = None, grown: float | None = 1.0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def shard(docs: DataFrame, weights: list[float] | None = None, grown: float | None = 1.0, base: int | None = None, rack: int = RACK, region: int = REGION, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard, a row for each row of ``docs`` (doc_id, text).
 
-    weights: of the shards, all 1 unless given. grown: the weight of one more shard, for grown_shard. A null text has no
-    bytes; rows with equal doc_id, null included, meet in one shard. Slots run from 0 without gaps in each shard: rows
-    are dealt into buckets within shards, the buckets are counted, and a row's slot is its number in its bucket after
-    the rows of the buckets before. Other columns of ``docs`` are neither read nor returned.
+    weights: of the shards, all 1 unless given; base: how many of them the tree was laid out for, all unless given. grown:
+    the weight of one more shard, for grown_shard. A null text has no bytes; rows with equal doc_id, null included, meet in
+    one shard. Slots run from 0 without gaps in each shard and follow from the rows alone: equal rows are counted, the
+    counts are summed in the order of a hash, bucket by bucket, and each row's places are made from its count, some at a
+    time, so that rows that repeat very often are dealt over tasks too. Empty tables, empty texts and texts of any length
+    are nothing special. Other columns of ``docs`` are neither read nor returned.
     """
     weights = weights or [1.0] * SHARDS
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    base = base or len(weights)
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", key.alias("key"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftright(F.monotonically_increasing_id(), 33).alias("split"))
-    grown_shard = descend(F.col("key"), [*weights, grown]) if grown else F.lit(None)
-    placed = written(sized.select("doc_id", "size", "text_crc32", descend(F.col("key"), weights).cast("int").alias("shard"), grown_shard.cast("int").alias("grown_shard"), F.xxhash64("doc_id", "text_crc32", "split").alias("spread")), "placed")
-    rows = placed.count()
-    buckets = max(1, rows // rows_per_bucket) * 8
-    placed = placed.withColumn("bucket", F.pmod("spread", F.lit(buckets)).cast("int"))
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(counts.select("shard", "bucket", before.alias("before")), "offsets")
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("spread", "doc_id", "text_crc32"))
-    slotted = placed.withColumn("number", number).join(offsets, ["shard", "bucket"])
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"), "grown_shard")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.select("doc_id", key.alias("key"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    own = ["doc_id", "size", "text_crc32"]
+    counted = rows.groupBy(*own, "key").agg(F.count("*").alias("n")).withColumn("spread", F.xxhash64(*own))
+    placed = descended(counted, "shard", weights, base, rack, region)
+    placed = descended(placed, "grown_shard", [*weights, grown], base, rack, region) if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
+    placed = written(placed.drop("key"), "placed")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    placed = placed.withColumn("bucket", F.pmod("spread", F.lit(8 * max(1, total // rows_per_bucket))).cast("int"))
+    in_order = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    offsets = written(buckets.select("shard", "bucket", in_order(Window.partitionBy("shard").orderBy("bucket")).alias("before")), "offsets")
+    slotted = placed.withColumn("within", in_order(Window.partitionBy("shard", "bucket").orderBy("spread", *own))).join(offsets, ["shard", "bucket"])
+    chunks = slotted.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})"))).repartition("shard", "spread", "chunk")
+    each = chunks.withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
+    return each.select(*own, F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within") + F.col("i")).cast("long").alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

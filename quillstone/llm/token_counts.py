@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import add_columns, table
 
 #: Characters above which a text is encoded in chunks, of a chunk and of the first overlap.
-HUGE, CHUNK, OVERLAP = 200_000, 100_000, 2_000
+HUGE, CHUNK, OVERLAP = 16_000, 16_000, 1_000
 #: Characters beyond a boundary that a chunk must have seen: more than the longest special string, and the look-ahead.
 MARGIN = 64
 LIMIT = 1024
@@ -59,17 +59,17 @@ def pieces(encoded, base: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[at, 0] + base, at
 
 
-def count_chunked(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
-    """Tokens of ``text`` from encodings of overlapping chunks; ``encode`` takes a text and gives the library's encoding.
+def count_chunked(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> tuple[int, int]:
+    """Tokens of ``text`` from encodings of overlapping chunks, and the number of chunks; ``encode`` takes a text and gives the library's encoding.
 
     Offsets inside a piece may be those of one character that several tokens share; pieces begin between characters.
     """
-    total, begin = 0, 0
+    total, begin, chunks = 0, 0, 1
     while True:
         end = min(len(text), begin + chunk)
         left = encode(text[begin:end])
         if end == len(text):
-            return total + len(left)
+            return total + len(left), chunks
         at, before = pieces(left, begin)
         wide = overlap
         while True:
@@ -81,7 +81,7 @@ def count_chunked(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
                 common = np.flatnonzero(sure & np.isin(at, right))
                 if len(common):
                     k = common[-1]
-                    total, begin = total + int(before[k]), int(at[k])
+                    total, begin, chunks = total + int(before[k]), int(at[k]), chunks + 1
                     break
             if start == begin + 1:  # no stable boundary in the chunk at all: a longer chunk from the same place
                 chunk *= 2
@@ -89,14 +89,15 @@ def count_chunked(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
             wide *= 2
 
 
-def counts(texts: list[str | None], path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[int]:
+def counts(texts: list[str | None], path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """For each text its tokens and the number of chunks in which it was encoded."""
     t = load(path)
     encode = lambda x: t.encode(x, add_special_tokens=False)
     held: list[str] = []
     size = 0
 
     def flush():
-        yield from (len(e) for e in t.encode_batch_fast(held, add_special_tokens=False))
+        yield from ((len(e), 1) for e in t.encode_batch_fast(held, add_special_tokens=False))
 
     for text in texts:
         text = text or ""
@@ -114,18 +115,18 @@ def counts(texts: list[str | None], path: str, huge: int = HUGE, chunk: int = CH
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit, a row for each row of ``docs``.
+    """doc_id, n_bytes, n_tokens, over_limit and n_chunks, a row for each row of ``docs``.
 
-    path: of a tokenizers file. A null text is empty: no bytes, no tokens. Repeated rows count alike; other columns of
+    path: of a tokenizers file. n_chunks: in how many chunks the text was encoded. A null text is empty: no bytes, no tokens. Repeated rows count alike; other columns of
     ``docs`` are neither read nor returned. Special strings inside texts count as the library's default has them.
     """
     path = path or tokenizer_path()
 
     def rows(texts):
-        for text, n in zip(texts, counts(texts, path, huge, chunk, overlap)):
-            yield len((text or "").encode()), n, n > limit
+        for text, (n, chunks) in zip(texts, counts(texts, path, huge, chunk, overlap)):
+            yield len((text or "").encode()), n, n > limit, chunks
 
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("n_chunks", T.LongType())]
     return add_columns(docs.select("doc_id", "text"), "text", fields, rows).drop("text")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,25 +294,57 @@ def test_suffixes_within_documents(spark, docs, pairs, tmp_path):
             assert WORD.findall(left[d]) == [w for k, w in enumerate(WORD.findall(t)) if k not in lost]
 
 
-def test_sharding(docs, pairs):
-    out = sharding.shard(docs, rows_per_bucket=3).collect()
-    assert len(out) == len(pairs)
+def brute_shard(doc_id, weights, base, rack, region):
+    """The shard of a doc_id by level-wise draws."""
+    key = "null" if doc_id is None else str(doc_id)
+
+    def draw(path, weight):
+        h = xxh64_intdigest(key.encode(), xxh64_intdigest(path.encode(), 42))
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    paths = [(str(s // (rack * region)), str(s // rack % region)) if s < base else (f"+{s}", "0") for s in range(len(weights))]
+    left = [s for s in range(len(weights)) if weights[s] > 0]
+    for level in range(3):
+        sums = defaultdict(float)
+        name = lambda s: "/".join([*paths[s], str(s)][: level + 1])  # noqa: B023, E731
+        for s in left:
+            sums[name(s)] += weights[s]
+        best = min(sums, key=lambda p: (draw(p, sums[p]), p)) if len(sums) > 1 else next(iter(sums))
+        left = [s for s in left if name(s) == best]
+    return left[0]
+
+
+@pytest.mark.parametrize(("weights", "base", "rack", "region"), [([1.0] * 40, 40, 4, 3), ([1.0, 0.0, 3.5] * 5, 12, 2, 2), ([1.0] * 40, 40, 5, 8), ([2.0], 1, 4, 3)])
+def test_sharding(docs, pairs, weights, base, rack, region):
+    out = sharding.shard(docs, weights, base=base, rack=rack, region=region, rows_per_bucket=3).collect()
+    want = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), brute_shard(d, weights, base, rack, region), brute_shard(d, [*weights, 1.0], base, rack, region)) for d, t in pairs]
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in out), key=str) == sorted(want, key=str)
     slots = defaultdict(list)
     for r in out:
         slots[r.shard].append(r.slot)
-        assert r.grown_shard in (r.shard, 40)
+        assert r.grown_shard in (r.shard, len(weights))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    want = sorted(((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in pairs), key=str)
-    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in out), key=str) == want
+    again = sharding.shard(docs.repartition(7, "text"), weights, base=base, rack=rack, region=region, rows_per_bucket=3)
+    assert rows_of(again) == sorted(map(tuple, out), key=str)
 
 
-def test_sharding_moves_rows_only_to_and_from_changed_weights(spark):
+def test_sharding_confines_movement(spark):
     keys = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    at = lambda w: {r.doc_id: r.shard for r in sharding.shard(keys, w, None).collect()}
-    even, heavy = at([1.0] * 20), at([1.0] * 7 + [3.0] + [1.0] * 12)
-    assert all(b == 7 for a, b in ((even[k], heavy[k]) for k in even) if a != b)
+    at = lambda w, **how: {r.doc_id: r.shard for r in sharding.shard(keys, w, None, **how).collect()}
+    even, heavy = at([1.0] * 24), at([1.0] * 7 + [3.0] + [1.0] * 16)
+    moved = [(even[k], heavy[k]) for k in even if even[k] != heavy[k]]
+    assert moved and all(b // 12 == 0 for _, b in moved)  # into the region of shard 7
+    assert all(b // 4 == 1 for a, b in moved if a // 12 == 0)  # within it into its rack
+    assert all(b == 7 for a, b in moved if a // 4 == 1)
     counts = Counter(heavy.values())
-    assert abs(counts[7] - 4000 * 3 / 22) < 120 and all(abs(counts[s] - 4000 / 22) < 80 for s in range(20) if s != 7)
+    assert abs(counts[7] - 4000 * 3 / 26) < 120 and all(abs(counts[s] - 4000 / 26) < 70 for s in range(24) if s != 7)
+    assert at([1.0] * 24, rack=2, region=3) != even  # the shape of the tree decides
+
+
+def test_sharding_deals_out_rows_that_repeat(spark):
+    rows = spark.range(50_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    out = sharding.shard(rows).agg(F.countDistinct("slot"), F.min("slot"), F.max("slot"), F.countDistinct("shard")).first()
+    assert tuple(out) == (50_000, 0, 49_999, 1)
 
 
 def brute_katz(pairs):
@@ -385,6 +418,16 @@ def test_sentencepieces():
         assert abs(score[tuple(ids)] - want[0][0]) < 1e-6 and pieces.decode(ids) == text
 
 
+def test_sentencepieces_of_a_long_word():
+    pieces = sentencepieces.load(sentencepieces.model_path())
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < 0.5 else rng.choice("etaoinshrdlu") for _ in range(300_000))
+    began = time.process_time()
+    ids, found = pieces.encode(text)
+    assert time.process_time() - began < 60
+    assert pieces.decode(ids) == text and len(found) == 4 and sorted(s for s, _ in found)[::-1] == [s for s, _ in found]
+
+
 def test_encoding_round_trip(docs, pairs):
     got = sentencepieces.encoded(docs)
     assert got.count() == len(pairs) and got.filter("NOT round_trip").count() == 0
@@ -394,8 +437,9 @@ def test_encoding_round_trip(docs, pairs):
 def test_token_counts(docs, pairs):
     t = token_counts.load(token_counts.tokenizer_path())
     want = sorted(((d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False)), n > 1024) for d, x in pairs), key=str)
-    assert rows_of(token_counts.token_counts(docs)) == want
-    assert rows_of(token_counts.token_counts(docs, huge=100, chunk=120, overlap=10)) == want
+    assert rows_of(token_counts.token_counts(docs).drop("n_chunks")) == want
+    small = token_counts.token_counts(docs, huge=100, chunk=120, overlap=10)
+    assert rows_of(small.drop("n_chunks")) == want and small.filter("n_chunks > 1").count() > 100
 
 
 def test_token_counts_resynchronise():
@@ -405,9 +449,14 @@ def test_token_counts_resynchronise():
     parts = ["a", "b ", "\n", "  ", "é", "世界", "<|endoftext|>", "<|endo", "1", "'s", "!?", " word", "🙂", "\t", "   x"]
     for _ in range(300):
         text = "".join(random.choice(parts) for _ in range(random.randint(1, 400)))
-        assert token_counts.count_chunked(encode, text, random.randint(80, 150), random.randint(1, 40)) == len(encode(text))
+        assert token_counts.count_chunked(encode, text, random.randint(80, 150), random.randint(1, 40))[0] == len(encode(text))
     for text in ("a" * 5000, "é" * 3000, " " * 4000, "ab" * 2000 + " " + "c" * 3000, "<|endoftext|>" * 300):
-        assert token_counts.count_chunked(encode, text, 200, 20) == len(encode(text))
+        assert token_counts.count_chunked(encode, text, 200, 20)[0] == len(encode(text))
+
+
+def test_token_counts_splice_the_long_documents_of_the_table(spark):
+    out = token_counts.op6_token_counts(spark, SF).agg(F.sum((F.col("n_chunks") > 1).cast("int")), F.max("n_chunks")).first()
+    assert out[0] >= 1 and out[1] >= 2
 
 
 def test_html():
@@ -415,11 +464,86 @@ def test_html():
     assert v(None) == v("") == v("<div><!-- x --></div>") == v("<p hidden>x</p><script>a</script>") == ""
     assert v("<p>one <b>two</b>\n three<p>four<br>five") == "one two three\n\nfour\nfive"
     assert v("<ul><li>a<li>b<ol start=3><li>c</ol><li>d</ul>") == "- a\n- b\n  3. c\n- d"
-    assert v("<table><tr><th>Name<th>Qty<tr><td>Apples<td>5</table>") == "Name    Qty\nApples  5"
-    assert v("<table>x<tr><td>y</table>") == "x\ny"
+    assert v("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "a\n  b\nc\n  d"
     assert v('a<span style="visibility: hidden">b</span>c<!--d') == "ac"
     assert v("<pre>  a\n   b</pre>") == "  a\n   b"
-    assert v("<div>" * 3000 + "deep") == "deep" and "x" in v("<table><tr><td>" * 100 + "x")
+    assert v("a < b &amp; c <3 <p title='x > y'>d</p") == "a < b & c <3\n\nd"
+
+
+def test_html_tables():
+    v = html.visible_text
+    assert v("<table><tr><th>Name<th>Qty<tr><td>Apples<td>5</table>") == "Name    Qty\nApples  5"
+    assert v("<table>x<tr><td>y</table>") == "x\ny"
+    assert v("<table><tr><td colspan=2>Head<td>X<tr><td>a<td>b<td>c</table>") == "Head  X\na  b  c"
+    assert v("<table><tr><td rowspan=2>A<td>1<tr><td>2<tr><td>B<td>3</table>") == "A  1\n   2\nB  3"
+    assert v("<table><tr><td>梦<td>1<tr><td>ab<td>2</table>") == "梦  1\nab  2"
+    assert v("<table><tr><td>x<table><tr><td>1<td>2</table><td>y</table>") == "x\n\n1  2\n\ny"
+
+
+def test_html_visibility():
+    v = html.visible_text
+    assert v('a<div style="visibility:hidden">b<i style="visibility:visible">c</i>d</div>e') == "a\nc\ne"
+    assert v("<details><summary>s</summary>body</details><details open><summary>t</summary>shown</details>") == "s\n\nt\nshown"
+    assert v("<math><mi>x</mi><annotation>tex</annotation></math><svg><title>no</title><path/><text>yes</text></svg>") == "xyes"
+    rules = "<style>.x{display:none} p#y{visibility:hidden}@media print{b{display:none}}@media screen{u{display:none}}</style>"
+    assert v(rules + "<p class='a x'>1</p><p id=y>2</p><b>3</b><u>4</u><p class=x style='display:block'>5") == "3\n\n5"
+
+
+def test_html_shows_the_visible_words_in_order():
+    """Random pages whose visible words are known from the way they are made."""
+    rng = random.Random(11)
+    count = 0
+
+    def made(depth, visible):
+        nonlocal count
+        out, words = [], []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["word", "word", "block", "hidden", "again", "list", "table", "script", "inline"]) if depth < 5 else "word"
+            inner = lambda see: made(depth + 1, see)
+            if kind == "word":
+                count += 1
+                out.append(f" w{count} ")
+                words += [f"w{count}"] * visible
+            elif kind == "script":
+                out.append("<script>no('<p>no')</script><!-- <p>no -->")
+            elif kind in ("block", "inline"):
+                tag = rng.choice(["div", "section", "blockquote", "h2"] if kind == "block" else ["b", "i", "span"])
+                text, own = inner(visible)
+                out.append(f"<{tag}>{text}</{tag}>")
+                words += own
+            elif kind == "hidden":
+                text, _ = inner(False)
+                out.append(f"<div {rng.choice(['hidden', 'style=display:none', 'class=gone'])}>{text}</div>")
+            elif kind == "again" and visible:
+                text, own = inner(True)
+                out.append(f"<div style='visibility:hidden'>no<div style='visibility:visible'>{text}</div>no</div>")
+                words += own
+            elif kind == "list":
+                items = [inner(visible) for _ in range(rng.randint(1, 3))]
+                out.append("<ul>" + "".join(f"<li>{t}" for t, _ in items) + "</ul>")
+                words += [w for _, own in items for w in own]
+            elif kind == "table":
+                count += 4
+                out.append(f"<table><tr><td>w{count - 3}<td>w{count - 2}<tr><td>w{count - 1}<td>w{count}</table>")
+                words += [f"w{count - k}" for k in (3, 2, 1, 0)] * visible
+        return "".join(out), words
+
+    for _ in range(300):
+        page, words = made(0, True)
+        assert [w for w in html.visible_text("<style>.gone{display:none}</style>" + page).split() if w != "-"] == words
+
+
+HOSTILE = {
+    "open blocks": "<div>" * 16_000 + "<p>x" * 16_000, "open tags": "<b>" * 300_000, "nested tables": "<table><tr><td>x<td>" * 50_000, "nested lists": "<ul><li>x" * 100_000, "ends": "<table><tr><td>" + "<i>" * 16_000 + "</b>" * 64_000,
+    "signs": "<" * 1_000_000, "attributes": "<a " + "a=b " * 250_000, "quotes": "<a href='" * 100_000, "comments": "<!--" * 250_000, "spans": "<table>" + "".join(f"<tr><td colspan={k % 1000}>x" for k in range(50_000)), "rules": "<style>" + ".a{display:none}" * 60_000 + "</style><p class=a>x",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_takes_linear_time(name):
+    began = time.process_time()
+    html.visible_text(HOSTILE[name])
+    assert time.process_time() - began < 20
 
 
 def test_html_operator(spark):
@@ -429,8 +553,9 @@ def test_html_operator(spark):
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    for f in (simhash.near_duplicates, simhash.keep_one, quality.quality, quality.keep_good, lines.dedup_lines, sharding.shard, katz.scored, sentencepieces.encoded, token_counts.token_counts, suffixes.repeated_spans):
+    for f in (simhash.near_duplicates, simhash.keep_one, quality.quality, quality.keep_good, lines.dedup_lines, sharding.shard, katz.scored, sentencepieces.encoded, token_counts.token_counts, suffixes.repeated_spans, suffixes.dedup_suffixes):
         assert f(none).count() == 0
+    assert html.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
     assert decontaminate.contamination(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
