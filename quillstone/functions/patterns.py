@@ -1,6 +1,7 @@
 """Patterns that classify paragraphs.
 
-Fixed values: they must be these for results to be right. White space in them is ASCII, as ``normalised`` text has it.
+Fixed values: they must be these for results to be right. White space in them is ASCII, as ``normalised`` text has it;
+digits are those of any script (full-width ones are common in Chinese handouts).
 """
 
 # Fixed values: (pattern, weight) of what makes a paragraph look like a question.
@@ -10,37 +11,37 @@ QUESTION = [
     (r"__+", 2),
     (r"^[A-D]\s*[.．、]?\s*[①②③④]?", 3),
     (r"【多选】", 2),
-    (r"[（(]\s*[0-9]{4}\s*[.·]\s*", 2),
-    (r"[（(]\s*[0-9]{4}\s*年\s*", 1),
+    (r"[（(]\s*\p{Nd}{4}\s*[.·]\s*", 2),
+    (r"[（(]\s*\p{Nd}{4}\s*年\s*", 1),
     (r"以下(说法|选项|正确|错误|正确的|错误的是)", 1),
     (r"(正确的是|错误的是|正确的是\s*[（(])", 1),
     (r"[（(]\s*填\s*[）)]", 1),
     (r"(如图所示|如图|下图|如图所示).{0,20}(正确的是|正确)", 1),
-    (r"^\s*[0-9]{1,3}\s*[.．]\s*[（(]\s*[0-9]{4}", 3),
-    (r"^\s*[0-9]{1,3}\s*[.．]\s*[（(]", 2),
-    (r"^\s*[0-9]{1,3}\s*[.．、)）]\s*\S", 1),
+    (r"^\s*\p{Nd}{1,3}\s*[.．]\s*[（(]\s*\p{Nd}{4}", 3),
+    (r"^\s*\p{Nd}{1,3}\s*[.．]\s*[（(]", 2),
+    (r"^\s*\p{Nd}{1,3}\s*[.．、)）]\s*\S", 1),
 ]
 
 # Fixed values: (pattern, weight) of what makes a paragraph look like knowledge.
 KNOWLEDGE = [
-    (r"^(知识点|考点|知识要点|知识梳理|核心知识|重难点)\s*[0-9]*", 3),
-    (r"^[一二三四五六七八九十]+[、.．]\s*[^0-9]", 3),
-    (r"\([0-9]+\)\s*(定义|公式|概念|性质|定理|法则|方法)", 3),
+    (r"^(知识点|考点|知识要点|知识梳理|核心知识|重难点)\s*\p{Nd}*", 3),
+    (r"^[一二三四五六七八九十]+[、.．]\s*[^\p{Nd}]", 3),
+    (r"\(\p{Nd}+\)\s*(定义|公式|概念|性质|定理|法则|方法)", 3),
     (r"(等于|表示|其中|单位是|叫做|称为|即为|定义为)", 1),
     (r"(公式|规律|原理|定律|概念|性质)", 1),
     (r"[=＝]\s*\S+\s*[/÷]", 2),
     (r"^(口诀|注意|说明|提醒|易错|技巧|方法)", 2),
-    (r"【例\s*[0-9]+】", 3),
-    (r"^例\s*[0-9]+\s*[.．]\s*", 3),
-    (r"^例\s*[0-9]+\s*", 3),
+    (r"【例\s*\p{Nd}+】", 3),
+    (r"^例\s*\p{Nd}+\s*[.．]\s*", 3),
+    (r"^例\s*\p{Nd}+\s*", 3),
     (r"^【典例】", 3),
     (r"^【典例精讲】", 3),
     (r"^【深化点拨】", 3),
-    (r"^【角度[0-9]+】", 2),
-    (r"^【题型\s*[0-9]+\s*", 2),
+    (r"^【角度\p{Nd}+】", 2),
+    (r"^【题型\s*\p{Nd}+\s*", 2),
     (r"^【题型[一二三四五六七八九十]+】", 2),
     (r"^0[123]\s+[^\s]+·[^\s]+", 2),
-    (r"^重难[0-9]+", 3),
+    (r"^重难\p{Nd}+", 3),
     (r"^(课标单词|目标短语|常考句型|重点语法|知识清单)", 3),
     (r"^【解题技巧】", 2),
     (r"^【考法预测】", 2),
@@ -75,24 +76,24 @@ BOUNDARY = [
     r"^【限时训练】",
     r"^【达标检测】",
     r"^【学以致用】",
-    r"^第[一二三四五六七八九十0-9]+部分",
-    r"^专题\s*[0-9]+\s*$",
-    r"^专题\s*[0-9]+[：:\s].{1,12}$",
-    r"^考点\s*[0-9]+",
+    r"^第[一二三四五六七八九十\p{Nd}]+部分",
+    r"^专题\s*\p{Nd}+\s*$",
+    r"^专题\s*\p{Nd}+[：:\s].{1,12}$",
+    r"^考点\s*\p{Nd}+",
     r"^(真题|进阶|拔高|能力|综合|素养|考向|命题)[·・]",
     r"^拔高[・·].{0,6}$",
     r"^(基础演练|能力进阶|综合提升|拓展延伸)$",
     r"^0[45]\s+[^\s]+·[^\s]+",
     r"^[一二三四五六七八九十]+[、.．]\s*(完成句子|完型填空|阅读理解|短文填空|语法填空|写作|听力)",
-    r"(?i)^Passage\s+[0-9]+",
+    r"(?i)^Passage\s+\p{Nd}+",
     r"(?i)^Passage\s+[A-F]$",
     r"(?i)^Reading\s+Comprehension",
     r"(?i)^Read\s+the\s+following\s+passage",
-    r"(?i)^Exercise\s+[0-9]+",
-    r"(?i)^Practice\s+[0-9]+",
-    r"(?i)^Test\s+[0-9]+",
-    r"(?i)^Quiz\s+[0-9]+",
-    r"(?i)^Cloze\s+[0-9]+",
+    r"(?i)^Exercise\s+\p{Nd}+",
+    r"(?i)^Practice\s+\p{Nd}+",
+    r"(?i)^Test\s+\p{Nd}+",
+    r"(?i)^Quiz\s+\p{Nd}+",
+    r"(?i)^Cloze\s+\p{Nd}+",
     r"(?i)^Writing\s+Task",
     r"^(以下(说法|正确|错误)|(下列|如下)说法)\s*[（(]",
     r"^(即时训练|巩固练习|课后作业|当堂检测|出门测试|课堂练习|随堂检测)$",
@@ -100,32 +101,32 @@ BOUNDARY = [
 
 # Fixed values: (pattern, type) of section headings; the first that matches decides.
 SECTION = [
-    (r"^第[一二三四五六七八九十0-9]+(部分|章|节|讲|课时|单元|模块|板块|环节|篇|段)", "mixed"),
-    (r"^专题\s*[0-9]+", "mixed"),
-    (r"^考点\s*[0-9]+", "knowledge"),
-    (r"^题型\s*[0-9]+", "practice"),
-    (r"^知识点\s*[0-9]+", "knowledge"),
-    (r"^微专题\s*[0-9]+", "mixed"),
-    (r"^[一二三四五六七八九十]+[、.．]\s*[^0-9]", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+(部分|章|节|讲|课时|单元|模块|板块|环节|篇|段)", "mixed"),
+    (r"^专题\s*\p{Nd}+", "mixed"),
+    (r"^考点\s*\p{Nd}+", "knowledge"),
+    (r"^题型\s*\p{Nd}+", "practice"),
+    (r"^知识点\s*\p{Nd}+", "knowledge"),
+    (r"^微专题\s*\p{Nd}+", "mixed"),
+    (r"^[一二三四五六七八九十]+[、.．]\s*[^\p{Nd}]", "mixed"),
     (r"^[一二三四五六七八九十]+$", "mixed"),
-    (r"^[（(][一二三四五六七八九十0-9]+[）)]", "mixed"),
+    (r"^[（(][一二三四五六七八九十\p{Nd}]+[）)]", "mixed"),
     (r"^(考情|基础|方法|技巧|知识|考点)[·・]", "knowledge"),
     (r"^(拔高|真题|进阶|能力|综合|素养|命题|考向)[·・]", "practice"),
     (r"^(重难)[·・]", "mixed"),
     (r"^0[123]\s+[^\s]+·[^\s]+", "knowledge"),
     (r"^0[45]\s+[^\s]+·[^\s]+", "practice"),
-    (r"^[0-9]{2}\s+[^\s]+·[^\s]+", "mixed"),
+    (r"^\p{Nd}{2}\s+[^\s]+·[^\s]+", "mixed"),
     (r"^(拔高|基础|能力|进阶|重难|考情|真题)[・·].{1,20}$", "mixed"),
-    (r"^重难\s*[0-9]+", "knowledge"),
-    (r"(?i)^(Part|Section)\s+([0-9]+|[A-F]$)", "mixed"),
-    (r"(?i)^(Unit|Module|Lesson|Chapter|Topic|Theme|Stage|Phase|Level|Round|Step|Task|Activity)\s+[0-9]+", "mixed"),
-    (r"(?i)^Passage\s+([0-9]+|[A-F]$)", "practice"),
-    (r"(?i)^Reading\s+([0-9]+|Comprehension)", "practice"),
+    (r"^重难\s*\p{Nd}+", "knowledge"),
+    (r"(?i)^(Part|Section)\s+(\p{Nd}+|[A-F]$)", "mixed"),
+    (r"(?i)^(Unit|Module|Lesson|Chapter|Topic|Theme|Stage|Phase|Level|Round|Step|Task|Activity)\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Passage\s+(\p{Nd}+|[A-F]$)", "practice"),
+    (r"(?i)^Reading\s+(\p{Nd}+|Comprehension)", "practice"),
     (r"(?i)^Read\s+the\s+following\s+passage", "practice"),
-    (r"(?i)^(Exercise|Practice|Test|Quiz|Cloze)\s+[0-9]+", "practice"),
+    (r"(?i)^(Exercise|Practice|Test|Quiz|Cloze)\s+\p{Nd}+", "practice"),
     (r"(?i)^Grammar\s+Focus", "knowledge"),
     (r"(?i)^Writing\s+Task", "practice"),
-    (r"^[IVX]+[.．]\s+[^0-9]", "mixed"),
+    (r"^[IVX]+[.．]\s+[^\p{Nd}]", "mixed"),
     (r"^目录$", "toc"),
     (r"(?i)^Contents$", "toc"),
     (r"\.{5,}", "toc"),
@@ -150,16 +151,22 @@ PRACTICE_PAIRS = [
 ]
 
 # Single patterns.
-TYPE_MARKER = r"^【?题型\s*([0-9]+)"
-NUMBER = r"^\s*([0-9]{1,3})\s*[.．、)）]"
-MAIN_NUMBER = r"^\s*([0-9]{1,3})\s*[．、.]\s*\S"
+TYPE_MARKER = r"^【?题型\s*(\p{Nd}+)"
+NUMBER = r"^\s*(\p{Nd}{1,3})\s*[.．、)）]"
+MAIN_NUMBER = r"^\s*(\p{Nd}{1,3})\s*[．、.]\s*\S"
 DOTTED = r"\.{5,}"
-KNOWLEDGE_HEADING = r"^[一二三四五六七八九十]+[、.．]|^(重难[0-9]+|【解题技巧】|【考法预测】|知识点|考点|知识要点|知识梳理|核心知识|Part\s+[0-9]+|Section\s+[0-9]+|Passage\s+[0-9]+|Unit\s+[0-9]+|Lesson\s+[0-9]+)"
+KNOWLEDGE_HEADING = r"^[一二三四五六七八九十]+[、.．]|^(重难\p{Nd}+|【解题技巧】|【考法预测】|知识点|考点|知识要点|知识梳理|核心知识|Part\s+\p{Nd}+|Section\s+\p{Nd}+|Passage\s+\p{Nd}+|Unit\s+\p{Nd}+|Lesson\s+\p{Nd}+)"
 OPTION = r"^\s*[A-D]\s*[.．、]"
 BLANK = r"[（(]\s*[）)]\s*$|__+"
-ANSWER = r"【答案】"
-#: Headings at which what an answer takes with it ends: sections, types and numbered questions.
+#: What answers begin with, and the headings at which what an answer takes with it ends.
+ANSWER = r"【答案】|【详解】|【解析】|参考答案[：:．]|参考解析[：:．]|【解答】|[（(]\s*(?:答案|详解|解析)\s*[）)]"
+ANSWER_ENDS = r"(?i)^\s*([一二三四五六七八九十]+[、.．]\s*\S|题型|考点|知识点|专题|Part|Section|Lesson|Unit)"
+#: What questions begin with where answer space is left, and what tells that one has options or blanks of its own.
+QUESTION_HEADER = r"^\s*(\p{Nd}{1,3}\s*[.．、]|[（(]\s*\p{Nd}+\s*[）)])"
+CHOICE_LINE = r"(?i)^[A-D][.．、]"
+BLANK_SPACE = r"___|（\s*）|\(\s*\)"
 MARKER_KNOWLEDGE, MARKER_DRILL, MARKER_CONSOLIDATION = "知识精讲", "即时训练", "六、巩固练习"
+CLASS_KNOWLEDGE, CLASS_CONSOLIDATION = "知识精讲&例题讲解", "六、出门测试"
 
 # Words that mark where practice and where consolidation begins, in the order in which they are looked for.
 PRACTICE_WORDS = [
@@ -197,13 +204,69 @@ SECTION_HEADER = r"(?i)^([一二三四五六七八九十]+[、.．]|(题型|考
 PART_HEADER = r"^(即时训练|巩固练习|归纳总结|课堂启动|知识回顾|出门测试)"
 ENGLISH = r"^[A-Za-z0-9\s,.!?;:\"'\-()]{30,}"
 READING = r"^【真题再现】"
-READING_ENDS = r"^(重难[0-9]+|【解题技巧】|【考法预测】|【答案与解析】|【语篇导读】|【长难句分析】|知识点|考点|知识要点|知识梳理|核心知识|[一二三四五六七八九十]+[、.．]\s*[^0-9])"
-READING_START = r"(?i)^(【真题再现】|Passage\s+[0-9]+|Reading\s+Comprehension)"
+READING_ENDS = r"^(重难\p{Nd}+|【解题技巧】|【考法预测】|【答案与解析】|【语篇导读】|【长难句分析】|知识点|考点|知识要点|知识梳理|核心知识|[一二三四五六七八九十]+[、.．]\s*[^\p{Nd}])"
+READING_START = r"(?i)^(【真题再现】|Passage\s+\p{Nd}+|Reading\s+Comprehension)"
 COURSE_SECTION = r"^(0[1-5])\s+(.+)$"
-YEAR_TAG = r"[（(]\s*[0-9]{4}\s*[.·年]"
+YEAR_TAG = r"[（(]\s*\p{Nd}{4}\s*[.·年]"
 DECOR = r"^[/\\~\-_=*#\s·.。、，,|]*$"
-TYPE_ROW = r"^【题型\s*[0-9]+"
-EXAM_QUESTION = r"^\s*[0-9]{1,3}\s*[.．、]\s*[（(]\s*(20[0-9][0-9]|[0-9]{2}-)"
+TYPE_ROW = r"^【题型\s*\p{Nd}+"
+EXAM_QUESTION = r"^\s*\p{Nd}{1,3}\s*[.．、]\s*[（(]\s*(20\p{Nd}\p{Nd}|\p{Nd}{2}-)"
 SECTOR = r"提升专练|真题感知"
-TOC_SECTION = r"^0([0-9])\s+[^\s]+·[^\s]+"
-TOC_NUMBERED = r"^(第[一二三四五六七八九十0-9]+[部分章节课时单元模块]|专题\s*[0-9]+|考点\s*[0-9]+)"
+TOC_SECTION = r"^0(\p{Nd})\s+[^\s]+·[^\s]+"
+TOC_NUMBERED = r"^(第[一二三四五六七八九十\p{Nd}]+[部分章节课时单元模块]|专题\s*\p{Nd}+|考点\s*\p{Nd}+)"
+
+# Patterns of the rules that tell paragraphs apart one by one.
+EXAMPLE = r"^【例\s*\p{Nd}+】|^例\s*\p{Nd}+\s*[.．]|^【典例】|^【典例精讲】"
+SUMMARY = r"^(归纳总结|课堂启动|知识回顾|知识小结)"
+ANSWER_HEADER = r"^【答案与解析】|^【答案】|^【详解】|^【解析】|^【解答】"
+PRACTICE_HEADER = r"^(即时训练|巩固练习|课后作业|当堂检测|出门测速|课堂练习|随堂检测|达标检测|真题演练|即学即练|变式训练|拓展训练|强化训练|综合训练|模拟演练|考前冲刺|限时训练|学以致用)"
+KNOWLEDGE_HEADER = r"^(知识点|考点|知识要点|知识梳理|核心知识|重难点)\s*\p{Nd}*|^[一二三四五六七八九十]+[、.．]\s*[^\p{Nd}]"
+CONCEPT = r"(定义|公式|性质|定理|法则|概念|原理|规律|方法)"
+STRUCTURE_HEADER = r"(?i)^[一二三四五六七八九十]+[、.．]|^(题型|考点|知识点|专题|Part|Section|Lesson|Unit|Read|Passage|Exercise|Practice|Test|Quiz|Cloze|Writing|Grammar)"
+NUMBERED_QUESTION = NUMBER + r"\s*\S"
+FILL_IN = r"（填.*）"
+EXAM_YEAR = r"[（(]\s*\p{Nd}{4}\s*[.·]\s*"
+
+# Titles of tables of contents, headings that stand in for one, and what is taken off a heading.
+TOC_TITLES = ["目录", "Contents", "CONTENTS", "目  录"]
+NAV_HEADER = r"^(考情|基础|重难|拔高|真题|进阶|能力|综合|素养|方法|技巧|知识|考点|命题|考向)[·・]|^(基础训练|基础巩固|基础过关|基础达标|基础速刷|基础演练|基础练习|对点训练|即学即练|即时训练)$|^(培优训练|培优提升|提优训练|能力提升|能力跃升|能力进阶|能力突破|综合提升|拔高训练|拓展训练|课后三阶|巩固练习)$"
+NAV_DECOR = r"^[^\x{4e00}-\x{9fff}A-Za-z0-9]+"
+NAV_BRACKETS = r"^[【】\[\]（）()：: ]+|[【】\[\]（）()：: ]+$"
+NAV_ORDINAL = r"^[一二三四五六七八九十]+[、.．]\s*"
+PARENTHESES = r"[（(][^）)]*[）)]"
+NO_WORD = r"[^\p{L}\p{N}_]"
+
+# Words in names of versions, and what is said of files that are refused.
+TEACHER_WORDS = ["教师", "解析", "答案", "教师版", "解析版"]
+STUDENT_WORDS = ["学生", "学生版", "空白", "原卷", "原卷版"]
+BAD_KIND, SAME_NAME = "仅支持 ZIP 和 DOCX，请移除无效文件", "存在同名文件，请先重命名，避免素材覆盖"
+
+# Words that say nothing about a topic, in the order of use, version, textbook, school year and subject.
+TOPIC_NOISE = [
+    "专题讲义", "讲义", "专题", "训练题", "练习题", "测试题", "试题", "试卷", "习题", "练习", "训练", "测试", "导学案", "学案", "教案",
+    "复习讲义", "同步练习", "专题训练", "单元测试", "单元复习", "期中复习", "期末复习", "一轮复习", "二轮复习", "总复习", "综合复习",
+    "期中", "期末", "复习", "综合训练", "专题复习", "模块复习",
+    "解析版", "答案版", "教师版", "学生版", "空白版", "原卷版", "解析", "答案", "教师用", "学生用", "教师", "学生", "空白", "原卷",
+    "人教版", "人教A版", "人教B版", "人教2024版", "人教新目标", "北师大版", "苏教版", "沪教版", "鲁教版", "湘教版", "粤教版",
+    "华师大版", "浙教版", "冀教版", "青岛版", "北京版", "教科版", "外研版", "译林版", "牛津版", "仁爱版", "科普版",
+    "高一", "高二", "高三", "初中", "高中", "小学", "七年级", "八年级", "九年级", "必修", "选修", "选择性必修", "上册", "下册", "全册",
+    "学年", "学期", "上学期", "下学期", "数学", "语文", "英语", "物理", "化学", "生物", "政治", "历史", "地理",
+]
+
+# Patterns that are taken out of a name for its topic: of the whole name, of its parts, and of what is left, one after the other.
+TOPIC_WHOLE = r"[【\[][^】\]]*[】\]]|[（(][^）)]*[）)]|^\s*\p{Nd}{1,3}\s*[.．、)）]|^\s*第\s*\p{Nd}+\s+|^\s*第[一二三四五六七八九十百零\p{Nd}]+[章节讲]|\p{Nd}{4}\s*[-－—~]\s*\p{Nd}{4}|\p{Nd}{4}\s*学年"
+TOPIC_SPLIT = r"[\s·\-－—_/,，、;；:：]+"
+TOPIC_PART = r"第[一二三四五六七八九十百零\p{Nd}]+[章节讲段课单元模块部分]|第\s*\p{Nd}+\s+|第\s*\p{Nd}+\s*[章节讲段课单元模块部分]|\b\p{Nd}+\s*[章节讲段课单元模块部分]"
+TOPIC_LEFT = [
+    r"^\s*\p{Nd}+\s*[.．、)）:：]?\s*",
+    r"^第\s*\p{Nd}+(\.\p{Nd}+)?\s*[章节讲段课单元模块部分]?\s*",
+    r"^\p{Nd}{1,3}\s+",
+    r"^(考点|知识点|专题|题型|第[一二三]\s*讲)\s*\p{Nd}*\s*",
+    r"[（(]\p{Nd}{4}\s*[-－—~]\s*\p{Nd}{4}[）)]",
+    r"\p{Nd}{4}\s*[-－—~]\s*\p{Nd}{4}",
+    r"[（(]\p{Nd}{4}[）)]",
+    r"[^\x{4e00}-\x{9fff}\p{L}\p{N}_\s]",
+]
+TOPIC_EDGE_PART = r"^[（）()【】\[\] \-_·]+|[（）()【】\[\] \-_·]+$"
+TOPIC_EDGE = r"^[（）()【】\[\] \-_·，,。.：:！!？?、]+|[（）()【】\[\] \-_·，,。.：:！!？?、]+$"
+EXTENSION = r"([^.])\.[^.]*$"

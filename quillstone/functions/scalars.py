@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+def number(digits: Column) -> Column:
+    """The number that full-width or plain digits spell; null for other scripts and for none."""
+    return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def short(text: Column, limit: int) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
@@ -39,14 +44,32 @@ def cosine(a: Column, b: Column) -> Column:
 def clean_toc_name(line: Column) -> Column:
     """A line of a table of contents without its leader dots and page number."""
     t = F.trim(line)
-    name = F.regexp_extract(t, r"^(.+?)\s*\.{5,}\s*[0-9]*\s*$", 1)
-    return F.when(name != "", F.trim(name)).otherwise(F.trim(F.regexp_replace(t, r"\.{3,}\s*[0-9]*$", "")))
+    name = F.regexp_extract(t, r"^(.+?)\s*\.{5,}\s*\p{Nd}*\s*$", 1)
+    return F.when(name != "", F.trim(name)).otherwise(F.trim(F.regexp_replace(t, r"\.{3,}\s*\p{Nd}*$", "")))
 
 
 def toc_role(name: Column) -> Column:
     """advanced_practice, basic_practice, practice or knowledge, by words first and then by numbers; null for neither."""
     has = lambda words: name.rlike("|".join(words))
-    section = F.regexp_extract(name, P.TOC_SECTION, 1)
+    section = number(F.regexp_extract(name, P.TOC_SECTION, 1))
     by_word = F.when(has(P.TOC_ADVANCED), "advanced_practice").when(has(P.TOC_BASIC), "basic_practice").when(has(P.TOC_PRACTICE), "practice").when(has(P.TOC_KNOWLEDGE), "knowledge")
-    by_number = F.when(section.isin("0", "1", "2", "3"), "knowledge").when(section == "4", "basic_practice").when(section != "", "advanced_practice")
+    by_number = F.when(section <= 3, "knowledge").when(section == 4, "basic_practice").when(section > 4, "advanced_practice")
     return F.coalesce(by_word, by_number, F.when(name.rlike(P.TOC_NUMBERED), "practice"))
+
+
+def topic(name: Column, fallback: Column | None = None) -> Column:
+    """What a file is about: its name without folders, extension, numbers, years and words of use; else the fallback, else its bare name."""
+    bare = F.regexp_replace(F.substring_index(name, "/", -1), P.EXTENSION, "$1")
+    parts = F.split(F.regexp_replace(bare, P.TOPIC_WHOLE, " "), P.TOPIC_SPLIT)
+    noise = F.array(*(F.lit(w) for w in sorted(P.TOPIC_NOISE, key=len, reverse=True)))
+
+    def cleaned(part: Column) -> Column:
+        left = F.aggregate(noise, part, lambda acc, w: F.replace(acc, w, F.lit("")))
+        return F.trim(F.regexp_replace(F.regexp_replace(left, P.TOPIC_PART, ""), P.TOPIC_EDGE_PART, ""))
+
+    kept = F.filter(F.transform(F.filter(parts, lambda p: (p != "") & ~p.isin(P.TOPIC_NOISE)), cleaned), lambda p: (p != "") & ~p.isin(P.TOPIC_NOISE))
+    left = F.array_join(kept, " ")
+    for pattern in P.TOPIC_LEFT:
+        left = F.regexp_replace(left, pattern, "")
+    left = F.trim(F.regexp_replace(left, P.TOPIC_EDGE, ""))
+    return F.coalesce(F.nullif(left, F.lit("")), F.nullif(fallback if fallback is not None else F.lit(None).cast("string"), F.lit("")), bare)

@@ -10,7 +10,17 @@ from ..functions import patterns as P
 from ..functions import scalars
 from .segments import block, fold_numbers, ordered, share
 
-CANDIDATE = "array<struct<kind:string,para:int,score:int,reason:string,source:string,seq:int>>"
+CANDIDATE = "array<struct<kind:string,para:int,score:int,reason:string,text:string,source:string,seq:int>>"
+PRACTICE, CONSOLIDATION = "practice_start", "consolidation_start"
+
+# The reasons of candidates and of reviews, which are output.
+SECTION_04, SECTION_05 = "学科网 04 练习章节", "学科网 05 课后三阶/巩固章节"
+PRACTICE_WORD, CONSOLIDATION_WORD, READING = "练习标记：", "巩固标记：", "阅读理解/真题再现起点"
+DENSE_STRONG, DENSE_LATE, DENSE_EARLY = "连续编号题且有年份/选项/填空特征", "文档中后段出现连续编号题", "较早出现连续编号题，可能是知识编号，低置信"
+BY_COUNT, BY_SHARE = "未发现明确巩固标记，按题目数量 70% 兜底", "未发现明确巩固标记，按段落比例 70% 兜底"
+NO_PRACTICE, NO_CONSOLIDATION = "缺少即时训练候选", "缺少巩固练习候选"
+PRACTICE_UNSURE, CONSOLIDATION_UNSURE = "即时训练候选置信度偏低：", "巩固练习候选置信度偏低："
+SEVERAL_PRACTICES, SEVERAL_CONSOLIDATIONS, CLEAR = "即时训练存在多个高分候选", "巩固练习存在多个高分候选", "离线候选足够明确"
 
 
 def first_word(text: Column, words: list[str]) -> Column:
@@ -20,7 +30,7 @@ def first_word(text: Column, words: list[str]) -> Column:
 
 def candidate(when: Column, kind: str, score: Column | int, reason: Column | str, source: str, seq: int) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col("para"), lit(score).alias("score"), lit(reason).alias("reason"), F.lit(source).alias("source"), F.lit(seq).alias("seq")))
+    return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col("para"), lit(score).alias("score"), lit(reason).alias("reason"), scalars.short(F.col("text"), 80).alias("text"), F.lit(source).alias("source"), F.lit(seq).alias("seq")))
 
 
 def of_row() -> Column:
@@ -28,11 +38,11 @@ def of_row() -> Column:
     t, section = F.col("text"), F.regexp_extract("text", P.COURSE_SECTION, 1)
     practice, consolidation = first_word(t, P.PRACTICE_WORDS), first_word(t, P.CONSOLIDATION_WORDS)
     said = F.array(
-        candidate(section == "04", "practice", 96, "section 04", "toc", 1),
-        candidate(section == "05", "consolidation", 98, "section 05", "toc", 2),
-        candidate(practice.isNotNull(), "practice", F.when(practice.isin(P.STRONG_PRACTICE_WORDS), 97).otherwise(90), F.concat(F.lit("word "), practice), "marker", 3),
-        candidate(consolidation.isNotNull(), "consolidation", F.when(consolidation.isin(P.STRONG_CONSOLIDATION_WORDS), 98).otherwise(91), F.concat(F.lit("word "), consolidation), "marker", 4),
-        candidate(t.rlike(P.READING_START), "practice", 88, "reading", "reading", 5),
+        candidate(section == "04", PRACTICE, 96, SECTION_04, "toc", 1),
+        candidate(section == "05", CONSOLIDATION, 98, SECTION_05, "toc", 2),
+        candidate(practice.isNotNull(), PRACTICE, F.when(practice.isin(P.STRONG_PRACTICE_WORDS), 97).otherwise(90), F.concat(F.lit(PRACTICE_WORD), practice), "marker", 3),
+        candidate(consolidation.isNotNull(), CONSOLIDATION, F.when(consolidation.isin(P.STRONG_CONSOLIDATION_WORDS), 98).otherwise(91), F.concat(F.lit(CONSOLIDATION_WORD), consolidation), "marker", 4),
+        candidate(t.rlike(P.READING_START), PRACTICE, 88, READING, "reading", 5),
     )
     near = lambda lo, hi, no: F.coalesce(F.max(F.regexp_extract("text", P.COURSE_SECTION, 1) == no).over(ordered().rangeBetween(lo, hi)), F.lit(False))
     listed = ((section == "04") & near(1, 2, "05")) | ((section == "05") & near(-2, -1, "04"))
@@ -42,10 +52,11 @@ def of_row() -> Column:
 def dense(first: Column, last: Column, numbered: Column, hits: Column, near: int = 18) -> Column:
     """The first three questions in a row within ``near`` paragraphs, as a candidate."""
     at = F.get(F.filter(hits, lambda p, i: F.get(hits, i + 2) - p <= near), F.lit(0))
-    strong = F.get(F.filter(numbered, lambda x: x["para"] == at), F.lit(0))["strong"]
+    row = F.get(F.filter(numbered, lambda x: x["para"] == at), F.lit(0))
+    strong = row["strong"]
     late = (at - first) / F.greatest(last - first, F.lit(1)) >= 0.25
-    score, reason = F.when(strong, 86).when(late, 74).otherwise(62), F.when(strong, "questions with years, options or blanks").when(late, "questions, late").otherwise("questions, early")
-    return F.when(at.isNotNull(), F.struct(F.lit("practice").alias("kind"), at.alias("para"), score.alias("score"), reason.alias("reason"), F.lit("density").alias("source"), F.lit(6).alias("seq")))
+    score, reason = F.when(strong, 86).when(late, 74).otherwise(62), F.when(strong, DENSE_STRONG).when(late, DENSE_LATE).otherwise(DENSE_EARLY)
+    return F.when(at.isNotNull(), F.struct(F.lit(PRACTICE).alias("kind"), at.alias("para"), score.alias("score"), reason.alias("reason"), row["head"].alias("text"), F.lit("question_density").alias("source"), F.lit(6).alias("seq")))
 
 
 def collected(paras: DataFrame) -> DataFrame:
@@ -56,7 +67,7 @@ def collected(paras: DataFrame) -> DataFrame:
     f = paras.withColumns({"said": of_row(), "strong": t.rlike(P.YEAR_TAG) | t.rlike(P.BLANK) | option_near})
     d = f.groupBy("doc_id").agg(
         F.min("para").alias("first"), F.max("para").alias("last"), F.flatten(F.collect_list("said")).cast(CANDIDATE).alias("said"),
-        F.array_sort(F.collect_list(F.when(number != "", F.struct("para", number.cast("int").alias("number"), "strong")))).alias("numbered"),
+        F.array_sort(F.collect_list(F.when(number != "", F.struct("para", scalars.number(number).alias("number"), "strong", scalars.short(t, 80).alias("head"))))).alias("numbered"),
     )
     d = d.withColumn("hits", fold_numbers(F.col("numbered"), False))
     with_dense = F.array_compact(F.array_append("said", dense(F.col("first"), F.col("last"), F.col("numbered"), F.col("hits")))).cast(CANDIDATE)
@@ -67,14 +78,14 @@ def merged(found: DataFrame) -> DataFrame:
     """A row for each kind and paragraph: the best score with its source, and all reasons once, in order of arrival."""
     c = found.select("doc_id", F.explode("said").alias("c")).select("doc_id", "c.*")
     reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda x: x["reason"]))
-    return c.groupBy("doc_id", "kind", "para").agg(F.max("score").alias("score"), F.max_by("source", F.struct("score", -F.col("seq"))).alias("source"), F.array_join(reasons, "；").alias("reason"))
+    return c.groupBy("doc_id", "kind", "para").agg(F.max("score").alias("score"), F.max_by("text", F.struct("score", -F.col("seq"))).alias("text"), F.max_by("source", F.struct("score", -F.col("seq"))).alias("source"), F.array_join(reasons, "；").alias("reason"))
 
 
 def chosen(found: DataFrame) -> DataFrame:
     """``found`` with practice and consolidation (structs of para, score and source; null if none) and the best two of each kind."""
     ranked = lambda kind: F.array_sort(F.transform(F.filter("said", lambda c: c["kind"] == kind), lambda c: F.struct((-c["score"]).alias("less"), c["para"].alias("para"), c["seq"].alias("seq"), c["source"].alias("source"))))
     pick = lambda c: F.when(c.isNotNull(), F.struct(c["para"].alias("para"), (-c["less"]).alias("score"), c["source"].alias("source")))
-    f = found.withColumns({"practices": ranked("practice"), "consolidations": ranked("consolidation")})
+    f = found.withColumns({"practices": ranked(PRACTICE), "consolidations": ranked(CONSOLIDATION)})
     f = f.withColumn("practice", pick(F.get("practices", F.lit(0))))
     p, last = F.col("practice.para"), F.col("last")
     later = F.filter("hits", lambda x: x >= p)
@@ -104,7 +115,7 @@ def candidate_blocks(found: DataFrame) -> DataFrame:
 
 
 def review(found: DataFrame) -> DataFrame:
-    """doc_id and why the choice wants a review, the first reason that holds; none if it doesn't."""
+    """doc_id, whether the choice wants a review, and the first reason that holds."""
 
     def close(name):
         best = F.get(name, F.lit(0))
@@ -112,16 +123,18 @@ def review(found: DataFrame) -> DataFrame:
         return F.coalesce((second["less"] - best["less"] <= 5) & (F.abs(second["para"] - best["para"]) >= 20), F.lit(False))
 
     why = (
-        F.when(F.col("practice").isNull(), "no practice").when(F.col("consolidation").isNull(), "no consolidation").when(F.col("practice.score") < 80, "practice unsure").when(F.col("consolidation.score") < 80, "consolidation unsure")
-        .when(close("practices"), "several practices").when(close("consolidations"), "several consolidations").otherwise("none")
+        F.when(F.col("practice").isNull(), NO_PRACTICE).when(F.col("consolidation").isNull(), NO_CONSOLIDATION)
+        .when(F.col("practice.score") < 80, F.concat(F.lit(PRACTICE_UNSURE), F.col("practice.score").cast("string"))).when(F.col("consolidation.score") < 80, F.concat(F.lit(CONSOLIDATION_UNSURE), F.col("consolidation.score").cast("string")))
+        .when(close("practices"), SEVERAL_PRACTICES).when(close("consolidations"), SEVERAL_CONSOLIDATIONS).otherwise(CLEAR)
     )
-    return chosen(found).select("doc_id", why.alias("why"))
+    # a fallback never scores 80, so that its source needs no test of its own
+    return chosen(found).select("doc_id", (why != CLEAR).alias("wanted"), why.alias("reason"))
 
 
 def report(found: DataFrame, top: int = 6) -> DataFrame:
-    """A line for each document and kind: its ``top`` best candidates."""
+    """A line for each of the ``top`` best candidates of a document and kind, in their order, as reports print them."""
     w = Window.partitionBy("doc_id", "kind").orderBy(F.desc("score"), "para")
     best = merged(found).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= top)
-    line = F.concat_ws(" ", F.col("para").cast("string"), F.col("score").cast("string"), "source", "reason")
+    line = F.concat(F.lit("  ["), F.lpad(F.col("score").cast("string"), 3, " "), F.lit("] 段落 "), F.col("para").cast("string"), F.lit(": "), F.col("reason"), F.lit(" | "), F.col("text"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
     return best.groupBy("doc_id", "kind").agg(lines.alias("lines"))

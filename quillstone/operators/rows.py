@@ -21,40 +21,45 @@ def so_far():
     return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def numbered(text: Column) -> Column:
-    return text.rlike(P.NUMBER)
-
-
-def header(text: Column) -> Column:
-    """Where what stands under an answer or a question ends."""
-    return numbered(text) | text.rlike(P.KNOWLEDGE_HEADING) | text.rlike(P.TYPE_MARKER)
+def question_headers(paras: DataFrame) -> DataFrame:
+    """``paras`` with ``head``, the last header of a question so far."""
+    return paras.withColumn("head", F.max(F.when(F.col("text").rlike(P.QUESTION_HEADER), F.col("para"))).over(so_far()))
 
 
 def question_spans(paras: DataFrame) -> DataFrame:
-    """Each numbered paragraph with the last one before the next header or the end of the document."""
-    f = paras.withColumn("end_of_doc", F.max("para").over(doc())).filter(header(F.col("text")))
-    f = f.withColumn("end_para", F.coalesce(F.lead("para").over(ordered()) - 1, "end_of_doc"))
-    return f.filter(numbered(F.col("text"))).select("doc_id", F.col("para").alias("start_para"), F.col("end_para").cast("int").alias("end_para"))
+    """Each header of a question with the last paragraph before the next one or the end of the document."""
+    f = question_headers(paras).filter("head IS NOT NULL")
+    return f.groupBy("doc_id", F.col("head").alias("start_para")).agg(F.max("para").alias("end_para"))
 
 
 def question_kinds(paras: DataFrame) -> DataFrame:
-    """choice, blank or short for each question, by the paragraphs under it."""
+    """choice, blank or short for each question, by the paragraphs of its span, and the rows of answer space that it gets."""
     t = F.col("text")
-    f = paras.withColumn("head", F.last(F.when(header(t), F.struct("para", numbered(t).alias("question"))), True).over(so_far())).filter("head.question")
-    kind = F.when(F.bool_or(t.rlike(P.OPTION)), "choice").when(F.bool_or(t.rlike(P.BLANK)), "blank").otherwise("short")
-    return f.groupBy("doc_id", F.col("head.para").alias("para")).agg(kind.alias("kind"))
+    kind = F.when(F.bool_or(t.rlike(P.CHOICE_LINE)), "choice").when(F.bool_or(t.rlike(P.BLANK_SPACE)), "blank").otherwise("short")
+    f = question_headers(paras).filter("head IS NOT NULL")
+    found = f.groupBy("doc_id", F.col("head").alias("para")).agg(kind.alias("kind"), F.max("para").alias("end_para"))
+    # a numbered part is a header of its own, so that a span never has more than one
+    return found.withColumn("space", F.when(F.col("kind") == "short", 3).otherwise(0))
+
+
+def answer_space(paras: DataFrame) -> DataFrame:
+    """``paras`` (doc_id, para, text) with empty rows behind questions that have neither options nor blanks, counted anew."""
+    spaces = question_kinds(paras).filter("space > 0").select("doc_id", F.col("end_para").alias("para"), F.explode(F.expr("sequence(1, space)")).alias("extra"), F.lit("").alias("text"))
+    every = paras.select("doc_id", "para", F.lit(0).alias("extra"), "text").unionByName(spaces)
+    return every.select("doc_id", F.row_number().over(doc().orderBy("para", "extra")).alias("para"), "text")
 
 
 def compress_blanks(paras: DataFrame) -> DataFrame:
-    """One empty paragraph of each run stays, the last."""
-    following = F.lead("text").over(ordered())
-    return paras.withColumn("following", following).filter(~((F.col("text") == "") & F.coalesce(F.col("following") == "", F.lit(False)))).drop("following")
+    """One empty paragraph of each run stays, the last; a document's first paragraph always does."""
+    f = paras.withColumns({"following": F.lead("text").over(ordered()), "first": F.min("para").over(doc())})
+    return f.filter(~((F.col("text") == "") & F.coalesce(F.col("following") == "", F.lit(False)) & (F.col("para") > F.col("first")))).drop("following", "first")
 
 
 def renumber(paras: DataFrame) -> DataFrame:
-    """Numbered paragraphs get the numbers from 1 in order."""
-    at = F.row_number().over(Window.partitionBy("doc_id", numbered(F.col("text"))).orderBy("para"))
-    text = F.when(numbered(F.col("text")), F.concat(F.col("at").cast("string"), F.regexp_replace("text", r"^\s*[0-9]{1,3}", ""))).otherwise(F.col("text"))
+    """Exam questions (a number and a year in brackets) get the numbers from 1 in order."""
+    asked = F.col("text").rlike(P.EXAM_QUESTION)
+    at = F.row_number().over(Window.partitionBy("doc_id", asked).orderBy("para"))
+    text = F.when(asked, F.regexp_replace("text", r"^(\s*)\p{Nd}{1,3}", F.concat(F.lit("$1"), F.col("at").cast("string")))).otherwise(F.col("text"))
     return paras.withColumn("at", at).select("doc_id", "para", text.alias("text"))
 
 
@@ -71,7 +76,7 @@ def gap_runs(marked: DataFrame, gap: int = 3, least: int = 3) -> DataFrame:
 
 
 def answer_ranges(paras: DataFrame) -> DataFrame:
-    """What answers take with them: from the marker to before the next header; ranges that meet are one."""
+    """What answers take with them: from the marker to before the next section or topic; ranges that meet are one."""
     f = _answers(paras).filter("gone")
     f = f.withColumn("run", F.col("para") - F.row_number().over(ordered()))
     return f.groupBy("doc_id", "run").agg(F.min("para").alias("start_para"), F.max("para").alias("end_para")).drop("run")
@@ -79,9 +84,8 @@ def answer_ranges(paras: DataFrame) -> DataFrame:
 
 def _answers(paras: DataFrame) -> DataFrame:
     t = F.col("text")
-    marker = F.max(F.when(t.contains(P.ANSWER), F.col("para"))).over(so_far())
-    head = F.max(F.when(header(t), F.col("para"))).over(so_far())
-    return paras.withColumns({"marker": marker, "head": head}).withColumn("gone", F.col("marker").isNotNull() & (F.coalesce("head", F.lit(0)) <= F.col("marker")))
+    last = lambda pattern: F.max(F.when(t.rlike(pattern), F.col("para"))).over(so_far())
+    return paras.withColumns({"marker": last(P.ANSWER), "head": last(P.ANSWER_ENDS)}).withColumn("gone", F.col("marker").isNotNull() & (F.coalesce("head", F.lit(0)) <= F.col("marker")))
 
 
 def student_rows(paras: DataFrame) -> DataFrame:
@@ -90,19 +94,40 @@ def student_rows(paras: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.row_number().over(ordered()).alias("para"), "text")
 
 
-def density(paras: DataFrame, near: int = 18) -> DataFrame:
-    """The first numbered paragraph that two more follow within ``near`` paragraphs."""
-    f = paras.filter(F.col("text").rlike(P.NUMBER + r"\s*\S")).withColumn("third", F.lead("para", 2).over(ordered()))
-    return f.filter(F.col("third") - F.col("para") <= near).groupBy("doc_id").agg(F.min("para").alias("para"))
+#: Paragraphs at the beginning of a document that may be its table of contents.
+CONTENTS_END = 20
+
 
+def practice_boundary(paras: DataFrame, spans: DataFrame) -> DataFrame:
+    """Where advanced practice begins within the practice of each document (spans: doc_id, start_para, end_para).
 
-def practice_boundary(paras: DataFrame) -> DataFrame:
-    """Where advanced practice begins: the first pair of headings, in the order of the pairs, both of which occur in order."""
+    The first pair of headings, in the order of the pairs, of which the basic one occurs and then, or in the same
+    paragraph, the advanced one; where there is none, the first paragraph with any advanced heading.
+    """
+    inside = F.col("para").between(F.greatest("start_para", F.lit(CONTENTS_END + 1)), F.col("end_para"))
     each = F.array(*(F.struct(F.lit(k).alias("pair"), F.col("text").contains(b).alias("basic"), F.col("text").contains(a).alias("advanced")) for k, (b, a) in enumerate(P.PRACTICE_PAIRS)))
-    f = paras.select("doc_id", "para", F.explode(F.filter(each, lambda x: x["basic"] | x["advanced"])).alias("x")).select("doc_id", "para", "x.*")
+    f = paras.select("doc_id", "para", F.filter(each, lambda x: x["basic"] | x["advanced"]).alias("said")).filter("size(said) > 0")
+    f = f.join(spans, "doc_id").filter(inside).select("doc_id", "para", F.explode("said").alias("x")).select("doc_id", "para", "x.*")
     w = Window.partitionBy("doc_id", "pair").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("since", F.min(F.when(F.col("basic"), F.col("para"))).over(w)).filter(F.col("advanced") & F.col("since").isNotNull())
-    return f.groupBy("doc_id").agg(F.min(F.struct("pair", "para")).alias("x")).select("doc_id", F.col("x.para").alias("para"))
+    paired = F.col("advanced") & F.max("basic").over(w)
+    last = F.lit(len(P.PRACTICE_PAIRS))
+    f = f.withColumn("rank", F.when(paired, F.col("pair")).when(F.col("advanced"), last)).filter("rank IS NOT NULL")
+    return f.groupBy("doc_id").agg(F.min(F.struct("rank", "para")).alias("x")).select("doc_id", F.col("x.para").alias("para"))
+
+
+def refined(blocks: DataFrame, paras: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, ord, marker, start_para, end_para) with drill and consolidation cut at the practice boundary.
+
+    Only a boundary strictly inside the practice moves anything; a consolidation block that begins at or behind it stays.
+    """
+    drill, later = F.col("marker") == P.MARKER_DRILL, F.col("marker").isin(P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION)
+    filled = F.col("start_para") <= F.col("end_para")
+    spans = blocks.filter((drill | later) & filled).groupBy("doc_id").agg(F.min_by("start_para", "ord").alias("start_para"), F.max("end_para").alias("end_para"))
+    found = practice_boundary(paras, spans).join(spans, "doc_id").filter("start_para < para AND para < end_para").select("doc_id", F.col("para").alias("cut"))
+    cut = F.col("cut")
+    start = F.when(later & filled & (cut > F.col("start_para")), cut).otherwise(F.col("start_para"))
+    end = F.when(drill & filled & cut.isNotNull(), cut - 1).otherwise(F.col("end_para"))
+    return blocks.join(found, "doc_id", "left").withColumns({"s": start, "e": end}).select(*(F.col({"start_para": "s", "end_para": "e"}.get(c, c)).alias(c) for c in blocks.columns))
 
 
 def extent(paras: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import scalars
 
 
 def weight(text: Column, table: list[tuple[str, int]]) -> Column:
@@ -42,4 +43,4 @@ def scored(paras: DataFrame) -> DataFrame:
 def type_positions(paras: DataFrame) -> DataFrame:
     """The last paragraph of each numbered type marker."""
     n = F.regexp_extract("text", P.TYPE_MARKER, 1)
-    return paras.withColumn("type_no", n).filter(n != "").groupBy("doc_id", F.col("type_no").cast("int").alias("type_no")).agg(F.max("para").alias("para"))
+    return paras.withColumn("type_no", n).filter(n != "").groupBy("doc_id", scalars.number(F.col("type_no")).alias("type_no")).agg(F.max("para").alias("para"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
+from ..functions import scalars
 from .scoring import scored
 
 
@@ -58,7 +59,7 @@ def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None) -> Data
     """
     extra = extra or {}
     f = marked(paras)
-    rows = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("para", F.col(c).cast("int").alias("number")))))
+    rows = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("para", scalars.number(F.col(c)).alias("number")))))
     before = F.col("para") < F.col("b0")
     docs = f.groupBy("doc_id").agg(
         F.min("para").alias("first"), F.max("para").alias("last"), F.count("*").alias("n"), F.first("b0").alias("b0"),

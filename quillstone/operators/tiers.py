@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import scalars
 from .segments import before, block, boundaries, cut_at, doc, ordered, share
 
 
@@ -77,7 +78,7 @@ def surveyed(paras: DataFrame) -> DataFrame:
         {
             "separator": F.min(separated()),
             "practice": F.min(F.when((F.col("section_type") == "practice") | F.col("is_boundary"), F.col("para"))),
-            "types": F.array_sort(F.collect_list(F.when(no != "", F.struct(no.cast("int").alias("no"), "para")))),
+            "types": F.array_sort(F.collect_list(F.when(no != "", F.struct(scalars.number(no).alias("no"), "para")))),
             "blanks": gathered(t == ""),
             "headers": gathered(t.rlike(P.SECTION_HEADER)),
             "events": reading_events(),
@@ -139,6 +140,14 @@ def example_groups(paras: DataFrame, most: float = 0.4) -> DataFrame:
     return g.withColumn("sound", F.sum(F.expr("end_para - start_para + 1")).over(doc()) <= F.col("total") * F.lit(most)).drop("total")
 
 
+def without_examples(paras: DataFrame, most: float = 0.4) -> DataFrame:
+    """``paras`` (doc_id, para, text) without their example groups, counted anew; documents whose groups aren't sound stay whole."""
+    groups = example_groups(paras, most).filter("sound").groupBy("doc_id").agg(F.collect_list(F.struct("start_para", "end_para")).alias("groups"))
+    inside = F.exists(F.coalesce("groups", F.array().cast("array<struct<start_para:int,end_para:int>>")), lambda g: F.col("para").between(g["start_para"], g["end_para"]))
+    kept = paras.join(groups, "doc_id", "left").filter(~inside)
+    return kept.select("doc_id", F.row_number().over(ordered()).alias("para"), "text")
+
+
 def ideal_split(paras: DataFrame, size: int = 10) -> DataFrame:
     """Blocks of documents with type headings and two exam questions or more: by their sectors, or else ``size`` questions to drill."""
     t = F.col("text")

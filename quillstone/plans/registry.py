@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, candidates, rows, scoring, segments, tiers
+from ..operators import assembly, candidates, contents, hybrid, manifests, rows, scoring, segments, tiers
 from ..sources import corpora
 
 
@@ -24,20 +24,24 @@ def weights(table) -> str:
 
 _ODD = q(corpora.ODD_SPACE.replace("\t", "\\t").replace("\x0b", "\\v").replace("\f", "\\f").replace("\r", "\\r"))
 C1 = f"c AS (SELECT doc_id, CAST(generate_subscripts(l, 1) AS INT) AS para, trim(regexp_replace(unnest(l), {_ODD}, ' ', 'g'), ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
+C3 = "c AS (" + corpora.CONTENTS.replace("{handouts}", corpora.HANDOUTS).replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
 C2 = "c AS (" + corpora.HANDOUTS.replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
 BOUND = "(" + " OR ".join(rx(p) for p in P.BOUNDARY) + ")"
-HEAD = f"({rx(P.NUMBER)} OR {rx(P.KNOWLEDGE_HEADING)} OR {rx(P.TYPE_MARKER)})"
 SECTION = "CASE " + " ".join(f"WHEN {rx(p)} THEN {q(k)}" for p, k in P.SECTION) + " END"
 W = "OVER (PARTITION BY doc_id ORDER BY para)"
 
 
+def number(digits: str) -> str:
+    return f"TRY_CAST(translate({digits}, '０１２３４５６７８９', '0123456789') AS INT)"
+
+
 def after(pattern: str) -> str:
     return f"length(trim(regexp_replace(text, {q(pattern)}, ''), ' '))"
 
 
-def fold_sql(name: str, number: str, condition: str, begin: str) -> str:
+def fold_sql(name: str, pattern: str, condition: str, begin: str) -> str:
     """Paragraphs with a number, walked in order; hit is whether a row goes on from those before."""
-    return f"""{name}_r AS (SELECT doc_id, para, CAST(regexp_extract(text, {q(number)}, 1) AS INT) AS num, row_number() {W} AS rn FROM c WHERE {condition}),
+    return f"""{name}_r AS (SELECT doc_id, para, {number(f"regexp_extract(text, {q(pattern)}, 1)")} AS num, row_number() {W} AS rn FROM c WHERE {condition}),
 {name}_w AS (SELECT doc_id, para, rn, num <= 2 AS hit, CASE WHEN num <= 2 THEN num ELSE 0 END AS last, CASE WHEN num <= 2 THEN 1 ELSE 0 END AS hits FROM {name}_r WHERE rn = 1 AND num <> 1
   UNION ALL SELECT doc_id, para, rn, true, 1, 1 FROM {name}_r WHERE rn = 1 AND num = 1
   UNION ALL SELECT r.doc_id, r.para, r.rn, r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin}, CASE WHEN r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin} THEN r.num ELSE w.last END, w.hits + CASE WHEN r.num = w.last + 1 OR (r.num = 1 AND w.last >= 1) OR {begin} THEN 1 ELSE 0 END
@@ -68,7 +72,7 @@ UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(cutp + 1 AS INT),
 AUTO = boundary_sql(C2) + f""", fe AS (SELECT *, lead(para, 1) {W} AS p1, lead(text, 1) {W} AS t1, lead(para, 2) {W} AS p2, lead(text, 2) {W} AS t2 FROM c),
 sp AS (SELECT doc_id, p1 AS at_p, coalesce({rx(P.ENGLISH)} AND p2 = para + 2 AND {rx(P.ENGLISH, 't2')}, false) AS prose FROM fe WHERE regexp_matches(regexp_replace(text, '/+$', ''), {q(P.SEPARATOR)}) AND p1 = para + 1 AND ({rx(P.SECTION_HEADER, 't1')} OR {rx(P.PART_HEADER, 't1')}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY para) = 1),
 tk AS (SELECT doc_id, min(para) AS taken FROM c WHERE {BOUND} OR ({SECTION}) = 'practice' GROUP BY doc_id),
-ty AS (SELECT doc_id, CAST(regexp_extract(text, {q(P.TYPE_MARKER)}, 1) AS INT) AS no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL),
+ty AS (SELECT doc_id, {number(f"regexp_extract(text, {q(P.TYPE_MARKER)}, 1)")} AS no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL),
 tl AS (SELECT doc_id, list(para ORDER BY no) AS types FROM ty GROUP BY doc_id),
 bl AS (SELECT doc_id, list(para ORDER BY para) FILTER (text = '') AS blanks, list(para ORDER BY para) FILTER ({rx(P.SECTION_HEADER)}) AS headers FROM c GROUP BY doc_id),
 pl AS (SELECT doc_id, list(para ORDER BY para) AS points FROM pts GROUP BY doc_id),
@@ -98,10 +102,15 @@ for _s, _lo in (("s2", "s1"), ("s3", "(s2 - k2)")):
     IMAGES = IMAGES.replace("{back('" + _s + "', '" + _lo + "')}", f"CASE WHEN {_at[0]} AND {_at[1]} AND {_at[2]} THEN 3 WHEN {_at[0]} AND {_at[1]} THEN 2 WHEN {_at[0]} THEN 1 ELSE 0 END")
 
 
+def short_sql(column: str, limit: int = 80) -> str:
+    t = f"trim(regexp_replace({column}, '\\s+', ' ', 'g'), ' ')"
+    return f"CASE WHEN length({t}) > {limit} THEN concat(substring({t}, 1, {limit - 1}), '…') ELSE {t} END"
+
+
 def words_sql(words: list[str], strong: list[str], kind: str, scores: tuple[int, int], seq: int) -> str:
     word = "CASE " + " ".join(f"WHEN contains(text, {q(w)}) THEN {q(w)}" for w in words) + " END"
     listed = ", ".join(q(w) for w in strong)
-    return f"SELECT doc_id, '{kind}' AS kind, para, CASE WHEN word IN ({listed}) THEN {scores[0]} ELSE {scores[1]} END AS score, concat('word ', word) AS reason, 'marker' AS source, {seq} AS seq FROM (SELECT *, {word} AS word FROM ok) WHERE word IS NOT NULL"
+    return f"SELECT doc_id, '{kind}' AS kind, para, CASE WHEN word IN ({listed}) THEN {scores[0]} ELSE {scores[1]} END AS score, concat({q(candidates.PRACTICE_WORD if kind == candidates.PRACTICE else candidates.CONSOLIDATION_WORD)}, word) AS reason, {short_sql("text")} AS text, 'marker' AS source, {seq} AS seq FROM (SELECT *, {word} AS word FROM ok) WHERE word IS NOT NULL"
 
 
 CANDIDATES = f"""WITH RECURSIVE {C2}, {fold_sql("n", P.NUMBER + r"\s*\S", rx(P.NUMBER + r"\s*\S"), "r.num <= 2")},
@@ -110,16 +119,16 @@ se AS (SELECT *, regexp_extract(text, {q(P.COURSE_SECTION)}, 1) AS sec FROM c),
 ok AS (SELECT * FROM se WHERE text <> '' AND NOT {rx(P.DOTTED)} AND NOT (sec = '04' AND EXISTS (SELECT 1 FROM se y WHERE y.doc_id = se.doc_id AND y.sec = '05' AND y.para - se.para BETWEEN 1 AND 2)) AND NOT (sec = '05' AND EXISTS (SELECT 1 FROM se y WHERE y.doc_id = se.doc_id AND y.sec = '04' AND se.para - y.para BETWEEN 1 AND 2))),
 hit AS (SELECT doc_id, para, lead(para, 2) {W} AS third FROM n_w WHERE hit),
 de AS (SELECT doc_id, min(para) AS para FROM hit WHERE third - para <= 18 GROUP BY doc_id),
-ds AS (SELECT de.doc_id, de.para, {rx(P.YEAR_TAG)} OR {rx(P.BLANK)} OR EXISTS (SELECT 1 FROM c y WHERE y.doc_id = c.doc_id AND y.para > c.para AND y.para <= c.para + 5 AND {rx(P.OPTION, 'y.text')}) AS strong, (de.para - first) / greatest(last - first, 1)::DOUBLE >= 0.25 AS late FROM de JOIN c USING (doc_id, para) JOIN e0 USING (doc_id)),
-ca AS (SELECT doc_id, 'practice' AS kind, para, 96 AS score, 'section 04' AS reason, 'toc' AS source, 1 AS seq FROM ok WHERE sec = '04'
-  UNION ALL SELECT doc_id, 'consolidation', para, 98, 'section 05', 'toc', 2 FROM ok WHERE sec = '05'
-  UNION ALL {words_sql(P.PRACTICE_WORDS, P.STRONG_PRACTICE_WORDS, 'practice', (97, 90), 3)}
-  UNION ALL {words_sql(P.CONSOLIDATION_WORDS, P.STRONG_CONSOLIDATION_WORDS, 'consolidation', (98, 91), 4)}
-  UNION ALL SELECT doc_id, 'practice', para, 88, 'reading', 'reading', 5 FROM ok WHERE {rx(P.READING_START)}
-  UNION ALL SELECT doc_id, 'practice', para, CASE WHEN strong THEN 86 WHEN late THEN 74 ELSE 62 END, CASE WHEN strong THEN 'questions with years, options or blanks' WHEN late THEN 'questions, late' ELSE 'questions, early' END, 'density', 6 FROM ds),
-me AS (SELECT doc_id, kind, para, max(score) AS score, arg_max(source, score * 10 - seq) AS source, string_agg(reason, '；' ORDER BY seq) AS reason FROM ca GROUP BY ALL),
+ds AS (SELECT de.doc_id, de.para, {rx(P.YEAR_TAG)} OR {rx(P.BLANK)} OR EXISTS (SELECT 1 FROM c y WHERE y.doc_id = c.doc_id AND y.para > c.para AND y.para <= c.para + 5 AND {rx(P.OPTION, 'y.text')}) AS strong, (de.para - first) / greatest(last - first, 1)::DOUBLE >= 0.25 AS late, {short_sql("text")} AS head FROM de JOIN c USING (doc_id, para) JOIN e0 USING (doc_id)),
+ca AS (SELECT doc_id, 'practice_start' AS kind, para, 96 AS score, {q(candidates.SECTION_04)} AS reason, {short_sql("text")} AS text, 'toc' AS source, 1 AS seq FROM ok WHERE sec = '04'
+  UNION ALL SELECT doc_id, 'consolidation_start', para, 98, {q(candidates.SECTION_05)}, {short_sql("text")}, 'toc', 2 FROM ok WHERE sec = '05'
+  UNION ALL {words_sql(P.PRACTICE_WORDS, P.STRONG_PRACTICE_WORDS, candidates.PRACTICE, (97, 90), 3)}
+  UNION ALL {words_sql(P.CONSOLIDATION_WORDS, P.STRONG_CONSOLIDATION_WORDS, candidates.CONSOLIDATION, (98, 91), 4)}
+  UNION ALL SELECT doc_id, 'practice_start', para, 88, {q(candidates.READING)}, {short_sql("text")}, 'reading', 5 FROM ok WHERE {rx(P.READING_START)}
+  UNION ALL SELECT doc_id, 'practice_start', para, CASE WHEN strong THEN 86 WHEN late THEN 74 ELSE 62 END, CASE WHEN strong THEN {q(candidates.DENSE_STRONG)} WHEN late THEN {q(candidates.DENSE_LATE)} ELSE {q(candidates.DENSE_EARLY)} END, head, 'question_density', 6 FROM ds),
+me AS (SELECT doc_id, kind, para, max(score) AS score, arg_max(text, score * 10 - seq) AS text, arg_max(source, score * 10 - seq) AS source, string_agg(reason, '；' ORDER BY seq) AS reason FROM ca GROUP BY doc_id, kind, para),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, para) AS place FROM me),
-ch0 AS (SELECT e0.*, p.para AS p_para, p.score AS p_score, p.source AS p_source, (SELECT arg_min({{'para': k.para, 'score': k.score, 'source': k.source}}, place) FROM rk k WHERE k.doc_id = e0.doc_id AND k.kind = 'consolidation' AND k.para > p.para) AS later, coalesce((SELECT list(h.para ORDER BY h.para) FROM hit h WHERE h.doc_id = e0.doc_id AND h.para >= p.para), []) AS hits FROM e0 LEFT JOIN rk p ON p.doc_id = e0.doc_id AND p.kind = 'practice' AND p.place = 1),
+ch0 AS (SELECT e0.*, p.para AS p_para, p.score AS p_score, p.source AS p_source, (SELECT arg_min({{'para': k.para, 'score': k.score, 'source': k.source}}, place) FROM rk k WHERE k.doc_id = e0.doc_id AND k.kind = 'consolidation_start' AND k.para > p.para) AS later, coalesce((SELECT list(h.para ORDER BY h.para) FROM hit h WHERE h.doc_id = e0.doc_id AND h.para >= p.para), []) AS hits FROM e0 LEFT JOIN rk p ON p.doc_id = e0.doc_id AND p.kind = 'practice_start' AND p.place = 1),
 ch1 AS (SELECT *, greatest(1, CAST(round_even(len(hits) * 0.7::DOUBLE, 0) AS INT)) AS cut FROM ch0),
 ch AS (SELECT *, CASE WHEN later IS NOT NULL THEN later WHEN p_para IS NULL THEN NULL WHEN len(hits) >= 4 AND cut < len(hits) THEN {{'para': hits[cut + 1], 'score': 55, 'source': 'fallback'}} ELSE {{'para': greatest(p_para + 1, least(p_para + CAST(trunc((last - p_para) * 0.7::DOUBLE) AS INT), last)), 'score': 45, 'source': 'fallback'}} END AS c FROM ch1)
 """
@@ -141,7 +150,146 @@ SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para,
 UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, since, CAST(coalesce(third - 1, last) AS INT) FROM e
 UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, third, last FROM e WHERE third IS NOT NULL"""
 
-ANSWERS = f"a AS (SELECT *, max(CASE WHEN contains(text, {q(P.ANSWER)}) THEN para END) {W} AS marker, max(CASE WHEN {HEAD} THEN para END) {W} AS head FROM c), g AS (SELECT *, marker IS NOT NULL AND coalesce(head, 0) <= marker AS gone FROM a)"
+ANSWERS = f"a AS (SELECT *, max(CASE WHEN {rx(P.ANSWER)} THEN para END) {W} AS marker, max(CASE WHEN {rx(P.ANSWER_ENDS)} THEN para END) {W} AS head FROM c), g AS (SELECT *, marker IS NOT NULL AND coalesce(head, 0) <= marker AS gone FROM a)"
+SPANS = f"h AS (SELECT *, max(CASE WHEN {rx(P.QUESTION_HEADER)} THEN para END) {W} AS head FROM c), k AS (SELECT doc_id, head, max(para) AS end_para, CASE WHEN bool_or({rx(P.CHOICE_LINE)}) THEN 'choice' WHEN bool_or({rx(P.BLANK_SPACE)}) THEN 'blank' ELSE 'short' END AS kind FROM h WHERE head IS NOT NULL GROUP BY doc_id, head)"
+
+
+def refine_sql(blocks: str) -> str:
+    """CTEs that end in ``cut``: for documents of ``blocks`` the boundary of their practice, if it is inside."""
+    practice = f"marker IN ({q(P.MARKER_DRILL)}, {q(P.MARKER_CONSOLIDATION)}) AND start_para <= end_para"
+    return f"""pp AS (SELECT * FROM (VALUES {", ".join(f"({k}, {q(b)}, {q(a)})" for k, (b, a) in enumerate(P.PRACTICE_PAIRS))}) v(pair, basic, advanced)),
+pz AS (SELECT doc_id, arg_min(start_para, ord) AS s0, max(end_para) AS e0 FROM {blocks} WHERE {practice} GROUP BY doc_id),
+pc AS (SELECT c.doc_id, c.para, text, s0, e0 FROM c JOIN pz USING (doc_id) WHERE para >= s0 AND para > {rows.CONTENTS_END} AND para <= e0),
+pa AS (SELECT doc_id, pair, min(para) AS since FROM pc JOIN pp ON contains(text, basic) GROUP BY doc_id, pair),
+px AS (SELECT pc.doc_id, pa.pair, min(pc.para) AS para FROM pc JOIN pa ON pa.doc_id = pc.doc_id AND pc.para >= pa.since JOIN pp ON pp.pair = pa.pair AND contains(pc.text, pp.advanced) GROUP BY pc.doc_id, pa.pair
+  UNION ALL SELECT pc.doc_id, {len(P.PRACTICE_PAIRS)}, min(pc.para) FROM pc JOIN pp ON contains(pc.text, pp.advanced) GROUP BY pc.doc_id),
+pb AS (SELECT doc_id, arg_min(para, pair) AS para FROM px GROUP BY doc_id),
+cut AS (SELECT doc_id, pb.para AS cut FROM pb JOIN pz USING (doc_id) WHERE s0 < pb.para AND pb.para < e0)"""
+
+
+def refined_sql(blocks: str, extra: str) -> str:
+    later = f"marker IN ({q(P.MARKER_CONSOLIDATION)}, {q(P.CLASS_CONSOLIDATION)})"
+    return f"SELECT doc_id, {extra} ord, marker, CAST(CASE WHEN {later} AND start_para <= end_para AND cut > start_para THEN cut ELSE start_para END AS INT) AS start_para, CAST(CASE WHEN marker = {q(P.MARKER_DRILL)} AND start_para <= end_para AND cut IS NOT NULL THEN cut - 1 ELSE end_para END AS INT) AS end_para FROM {blocks} LEFT JOIN cut USING (doc_id)"
+
+
+def said_sql(kind: str) -> str:
+    """The class (0) or confidence (1) of paragraphs that say what they are."""
+    k = 0 if kind == "category" else 1
+    title = f"length(text) < 30 AND NOT {rx(P.NUMBERED_QUESTION)}"
+    tests = [
+        (rx(P.TYPE_MARKER), ("practice", 100)), (rx(P.EXAMPLE), ("example", 100)), (rx(P.SUMMARY), ("knowledge", 95)), (f"{rx(P.ANSWER_HEADER)} OR {rx(P.PRACTICE_HEADER)}", ("practice", 95)),
+        (f"{rx(P.KNOWLEDGE_HEADER)} AND {rx(P.CONCEPT)}", ("knowledge", 95)), (f"{rx(P.KNOWLEDGE_HEADER)} AND {title}", ("knowledge", 90)), (rx(P.OPTION), ("practice", 90)), (f"{rx(P.BLANK)} OR {rx(P.FILL_IN)}", ("practice", 85)), (f"{rx(P.SEPARATOR)} OR text = ''", ("other", 100)),
+    ]
+    return "CASE " + " ".join(f"WHEN {t} THEN {q(v[k]) if k == 0 else v[k]}" for t, v in tests) + " END"
+
+
+HYBRID = f"""WITH RECURSIVE {C2},
+r AS (SELECT doc_id, para, text, row_number() {W} AS rn, percent_rank() {W} AS ratio, {said_sql("category")} AS said, {said_sql("confidence")} AS sure, {rx(P.NUMBERED_QUESTION)} AS asks, len(regexp_extract_all(text, {q(P.CONCEPT)})) AS concepts FROM c),
+r1 AS (SELECT *, 50 + CASE WHEN {rx(P.STRUCTURE_HEADER)} THEN 30 ELSE 0 END + CASE WHEN asks THEN 30 ELSE 0 END + CASE WHEN concepts >= 2 THEN 25 WHEN concepts = 1 THEN 15 ELSE 0 END - CASE WHEN {rx(P.EXAM_YEAR)} THEN 20 ELSE 0 END + CASE WHEN length(text) > 200 THEN 10 WHEN length(text) < 20 THEN -10 ELSE 0 END + CASE WHEN ratio < 0.3 THEN 5 WHEN ratio > 0.7 THEN -10 ELSE 0 END AS points,
+  CASE WHEN asks THEN 'practice' WHEN concepts > 0 THEN 'knowledge' WHEN {rx(P.OPTION)} OR {rx(P.BLANK)} THEN 'practice' WHEN length(text) > 150 THEN 'knowledge' WHEN length(text) < 20 THEN 'practice' ELSE 'knowledge' END AS guess,
+  CASE WHEN asks THEN 0.8 WHEN concepts > 0 THEN 0.7 WHEN {rx(P.OPTION)} OR {rx(P.BLANK)} THEN 0.85 WHEN length(text) > 150 THEN 0.6 WHEN length(text) < 20 THEN 0.55 ELSE 0.5 END::DOUBLE AS likeness FROM r),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS INT) AS para, '' AS before, '' AS category, CAST(0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT doc_id FROM c)
+  UNION ALL SELECT doc_id, rn, para, CASE WHEN known THEN class ELSE before END, CASE WHEN known THEN class ELSE guess END, CASE WHEN known THEN n / 100::DOUBLE ELSE likeness END FROM (SELECT *, class <> 'other' AND n >= {hybrid.SURE} AS known FROM (
+    SELECT *, CASE WHEN said IS NOT NULL THEN said WHEN m >= 80 THEN 'knowledge' WHEN asks THEN 'practice' WHEN m >= 60 THEN 'knowledge' ELSE 'other' END AS class, coalesce(sure, m) AS n FROM (
+      SELECT r1.doc_id, r1.rn, r1.para, w.before, r1.said, r1.sure, r1.asks, r1.guess, r1.likeness, greatest(0, least(100, points + CASE w.before WHEN 'knowledge' THEN 10 WHEN 'practice' THEN -10 ELSE 0 END)) AS m FROM w JOIN r1 ON r1.doc_id = w.doc_id AND r1.rn = w.rn + 1)))),
+y AS (SELECT doc_id, para, category, confidence FROM w WHERE rn > 0)"""
+
+READING_SQL = f"""ev AS (SELECT doc_id, para, {rx(P.READING)} AS begins FROM c WHERE {rx(P.READING)} OR {rx(P.READING_ENDS)}),
+rs AS (SELECT doc_id, para AS rs, begins, lead(para) {W} - 1 AS re FROM ev)"""
+
+
+def protected_sql(blocks: str) -> str:
+    """Blocks (doc_id, ord, marker, start_para, end_para, last) of which drill ends inside no reading passage, if another block follows."""
+    return f"""mv AS (SELECT b.doc_id, arg_min(coalesce(re, last), rs) AS moved FROM {blocks} b JOIN rs ON rs.doc_id = b.doc_id AND begins AND rs <= end_para AND end_para < coalesce(re, last) WHERE ord = 2 AND b.doc_id IN (SELECT doc_id FROM {blocks} WHERE ord = 3) GROUP BY b.doc_id),
+pr AS (SELECT doc_id, ord, marker, CAST(CASE WHEN ord = 3 AND moved IS NOT NULL THEN moved + 1 ELSE start_para END AS INT) AS start_para, CAST(CASE WHEN ord = 2 AND moved IS NOT NULL THEN moved ELSE end_para END AS INT) AS end_para FROM {blocks} LEFT JOIN mv USING (doc_id))"""
+
+
+HYBRID_BLOCKS = f"""{HYBRID}, {READING_SQL},
+e0 AS (SELECT doc_id, CAST(min(para) AS INT) AS first, CAST(max(para) AS INT) AS last FROM c GROUP BY doc_id),
+e1 AS (SELECT e0.*, coalesce(k, first + CAST(trunc((last - first) * 0.3::DOUBLE) AS INT)) AS k_end, coalesce(asked, []) AS asked FROM e0 LEFT JOIN (SELECT doc_id, max(para) FILTER (category IN ('knowledge', 'example')) AS k, list(para ORDER BY para) FILTER (category = 'practice') AS asked FROM y GROUP BY doc_id) USING (doc_id)),
+e2 AS (SELECT *, list_filter(asked, lambda p: p > k_end) AS a, greatest(coalesce(asked[1], k_end + 1), k_end + 1) AS ps, coalesce(asked[-1], last) AS pe FROM e1),
+e3 AS (SELECT *, least(ps, last) AS p_start, CASE WHEN ps > last OR pe < ps THEN last ELSE pe END AS p_end, greatest(1, CAST(round_even(len(a) * 0.7::DOUBLE, 0) AS INT)) AS n, last - k_end - 1 AS span FROM e2),
+e4 AS (SELECT doc_id, first, last, k_end, CASE WHEN len(a) >= 3 THEN coalesce(a[n + 1] - 1, p_end) WHEN span <= 0 THEN last ELSE least(k_end + 1 + CAST(trunc(span * 0.7::DOUBLE) AS INT), last) END AS t, CASE WHEN len(a) >= 3 THEN p_start WHEN span <= 0 THEN last + 1 ELSE k_end + 1 END AS s, CASE WHEN len(a) >= 3 THEN p_end ELSE last END AS e FROM e3),
+e5 AS (SELECT *, least(t, e, last) AS u FROM e4),
+mb AS (SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, k_end AS end_para, last FROM e5
+  UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CASE WHEN u >= s AND s <= last THEN s ELSE 1 END, CASE WHEN u >= s AND s <= last THEN u ELSE 0 END, last FROM e5
+  UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, least(u + 1, last), last, last FROM e5),
+{protected_sql("mb")} SELECT * FROM pr"""
+
+
+def name_sql(column: str) -> str:
+    t = f"trim({column}, ' ')"
+    line = f"regexp_extract({t}, '^(.+?)\\s*\\.{{5,}}\\s*\\p{{Nd}}*\\s*$', 1)"
+    return f"CASE WHEN {line} <> '' THEN trim({line}, ' ') ELSE trim(regexp_replace({t}, '\\.{{3,}}\\s*\\p{{Nd}}*$', ''), ' ') END"
+
+
+def role_sql(column: str) -> str:
+    section = number(f"regexp_extract({column}, {q(P.TOC_SECTION)}, 1)")
+    words = [(P.TOC_ADVANCED, "advanced_practice"), (P.TOC_BASIC, "basic_practice"), (P.TOC_PRACTICE, "practice"), (P.TOC_KNOWLEDGE, "knowledge")]
+    return "CASE " + " ".join(f"WHEN {rx('|'.join(w), column)} THEN '{k}'" for w, k in words) + f" WHEN {section} <= 3 THEN 'knowledge' WHEN {section} = 4 THEN 'basic_practice' WHEN {section} > 4 THEN 'advanced_practice' WHEN {rx(P.TOC_NUMBERED, column)} THEN 'practice' END"
+
+
+def contents_sql(corpus: str) -> str:
+    titles = ", ".join(map(q, P.TOC_TITLES))
+    bare = "text"
+    for pattern in (P.NAV_DECOR, P.NAV_BRACKETS, P.NAV_ORDINAL):
+        bare = f"regexp_replace({bare}, {q(pattern)}, '', 'g')"
+    letters = lambda c: f"regexp_replace({c}, {q(P.NO_WORD)}, '', 'g')"
+    return f"""WITH RECURSIVE {corpus}, {READING_SQL},
+n0 AS (SELECT doc_id, para, text, {rx(P.DOTTED)} AS dots, {name_sql("text")} AS name FROM c WHERE para <= {contents.SCANNED}), n1 AS (SELECT *, {role_sql("name")} AS role FROM n0),
+n2 AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN text IN ({titles}) THEN 'title' WHEN role IS NOT NULL AND CASE WHEN dots THEN length(name) >= 2 ELSE length(text) < 60 END THEN 'entry' WHEN NOT dots AND length(text) < 60 THEN 'other' END AS kind FROM n1),
+n3 AS (SELECT doc_id, min(para) AS title FROM n2 WHERE kind = 'title' GROUP BY doc_id),
+n4 AS (SELECT n2.doc_id, para, role, name, CASE kind WHEN 'title' THEN 'other' ELSE kind END AS kind FROM n2 JOIN n3 USING (doc_id) WHERE para > title),
+n5 AS (SELECT n3.doc_id, min(para) FILTER (kind = 'entry') AS since, min(para) FILTER (kind = 'empty') AS blank FROM n3 LEFT JOIN n4 USING (doc_id) GROUP BY n3.doc_id),
+n6 AS (SELECT n5.doc_id, least(blank, (SELECT min(para) FROM n4 WHERE n4.doc_id = n5.doc_id AND kind = 'other' AND para > since)) AS stop FROM n5),
+n7 AS (SELECT n4.doc_id, para, role, name FROM n4 JOIN n6 USING (doc_id) WHERE kind = 'entry' AND (stop IS NULL OR para < stop)),
+ent AS (SELECT n6.doc_id, CAST(coalesce(stop, coalesce((SELECT max(para) FROM n7 WHERE n7.doc_id = n6.doc_id), {contents.SCANNED}) + 1) AS INT) AS toc_end FROM n6),
+big AS (SELECT doc_id FROM n7 GROUP BY doc_id HAVING count(*) >= 2),
+v0 AS (SELECT doc_id, para, text, {bare} AS bare FROM c WHERE doc_id NOT IN (SELECT doc_id FROM big)),
+v1 AS (SELECT doc_id, para, text, trim(regexp_replace(CASE WHEN bare <> '' THEN bare ELSE text END, {q(P.PARENTHESES)}, '', 'g'), ' ') AS name FROM v0 WHERE {rx(P.NAV_HEADER)} OR {rx(P.NAV_HEADER, 'bare')}),
+v2 AS (SELECT doc_id, para, coalesce({role_sql("text")}, {role_sql("name")}) AS role FROM v1 WHERE length(name) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY para) = 1),
+f0 AS (SELECT n7.doc_id, toc_end, n7.role, name, row_number() OVER (PARTITION BY n7.doc_id ORDER BY n7.para) AS nth FROM n7 JOIN big USING (doc_id) JOIN ent USING (doc_id) WHERE n7.role <> 'knowledge' AND length(name) >= 2),
+f1 AS (SELECT f0.*, c.para, CASE WHEN text = name THEN 1 WHEN starts_with(text, name) THEN 2 WHEN contains(text, name) THEN 3 WHEN length({letters("name")}) >= 3 AND contains({letters("text")}, {letters("name")}) THEN 4 END AS level FROM f0 JOIN c ON c.doc_id = f0.doc_id AND c.para >= toc_end),
+f2 AS (SELECT doc_id, any_value(toc_end) AS toc_end, any_value(role) AS role, list({{'l': level, 'p': para}} ORDER BY level, para) AS at, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS rn FROM f1 WHERE level IS NOT NULL GROUP BY doc_id, nth),
+f3 AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, toc_end AS since, CAST(NULL AS INT) AS para, '' AS role FROM (SELECT DISTINCT doc_id, toc_end FROM f2)
+  UNION ALL SELECT doc_id, rn, coalesce(para + 1, since), para, role FROM (SELECT f2.doc_id, f2.rn, f3.since, f2.role, list_filter(f2.at, lambda x: x.p >= f3.since AND x.p <= f3.since + {contents.REACH})[1].p AS para FROM f3 JOIN f2 ON f2.doc_id = f3.doc_id AND f2.rn = f3.rn + 1)),
+pl AS (SELECT doc_id, para, role FROM f3 WHERE para IS NOT NULL UNION ALL SELECT doc_id, para, role FROM v2 WHERE role <> 'knowledge'),
+z0 AS (SELECT doc_id, min(para) AS lead_para, arg_min(role, para) AS lead_role, min(para) FILTER (role = 'basic_practice') AS basic FROM pl GROUP BY doc_id),
+z1 AS (SELECT z0.*, (SELECT min(para) FROM pl WHERE pl.doc_id = z0.doc_id AND role = 'advanced_practice' AND para > basic) AS advanced, first, last FROM z0 JOIN (SELECT doc_id, CAST(min(para) AS INT) AS first, CAST(max(para) AS INT) AS last FROM c GROUP BY doc_id) USING (doc_id)),
+mb AS (SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, CASE WHEN lead_para > first THEN first ELSE 1 END AS start_para, CASE WHEN lead_para > first THEN lead_para - 1 ELSE 0 END AS end_para, last FROM z1
+  UNION ALL SELECT doc_id, 2, CASE WHEN advanced IS NULL AND lead_role = 'advanced_practice' THEN {q(P.MARKER_CONSOLIDATION)} ELSE {q(P.MARKER_DRILL)} END, CASE WHEN advanced IS NULL THEN lead_para ELSE basic END, CASE WHEN advanced IS NULL THEN last ELSE advanced - 1 END, last FROM z1
+  UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, advanced, last, last FROM z1 WHERE advanced IS NOT NULL),
+{protected_sql("mb")}"""
+
+
+RENUMBERED = f"SELECT doc_id, para, CASE WHEN {rx(P.EXAM_QUESTION)} THEN regexp_replace(text, '^(\\s*)\\p{{Nd}}{{1,3}}', concat('\\1', CAST(row_number() OVER (PARTITION BY doc_id, {rx(P.EXAM_QUESTION)} ORDER BY para) AS VARCHAR))) ELSE text END AS text FROM c"
+MANIFESTS = "m AS (" + corpora.MANIFESTS.replace("{orders}", "orders") + ")"
+BASE = "regexp_extract(replace(name, chr(92), '/'), '[^/]*$')"
+IS_DOCX = f"lower(name) LIKE '%.docx' AND NOT starts_with({BASE}, '~$')"
+CHECKED = f"""WITH {MANIFESTS}, b AS (SELECT job_id, pos, {BASE} AS name FROM m),
+k AS (SELECT *, CASE WHEN name = '' OR starts_with(name, '~$') OR NOT regexp_matches(lower(name), '\\.(zip|docx)$') THEN {q(P.BAD_KIND)} WHEN row_number() OVER (PARTITION BY job_id, lower(name) ORDER BY pos) > 1 THEN {q(P.SAME_NAME)} END AS error FROM b)"""
+VERSIONS = f"""WITH {MANIFESTS}, d AS (SELECT *, {rx("|".join(P.TEACHER_WORDS), BASE)} AS is_t, {rx("|".join(P.STUDENT_WORDS), BASE)} AS is_s FROM m WHERE {IS_DOCX}),
+t AS (SELECT job_id, min(pos) FILTER (is_t) AS tp, list(name ORDER BY size DESC, pos) AS by_size FROM d GROUP BY job_id),
+u AS (SELECT t.job_id, by_size, coalesce(arg_min(name, pos) FILTER (pos = tp), by_size[1]) AS teacher, arg_min(name, pos) FILTER (is_s AND pos IS DISTINCT FROM tp) AS s FROM t JOIN d USING (job_id) GROUP BY t.job_id, by_size, tp)
+SELECT job_id, teacher, coalesce(s, list_filter(by_size, lambda n: n <> teacher)[1]) AS student FROM u"""
+
+
+def topic_sql(column: str) -> str:
+    noise = "[" + ", ".join(q(w) for w in sorted(P.TOPIC_NOISE, key=len, reverse=True)) + "]"
+    known = f"list_contains({noise}, p)"
+    bare = f"regexp_replace(regexp_extract({column}, '[^/]*$'), {q(P.EXTENSION)}, '\\1')"
+    part = f"list_reduce(list_prepend(p, {noise}), lambda a, w: replace(a, w, ''))"
+    clean = f"trim(regexp_replace(regexp_replace({part}, {q(P.TOPIC_PART)}, '', 'g'), {q(P.TOPIC_EDGE_PART)}, '', 'g'), ' ')"
+    parts = f"list_filter(list_transform(list_filter(regexp_split_to_array(regexp_replace({bare}, {q(P.TOPIC_WHOLE)}, ' ', 'g'), {q(P.TOPIC_SPLIT)}), lambda p: p <> '' AND NOT {known}), lambda p: {clean}), lambda p: p <> '' AND NOT {known})"
+    left = f"array_to_string({parts}, ' ')"
+    for pattern in P.TOPIC_LEFT:
+        left = f"regexp_replace({left}, {q(pattern)}, '', 'g')"
+    return f"coalesce(nullif(trim(regexp_replace({left}, {q(P.TOPIC_EDGE)}, '', 'g'), ' '), ''), {bare})"
+
+
+SMART = f"""WITH {C2}, tt AS ({contents_sql(C2)} SELECT * FROM pr), aa AS ({AUTO}),
+sm AS (SELECT doc_id, 'toc' AS tier, ord, marker, start_para, end_para FROM tt UNION ALL SELECT doc_id, tier, ord, marker, start_para, end_para FROM aa WHERE doc_id NOT IN (SELECT doc_id FROM tt)),
+{refine_sql("sm")} {refined_sql("sm", "tier,")}"""
 
 
 def over(corpus, operator):
@@ -179,7 +327,21 @@ def candidate_query(operator):
     return over(corpora.handouts, lambda p: operator(candidates.collected(p)))
 
 
-def contents(orders):
+def dense(found):
+    return found.select("doc_id", F.explode("said").alias("c")).filter("c.source = 'question_density'").select("doc_id", "c.para")
+
+
+def practice_boundary(paras):
+    blocks = scored_blocks(paras)
+    practice = blocks.filter(F.col("ord") > 1).filter("start_para <= end_para")
+    return rows.practice_boundary(paras, practice.groupBy("doc_id").agg(F.min_by("start_para", "ord").alias("start_para"), F.max("end_para").alias("end_para")))
+
+
+def toc_entries(paras):
+    return contents.entries(paras).select("doc_id", "toc_end", F.explode("entries").alias("e")).select("doc_id", "toc_end", "e.*")
+
+
+def contents_lines(orders):
     """Lines as tables of contents have them: names, leader dots and page numbers."""
     line = F.concat(F.trim("o_orderpriority"), F.repeat(F.lit("."), (F.col("o_orderkey") % 9).cast("int")), F.lit(" "), F.col("o_custkey").cast("string"))
     return orders.select("o_orderkey", scalars.clean_toc_name(line).alias("name"))
@@ -219,8 +381,21 @@ QUERIES = {
     "filename": read("orders", filename),
     "answer_delete_ranges": over(corpora.handouts, rows.answer_ranges),
     "student_rows": over(corpora.handouts, rows.student_rows),
-    "question_density": over(corpora.handouts, rows.density),
-    "practice_boundary": over(corpora.handouts, rows.practice_boundary),
+    "answer_space": over(corpora.handouts, lambda p: rows.answer_space(rows.student_rows(p))),
+    "question_density": candidate_query(dense),
+    "practice_boundary": over(corpora.handouts, practice_boundary),
+    "hybrid_classes": over(corpora.handouts, hybrid.classified),
+    "hybrid_split": over(corpora.handouts, hybrid.split),
+    "toc_entries": over(corpora.with_contents, toc_entries),
+    "toc_split": over(corpora.with_contents, contents.split),
+    "example_rows": over(corpora.handouts, tiers.without_examples),
+    "ideal_rows": over(corpora.handouts, lambda p: rows.renumber(tiers.without_examples(p))),
+    "upload_checks": over(corpora.manifests, manifests.checked),
+    "upload_errors": over(corpora.manifests, manifests.accepted),
+    "upload_inputs": over(corpora.manifests, manifests.inputs),
+    "file_versions": over(corpora.manifests, manifests.versions),
+    "topic": over(corpora.manifests, lambda f: f.select("job_id", "pos", scalars.topic(F.col("name")).alias("topic"))),
+    "smart_split": over(corpora.handouts, lambda p: rows.refined(contents.smart_split(p, tiers.auto_split(p)), p)),
     "short_text": over(corpora.documents, lambda p: p.select("doc_id", "para", scalars.short(F.col("text"), 80).alias("head"))),
     "academic_year": read("orders", lambda o: o.select("o_orderkey", scalars.academic_year(F.col("o_orderdate")).alias("academic_year"))),
     "is_red": read("orders", lambda o: o.withColumn("colour", F.lpad(F.hex(F.col("o_orderkey") * 7919 % 16777216), 6, "0")).select("o_orderkey", "colour", scalars.is_red(F.col("colour")).alias("is_red"))),
@@ -236,7 +411,7 @@ QUERIES = {
     "needs_review": candidate_query(candidates.review),
     "candidate_report": candidate_query(candidates.report),
     "para_count": over(corpora.documents, lambda p: p.groupBy("doc_id").agg(F.count("*").alias("n"))),
-    "clean_toc_name": read("orders", contents),
+    "clean_toc_name": read("orders", contents_lines),
     "toc_role": over(corpora.handouts, roles),
 }
 
@@ -247,14 +422,14 @@ ORACLES = {
     "numbered_positions": boundary_sql(C2) + "SELECT doc_id, para FROM pts",
     "para_scores": f"WITH {C1} SELECT doc_id, para, {weights(P.QUESTION)} AS q, {weights(P.KNOWLEDGE)} AS k, {BOUND} AS is_boundary, {SECTION} AS section_type FROM c",
     "handout_scores": f"WITH {C2} SELECT doc_id, para, {weights(P.QUESTION)} AS q, {weights(P.KNOWLEDGE)} AS k, {BOUND} AS is_boundary, {SECTION} AS section_type FROM c",
-    "type_positions": f"WITH {C2} SELECT doc_id, CAST(regexp_extract(text, {q(P.TYPE_MARKER)}, 1) AS INT) AS type_no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL",
+    "type_positions": f"WITH {C2} SELECT doc_id, {number(f"regexp_extract(text, {q(P.TYPE_MARKER)}, 1)")} AS type_no, max(para) AS para FROM c WHERE {rx(P.TYPE_MARKER)} GROUP BY ALL",
     "scan_grep": f"WITH {C2} SELECT doc_id, para, substring(text, 1, 80) AS head FROM c WHERE {rx('定义.*[0-9]')}",
     "scan_outline": f"WITH {C1} SELECT doc_id, para, substring(text, 1, 80) AS head FROM c WHERE text <> '' AND (para <= 60 OR length(text) < 50)",
     "full_split": f"WITH {C1} SELECT doc_id, min(para) AS start_para, max(para) AS end_para, count(*) AS n_paras FROM c GROUP BY doc_id",
-    "question_spans": f"WITH {C2}, h AS (SELECT doc_id, para, text, max(para) OVER (PARTITION BY doc_id) AS last FROM c), n AS (SELECT *, lead(para) {W} AS nxt FROM h WHERE {HEAD}) SELECT doc_id, para AS start_para, CAST(coalesce(nxt - 1, last) AS INT) AS end_para FROM n WHERE {rx(P.NUMBER)}",
-    "question_kinds": f"WITH {C2}, h AS (SELECT *, max(CASE WHEN {HEAD} THEN para END) {W} AS head FROM c) SELECT h.doc_id, h.head AS para, CASE WHEN bool_or({rx(P.OPTION, 'h.text')}) THEN 'choice' WHEN bool_or({rx(P.BLANK, 'h.text')}) THEN 'blank' ELSE 'short' END AS kind FROM h JOIN c x ON x.doc_id = h.doc_id AND x.para = h.head WHERE {rx(P.NUMBER, 'x.text')} GROUP BY h.doc_id, h.head",
-    "compress_blanks": f"WITH {C2}, n AS (SELECT *, lead(text) {W} AS nxt FROM c) SELECT doc_id, para, text, has_img FROM n WHERE NOT (text = '' AND coalesce(nxt = '', false))",
-    "renumber": f"WITH {C2} SELECT doc_id, para, CASE WHEN {rx(P.NUMBER)} THEN concat(CAST(row_number() OVER (PARTITION BY doc_id, {rx(P.NUMBER)} ORDER BY para) AS VARCHAR), regexp_replace(text, '^\\s*[0-9]{{1,3}}', '')) ELSE text END AS text FROM c",
+    "question_spans": f"WITH {C2}, {SPANS} SELECT doc_id, head AS start_para, end_para FROM k",
+    "question_kinds": f"WITH {C2}, {SPANS} SELECT doc_id, head AS para, kind, end_para, CASE kind WHEN 'short' THEN 3 ELSE 0 END AS space FROM k",
+    "compress_blanks": f"WITH {C2}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM c) SELECT doc_id, para, text, has_img FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))",
+    "renumber": f"WITH {C2} {RENUMBERED}",
     "position_ratio": f"WITH {C1} SELECT doc_id, para, round(percent_rank() {W}, 9) AS ratio FROM c",
     "gap_runs": f"WITH {C2}, s AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS total, lag(para) {W} AS prev FROM c WHERE {weights(P.KNOWLEDGE)} > {weights(P.QUESTION)}), r AS (SELECT *, sum(CASE WHEN para - prev > 3 AND total >= 3 THEN 1 ELSE 0 END) {W} AS run FROM s) SELECT doc_id, min(para) AS start_para, max(para) AS end_para, count(*) AS n FROM r GROUP BY doc_id, run, total HAVING count(*) >= 3 OR total < 3",
     "pair_examples": f"""WITH RECURSIVE {C2}, s AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS total, lag(para) {W} AS prev FROM c WHERE {weights(P.KNOWLEDGE)} > {weights(P.QUESTION)}), r AS (SELECT *, sum(CASE WHEN para - prev > 3 AND total >= 3 THEN 1 ELSE 0 END) {W} AS run FROM s), g AS (SELECT doc_id, CAST(min(para) AS INT) AS start_para, CAST(max(para) AS INT) AS end_para FROM r GROUP BY doc_id, run, total HAVING count(*) >= 3 OR total < 3),
@@ -269,9 +444,22 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "assemble_rows": boundary_sql(C2) + f", b AS ({BLOCKS}) SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY ord, para) AS INT) AS pos, marker, para, text FROM c JOIN b ON c.doc_id = b.doc_id AND para BETWEEN start_para AND end_para",
     "filename": "SELECT o_orderkey, concat(concat_ws('_', concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年'), nullif(trim(o_orderpriority), ''), nullif(o_orderstatus, 'O')), '_教师版.docx') AS filename FROM orders",
     "answer_delete_ranges": f"WITH {C2}, {ANSWERS}, i AS (SELECT doc_id, para, para - row_number() {W} AS run FROM g WHERE gone) SELECT doc_id, min(para) AS start_para, max(para) AS end_para FROM i GROUP BY doc_id, run",
-    "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE NOT (text = '' AND coalesce(nxt = '', false))",
-    "question_density": "WITH " + C2 + f", n AS (SELECT doc_id, para, lead(para, 2) {W} AS third FROM c WHERE " + rx(P.NUMBER + r"\s*\S") + ") SELECT doc_id, min(para) AS para FROM n WHERE third - para <= 18 GROUP BY doc_id",
-    "practice_boundary": f"WITH {C2}, p AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(b)}, {q(a)})" for k, (b, a) in enumerate(P.PRACTICE_PAIRS)) + ") v(pair, basic, advanced)), b AS (SELECT doc_id, pair, min(para) AS since FROM c JOIN p ON contains(text, basic) GROUP BY ALL), x AS (SELECT b.doc_id, b.pair, min(c.para) AS para FROM b JOIN p USING (pair) JOIN c ON c.doc_id = b.doc_id AND contains(c.text, p.advanced) AND c.para >= b.since GROUP BY ALL) SELECT doc_id, arg_min(para, pair) AS para FROM x GROUP BY doc_id",
+    "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))",
+    "answer_space": f"WITH c0 AS (WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))), c AS (SELECT * FROM c0), {SPANS}, u AS (SELECT doc_id, para, 0 AS extra, text FROM c UNION ALL SELECT doc_id, end_para, unnest([1, 2, 3]), '' FROM k WHERE kind = 'short') SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, extra) AS INT) AS para, text FROM u",
+    "question_density": CANDIDATES + "SELECT doc_id, para FROM de",
+    "practice_boundary": boundary_sql(C2) + f", bb AS ({BLOCKS}), {refine_sql('bb')} SELECT doc_id, para FROM pb",
+    "hybrid_classes": HYBRID + " SELECT * FROM y",
+    "hybrid_split": HYBRID_BLOCKS,
+    "toc_entries": contents_sql(C3) + " SELECT n7.doc_id, toc_end, n7.para, n7.role, n7.name FROM n7 JOIN ent USING (doc_id)",
+    "toc_split": contents_sql(C3) + " SELECT * FROM pr",
+    "smart_split": SMART,
+    "example_rows": f"WITH g0 AS ({GROUPS}), {C2} SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM c WHERE NOT EXISTS (SELECT 1 FROM g0 WHERE g0.doc_id = c.doc_id AND sound AND c.para BETWEEN start_para AND end_para)",
+    "ideal_rows": f"WITH g0 AS ({GROUPS}), c0 AS (WITH {C2} SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM c WHERE NOT EXISTS (SELECT 1 FROM g0 WHERE g0.doc_id = c.doc_id AND sound AND c.para BETWEEN start_para AND end_para)), c AS (SELECT * FROM c0) {RENUMBERED}",
+    "upload_checks": CHECKED + " SELECT * FROM k",
+    "upload_errors": CHECKED + " SELECT job_id, arg_min(error, pos) FILTER (error IS NOT NULL) AS error FROM k GROUP BY job_id",
+    "upload_inputs": f"WITH {MANIFESTS}, f AS (SELECT job_id, pos, {BASE} AS b, CASE WHEN lower({BASE}) LIKE '%.zip' THEN 'zip' WHEN {IS_DOCX} THEN 'docx' END AS kind FROM m), n AS (SELECT *, count(*) OVER (PARTITION BY job_id, kind) AS n FROM f WHERE kind IS NOT NULL), g AS (SELECT job_id, kind, CASE WHEN kind = 'docx' AND n = 2 THEN 0 ELSE pos END AS key, string_agg(b, ' + ' ORDER BY pos) AS label, CAST(count(*) AS INT) AS n_files FROM n GROUP BY 1, 2, 3) SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY kind DESC, key) AS INT) AS nth, kind, label, n_files FROM g",
+    "file_versions": VERSIONS,
+    "topic": f"WITH {MANIFESTS} SELECT job_id, pos, {topic_sql('name')} AS topic FROM m",
     "short_text": f"WITH {C1}, t AS (SELECT doc_id, para, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c) SELECT doc_id, para, CASE WHEN length(t) > 80 THEN concat(substring(t, 1, 79), '…') ELSE t END AS head FROM t",
     "academic_year": "SELECT o_orderkey, concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年') AS academic_year FROM orders",
     "is_red": "WITH h AS (SELECT o_orderkey, o_orderkey * 7919 % 16777216 AS v FROM orders) SELECT o_orderkey, lpad(upper(format('{:x}', v)), 6, '0') AS colour, (v // 65536 >= 100 AND v // 256 % 256 <= 70 AND v % 256 <= 70) AS is_red FROM h",
@@ -284,9 +472,9 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "candidates": CANDIDATES + "SELECT * FROM me",
     "candidate_choice": CANDIDATES + "SELECT doc_id, p_para AS practice_para, p_score AS practice_score, p_source AS practice_source, c.para AS consolidation_para, c.score AS consolidation_score, c.source AS consolidation_source FROM ch WHERE p_para IS NOT NULL",
     "candidate_blocks": CANDIDATES + f", k0 AS (SELECT doc_id, first, last, coalesce(p_para, first + CAST(trunc((last - first) * 0.5::DOUBLE) AS INT)) AS p0, c.para AS c0 FROM ch), k1 AS (SELECT *, greatest(first, least(p0, last)) AS p, coalesce(c0, p0 + CAST(trunc((last - p0) * 0.7::DOUBLE) AS INT)) AS c1 FROM k0), k AS (SELECT *, CASE WHEN p < last THEN greatest(p + 1, least(c1, last)) ELSE last END AS c FROM k1) SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, CAST(greatest(first, p - 1) AS INT) AS end_para FROM k UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(p AS INT), CAST(greatest(p, c - 1) AS INT) FROM k UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(c AS INT), last FROM k",
-    "needs_review": CANDIDATES + f"SELECT doc_id, CASE WHEN p_para IS NULL THEN 'no practice' WHEN c IS NULL THEN 'no consolidation' WHEN p_score < 80 THEN 'practice unsure' WHEN c.score < 80 THEN 'consolidation unsure' WHEN {close_sql('practice')} THEN 'several practices' WHEN {close_sql('consolidation')} THEN 'several consolidations' ELSE 'none' END AS why FROM ch",
-    "candidate_report": CANDIDATES + "SELECT doc_id, kind, string_agg(concat_ws(' ', CAST(para AS VARCHAR), CAST(score AS VARCHAR), source, reason), chr(10) ORDER BY place) AS lines FROM rk WHERE place <= 6 GROUP BY ALL",
+    "needs_review": CANDIDATES + f", v AS (SELECT doc_id, CASE WHEN p_para IS NULL THEN {q(candidates.NO_PRACTICE)} WHEN c IS NULL THEN {q(candidates.NO_CONSOLIDATION)} WHEN p_score < 80 THEN concat({q(candidates.PRACTICE_UNSURE)}, p_score) WHEN c.score < 80 THEN concat({q(candidates.CONSOLIDATION_UNSURE)}, c.score) WHEN {close_sql('practice_start')} THEN {q(candidates.SEVERAL_PRACTICES)} WHEN {close_sql('consolidation_start')} THEN {q(candidates.SEVERAL_CONSOLIDATIONS)} ELSE {q(candidates.CLEAR)} END AS reason FROM ch) SELECT doc_id, reason <> {q(candidates.CLEAR)} AS wanted, reason FROM v",
+    "candidate_report": CANDIDATES + "SELECT doc_id, kind, string_agg(concat('  [', lpad(CAST(score AS VARCHAR), 3, ' '), '] 段落 ', para, ': ', reason, ' | ', text), chr(10) ORDER BY place) AS lines FROM rk WHERE place <= 6 GROUP BY doc_id, kind",
     "para_count": f"WITH {C1} SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id",
-    "clean_toc_name": r"WITH t AS (SELECT o_orderkey, trim(concat(trim(o_orderpriority), repeat('.', CAST(o_orderkey % 9 AS INT)), ' ', o_custkey)) AS t FROM orders) SELECT o_orderkey, trim(CASE WHEN regexp_extract(t, '^(.+?)\s*\.{5,}\s*[0-9]*\s*$', 1) <> '' THEN regexp_extract(t, '^(.+?)\s*\.{5,}\s*[0-9]*\s*$', 1) ELSE regexp_replace(t, '\.{3,}\s*[0-9]*$', '') END) AS name FROM t",
-    "toc_role": f"WITH {C2}, r AS (SELECT doc_id, para, CASE WHEN {rx('|'.join(P.TOC_ADVANCED))} THEN 'advanced_practice' WHEN {rx('|'.join(P.TOC_BASIC))} THEN 'basic_practice' WHEN {rx('|'.join(P.TOC_PRACTICE))} THEN 'practice' WHEN {rx('|'.join(P.TOC_KNOWLEDGE))} THEN 'knowledge' WHEN regexp_extract(text, {q(P.TOC_SECTION)}, 1) IN ('0', '1', '2', '3') THEN 'knowledge' WHEN regexp_extract(text, {q(P.TOC_SECTION)}, 1) = '4' THEN 'basic_practice' WHEN {rx(P.TOC_SECTION)} THEN 'advanced_practice' WHEN {rx(P.TOC_NUMBERED)} THEN 'practice' END AS role FROM c) SELECT * FROM r WHERE role IS NOT NULL",
+    "clean_toc_name": "WITH t AS (SELECT o_orderkey, trim(concat(trim(o_orderpriority), repeat('.', CAST(o_orderkey % 9 AS INT)), ' ', o_custkey)) AS t FROM orders) SELECT o_orderkey, " + name_sql("t") + " AS name FROM t",
+    "toc_role": f"WITH {C2}, r AS (SELECT doc_id, para, {role_sql('text')} AS role FROM c) SELECT * FROM r WHERE role IS NOT NULL",
 }

@@ -33,6 +33,21 @@ SELECT doc_id, para,
 FROM k
 """
 
+#: The handouts with a table of contents before them: most with leader dots, some with short lines, some without either.
+CONTENTS = """
+WITH h AS ({handouts}),
+t AS (
+  SELECT d.doc_id, CAST(n AS INT) AS para, CASE n
+    WHEN 1 THEN '目录'
+    WHEN 2 THEN concat('知识梳理', CASE WHEN d.doc_id % 3 = 2 THEN '' ELSE '........ 1' END)
+    WHEN 3 THEN CASE d.doc_id % 6 WHEN 0 THEN '题型1 基本题型..... 3' WHEN 1 THEN '真题 演练..... 4' WHEN 2 THEN '分层 练习' WHEN 3 THEN '基础训练...... 5' WHEN 4 THEN '第三章..... 6' ELSE '其他..... 7' END
+    WHEN 4 THEN CASE d.doc_id % 6 WHEN 3 THEN '能力提升..... 9' WHEN 1 THEN '下列说法..... 8' ELSE '考情........ 8' END
+    ELSE '' END AS text
+  FROM (SELECT DISTINCT doc_id FROM h) d CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) n)
+SELECT doc_id, para, text, false AS has_img FROM t
+UNION ALL SELECT doc_id, CAST(para + 5 AS INT) AS para, text, has_img FROM h
+"""
+
 
 def normalised(text: Column) -> Column:
     spaced = F.regexp_replace(text, ODD_SPACE, " ")
@@ -53,3 +68,27 @@ def handouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus rich in markers, one document for each customer, drawn from orders and their lines."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+
+
+def with_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The handouts with tables of contents before them."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return spark.sql(CONTENTS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+
+
+#: Manifests of uploads: a customer's orders as the files of one job.
+MANIFESTS = """
+SELECT o_custkey AS job_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS pos,
+  concat(
+    CASE o_orderkey % 9 WHEN 0 THEN '第3讲 ' WHEN 1 THEN '【必考】' WHEN 2 THEN 'a/b 02 ' WHEN 3 THEN '~$' WHEN 4 THEN '第 12 章 考点01 ' ELSE '' END,
+    CASE o_orderkey % 4 WHEN 0 THEN '三角函数 图象与性质' WHEN 1 THEN '导数的计算' WHEN 2 THEN '集合与函数概念' ELSE '2024-2025学年 高一数学专题' END,
+    CASE o_orderstatus WHEN 'F' THEN ' 专题讲义 解析版' WHEN 'O' THEN '（学生版）' ELSE '' END,
+    CASE o_orderkey % 7 WHEN 0 THEN '.zip' WHEN 1 THEN '.pdf' WHEN 2 THEN '.DOCX' ELSE '.docx' END) AS name,
+  CAST(floor(o_totalprice) AS BIGINT) AS size
+FROM {orders}
+"""
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, pos, name and size of files, as uploads have them."""
+    return spark.sql(MANIFESTS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))

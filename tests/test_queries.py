@@ -44,10 +44,24 @@ def test_gap_runs(spark):
     assert got([4, 30]) == [(4, 30)]
 
 
-def test_answer_ranges(spark):
+def test_answers_go_to_the_next_section(spark):
     f = paras(spark, ["一、概念", "1．题", "【答案】A", "解", "二、练习", "【答案】B"])
     assert sorted(tuple(r)[1:] for r in rows.answer_ranges(f).collect()) == [(3, 4), (6, 6)]
     assert [r.text for r in rows.student_rows(f).orderBy("para").collect()] == ["一、概念", "1．题", "二、练习"]
+    # numbers end nothing, and every kind of answer begins something
+    f = paras(spark, ["一、概念", "1．甲", "【答案】A", "2．乙", "【解析】因为", "3．丙"])
+    assert [tuple(r)[1:] for r in rows.answer_ranges(f).collect()] == [(3, 6)]
+    f = paras(spark, ["参考答案：", "lesson 3", "甲（ 详解 ）", "考点", "【题型1】", "乙【解答】", "section"])
+    assert sorted(tuple(r)[1:] for r in rows.answer_ranges(f).collect()) == [(1, 1), (3, 3), (6, 6)]
+
+
+def test_questions_and_their_space(spark):
+    f = paras(spark, ["说明", "1．甲", "a. 选项", "（2）乙", "填 ___ 空", "１２、丙", "证明", "一、丁", "3.戊", "（ ）"])
+    assert sorted(tuple(r)[1:] for r in rows.question_spans(f).collect()) == [(2, 3), (4, 5), (6, 8), (9, 10)]
+    kinds = {r.para: (r.kind, r.space) for r in rows.question_kinds(f).collect()}
+    assert kinds[2] == ("choice", 0) and kinds[4] == ("blank", 0) and kinds[6] == ("short", 3) and kinds[9] == ("blank", 0)
+    texts = [r.text for r in rows.answer_space(paras(spark, ["1．甲", "证明", "2．乙", "A．选项"])).orderBy("para").collect()]
+    assert texts == ["1．甲", "证明", "", "", "", "2．乙", "A．选项"]
 
 
 def test_numbers_go_on(spark):
@@ -69,7 +83,25 @@ def test_academic_year(spark):
 def test_blank_runs_and_renumbering(spark):
     f = paras(spark, ["3．甲", "", "", "7、乙", ""])
     assert [r.para for r in rows.compress_blanks(f).orderBy("para").collect()] == [1, 3, 4, 5]
-    assert [r.text for r in rows.renumber(f).orderBy("para").collect()] == ["1．甲", "", "", "2、乙", ""]
+    assert [r.para for r in rows.compress_blanks(paras(spark, ["", "", "", "甲"])).orderBy("para").collect()] == [1, 3, 4]
+    # only a number with a year in brackets is renumbered
+    f = paras(spark, ["3．甲", "5．（2024·卷）乙", "  １２、(21-22高一)丙", "8．（1999）丁"])
+    assert [r.text for r in rows.renumber(f).orderBy("para").collect()] == ["3．甲", "1．（2024·卷）乙", "  2、(21-22高一)丙", "8．（1999）丁"]
+
+
+def test_practice_is_cut_at_paired_headings(spark):
+    span = spark.createDataFrame([(1, 1, 40)], "doc_id long, start_para int, end_para int")
+    at = lambda **texts: [r.para for r in rows.practice_boundary(paras(spark, [texts.get(f"p{k}", "甲") for k in range(1, 41)]), span).collect()]
+    assert at(p25="A组", p30="B组") == [30]
+    assert at(p10="基础训练", p12="能力提升") == []  # among the first twenty paragraphs
+    assert at(p22="能力提升", p25="A组", p30="B组") == [30]  # a pair goes before a lone heading
+    assert at(p24="B组", p22="能力提升") == [22]
+    assert at(p25="基础训练 能力提升") == [25]
+    blocks = spark.createDataFrame([(1, 1, "知识精讲", 1, 20), (1, 2, "即时训练", 21, 33), (1, 3, "六、巩固练习", 34, 40)], "doc_id long, ord int, marker string, start_para int, end_para int")
+    f = paras(spark, ["甲"] * 24 + ["A组"] + ["甲"] * 4 + ["B组"] + ["甲"] * 10)
+    assert sorted((r.ord, r.start_para, r.end_para) for r in rows.refined(blocks, f).collect()) == [(1, 1, 20), (2, 21, 29), (3, 34, 40)]
+    f = paras(spark, ["甲"] * 24 + ["A组"] + ["甲"] * 11 + ["B组"] + ["甲"] * 3)
+    assert sorted((r.ord, r.start_para, r.end_para) for r in rows.refined(blocks, f).collect()) == [(1, 1, 20), (2, 21, 36), (3, 37, 40)]
 
 
 def test_examples_are_taken_once(spark):
