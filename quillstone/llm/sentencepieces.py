@@ -29,7 +29,7 @@ MARK = "▁"
 BEST = 4
 #: Loss of a character that is spelled in bytes, below the least score of any piece.
 PENALTY = 10.0
-CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -111,7 +111,7 @@ class Pieces:
 
     def word(self, word: str) -> tuple[float, float, tuple[int, ...]]:
         """Best score, loss of the second best and the ids of the best segmentation."""
-        found = self.older.get(word)
+        found = self.known.get(word) or self.older.get(word)
         if found is None:
             best, back, second = self.forward(word)
             ids, at, known = [], len(word), self.ids
@@ -162,17 +162,27 @@ class Pieces:
     def encode(self, text: str, n: int = BEST) -> tuple[list[int], list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
         """The ids of the best segmentation; the scores of the n best, and for each the words (by number) in which it isn't the best, with their ids."""
         words = SEGMENT.findall(normalised(text))
-        ids, losses, total = [], [], 0.0
-        for w in words:
-            score, loss, own = self.known.get(w) or self.word(w)
+        ids, total, get = [], 0.0, self.known.get
+        # the n - 1 words that lose least by their second best segmentation
+        near: list[tuple[float, int]] = []
+        most = float("inf")
+        for k, w in enumerate(words):
+            found = get(w)
+            if found is None:
+                found, get = self.word(w), self.known.get
+            score, loss, own = found
             total += score
-            losses.append(loss)
             ids += own
+            if loss < most:
+                insort(near, (loss, k))
+                if len(near) >= n:
+                    near.pop()
+                if len(near) == n - 1:
+                    most = near[-1][0] if near else 0.0
         lists = []
-        for loss, k in heapq.nsmallest(n - 1, zip(losses, range(len(words)))):
-            if loss < float("inf"):
-                found = self.search(words[k], n)
-                lists.append((k, [(found[0][0] - s, own) for s, own in found]))
+        for _, k in near:
+            found = self.search(words[k], n)
+            lists.append((k, [(found[0][0] - s, own) for s, own in found]))
         merged: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for _, found in lists:
             merged = heapq.nsmallest(n, ((a + loss, (*c, j)) for a, c in merged for j, (loss, _) in enumerate(found)))
