@@ -6,14 +6,15 @@ the discounts leave behind h over the share of the words never seen behind h, so
 
 Documents are packed into blocks of tokens, kept in a table that is bucketed by block. A block asks for the counts of its
 distinct words and pairs: sorted 64-bit keys go to parts of the key space, which sum the counts over all blocks and reply
-in the order of the keys. So the tables of counts lie partitioned by key, every pair crosses the network once for each
-block that has it, however frequent it is, and no table is held whole. The sums that backoff weights need are gathered
-likewise, by the one block that owns a pair.
+in the order of the keys. So the tables of counts are stored partitioned by key, every pair crosses the network once for
+each block that has it, however frequent it is, and no table is held whole. The sums that backoff weights need are gathered
+likewise, by the one block that owns a pair. The tables stay: ``score_with`` scores other documents from them.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import WORD, lower_ascii, table, written
 from .suffixes import Hashes, mixed
 
-#: Counts up to CUT are discounted; tokens of a block.
-CUT, BLOCK = 5, 2_000_000
+#: Counts up to CUT are discounted; tokens of a block; tokens of the corpus for each part of the key space.
+CUT, BLOCK, PART = 5, 1_000_000, 2_000_000
 START, END = 2, 1
 _C = np.uint64(0x9E3779B97F4A7C15)
-STATE = "block long, vocabulary binary, tokens binary, pieces binary, doc_ids array<long>"
+STATE = "block long, n_tokens long, vocabulary binary, tokens binary, pieces binary, doc_ids array<long>"
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -88,9 +89,9 @@ def blocks(docs: DataFrame, block: int) -> DataFrame:
         def flush():
             # the end is in every vocabulary: its count is that of the training texts
             vocabulary, tokens = np.unique(np.concatenate([*seqs, np.array([END], np.uint64)]), return_inverse=True)
-            return pa.RecordBatch.from_pydict({"block": [part + made], "vocabulary": [pack_sorted(vocabulary)], "tokens": [pack(tokens[:-1].astype(np.uint32))], "pieces": [pack(np.array(pieces, np.int64).ravel())], "doc_ids": pa.array([ids], pa.list_(pa.int64()))}, schema=kind)
+            return pa.RecordBatch.from_pydict({"block": [part + made], "n_tokens": [len(tokens)], "vocabulary": [pack_sorted(vocabulary)], "tokens": [pack(tokens[:-1].astype(np.uint32))], "pieces": [pack(np.array(pieces, np.int64).ravel())], "doc_ids": pa.array([ids], pa.list_(pa.int64()))}, schema=kind)
 
-        kind = pa.schema([("block", pa.int64()), ("vocabulary", pa.binary()), ("tokens", pa.binary()), ("pieces", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+        kind = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("vocabulary", pa.binary()), ("tokens", pa.binary()), ("pieces", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
         for b in batches:
             for doc_id, text, train in zip(*(c.to_pylist() for c in b.columns)):
                 seq = np.concatenate([np.array([START], np.uint64), hashes(WORD.findall(lower_ascii(text or ""))), np.array([END], np.uint64)])
@@ -171,7 +172,9 @@ def _asked(state: DataFrame, rows, parts: int) -> DataFrame:
     return state.mapInArrow(run, ASKED)
 
 
-REPLIED = "kind string, part int, block long, reply binary, stats array<long>"
+#: A reply to a block; or, without a block, what a part holds: its keys, one or two columns of values, and counts of counts.
+REPLIED = "kind string, part int, block long, reply binary, keys binary, x binary, y binary, stats array<long>"
+HELD = ["kind", "part", "keys", "x", "y", "stats"]
 
 
 def _count(group: pd.DataFrame) -> pd.DataFrame:
@@ -186,9 +189,10 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
     cut = np.cumsum([len(k) for k in keys])[:-1]
     kind, part = group["kind"].iloc[0], group["part"].iloc[0]
     of = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
-    out = [(kind, part, b, pack(r), None) for b, r in zip(group["block"], np.split(reply, cut))]
-    out.append((kind, part, None, None, [*of.tolist()[: CUT + 2], int(total.sum()), int((total > 0).sum())]))
-    return pd.DataFrame(out, columns=["kind", "part", "block", "reply", "stats"])
+    out = [(kind, part, b, pack(r), None, None, None, None) for b, r in zip(group["block"], np.split(reply, cut))]
+    known = total > 0  # what only texts that aren't for training have is no part of the model
+    out.append((kind, part, None, None, pack_sorted(found[known]), pack(total[known]), None, [*of.tolist()[: CUT + 2], int(total.sum()), int(known.sum())]))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in REPLIED.split(", ")])
 
 
 def _weigh(group: pd.DataFrame) -> pd.DataFrame:
@@ -196,10 +200,37 @@ def _weigh(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("block")
     keys = [unpack_sorted(k) for k in group["keys"]]
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(inverse, np.concatenate([unpack(x) for x in group[c]]), len(found))[inverse] for c in ("x", "y")]
+    sums = [np.bincount(inverse, np.concatenate([unpack(x) for x in group[c]]), len(found)) for c in ("x", "y")]
     cut = np.cumsum([len(k) for k in keys])[:-1]
-    both = [pack(np.concatenate(z)) for z in zip(*(np.split(s, cut) for s in sums))]
-    return pd.DataFrame({"kind": group["kind"], "part": group["part"], "block": group["block"], "reply": both, "stats": None})
+    kind, part = group["kind"].iloc[0], group["part"].iloc[0]
+    out = [(kind, part, b, pack(np.concatenate(z)), None, None, None, None) for b, *z in zip(group["block"], *(np.split(s[inverse], cut) for s in sums))]
+    known = sums[0] > 0
+    out.append((kind, part, None, None, pack_sorted(found[known]), *(pack(s[known]) for s in sums), None))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in REPLIED.split(", ")])
+
+
+def _looked_up(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Replies to blocks of other documents from what a part of the tables holds; a key that it lacks has noughts."""
+    columns = [f.split()[0] for f in REPLIED.split(", ")]
+    if not len(asked):
+        return pd.DataFrame([], columns=columns)
+    kind, part = asked["kind"].iloc[0], asked["part"].iloc[0]
+    empty = not len(held) or held["keys"].iloc[0] is None
+    keys = np.zeros(0, np.uint64) if empty else unpack_sorted(held["keys"].iloc[0])
+    values = [np.zeros(0, np.int64 if kind != "history" else float)] * 2 if empty else [unpack(held[c].iloc[0]) for c in ("x", "y") if held[c].iloc[0] is not None]
+
+    def of(wanted, value):
+        if not len(keys):
+            return np.zeros(len(wanted), value.dtype)
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[place] == wanted, value[place], 0)
+
+    out = []
+    for b, k in zip(asked["block"], asked["keys"]):
+        wanted = unpack_sorted(k)
+        reply = np.concatenate([of(wanted, v) for v in values]) if kind == "history" else 2 * of(wanted, values[0])
+        out.append((kind, part, b, pack(reply), None, None, None, None))
+    return pd.DataFrame(out, columns=columns)
 
 
 def _reply(row: dict, kind: str) -> np.ndarray:
@@ -255,37 +286,25 @@ class Model:
         return [np.concatenate(x) for x in zip(*parts)]
 
 
-def scored(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of ``docs`` (doc_id, text).
+@dataclass
+class Tables:
+    """A model: its counts and sums by (kind, part of the key space), each row with the sorted keys of the part and their values, and counts of counts.
 
-    The model learns from the documents whose crc32(doc_id as text) mod 5 is not 1 (a null doc_id counts as empty text).
-    A null text is empty: its one token is the end. Repeated rows are counted and scored each. Where there is nothing to
-    learn from, all words are unknown. Other columns of ``docs`` are neither read nor returned. Words are told apart by
-    64-bit hashes.
+    kind: word and pair (x: counts), history (x: discounted counts of its followers, y: their shares). ``held`` is a written
+    table, partitioned by kind; it and ``stats`` (some twenty numbers) are all that scoring needs.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held_out = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    name = f"katz_blocks_{uuid.uuid4().hex}"
-    blocks(docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train")), block).write.bucketBy(parts, "block").saveAsTable(name)
-    state = spark.table(name)
-
-    def first(row):
-        b = Block(row)
-        yield "word", b.vocabulary, [b.counts()]
-        yield "pair", b.pairs, [b.pair_counts()]
 
-    counted = written(_asked(state, first, parts).groupBy("kind", "part").applyInPandas(_count, REPLIED), "counts")
-    stats = {"word": [0] * (CUT + 4), "pair": [0] * (CUT + 4)}
-    sums = counted.filter("stats IS NOT NULL").groupBy("kind").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(CUT + 4)))
-    stats |= {r["kind"]: list(r)[1:] for r in sums.collect()}
-    counted = counted.drop("stats")
+    held: DataFrame
+    parts: int
+    stats: dict[str, list[int]]
+
+
+def held_out(doc_id):
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
-    def second(row):
-        m = Model(row, stats)
-        yield "history", m.block.vocabulary, list(m.sums())
 
-    weighed = written(_asked(_with_replies(state, counted), second, parts).groupBy("kind", "part").applyInPandas(_weigh, REPLIED).drop("stats"), "weights")
+def _scored_blocks(state: DataFrame, replies: DataFrame, stats: dict, name: str) -> DataFrame:
+    """number, doc_id, n_tokens, n_known, base_score and score of the documents of blocks that have all their replies."""
 
     def last(batches):
         import pyarrow as pa
@@ -301,12 +320,82 @@ def scored(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                     "base_score": np.bincount(b.piece, base[b.token], n), "score": np.bincount(b.piece, score[b.pair], n),
                 })
 
-    pieces = _with_replies(state, counted.unionByName(weighed)).mapInArrow(last, "number long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    pieces = _with_replies(state, replies).mapInArrow(last, "number long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     out = pieces.groupBy("number").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    out = written(out, "scores")
-    spark.sql(f"DROP TABLE {name}")
+    out = written(out, name)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(stats["word"][CUT + 2]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+class _Stored:
+    """The blocks of documents as a table that is bucketed by block, so that replies alone are shuffled; it goes at the end, failed or not."""
+
+    def __init__(self, docs: DataFrame, train, block: int):
+        self.spark, self.name = docs.sparkSession, f"katz_blocks_{uuid.uuid4().hex}"
+        self.rows = blocks(docs.select("doc_id", "text", train.alias("train")), block)
+
+    def __enter__(self) -> DataFrame:
+        try:
+            self.rows.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
+        except BaseException:
+            self.__exit__()
+            raise
+        return self.spark.table(self.name)
+
+    def __exit__(self, *_):
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def modelled(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Tables]:
+    """The scores of ``docs`` (see ``scored``) and the tables of the model that their training part gives."""
+    with _Stored(docs, ~held_out(F.col("doc_id")), block) as state:
+        tokens = state.agg(F.sum("n_tokens")).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // PART + 1)
+
+        def first(row):
+            b = Block(row)
+            yield "word", b.vocabulary, [b.counts()]
+            yield "pair", b.pairs, [b.pair_counts()]
+
+        counted = written(_asked(state, first, parts).groupBy("kind", "part").applyInPandas(_count, REPLIED), "counts", ["kind"])
+        stats = {"word": [0] * (CUT + 4), "pair": [0] * (CUT + 4)}
+        sums = counted.filter("stats IS NOT NULL").groupBy("kind").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(CUT + 4)))
+        stats |= {r["kind"]: list(r)[1:] for r in sums.collect()}
+
+        def second(row):
+            m = Model(row, stats)
+            yield "history", m.block.vocabulary, list(m.sums())
+
+        weighed = written(_asked(_with_replies(state, counted), second, parts).groupBy("kind", "part").applyInPandas(_weigh, REPLIED), "weights", ["kind"])
+        every = counted.unionByName(weighed)
+        return _scored_blocks(state, every, stats, "scores"), Tables(every.filter("block IS NULL").select(*HELD), parts, stats)
+
+
+def score_with(tables: Tables, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The scores of any documents (doc_id, text) by a model that is there already; columns and cases as ``scored`` has them."""
+
+    def asked(row):
+        b = Block(row)
+        yield "word", b.vocabulary, []
+        yield "pair", b.pairs, []
+        yield "history", b.vocabulary, []
+
+    with _Stored(docs, F.lit(False), block) as state:
+        requests_ = _asked(state, asked, tables.parts).groupBy("kind", "part")
+        replies = written(requests_.cogroup(tables.held.select("kind", "part", "keys", "x", "y").groupBy("kind", "part")).applyInPandas(_looked_up, REPLIED), "replies")
+        return _scored_blocks(state, replies, tables.stats, "scores")
+
+
+def scored(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of ``docs`` (doc_id, text).
+
+    The model learns from the documents whose crc32(doc_id as text) mod 5 is not 1 (a null doc_id counts as empty text).
+    A null text is empty: its one token is the end. Repeated rows are counted and scored each. Where there is nothing to
+    learn from, all words are unknown; an empty table gives no rows. Texts longer than a block are scored in pieces that
+    are summed. Other columns of ``docs`` are neither read nor returned. Words are told apart by 64-bit hashes: two of n
+    different words share one with a chance below n * n / 2 ** 65, a millionth for five million words.
+    """
+    return modelled(docs, block)[0]
+
+
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))

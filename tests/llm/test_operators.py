@@ -386,6 +386,19 @@ def test_katz(docs, pairs, block):
         assert g[5:] == pytest.approx(w[5:], rel=1e-6)
 
 
+def test_katz_scores_other_documents_from_its_tables(spark, docs, pairs):
+    scores, tables = katz.modelled(docs, 5_000)
+    assert tables.held.count() >= 3 * tables.parts and {r.kind for r in tables.held.select("kind").distinct().collect()} == {"word", "pair", "history"}
+    again = rows_of(katz.score_with(tables, docs, 3_000))
+    want = rows_of(scores)
+    assert [g[:5] for g in again] == [w[:5] for w in want]
+    for g, w in zip(again, want):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+    other = spark.createDataFrame([(1, "qq1 qq2 qq3 qq4"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in katz.score_with(tables, other).collect()) == [(1, 5, 1), (2, 1, 1)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("katz_blocks")]
+
+
 def test_katz_beats_its_base_on_held_out_texts(spark):
     out = katz.scored(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
