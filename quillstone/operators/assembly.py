@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import patterns as P
+
+
+def for_class(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the markers of the template for classes."""
+    marker = F.when(F.col("marker") == P.MARKER_KNOWLEDGE, P.CLASS_KNOWLEDGE).when(F.col("marker") == P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION).otherwise(F.col("marker"))
+    return blocks.withColumn("marker", marker)
+
 
 def validated(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     """What is wrong with each document's blocks: not three of them, one reversed, one out of range, one over another."""

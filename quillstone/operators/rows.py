@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
+from ..functions import scalars
 
 
 def doc():
@@ -130,6 +131,18 @@ def refined(blocks: DataFrame, paras: DataFrame) -> DataFrame:
     return blocks.join(found, "doc_id", "left").withColumns({"s": start, "e": end}).select(*(F.col({"start_para": "s", "end_para": "e"}.get(c, c)).alias(c) for c in blocks.columns))
 
 
+def without_red(runs: DataFrame) -> DataFrame:
+    """The paragraphs (doc_id, para, text) of runs (doc_id, para, run, colour, text) without the text of red ones."""
+    text = F.when(scalars.is_red(F.col("colour")), "").otherwise(F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", text.alias("text")))), lambda r: r["text"]), "")
+    return runs.groupBy("doc_id", "para").agg(F.trim(joined).alias("text"))
+
+
+def student_version(runs: DataFrame) -> DataFrame:
+    """A document's runs without red text and answers, with space for the answers that are asked for."""
+    return answer_space(student_rows(without_red(runs)))
+
+
 def extent(paras: DataFrame) -> DataFrame:
     """The one block that the whole of a document makes."""
     return paras.groupBy("doc_id").agg(F.min("para").alias("start_para"), F.max("para").alias("end_para"), F.count("*").alias("n_paras"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
@@ -154,6 +158,11 @@ ANSWERS = f"a AS (SELECT *, max(CASE WHEN {rx(P.ANSWER)} THEN para END) {W} AS m
 SPANS = f"h AS (SELECT *, max(CASE WHEN {rx(P.QUESTION_HEADER)} THEN para END) {W} AS head FROM c), k AS (SELECT doc_id, head, max(para) AS end_para, CASE WHEN bool_or({rx(P.CHOICE_LINE)}) THEN 'choice' WHEN bool_or({rx(P.BLANK_SPACE)}) THEN 'blank' ELSE 'short' END AS kind FROM h WHERE head IS NOT NULL GROUP BY doc_id, head)"
 
 
+def student_sql(corpus: str) -> str:
+    """The rows of a student's version with its answer space."""
+    return f"WITH c0 AS (WITH {corpus}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))), c AS (SELECT * FROM c0), {SPANS}, u AS (SELECT doc_id, para, 0 AS extra, text FROM c UNION ALL SELECT doc_id, end_para, unnest([1, 2, 3]), '' FROM k WHERE kind = 'short') SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, extra) AS INT) AS para, text FROM u"
+
+
 def refine_sql(blocks: str) -> str:
     """CTEs that end in ``cut``: for documents of ``blocks`` the boundary of their practice, if it is inside."""
     practice = f"marker IN ({q(P.MARKER_DRILL)}, {q(P.MARKER_CONSOLIDATION)}) AND start_para <= end_para"
@@ -304,15 +313,27 @@ def outline(paras):
     return paras.filter((F.col("text") != "") & ((F.col("para") <= 60) | (F.length("text") < 50))).select("doc_id", "para", F.substring("text", 1, 80).alias("head"))
 
 
+#: Templates of a category, and templates that a task compares a vector with at once.
+TEMPLATES, TEMPLATE_BLOCK = 3, 256
+
+
 def similarity(vectors):
-    """Each vector's likeness to the templates: the first vector of each label. Labels are a closed set, so the templates are few."""
-    templates = vectors.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("t")).select(F.col("label").alias("category"), F.col("t.embedding").alias("template"))
-    each = F.array_sort(F.collect_list(F.struct("category", "template")))
-    packed = templates.agg(each.alias("templates"))
-    out = vectors.withColumn("one", F.lit(1)).join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
-    likeness = F.transform("templates", lambda t: F.struct(F.round(scalars.cosine(F.col("embedding"), t["template"]), 6).alias("similarity"), (-t["category"]).alias("rank")))
-    best = F.array_max(likeness)
-    return out.select("vec_id", (-best["rank"]).alias("category"), best["similarity"].alias("similarity"))
+    """Each vector's likeness to the templates, the first vectors of each label: the best category.
+
+    Templates are handed out in blocks of TEMPLATE_BLOCK, one pass for each: no more of them are ever broadcast at once.
+    """
+    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    templates = vectors.withColumn("at", first).filter(F.col("at") <= TEMPLATES).select(F.col("label").alias("category"), F.col("embedding").alias("template"), F.row_number().over(Window.partitionBy("at").orderBy("label")).alias("nth"), "at")
+    last = templates.agg(F.max("nth")).first()[0] or 0
+    passes = []
+    for lo in range(0, TEMPLATES * last, TEMPLATE_BLOCK):
+        number = (F.col("nth") - 1) * TEMPLATES + F.col("at") - 1
+        block = [(r.category, r.template) for r in templates.filter(number.between(lo, lo + TEMPLATE_BLOCK - 1)).collect()]
+        likeness = F.array(*(F.struct(F.round(scalars.cosine(F.col("embedding"), F.lit(t)), 6).alias("similarity"), F.lit(-c).alias("rank")) for c, t in block))
+        passes.append(vectors.select("vec_id", F.array_max(likeness).alias("best")))
+    every = reduce(DataFrame.unionByName, passes) if passes else vectors.select("vec_id", F.lit(None).cast("struct<similarity:double,rank:int>").alias("best")).limit(0)
+    best = every if len(passes) < 2 else every.groupBy("vec_id").agg(F.max("best").alias("best"))
+    return best.select("vec_id", (-F.col("best.rank")).alias("category"), F.col("best.similarity").alias("similarity"))
 
 
 def knowledge(paras):
@@ -363,7 +384,7 @@ QUERIES = {
     "split_blocks_documents": over(corpora.documents, lambda p: segments.blocks(segments.boundaries(p.repartition("doc_id")))),
     "find_boundary": over(corpora.handouts, lambda p: segments.boundaries(p).filter("boundary IS NOT NULL").select("doc_id", F.col("boundary").cast("int").alias("boundary"))),
     "numbered_positions": over(corpora.handouts, lambda p: segments.boundaries(p).select("doc_id", F.explode("points").alias("para"))),
-    "para_scores": over(corpora.documents, lambda p: scoring.scored(p).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
+    "para_scores": over(corpora.documents, lambda p: scoring.scored(p.repartition("doc_id")).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
     "handout_scores": over(corpora.handouts, lambda p: scoring.scored(p).select("doc_id", "para", "q", "k", "is_boundary", "section_type")),
     "type_positions": over(corpora.handouts, scoring.type_positions),
     "scan_grep": over(corpora.handouts, lambda p: p.filter(F.col("text").rlike("定义.*[0-9]")).select("doc_id", "para", F.substring("text", 1, 80).alias("head"))),
@@ -382,6 +403,8 @@ QUERIES = {
     "answer_delete_ranges": over(corpora.handouts, rows.answer_ranges),
     "student_rows": over(corpora.handouts, rows.student_rows),
     "answer_space": over(corpora.handouts, lambda p: rows.answer_space(rows.student_rows(p))),
+    "student_version": over(corpora.runs, rows.student_version),
+    "class_blocks": over(corpora.handouts, lambda p: assembly.for_class(scored_blocks(p))),
     "question_density": candidate_query(dense),
     "practice_boundary": over(corpora.handouts, practice_boundary),
     "hybrid_classes": over(corpora.handouts, hybrid.classified),
@@ -445,7 +468,9 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "filename": "SELECT o_orderkey, concat(concat_ws('_', concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年'), nullif(trim(o_orderpriority), ''), nullif(o_orderstatus, 'O')), '_教师版.docx') AS filename FROM orders",
     "answer_delete_ranges": f"WITH {C2}, {ANSWERS}, i AS (SELECT doc_id, para, para - row_number() {W} AS run FROM g WHERE gone) SELECT doc_id, min(para) AS start_para, max(para) AS end_para FROM i GROUP BY doc_id, run",
     "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))",
-    "answer_space": f"WITH c0 AS (WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))), c AS (SELECT * FROM c0), {SPANS}, u AS (SELECT doc_id, para, 0 AS extra, text FROM c UNION ALL SELECT doc_id, end_para, unnest([1, 2, 3]), '' FROM k WHERE kind = 'short') SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, extra) AS INT) AS para, text FROM u",
+    "answer_space": student_sql(C2),
+    "student_version": student_sql("c AS (SELECT doc_id, para, trim(string_agg(CASE WHEN regexp_matches(colour, '^C00000$') THEN '' ELSE coalesce(text, '') END, '' ORDER BY run), ' ') AS text FROM (" + corpora.RUNS.replace("{handouts}", corpora.HANDOUTS).replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ") GROUP BY doc_id, para)"),
+    "class_blocks": boundary_sql(C2) + f", bb AS ({BLOCKS}) SELECT doc_id, ord, CASE marker WHEN {q(P.MARKER_KNOWLEDGE)} THEN {q(P.CLASS_KNOWLEDGE)} WHEN {q(P.MARKER_CONSOLIDATION)} THEN {q(P.CLASS_CONSOLIDATION)} ELSE marker END AS marker, start_para, end_para FROM bb",
     "question_density": CANDIDATES + "SELECT doc_id, para FROM de",
     "practice_boundary": boundary_sql(C2) + f", bb AS ({BLOCKS}), {refine_sql('bb')} SELECT doc_id, para FROM pb",
     "hybrid_classes": HYBRID + " SELECT * FROM y",
@@ -463,7 +488,7 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "short_text": f"WITH {C1}, t AS (SELECT doc_id, para, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c) SELECT doc_id, para, CASE WHEN length(t) > 80 THEN concat(substring(t, 1, 79), '…') ELSE t END AS head FROM t",
     "academic_year": "SELECT o_orderkey, concat(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END, '-', CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END, '学年') AS academic_year FROM orders",
     "is_red": "WITH h AS (SELECT o_orderkey, o_orderkey * 7919 % 16777216 AS v FROM orders) SELECT o_orderkey, lpad(upper(format('{:x}', v)), 6, '0') AS colour, (v // 65536 >= 100 AND v // 256 % 256 <= 70 AND v % 256 <= 70) AS is_red FROM h",
-    "template_similarity": "WITH t AS (SELECT label AS category, arg_min(embedding, vec_id) AS template FROM embeddings GROUP BY label), s AS (SELECT vec_id, category, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(template AS DOUBLE[])))), 6) AS similarity FROM embeddings, t) SELECT vec_id, category, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, category) = 1",
+    "template_similarity": "WITH t AS (SELECT label AS category, embedding AS template FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3), s AS (SELECT vec_id, category, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(template AS DOUBLE[])))), 6) AS similarity FROM embeddings, t) SELECT vec_id, category, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, category) = 1",
     "auto_split": AUTO,
     "reading_spans": f"WITH {C2}, e AS (SELECT doc_id, para, {rx(P.READING)} AS begins, max(para) OVER (PARTITION BY doc_id) AS last FROM c QUALIFY begins OR {rx(P.READING_ENDS)}), n AS (SELECT *, lead(para) {W} AS nxt FROM e) SELECT doc_id, para AS start_para, CAST(coalesce(nxt - 1, last) AS INT) AS end_para FROM n WHERE begins",
     "image_fix": IMAGES,

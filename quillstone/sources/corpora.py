@@ -48,6 +48,12 @@ SELECT doc_id, para, text, false AS has_img FROM t
 UNION ALL SELECT doc_id, CAST(para + 5 AS INT) AS para, text, has_img FROM h
 """
 
+#: The handouts as runs of text with colours: the first three characters of a paragraph and the rest.
+RUNS = """
+SELECT doc_id, para, run, CASE WHEN (doc_id + para + run) % 5 = 0 THEN 'C00000' WHEN run = 2 THEN NULL ELSE '000000' END AS colour, CASE run WHEN 1 THEN substring(text, 1, 3) ELSE substring(text, 4) END AS text
+FROM ({handouts}) h CROSS JOIN (SELECT 1 AS run UNION ALL SELECT 2 AS run) r
+"""
+
 
 def normalised(text: Column) -> Column:
     spaced = F.regexp_replace(text, ODD_SPACE, " ")
@@ -70,6 +76,12 @@ def handouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The handouts as runs: doc_id, para, run, colour and text."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return spark.sql(RUNS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+
+
 def with_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The handouts with tables of contents before them."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
