@@ -171,13 +171,66 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(re.findall(r"[!-/:-@\[-`{-~]", text))
 
 
+def brute_kept(rows):
+    """Whether quality keeps each of ``rows`` (text, lang, source)."""
+    groups, found = defaultdict(Counter), []
+
+    def bucket(v):
+        shift = max(0, len(bin(v)) - 2 - 6)
+        return 32 * shift + (v >> shift)
+
+    for t, lang, source in rows:
+        n, chars, _, _, repeats, marks = brute_counts(t)
+        values = {"word_length": 100 * chars // max(n, 1), "marks": 1000 * marks // max(chars, 1)}
+        failed = n < 10 or 100 * repeats > 20 * n
+        found.append((failed, values, (lang, source)))
+        if not failed:
+            for m, v in values.items():
+                groups[lang, source, m][bucket(v)] += 1
+
+    def merged(test):
+        out = defaultdict(Counter)
+        for (lang, source, m), c in groups.items():
+            if test(lang, source):
+                out[m] += c
+        return out
+
+    def blend(own, parent):
+        total = sum(parent.values())
+        return {b: quality.PARTS * own[b] + quality.PRIOR * quality.PARTS * n // total for b, n in parent.items()}
+
+    def quartiles(sketch):
+        total, upto, ends = sum(sketch.values()), 0, []
+        for b in sorted(sketch):
+            upto += sketch[b]
+            s = max(b // 32 - 1, 0)
+            ends.append((upto, (b - 32 * s) << s, ((b - 32 * s + 1) << s) - 1))
+        return next(lo for u, lo, _ in ends if 4 * u >= total), next(hi for u, _, hi in ends if 4 * u >= 3 * total)
+
+    every = merged(lambda *_: True)
+    out = []
+    for failed, values, (lang, source) in found:
+        ok = not failed
+        for m, v in values.items() if ok else ():
+            by_lang = blend(merged(lambda a, _: a == lang)[m], every[m])  # noqa: B023
+            (q1, q3), *others = (quartiles(x) for x in (blend(groups[lang, source, m], by_lang), by_lang, every[m]))
+            reach = quality.FENCE * max(b - a + 1 for a, b in [(q1, q3), *others])
+            ok &= v <= q3 + reach and (m not in quality.TWO_SIDED or v >= q1 - reach)
+        out.append(ok)
+    return out
+
+
 def test_quality(docs, pairs):
     got = quality.quality(docs)
     want = sorted(((d, *(c := brute_counts(t)), c[0] < 10 or 100 * c[4] > 20 * c[0]) for d, t in pairs), key=str)
     assert rows_of(got.select("doc_id", *quality.COUNTS, "base_failed")) == want
     assert got.filter("base_failed AND kept").count() == 0
     kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
+    assert kept.columns == docs.columns
+    full = docs.select("doc_id", "text", "lang", "source").collect()
+    verdict = brute_kept([r[1:] for r in full])
+    assert rows_of(got.select("doc_id", "kept")) == sorted(((r.doc_id, k) for r, k in zip(full, verdict)), key=str)
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted((r.doc_id for r, k in zip(full, verdict) if k), key=str)
 
 
 def test_quantile_buckets(spark):
@@ -186,9 +239,10 @@ def test_quantile_buckets(spark):
     assert all(found[k] == k for k in range(64)) and all(0 <= found[k + 1] - found[k] <= 1 for k in range(4999))
 
 
-def test_lines(docs, pairs):
-    first, at = {}, defaultdict(list)
-    for d, t in sorted(set(p for p in pairs if p[1] is not None), key=lambda p: (p[0] is None, p[0] or 0)):
+def brute_lines(pairs):
+    """The texts that line dedup leaves, in the order of ``pairs``."""
+    at = defaultdict(list)
+    for d, t in sorted({p for p in pairs if p[1] is not None}, key=lambda p: (p[0] is None, p[0] or 0)):
         ls = t.split("\n")
         for k in range(len(ls) - 2):
             at[tuple(ls[k : k + 3])].append((d, t, k))
@@ -197,21 +251,23 @@ def test_lines(docs, pairs):
         if len(places) > 1:
             for n, (d, t, k) in enumerate(places):
                 (gone if n else stay)[d, t].update(range(k, k + 3))
-    del first
-    want = []
-    for d, t in pairs:
-        if t is not None:
-            lost = gone[d, t] - stay[d, t]
-            t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
-        want.append((d, t))
+    return [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d, t] - stay[d, t])) for d, t in pairs]
+
+
+def test_lines(docs, pairs):
     got = lines.dedup_lines(docs)
     assert got.columns == docs.columns
-    assert rows_of(got.select("doc_id", "text")) == sorted(want, key=str)
+    assert rows_of(got.select("doc_id", "text")) == sorted(brute_lines(pairs), key=str)
 
 
-def test_decontamination(spark, docs, pairs):
-    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [("a1", "Data"), ("a2", None), ("a3", ""), ("b", "a, B a!")]
-    bench = spark.createDataFrame(items, "item_id string, text string")
+def test_lines_of_a_long_text(spark):
+    text = "\n".join(["a", "b", "c", "d"] * 20_000)
+    left = lines.dedup_lines(spark.createDataFrame([(1, text), (2, "a\nb\nc")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in left} == dict(brute_lines([(1, text), (2, "a\nb\nc")]))
+
+
+def brute_hits(pairs, items):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each pair, in order."""
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(t or ""))
     windows = defaultdict(set)
     for i, t in items:
@@ -228,11 +284,18 @@ def test_decontamination(spark, docs, pairs):
                     hit.update(range(k, k + n))
                     found |= own
         want.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return want
+
+
+def test_decontamination(spark, docs, pairs):
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [("a1", "Data"), ("a2", None), ("a3", ""), ("b", "a, B a!")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute_hits(pairs, items)
     want = sorted(want, key=str)
     for how in ({}, {"shard_words": 37}, {"block_bytes": 700}):
         assert rows_of(decontaminate.contamination(docs, bench, **how).drop("matches")) == want
     clean = decontaminate.decontaminate(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    assert clean.columns == docs.columns and sorted((r.doc_id for r in clean.select("doc_id").collect()), key=str) == sorted((w[0] for w in want if not w[-1]), key=str)
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
@@ -564,6 +627,17 @@ def test_html_operator(spark):
     assert rows_of(html.extracted(pages)) == sorted([(1, "a"), (1, "a"), (None, "")], key=str)
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "b c " * 5_000 + "d"), (3, "x")], "doc_id long, text string")
+    items = [("i", "a " * 2_000), ("j", "b c " * 10), ("k", "c d")]
+    began = time.process_time()
+    out = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert time.process_time() - began < 30
+    assert (out[1].n_hit, out[1].n_items, max(m.words for m in out[1].matches)) == (20_000, 1, 2_000)
+    assert (out[2].n_hit, out[2].n_items, max(m.words for m in out[2].matches)) == (10_001, 2, 20)
+    assert not out[3].contaminated and out[3].matches == []
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (simhash.near_duplicates, simhash.keep_one, quality.quality, quality.keep_good, lines.dedup_lines, sharding.shard, katz.scored, sentencepieces.encoded, token_counts.token_counts, suffixes.repeated_spans, suffixes.dedup_suffixes):
@@ -572,8 +646,53 @@ def test_empty_tables(spark, docs):
     assert decontaminate.contamination(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_pipeline_runs_through(spark):
+def test_pipeline_keeps_the_rows_of_brute_force(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(500)}," for _ in range(60)]
+    near = [(9300 + k, " ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(1, 4)]
+    tied = [(9400, "\n".join(f"line {k} of some text, that is told." for k in range(4)))] * 2
+    more = spark.createDataFrame([(d, t, "en", "s", None, "c", "k", 1, 2, "r") for d, t in [*near, *tied, (None, near[0][1])]], SCHEMA)
+    every = docs.unionByName(more)
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [("n", None)]
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in every.select("doc_id", "text", "lang", "source").collect()]
+    left = [r[:2] for r, k in zip(rows, brute_kept([r[1:] for r in rows])) if k]
+    left = brute_lines(left)
+    best: dict = {}
+    for d, t in sorted(set(left), key=lambda p: (p[0] is None, p[0] or 0)):
+        best.setdefault(d, []).append(t)
+    kept = brute_alike(left)
+    assert len(kept) < len(left) and all(len(best[d]) == 1 for d in kept)
+    left = [(d, best[d][0]) for d in kept]
+    left = [p for p, hit in zip(left, brute_hits(left, bench)) if not hit[-1]]
+    pieces = sentencepieces.load(sentencepieces.model_path())
+    want = sorted(((d, tuple(pieces.encode(t or "")[0])) for d, t in left), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.filter("NOT round_trip").count() == 0
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in out.select("doc_id", "ids").collect()), key=str) == want
+
+
+def test_pipeline_of_empty_tables(spark, docs, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    assert 0 < out.count() < 200 and out.filter("NOT round_trip").count() == 0
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("how", [{"group": 2}, {"compared": 200}, {"compared": 200, "group": 2}])
+def test_near_duplicates_in_parts(spark, how):
+    """Groups that are too large for a task are dealt out, and nothing is lost."""
+    rng = random.Random(17)
+    base = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(3)]
+    own = []
+    for k in range(90):
+        words = list(base[k % 3])
+        for at in rng.sample(range(60), k % 4):
+            words[at] = f"e{rng.randrange(50)}"
+        own.append((k, " ".join(words)))
+    got = simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string"), **how)
+    assert sorted((r.doc_id for r in got.collect()), key=str) == brute_alike(own)
