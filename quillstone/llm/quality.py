@@ -99,8 +99,7 @@ def quartiles(sketch: DataFrame, key: list[str]) -> DataFrame:
 def blended(own: DataFrame, parent: DataFrame, key: list[str], above: list[str], prior: int) -> DataFrame:
     """The sketches of ``own`` (key, measure, bucket, n) with that of the parent (above, measure, bucket, n), which counts as ``prior`` documents."""
     parent = parent.withColumn("all", F.sum("n").over(Window.partitionBy(*above, "measure")))
-    groups = own.select(*key).distinct()
-    support = groups.join(parent, above) if above else groups.crossJoin(parent)
+    support = own.select(*key, "measure").distinct().join(parent, [*above, "measure"])
     mine = own.withColumnRenamed("n", "own")
     n = PARTS * F.coalesce("own", F.lit(0)) + F.expr(f"({prior * PARTS}L * n) div all")
     return support.join(mine, [*key, "measure", "bucket"], "left").select(*key, "measure", "bucket", n.alias("n"))
