@@ -270,3 +270,15 @@ TOPIC_LEFT = [
 TOPIC_EDGE_PART = r"^[（）()【】\[\] \-_·]+|[（）()【】\[\] \-_·]+$"
 TOPIC_EDGE = r"^[（）()【】\[\] \-_·，,。.：:！!？?、]+|[（）()【】\[\] \-_·，,。.：:！!？?、]+$"
 EXTENSION = r"([^.])\.[^.]*$"
+
+# What objectives are drawn from, and their wording.
+OBJECTIVE_KNOWLEDGE = r"^(知识点|考点|知识要点|知识梳理|要点|概念|定义|公式|定理|性质|法则|方法|规律|技巧|注意|说明|提醒|小结)[\s：:、]*\p{Nd}*"
+OBJECTIVE_ORDERED = r"^[一二三四五六七八九十]+[、.． ](.+)$"
+OBJECTIVE_TYPE = r"^【?\s*题型\s*\p{Nd}+\s*】?\s*"
+OBJECTIVE_EXAMPLE = r"^例\s*\p{Nd}+"
+OBJECTIVE_EXCLUDED = ["题型", "练习", "训练", "巩固", "测试"]
+OBJECTIVE_TAGS = ["基础速刷", "能力跃升", "能力提升", "提优训练", "拔高训练", "真题闯关", "课后三阶", "对点训练", "即学即练", "变式训练", "拓展训练", "强化训练", "综合训练", "模拟演练"]
+OBJECTIVE_TEXTS = {
+    "knowledge": "①掌握{topic}核心知识：{names}等；", "no_knowledge": "①掌握{topic}的核心概念与基本方法；", "counted": "②掌握{part}题型的解法，共{count}道题；", "uncounted": "②掌握{part}题型的解法，熟练求解；", "skills": "③培养运算与推理能力，形成知识体系。",
+    "any_part": "本专题典型问题", "key": "重点：{topic}核心概念（{names}）的理解与应用；", "no_key": "重点：{topic}核心知识点与基本方法；", "hard": "难点：{part}的综合运用与易错点辨析。", "no_hard": "难点：知识的综合运用与易错点辨析。",
+}

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, candidates, contents, hybrid, manifests, rows, scoring, segments, tiers
+from ..operators import assembly, candidates, contents, hybrid, manifests, objectives, rows, scoring, segments, tiers
 from ..sources import corpora
 
 
@@ -296,6 +296,33 @@ def topic_sql(column: str) -> str:
     return f"coalesce(nullif(trim(regexp_replace({left}, {q(P.TOPIC_EDGE)}, '', 'g'), ' '), ''), {bare})"
 
 
+def topped(column: str, n: int) -> str:
+    return f"list_slice(list_filter(coalesce({column}, []), lambda x, i: list_position({column}, x) = i), 1, {n})"
+
+
+FEATURES = f"""WITH {C2}, k0 AS (SELECT *, regexp_extract(text, {q(P.OBJECTIVE_ORDERED)}, 1) AS ordered FROM c),
+k1 AS (SELECT *, CASE WHEN text = '' THEN NULL WHEN {rx(P.TYPE_MARKER)} THEN 'type' WHEN {rx(P.OBJECTIVE_KNOWLEDGE)} THEN 'knowledge' WHEN ordered <> '' THEN 'ordered' WHEN {rx(P.NUMBER)} THEN 'question' ELSE 'other' END AS kind FROM k0),
+k2 AS (SELECT *, CASE kind WHEN 'type' THEN trim(regexp_replace(regexp_replace(text, {q(P.OBJECTIVE_TYPE)}, ''), '^[【】]+|[【】]+$', '', 'g'), ' ') WHEN 'knowledge' THEN regexp_replace(trim(regexp_replace(text, {q(P.OBJECTIVE_KNOWLEDGE)}, ''), ' '), '^[：:、 ]+', '') WHEN 'ordered' THEN CASE WHEN {" OR ".join(f"contains(ordered, {q(w)})" for w in P.OBJECTIVE_EXCLUDED)} THEN NULL ELSE trim(ordered, ' ') END END AS title,
+  CASE WHEN kind = 'other' THEN CASE {" ".join(f"WHEN contains(text, {q(w)}) THEN {q(w)}" for w in P.OBJECTIVE_TAGS)} END END AS tag FROM k1),
+k3 AS (SELECT doc_id, list(title ORDER BY para) FILTER (kind IN ('knowledge', 'ordered') AND length(title) BETWEEN 1 AND 29) AS kn, list(title ORDER BY para) FILTER (kind = 'type' AND length(title) BETWEEN 1 AND 29) AS ty, list(tag ORDER BY para) FILTER (tag IS NOT NULL) AS ta,
+  list({number(f"regexp_extract(text, {q(P.NUMBER)}, 1)")} ORDER BY para) FILTER (kind = 'question') AS nums, CAST(count(*) FILTER (kind = 'other' AND {rx(P.OBJECTIVE_EXAMPLE)}) AS INT) AS examples FROM k2 GROUP BY doc_id),
+fe AS (SELECT doc_id, {topped("kn", 3)} AS knowledge, {topped("ty", 3)} AS types, {topped("ta", 2)} AS tags, CAST(list_reduce(list_prepend(0, coalesce(nums, [])), lambda a, b: CASE WHEN b = a + 1 THEN b ELSE a END) AS INT) AS questions, examples FROM k3)"""
+
+
+def worded_sql(key: str, **values: str) -> str:
+    out, left = [], P.OBJECTIVE_TEXTS[key]
+    while "{" in left:
+        before, _, rest = left.partition("{")
+        name, _, left = rest.partition("}")
+        out += [q(before), values[name]]
+    return "concat(" + ", ".join([*out, q(left)]) + ")"
+
+
+OBJECTIVES = f"""{FEATURES}, o AS (SELECT *, concat('专题', doc_id) AS topic, CASE WHEN len(types) > 0 THEN types ELSE tags END AS names FROM fe),
+p AS (SELECT *, concat(array_to_string(names, '、'), '等') AS listed, CASE WHEN len(names) > 0 THEN concat(array_to_string(names, '、'), '等') ELSE {q(P.OBJECTIVE_TEXTS["any_part"])} END AS part FROM o)
+SELECT doc_id, concat_ws(chr(10), CASE WHEN len(knowledge) > 0 THEN {worded_sql("knowledge", topic="topic", names="array_to_string(knowledge, '、')")} ELSE {worded_sql("no_knowledge", topic="topic")} END, CASE WHEN questions > 0 THEN {worded_sql("counted", part="part", count="questions")} ELSE {worded_sql("uncounted", part="part")} END, {q(P.OBJECTIVE_TEXTS["skills"])}) AS objectives,
+  concat_ws(chr(10), CASE WHEN len(knowledge) > 0 THEN {worded_sql("key", topic="topic", names="array_to_string(knowledge[1:2], '、')")} ELSE {worded_sql("no_key", topic="topic")} END, CASE WHEN len(names) > 0 THEN {worded_sql("hard", part="listed")} ELSE {q(P.OBJECTIVE_TEXTS["no_hard"])} END) AS difficulties FROM p"""
+
 SMART = f"""WITH {C2}, tt AS ({contents_sql(C2)} SELECT * FROM pr), aa AS ({AUTO}),
 sm AS (SELECT doc_id, 'toc' AS tier, ord, marker, start_para, end_para FROM tt UNION ALL SELECT doc_id, tier, ord, marker, start_para, end_para FROM aa WHERE doc_id NOT IN (SELECT doc_id FROM tt)),
 {refine_sql("sm")} {refined_sql("sm", "tier,")}"""
@@ -358,6 +385,11 @@ def practice_boundary(paras):
     return rows.practice_boundary(paras, practice.groupBy("doc_id").agg(F.min_by("start_para", "ord").alias("start_para"), F.max("end_para").alias("end_para")))
 
 
+def features(paras):
+    joined = [F.array_join(c, "、").alias(c) for c in ("knowledge", "types", "tags")]
+    return objectives.features(paras).select("doc_id", *joined, "questions", "examples")
+
+
 def toc_entries(paras):
     return contents.entries(paras).select("doc_id", "toc_end", F.explode("entries").alias("e")).select("doc_id", "toc_end", "e.*")
 
@@ -418,6 +450,8 @@ QUERIES = {
     "upload_inputs": over(corpora.manifests, manifests.inputs),
     "file_versions": over(corpora.manifests, manifests.versions),
     "topic": over(corpora.manifests, lambda f: f.select("job_id", "pos", scalars.topic(F.col("name")).alias("topic"))),
+    "objective_features": over(corpora.handouts, features),
+    "objectives": over(corpora.handouts, lambda p: objectives.objectives(objectives.features(p), F.concat(F.lit("专题"), F.col("doc_id").cast("string")))),
     "smart_split": over(corpora.handouts, lambda p: rows.refined(contents.smart_split(p, tiers.auto_split(p)), p)),
     "short_text": over(corpora.documents, lambda p: p.select("doc_id", "para", scalars.short(F.col("text"), 80).alias("head"))),
     "academic_year": read("orders", lambda o: o.select("o_orderkey", scalars.academic_year(F.col("o_orderdate")).alias("academic_year"))),
@@ -478,6 +512,8 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "toc_entries": contents_sql(C3) + " SELECT n7.doc_id, toc_end, n7.para, n7.role, n7.name FROM n7 JOIN ent USING (doc_id)",
     "toc_split": contents_sql(C3) + " SELECT * FROM pr",
     "smart_split": SMART,
+    "objective_features": FEATURES + " SELECT doc_id, array_to_string(knowledge, '、') AS knowledge, array_to_string(types, '、') AS types, array_to_string(tags, '、') AS tags, questions, examples FROM fe",
+    "objectives": OBJECTIVES,
     "example_rows": f"WITH g0 AS ({GROUPS}), {C2} SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM c WHERE NOT EXISTS (SELECT 1 FROM g0 WHERE g0.doc_id = c.doc_id AND sound AND c.para BETWEEN start_para AND end_para)",
     "ideal_rows": f"WITH g0 AS ({GROUPS}), c0 AS (WITH {C2} SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM c WHERE NOT EXISTS (SELECT 1 FROM g0 WHERE g0.doc_id = c.doc_id AND sound AND c.para BETWEEN start_para AND end_para)), c AS (SELECT * FROM c0) {RENUMBERED}",
     "upload_checks": CHECKED + " SELECT * FROM k",

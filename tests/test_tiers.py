@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
-from quillstone.operators import candidates, contents, hybrid, tiers
+from quillstone.operators import candidates, contents, hybrid, objectives, tiers
 
 
 def paras(spark, texts, images=()):
@@ -109,3 +109,14 @@ def test_headings_stand_in_for_contents(spark):
 
 def test_full_width_digits_count(spark):
     assert split(spark, ["说明", "【题型２】", "甲", "【题型１】", "乙", "丙"]) == ("type", [(1, 3), (4, 1), (2, 6)])
+
+
+def test_objectives(spark):
+    texts = ["知识点1：集合的定义", "一、集合的运算", "二、巩固练习", "【题型1】集合的判定", "题型2 求子集", "1．甲", "3．乙", "2．丙", "例1 丁", "基础速刷", "一、集合的运算"]
+    f = objectives.features(paras(spark, texts))
+    assert tuple(f.first())[1:] == (["集合的定义", "集合的运算"], ["集合的判定", "求子集"], ["基础速刷"], 2, 1)
+    got = objectives.objectives(f, F.lit("集合")).first()
+    assert got.objectives == "①掌握集合核心知识：集合的定义、集合的运算等；\n②掌握集合的判定、求子集等题型的解法，共2道题；\n③培养运算与推理能力，形成知识体系。"
+    assert got.difficulties == "重点：集合核心概念（集合的定义、集合的运算）的理解与应用；\n难点：集合的判定、求子集等的综合运用与易错点辨析。"
+    bare = objectives.objectives(objectives.features(paras(spark, ["", "甲"])), F.lit("集合")).first()
+    assert bare.objectives.split("\n")[1] == "②掌握本专题典型问题题型的解法，熟练求解；" and bare.difficulties.split("\n")[1] == "难点：知识的综合运用与易错点辨析。"
