@@ -101,7 +101,17 @@ BOUNDARY = [
 
 # Fixed values: (pattern, type) of section headings; the first that matches decides.
 SECTION = [
-    (r"^第[一二三四五六七八九十\p{Nd}]+(部分|章|节|讲|课时|单元|模块|板块|环节|篇|段)", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+部分", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+章", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+节", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+讲", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+课时", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+单元", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+模块", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+板块", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+环节", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+篇", "mixed"),
+    (r"^第[一二三四五六七八九十\p{Nd}]+段", "mixed"),
     (r"^专题\s*\p{Nd}+", "mixed"),
     (r"^考点\s*\p{Nd}+", "knowledge"),
     (r"^题型\s*\p{Nd}+", "practice"),
@@ -118,12 +128,33 @@ SECTION = [
     (r"^\p{Nd}{2}\s+[^\s]+·[^\s]+", "mixed"),
     (r"^(拔高|基础|能力|进阶|重难|考情|真题)[・·].{1,20}$", "mixed"),
     (r"^重难\s*\p{Nd}+", "knowledge"),
-    (r"(?i)^(Part|Section)\s+(\p{Nd}+|[A-F]$)", "mixed"),
-    (r"(?i)^(Unit|Module|Lesson|Chapter|Topic|Theme|Stage|Phase|Level|Round|Step|Task|Activity)\s+\p{Nd}+", "mixed"),
-    (r"(?i)^Passage\s+(\p{Nd}+|[A-F]$)", "practice"),
-    (r"(?i)^Reading\s+(\p{Nd}+|Comprehension)", "practice"),
+    (r"(?i)^Part\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Part\s+[A-F]$", "mixed"),
+    (r"(?i)^Section\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Section\s+[A-F]$", "mixed"),
+    (r"(?i)^Unit\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Module\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Lesson\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Chapter\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Topic\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Theme\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Stage\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Phase\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Level\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Round\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Step\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Task\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Activity\s+\p{Nd}+", "mixed"),
+    (r"(?i)^Passage\s+\p{Nd}+", "practice"),
+    (r"(?i)^Passage\s+[A-F]$", "practice"),
+    (r"(?i)^Reading\s+\p{Nd}+", "practice"),
+    (r"(?i)^Reading\s+Comprehension", "practice"),
     (r"(?i)^Read\s+the\s+following\s+passage", "practice"),
-    (r"(?i)^(Exercise|Practice|Test|Quiz|Cloze)\s+\p{Nd}+", "practice"),
+    (r"(?i)^Exercise\s+\p{Nd}+", "practice"),
+    (r"(?i)^Practice\s+\p{Nd}+", "practice"),
+    (r"(?i)^Test\s+\p{Nd}+", "practice"),
+    (r"(?i)^Quiz\s+\p{Nd}+", "practice"),
+    (r"(?i)^Cloze\s+\p{Nd}+", "practice"),
     (r"(?i)^Grammar\s+Focus", "knowledge"),
     (r"(?i)^Writing\s+Task", "practice"),
     (r"^[IVX]+[.．]\s+[^\p{Nd}]", "mixed"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ def is_boundary(text: Column) -> Column:
 
 
 def section_type(text: Column) -> Column:
+    """The type of the first pattern that matches; neighbours of one type are one alternation, as their order makes no difference."""
     out = None
-    for p, kind in P.SECTION:
-        out = F.when(text.rlike(p), kind) if out is None else out.when(text.rlike(p), kind)
+    for (kind, folded), run in groupby(P.SECTION, key=lambda x: (x[1], x[0].startswith("(?i)"))):
+        found = text.rlike("(?i)" * folded + "|".join(f"(?:{p.removeprefix('(?i)')})" for p, _ in run))
+        out = F.when(found, kind) if out is None else out.when(found, kind)
     return out
 
 
