@@ -233,6 +233,12 @@ def test_quality(docs, pairs):
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted((r.doc_id for r, k in zip(full, verdict) if k), key=str)
 
 
+def test_long_texts_are_read_whole():
+    text = " ".join(f"w{k * k % 7919}" for k in range(70_000)) + "\nend\nend"
+    assert simhash.fingerprint(text) & 2**64 - 1 == brute_fingerprint(text)
+    assert quality.text_counts(text) == brute_counts(text)
+
+
 def test_quantile_buckets(spark):
     df = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b"))
     found = {r.id: r.b for r in df.collect()}
