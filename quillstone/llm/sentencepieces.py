@@ -16,11 +16,9 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +29,7 @@ MARK = "▁"
 BEST = 4
 #: Loss of a character that is spelled in bytes, below the least score of any piece.
 PENALTY = 10.0
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
-#: Characters of words that are learnt together, as arrays, and the multiplier of their hashes.
-TOGETHER = 24
-SLOTS = 18
-_TIMES = np.uint64(0x9E3779B97F4A7C15)
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -81,16 +75,6 @@ class Pieces:
         self.score = {p: min(s, 0.0) for p, s in self.score.items()}
         if any(MARK in p.lstrip(MARK) or "\n" in p[:-1] or "\n" in p[1:] for p in self.ids):
             raise ValueError("a piece goes over the start of a word or a newline")
-        #: Hashes of pieces in two tables of slots, with the numbers of the pieces (cuckoo hashing: each is in its slot of either).
-        self.slots = np.zeros((2, 1 << SLOTS), np.uint64)
-        self.held = np.full((2, 1 << SLOTS), -1, np.int32)
-        self.scores = np.full(len(self.spelled) + 1, -np.inf)
-        for n in range(1, min(self.longest, TOGETHER) + 1):
-            own = [p for p in self.score if len(p) == n]
-            h = hashed(own, n)
-            for p, *here in zip(own, h, *slots_of(h)):
-                self.scores[self.ids[p]] = self.score[p]
-                self._place(self.ids[p], *here)
         #: Words met before: when there are too many the older half goes.
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -121,58 +105,6 @@ class Pieces:
                     break
         return best, back, second[n]
 
-    def _place(self, piece: int, h: np.uint64, *slot: np.uint64) -> None:
-        for turn in range(100):
-            k = turn % 2
-            gone, self.held[k, slot[k]] = int(self.held[k, slot[k]]), piece
-            old, self.slots[k, slot[k]] = self.slots[k, slot[k]], h
-            if gone < 0:
-                return
-            piece, h = gone, old
-            slot = tuple(x[0] for x in slots_of(np.array([h])))
-        raise ValueError("the pieces' hashes don't fit their slots")
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Finds what ``word`` gives for words that weren't met before, those of a length at once by the same forward pass over arrays."""
-        by_length: dict[int, list[str]] = {}
-        for w in set(words):
-            if len(w) <= TOGETHER and w not in self.known and w not in self.older:
-                by_length.setdefault(len(w), []).append(w)
-        for n, own in by_length.items():
-            m, low = len(own), -np.inf
-            chars = np.array(own, f"<U{n}").view(np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-            best, second = np.full((n + 1, m), low), np.full((n + 1, m), low)
-            back, piece = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int64)
-            best[0] = 0.0
-            for begin in range(n):
-                h = np.zeros(m, np.uint64)
-                for end in range(begin + 1, min(n, begin + self.longest) + 1):
-                    h = h * _TIMES + chars[:, end - 1]
-                    first, other = slots_of(h)
-                    k = np.where(self.slots[0, first] == h, self.held[0, first], np.where(self.slots[1, other] == h, self.held[1, other], -1))
-                    s = self.scores[k]
-                    if end == begin + 1:
-                        s = np.where(k < 0, self.unknown, s)
-                    s0 = best[begin] + s
-                    more = s0 > best[end]
-                    second[end] = np.where(more, np.maximum(best[end], second[begin] + s), np.maximum(second[end], s0))
-                    best[end], back[end], piece[end] = np.where(more, s0, best[end]), np.where(more, begin, back[end]), np.where(more, k, piece[end])
-            rows, at, cuts = np.arange(m), np.full(m, n), []
-            while at.any():
-                cuts.append((np.where(at > 0, piece[at, rows], -2), at))
-                at = back[at, rows]
-            ids = np.stack([k for k, _ in cuts[::-1]], 1).tolist()
-            lost = np.stack([k == -1 for k, _ in cuts], 1).any(1)
-            loss = best[n] - second[n]
-            for w, score, less, own_ids, spelled in zip(own, best[n].tolist(), loss.tolist(), ids, lost.tolist()):
-                if not spelled:
-                    self._remember(w, (score, less, tuple(own_ids) if own_ids[0] >= 0 else tuple(k for k in own_ids if k >= 0)))
-
-    def _remember(self, word: str, found: tuple) -> None:
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        self.known[word] = found
-
     def edge(self, text: str) -> tuple[int, ...]:
         k = self.ids.get(text)
         return (k,) if k is not None else tuple(self.byte[b] for b in text.encode("utf-8", "replace"))
@@ -189,7 +121,9 @@ class Pieces:
                 at = back[at]
             found = best[-1], best[-1] - second, tuple(reversed(ids))
         if len(word) <= CACHE_CHARS:
-            self._remember(word, found)
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
         return found
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -227,10 +161,7 @@ class Pieces:
 
     def encode(self, text: str, n: int = BEST) -> tuple[list[int], list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
         """The ids of the best segmentation; the scores of the n best, and for each the words (by number) in which it isn't the best, with their ids."""
-        return self.encode_words(SEGMENT.findall(normalised(text)), n)
-
-    def encode_words(self, words: list[str], n: int = BEST):
-        """``encode`` for the words of a text."""
+        words = SEGMENT.findall(normalised(text))
         ids, total, get = [], 0.0, self.known.get
         # the n - 1 words that lose least by their second best segmentation
         near: list[tuple[float, int]] = []
@@ -263,20 +194,6 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def slots_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of hashes in either table."""
-    return (h * _TIMES) >> np.uint64(64 - SLOTS), (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOTS)
-
-
-def hashed(texts: list[str], n: int) -> np.ndarray:
-    """A 64-bit hash of each of some texts of ``n`` characters."""
-    h = np.zeros(len(texts), np.uint64)
-    chars = np.array(texts, f"<U{n}").view(np.uint32).reshape(len(texts), n).astype(np.uint64) + np.uint64(1)
-    for k in range(n):
-        h = h * _TIMES + chars[:, k]
-    return h
-
-
 def normalised(text: str) -> str:
     """Spaces as marks, and one mark before the text; an empty text stays empty."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -301,11 +218,9 @@ def encoded(docs: DataFrame, path: str | None = None, n: int = BEST) -> DataFram
 
     def rows(texts: list[str | None]) -> Iterator[tuple]:
         pieces = load(path)
-        words = [SEGMENT.findall(normalised(text or "")) for text in texts]
-        pieces.learn(chain.from_iterable(words))
-        for text, own in zip(texts, words):
+        for text in texts:
             text = text or ""
-            ids, found = pieces.encode_words(own, n)
+            ids, found = pieces.encode(text, n)
             yield ids, [s for s, _ in found], [[{"word": k, "ids": list(v)} for k, v in changes] for _, changes in found], pieces.decode(ids) == text.replace(MARK, " ")
 
     return add_columns(docs.select("doc_id", "text"), "text", fields, rows).drop("text")

@@ -500,17 +500,6 @@ def test_sentencepieces():
         assert abs(score[tuple(ids)] - want[0][0]) < 1e-6 and pieces.decode(ids) == text
 
 
-def test_words_are_learnt_together_as_one_by_one():
-    rng = random.Random(8)
-    path = sentencepieces.model_path()
-    together, single = sentencepieces.Pieces(path), sentencepieces.Pieces(path)
-    words = {"".join(rng.choice(["a", "e", "th", "ing", "é", "梦", "🙂", "\x00", "▁", "s", "t", "n", "tion"]) for _ in range(rng.randint(1, 14))) for _ in range(4000)} | {"\n", "▁the", "x\x00"}
-    together.learn(words)
-    learnt = dict(together.known)
-    assert len(learnt) > 1500 and all(single.word(w) == found for w, found in learnt.items())
-    assert all(together.word(w) == single.word(w) for w in words)
-
-
 def test_sentencepieces_of_a_long_word():
     pieces = sentencepieces.load(sentencepieces.model_path())
     rng = random.Random(4)
