@@ -24,8 +24,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key and gone (a sorted array of line numbers from 0) for each document that loses lines."""
     lines = _keyed(docs.filter(F.col("text").isNotNull()))
+    # outer, as the filter that explode brings would be pushed below the split and split the text anew for each line
     at = F.expr(f"transform(sequence(0, greatest(size(lines) - {window}, 0)), i -> struct(i AS at, unhex(md5(cast(array_join(slice(lines, i + 1, {window}), '\\n') AS binary))) AS hash))")
-    windows = written(lines.filter(F.size("lines") >= window).select("doc_id", "text_key", F.explode(at).alias("w")).select("doc_id", "text_key", "w.*"), "windows")
+    windows = written(lines.filter(F.size("lines") >= window).select("doc_id", "text_key", F.explode_outer(at).alias("w")).select("doc_id", "text_key", "w.*"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "at")
     repeated = written(windows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("hash", "first"), "repeated")
     found = windows.join(repeated, "hash").select("doc_id", "text_key", "at", (place == F.col("first")).alias("stays"))
@@ -49,7 +50,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = written(covered_lines(docs, window), "gone")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
     joined = null_safe_join(row, gone.hint("merge"), ["doc_id", "text_key"], "left")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left(F.split("row.text", "\n")), "\n"))
+    joined = joined.withColumn("lines", F.split("row.text", "\n"))  # a column of its own, as it would be split for each line inside the lambda
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left(F.col("lines")), "\n"))
     return joined.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -257,7 +257,8 @@ def brute_lines(pairs):
         if len(places) > 1:
             for n, (d, t, k) in enumerate(places):
                 (gone if n else stay)[d, t].update(range(k, k + 3))
-    return [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d, t] - stay[d, t])) for d, t in pairs]
+    lost = {key: own - stay[key] for key, own in gone.items()}
+    return [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost.get((d, t), ()))) for d, t in pairs]
 
 
 def test_lines(docs, pairs):
