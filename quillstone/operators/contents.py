@@ -20,12 +20,12 @@ def entries(paras: DataFrame) -> DataFrame:
 
     A table begins at its title; it ends at an empty paragraph or, once it has an entry, at a short one that names no section.
     """
-    t = F.col("text")
-    dotted, name = t.rlike(P.DOTTED), scalars.clean_toc_name(t)
-    role = scalars.toc_role(name)
+    t, name, role = F.col("text"), F.col("name"), F.col("role")
+    dotted = t.rlike(P.DOTTED)
     listed = role.isNotNull() & F.when(dotted, F.length(name) >= 2).otherwise(F.length(t) < 60)
     kind = F.when(t == "", "empty").when(t.isin(P.TOC_TITLES), "title").when(listed, "entry").when(~dotted & (F.length(t) < 60), "other")
-    rows = paras.filter(F.col("para") <= SCANNED).select("doc_id", F.struct("para", role.alias("role"), name.alias("name"), kind.alias("kind")).alias("row")).filter("row.kind IS NOT NULL")
+    named = paras.filter(F.col("para") <= SCANNED).repartition("doc_id").withColumn("name", scalars.clean_toc_name(t)).withColumn("role", scalars.toc_role(name))
+    rows = named.select("doc_id", F.struct("para", role.alias("role"), name.alias("name"), kind.alias("kind")).alias("row")).filter("row.kind IS NOT NULL")
     d = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     first = lambda rows, *kinds: F.array_min(F.transform(F.filter(rows, lambda r: r["kind"].isin(*kinds)), lambda r: r["para"]))
     d = d.withColumn("title", first("rows", "title")).filter("title IS NOT NULL")
@@ -37,16 +37,17 @@ def entries(paras: DataFrame) -> DataFrame:
     listed_rows = F.filter("rows", lambda r: (r["kind"] == "entry") & (F.col("stop").isNull() | (r["para"] < F.col("stop"))))
     d = d.withColumn("entries", F.transform(listed_rows, lambda r: F.struct(r["para"].alias("para"), r["role"].alias("role"), r["name"].alias("name"))))
     end = F.coalesce("stop", F.coalesce(F.array_max(F.transform("entries", lambda e: e["para"])), F.lit(SCANNED)) + 1)
-    return d.select("doc_id", end.cast("int").alias("toc_end"), "entries")
+    # no filter passes an expression that isn't deterministic: below it, what stands here would be worked out again for each element
+    return d.select("doc_id", end.cast("int").alias("toc_end"), F.when(F.rand(0) >= 0, F.col("entries")).alias("entries"))
 
 
 def headings(paras: DataFrame) -> DataFrame:
     """doc_id and entries (para, role, name) from headings of the body, each name once."""
     t = F.col("text")
     strip = lambda c, *patterns: strip(F.regexp_replace(c, patterns[0], ""), *patterns[1:]) if patterns else c
-    bare = strip(t, P.NAV_DECOR, P.NAV_BRACKETS, P.NAV_ORDINAL)
+    bare = F.col("bare")
     name = F.trim(F.regexp_replace(F.when(bare != "", bare).otherwise(t), P.PARENTHESES, ""))
-    f = paras.filter(t.rlike(P.NAV_HEADER) | bare.rlike(P.NAV_HEADER)).select("doc_id", "para", name.alias("name"), F.coalesce(scalars.toc_role(t), scalars.toc_role(name)).alias("role"))
+    f = paras.repartition("doc_id").withColumn("bare", strip(t, P.NAV_DECOR, P.NAV_BRACKETS, P.NAV_ORDINAL)).filter(t.rlike(P.NAV_HEADER) | bare.rlike(P.NAV_HEADER)).select("doc_id", "para", name.alias("name"), F.coalesce(scalars.toc_role(t), scalars.toc_role(name)).alias("role"))
     once = f.filter(F.length("name") >= 3).groupBy("doc_id", "name").agg(F.min(F.struct("para", "role")).alias("x")).filter("x.role IS NOT NULL")
     return once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("x.para", "x.role", "name"))).alias("entries"))
 
@@ -61,7 +62,7 @@ def located(listed: DataFrame, paras: DataFrame) -> DataFrame:
     Entries are looked for in order, each behind the last one that was found: a paragraph that is its name, else one that
     begins with it, has it, or has it when only letters and digits count.
     """
-    each = listed.select("doc_id", "toc_end", F.posexplode(practices(F.col("entries"))).alias("nth", "e")).filter(F.length("e.name") >= 2).select("doc_id", "toc_end", "nth", "e.role", "e.name")
+    each = listed.select("doc_id", "toc_end", F.posexplode_outer(practices(F.col("entries"))).alias("nth", "e")).filter(F.length("e.name") >= 2).select("doc_id", "toc_end", "nth", "e.role", "e.name")
     t, name = F.col("text"), F.col("name")
     letters = lambda c: F.regexp_replace(c, P.NO_WORD, "")
     level = F.when(t == name, 1).when(t.startswith(name), 2).when(t.contains(name), 3).when((F.length(letters(name)) >= 3) & letters(t).contains(letters(name)), 4)

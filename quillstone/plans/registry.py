@@ -441,8 +441,6 @@ QUERIES = {
     "practice_boundary": over(corpora.handouts, practice_boundary),
     "hybrid_classes": over(corpora.handouts, hybrid.classified),
     "hybrid_split": over(corpora.handouts, hybrid.split),
-    "toc_entries": over(corpora.with_contents, toc_entries),
-    "toc_split": over(corpora.with_contents, contents.split),
     "example_rows": over(corpora.handouts, tiers.without_examples),
     "ideal_rows": over(corpora.handouts, lambda p: rows.renumber(tiers.without_examples(p))),
     "upload_checks": over(corpora.manifests, manifests.checked),
@@ -452,7 +450,6 @@ QUERIES = {
     "topic": over(corpora.manifests, lambda f: f.select("job_id", "pos", scalars.topic(F.col("name")).alias("topic"))),
     "objective_features": over(corpora.handouts, features),
     "objectives": over(corpora.handouts, lambda p: objectives.objectives(objectives.features(p), F.concat(F.lit("专题"), F.col("doc_id").cast("string")))),
-    "smart_split": over(corpora.handouts, lambda p: rows.refined(contents.smart_split(p, tiers.auto_split(p)), p)),
     "short_text": over(corpora.documents, lambda p: p.select("doc_id", "para", scalars.short(F.col("text"), 80).alias("head"))),
     "academic_year": read("orders", lambda o: o.select("o_orderkey", scalars.academic_year(F.col("o_orderdate")).alias("academic_year"))),
     "is_red": read("orders", lambda o: o.withColumn("colour", F.lpad(F.hex(F.col("o_orderkey") * 7919 % 16777216), 6, "0")).select("o_orderkey", "colour", scalars.is_red(F.col("colour")).alias("is_red"))),
@@ -509,9 +506,6 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "practice_boundary": boundary_sql(C2) + f", bb AS ({BLOCKS}), {refine_sql('bb')} SELECT doc_id, para FROM pb",
     "hybrid_classes": HYBRID + " SELECT * FROM y",
     "hybrid_split": HYBRID_BLOCKS,
-    "toc_entries": contents_sql(C3) + " SELECT n7.doc_id, toc_end, n7.para, n7.role, n7.name FROM n7 JOIN ent USING (doc_id)",
-    "toc_split": contents_sql(C3) + " SELECT * FROM pr",
-    "smart_split": SMART,
     "objective_features": FEATURES + " SELECT doc_id, array_to_string(knowledge, '、') AS knowledge, array_to_string(types, '、') AS types, array_to_string(tags, '、') AS tags, questions, examples FROM fe",
     "objectives": OBJECTIVES,
     "example_rows": f"WITH g0 AS ({GROUPS}), {C2} SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM c WHERE NOT EXISTS (SELECT 1 FROM g0 WHERE g0.doc_id = c.doc_id AND sound AND c.para BETWEEN start_para AND end_para)",
