@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from corpus_pipeline import run as pipeline
 
+from .audit import SQL as AUDIT_SQL
+from .audit import op13_audit
 from .decontaminate import SQL as DECONTAMINATION_SQL
 from .decontaminate import op10_decontaminate
 from .html import op3_html
@@ -18,5 +20,5 @@ from .simhash import op1_simhash
 from .suffixes import op7_suffixes
 from .token_counts import op6_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op3_html, op4_katz, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate)} | {"pipeline": pipeline}
-ORACLES: dict[str, str] = {"op2_quality": QUALITY_SQL, "op9_lines": LINES_SQL, "op10_decontaminate": DECONTAMINATION_SQL}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_quality, op3_html, op4_katz, op5_sentencepiece, op6_token_counts, op7_suffixes, op8_sharding, op9_lines, op10_decontaminate, op13_audit)} | {"pipeline": pipeline}
+ORACLES: dict[str, str] = {"op2_quality": QUALITY_SQL, "op9_lines": LINES_SQL, "op10_decontaminate": DECONTAMINATION_SQL, "op13_audit": AUDIT_SQL}
