@@ -2,8 +2,8 @@
 
 Documents are packed into blocks of some megabytes of text. A block becomes a shard of the matrix in CSR form: where each
 document's row begins, the words of the row by number, and how often each occurs. Words are first numbered within their
-block; the distinct words of all blocks then make one dictionary, whose numbers have no gaps, and each block's list of words
-is joined with it, so that a word crosses the network once for each block that has it and not once for each document.
+block; the distinct words of all blocks then make one dictionary, whose numbers have no gaps, and each block's words
+get its numbers, so that a word crosses the network once for each block that has it and not once for each document.
 
 The row sums of the matrix are the documents' words and its nonzero counts their distinct words: these decide the filters A
 and B. The other flags go along with the rows. What an order of filters removes depends only on which filters a document
@@ -20,21 +20,22 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import slices, table, written
+from .common import SLICE, slices, table, written
 
 FILTERS = "ABCDE"
 A, B, C, D, E = (1 << k for k in range(5))
 #: Thresholds of A (words), B and C (hundredths), and the characters of D.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
-#: Bytes of text in a block, words of the dictionary in a bucket, and bytes of a row group of stored blocks.
-BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 2 << 20, 200_000, 16 << 20
+#: Bytes of text in a block, words of blocks in a bucket of the dictionary, and bytes of a row group of stored blocks.
+BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 8 << 20, 500_000, 16 << 20
 _CAPITALS, _CONTINUED = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
-_ARRAYS = {"starts": np.int64, "terms": np.int32, "counts": np.int32}
 
 
 def without(text: bytes, signs: bytes) -> int:
@@ -47,17 +48,39 @@ def row_flags(text: bytes) -> int:
     return C * shouts + D * (without(text, SIGNS) > 0)
 
 
-def matrix_rows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words in the order of their numbers, and starts, terms and counts of its CSR shard. bytes.split() parts at ASCII white space alone."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    words = [t.split() for t in texts]
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    term = np.fromiter((number[w] for row in words for w in row), np.int64, size.sum())
-    row = np.repeat(np.arange(len(words)), size)
-    cell, counts = np.unique(row << 32 | term, return_counts=True)
-    starts = np.searchsorted(cell >> 32, np.arange(len(words) + 1))
-    return list(number), starts, cell & 0xFFFFFFFF, counts
+class Block:
+    """Documents as rows of a CSR shard in which words have the block's own numbers, those of their first occurrence."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.sizes, self.terms, self.counts = [], [], []
+        self.doc_ids, self.parts, self.flags, self.digests = [], [], [], []
+
+    def add(self, doc_ids: list, parts: list, texts: list[bytes]) -> None:
+        """bytes.split() parts at ASCII white space alone."""
+        words = [t.split() for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        term = np.fromiter((self.number[w] for row in words for w in row), np.int64, size.sum())
+        cell, counts = np.unique(np.repeat(np.arange(len(words)), size) << 32 | term, return_counts=True)
+        self.sizes.append(np.bincount(cell >> 32, minlength=len(words)))
+        self.terms.append((cell & 0xFFFFFFFF).astype(np.int32))
+        self.counts.append(counts.astype(np.int32))
+        self.doc_ids += doc_ids
+        self.parts += parts
+        self.flags += [row_flags(t) for t in texts]
+        self.digests += [hashlib.sha256(t).digest() for t in texts]
+
+    def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
+        arrays = {"starts": starts, "terms": np.concatenate(self.terms), "counts": np.concatenate(self.counts)}
+        values = {"block": number, "words": list(self.number), **{k: a.tobytes() for k, a in arrays.items()}, "doc_ids": self.doc_ids, "parts": self.parts, "flags": self.flags, "digests": self.digests}
+        return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in schema], schema=schema)
+
+
+def block_type(doc_id: T.DataType) -> T.StructType:
+    of = {"block": T.LongType(), "words": T.ArrayType(T.StringType()), "starts": T.BinaryType(), "terms": T.BinaryType(), "counts": T.BinaryType(), "doc_ids": T.ArrayType(doc_id), "parts": T.ArrayType(T.StringType()), "flags": T.ArrayType(T.IntegerType()), "digests": T.ArrayType(T.BinaryType())}
+    return T.StructType([T.StructField(k, t) for k, t in of.items()])
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -67,66 +90,82 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     digests (SHA-256 of the text): by document.
     """
     from pyspark import TaskContext
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = docs.schema["doc_id"].dataType
-    ids = pa.list_(to_arrow_type(kind))
+    kind = block_type(docs.schema["doc_id"].dataType)
+    schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number, held, size = TaskContext.get().partitionId() << 33, Block(), 0
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text"), block):
+            for part in slices(batch.column("text"), min(block, SLICE)):
                 texts = [t or b"" for t in part.cast(pa.binary()).to_pylist()]
-                words, *arrays = matrix_rows(texts)
-                packed = {k: [a.astype(t).tobytes()] for (k, t), a in zip(_ARRAYS.items(), arrays)}
-                own = {"doc_ids": pa.array([batch.column("doc_id").slice(at, len(texts)).to_pylist()], ids), "parts": [batch.column("part").slice(at, len(texts)).to_pylist()]}
-                facts = {"flags": [[row_flags(t) for t in texts]], "digests": [[hashlib.sha256(t).digest() for t in texts]]}
-                yield pa.RecordBatch.from_pydict({"block": [number], "words": [words], **packed, **own, **facts}, schema=schema)
-                at, number = at + len(texts), number + 1
+                held.add(*(batch.column(c).slice(at, len(texts)).to_pylist() for c in ("doc_id", "part")), texts)
+                at, size = at + len(texts), size + sum(map(len, texts))
+                if size >= block:
+                    yield held.row(number, schema)
+                    number, held, size = number + 1, Block(), 0
+        if held.doc_ids:
+            yield held.row(number, schema)
 
-    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), *((k, pa.binary()) for k in _ARRAYS), ("doc_ids", ids), ("parts", pa.list_(pa.string())), ("flags", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary()))])
-    to = f"block long, words array<string>, starts binary, terms binary, counts binary, doc_ids array<{kind.simpleString()}>, parts array<string>, flags array<int>, digests array<binary>"
-    return docs.select("doc_id", "part", "text").mapInArrow(run, to)
+    return docs.select("doc_id", "part", "text").mapInArrow(run, kind)
 
 
-def dictionary(listed: DataFrame) -> DataFrame:
-    """word and term, a number from 0 without gaps, for the distinct words of ``listed`` (block, at, word).
+def codes(stored: DataFrame) -> DataFrame:
+    """block, at, bucket, nth and, in one row for each word, the word: the dictionary's numbers of the words of ``stored``, within buckets of their hash.
 
-    Words are numbered within buckets of a hash; a bucket's numbers follow those of the buckets before it.
+    A word crosses the network once for each block. Numbers are those of a word's first row in its bucket, which is why the
+    result has to be stored before it is used.
     """
-    distinct = written(listed.groupBy("word").agg(F.count("*").alias("n_blocks")), "words")
-    buckets = max(8, (distinct.count() or 0) // WORDS_PER_BUCKET)
-    placed = distinct.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    # one row for each bucket, some hundred thousand words apart
-    before = placed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1
-    return placed.withColumn("nth", nth).join(before, "bucket").select("word", (F.col("before") + F.col("nth")).alias("term"), "n_blocks")
+    listed = stored.select("block", F.posexplode("words").alias("at", "word"))
+    total = stored.agg(F.sum(F.size("words"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        bucket = TaskContext.get().partitionId()
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = np.array([w not in known for w in words], bool)
+            nth = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+            index = coded.indices.to_numpy()
+            first = np.zeros(len(index), bool)
+            first[np.unique(index, return_index=True)[1]] = fresh
+            shown = pc.if_else(pa.array(first), batch.column("word"), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(np.full(len(index), bucket, np.int32)), pa.array(nth[index]), shown], names=["block", "at", "bucket", "nth", "word"])
+
+    from pyspark import TaskContext
+
+    parts = max(8, total // WORDS_PER_BUCKET)
+    return listed.repartition(parts, "word").mapInArrow(run, "block long, at int, bucket int, nth long, word string")
 
 
 def document_term_matrix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The matrix of ``docs`` (doc_id, part, text) in CSR shards, and its dictionary (word, term, n_blocks).
+    """The matrix of ``docs`` (doc_id, part, text) in CSR shards, and its dictionary (word, term).
 
     A shard is a row as of ``blocks`` without its words: terms are numbers of the dictionary (64 bits), sorted within rows.
     """
     stored = written(blocks(docs, block), "blocks", row_group=ROW_GROUP)
-    listed = stored.select("block", F.posexplode("words").alias("at", "word"))
-    words = written(dictionary(listed), "dictionary")
-    coded = listed.join(words, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("codes")).select("block", F.col("codes.term").alias("codes"))
-    joined = stored.drop("words").join(coded, "block", "left")  # a block of texts without words has no codes
-
-    def numbered(starts: pa.Array, terms: pa.Array, counts: pa.Array, codes: pa.Array) -> pa.Array:
-        out = []
-        for s, t, c, own in zip(starts, terms, counts, codes):
-            at, local, n = (np.frombuffer(x.as_buffer(), k) for x, k in zip((s, t, c), _ARRAYS.values()))
-            term = np.asarray(own.values)[local] if len(local) else local.astype(np.int64)
-            order = np.lexsort((term, np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            out.append({"terms": term[order].tobytes(), "counts": n[order].tobytes()})
-        return pa.array(out, pa.struct([("terms", pa.binary()), ("counts", pa.binary())]))
-
-    made = F.arrow_udf(numbered, "terms binary, counts binary")("starts", "terms", "counts", "codes")
-    kept = [c for c in joined.columns if c not in ("terms", "counts", "codes")]
-    return joined.select(*kept, made.alias("made")).select(*kept, "made.*"), words
+    coded = written(codes(stored), "codes")
+    # a row for each bucket, of which there is one for so many words
+    buckets = coded.groupBy("bucket").agg((F.max("nth") + 1).alias("n"))
+    offsets = written(buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before")), "offsets")
+    term = (F.col("before") + F.col("nth")).alias("term")
+    numbered = coded.join(offsets, "bucket")
+    kind = T.StructType([f for f in stored.schema if f.name != "words"])
+
+    def recoded(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        own = np.zeros(len(right), np.int64)
+        own[right.column("at").to_numpy()] = right.column("term").to_numpy()
+        row = left.to_pylist()[0]
+        at, local, n = (np.frombuffer(row[c], k) for c, k in (("starts", np.int64), ("terms", np.int32), ("counts", np.int32)))
+        terms = own[local]
+        order = np.lexsort((terms, np.repeat(np.arange(len(at) - 1), np.diff(at))))
+        row |= {"terms": terms[order].tobytes(), "counts": n[order].tobytes()}
+        return pa.Table.from_arrays([pa.array([row[f.name]], f.type) for f in to_arrow_schema(kind)], schema=to_arrow_schema(kind))
+
+    shards = stored.drop("words").groupBy("block").cogroup(numbered.select("block", "at", term).groupBy("block")).applyInArrow(recoded, kind)
+    return shards, numbered.filter("word IS NOT NULL").select("word", term)
 
 
 def word_counts(shards: DataFrame) -> DataFrame:
