@@ -267,7 +267,7 @@ def ids_between(path: str, lo: int, hi: int) -> np.ndarray:
 #: white space, and what follows there depends on the text behind it alone, so that the cuts are boundaries of its pieces.
 CUT = re.compile(r"[ \t-\r]+[^ \t-\r]+|[^ \t-\r]+|[ \t-\r]+\Z")
 #: White space of which the two sides' ideas could differ: texts that have it are encoded in one go. Cuts that a worker remembers.
-OTHER_SPACE, REMEMBERED = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁠　﻿]"), 200_000
+OTHER_SPACE, REMEMBERED = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"), 200_000
 
 
 def encoder(path: str, end: int):
