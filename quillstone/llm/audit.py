@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -34,7 +33,7 @@ A, B, C, D, E = (1 << k for k in range(5))
 #: Thresholds of A (words), B and C (hundredths), and the characters of D.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
 #: Bytes of text in a block, words of blocks in a bucket of the dictionary, and bytes of a row group of stored blocks.
-BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 8 << 20, 500_000, 16 << 20
+BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 4 << 20, 250_000, 16 << 20
 _CAPITALS, _CONTINUED = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 
 
@@ -48,34 +47,18 @@ def row_flags(text: bytes) -> int:
     return C * shouts + D * (without(text, SIGNS) > 0)
 
 
-class Block:
-    """Documents as rows of a CSR shard in which words have the block's own numbers, those of their first occurrence."""
-
-    def __init__(self):
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.sizes, self.terms, self.counts = [], [], []
-        self.doc_ids, self.parts, self.flags, self.digests = [], [], [], []
-
-    def add(self, doc_ids: list, parts: list, texts: list[bytes]) -> None:
-        """bytes.split() parts at ASCII white space alone."""
-        words = [t.split() for t in texts]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        term = np.fromiter((self.number[w] for row in words for w in row), np.int64, size.sum())
-        cell, counts = np.unique(np.repeat(np.arange(len(words)), size) << 32 | term, return_counts=True)
-        self.sizes.append(np.bincount(cell >> 32, minlength=len(words)))
-        self.terms.append((cell & 0xFFFFFFFF).astype(np.int32))
-        self.counts.append(counts.astype(np.int32))
-        self.doc_ids += doc_ids
-        self.parts += parts
-        self.flags += [row_flags(t) for t in texts]
-        self.digests += [hashlib.sha256(t).digest() for t in texts]
-
-    def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
-        starts = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
-        arrays = {"starts": starts, "terms": np.concatenate(self.terms), "counts": np.concatenate(self.counts)}
-        values = {"block": number, "words": list(self.number), **{k: a.tobytes() for k, a in arrays.items()}, "doc_ids": self.doc_ids, "parts": self.parts, "flags": self.flags, "digests": self.digests}
-        return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in schema], schema=schema)
+def matrix_rows(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, and their CSR shard, in which words have numbers as they stand there: starts, terms and counts.
+
+    Words are what ASCII white space parts; where it stands at an end, or a text is empty, the split has an empty word.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+    words = split.flatten()
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    coded = words.filter(filled).dictionary_encode()
+    cell, counts = np.unique(row[filled.to_numpy(zero_copy_only=False)].astype(np.int64) << 32 | coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary, np.searchsorted(cell >> 32, np.arange(len(texts) + 1)), (cell & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
 
 
 def block_type(doc_id: T.DataType) -> T.StructType:
@@ -95,18 +78,28 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 33, Block(), 0
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def row() -> pa.RecordBatch:
+            doc_ids, parts, texts = (pa.concat_arrays(c) for c in zip(*held))
+            words, *arrays = matrix_rows(texts)
+            flags, digests = zip(*facts)
+            values = {"block": number, "words": words, **{k: a.tobytes() for k, a in zip(("starts", "terms", "counts"), arrays)}, "doc_ids": doc_ids, "parts": parts, "flags": flags, "digests": digests}
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) if isinstance(v, pa.Array) else pa.array([v], f.type) for f, v in zip(schema, values.values())], schema=schema)
+
+        facts: list[tuple[int, bytes]] = []
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text"), min(block, SLICE)):
-                texts = [t or b"" for t in part.cast(pa.binary()).to_pylist()]
-                held.add(*(batch.column(c).slice(at, len(texts)).to_pylist() for c in ("doc_id", "part")), texts)
-                at, size = at + len(texts), size + sum(map(len, texts))
+            for texts in slices(batch.column("text"), min(block, SLICE)):
+                raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+                facts += [(row_flags(t), hashlib.sha256(t).digest()) for t in raw]
+                held.append((batch.column("doc_id").slice(at, len(texts)), batch.column("part").slice(at, len(texts)), texts))
+                at, size = at + len(texts), size + sum(map(len, raw))
                 if size >= block:
-                    yield held.row(number, schema)
-                    number, held, size = number + 1, Block(), 0
-        if held.doc_ids:
-            yield held.row(number, schema)
+                    yield row()
+                    number, held, facts, size = number + 1, [], [], 0
+        if held:
+            yield row()
 
     return docs.select("doc_id", "part", "text").mapInArrow(run, kind)
 
@@ -114,25 +107,26 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def codes(stored: DataFrame) -> DataFrame:
     """block, at, bucket, nth and, in one row for each word, the word: the dictionary's numbers of the words of ``stored``, within buckets of their hash.
 
-    A word crosses the network once for each block. Numbers are those of a word's first row in its bucket, which is why the
-    result has to be stored before it is used.
+    A word crosses the network once for each block. Numbers follow a word's first row in its bucket, which is why the
+    result has to be stored before it is used. A bucket is held by a task at once, some WORDS_PER_BUCKET rows: one word is
+    a small share of any block, and so of the rows.
     """
     listed = stored.select("block", F.posexplode("words").alias("at", "word"))
     total = stored.agg(F.sum(F.size("words"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        bucket = TaskContext.get().partitionId()
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = np.array([w not in known for w in words], bool)
-            nth = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-            index = coded.indices.to_numpy()
-            first = np.zeros(len(index), bool)
-            first[np.unique(index, return_index=True)[1]] = fresh
-            shown = pc.if_else(pa.array(first), batch.column("word"), pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(np.full(len(index), bucket, np.int32)), pa.array(nth[index]), shown], names=["block", "at", "bucket", "nth", "word"])
+        rows = list(batches)  # those of a bucket
+        if not rows:
+            return
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        coded = whole.column("word").chunk(0).dictionary_encode()
+        index = coded.indices.to_numpy()
+        first = np.zeros(len(index), bool)
+        first[np.unique(index, return_index=True)[1]] = True
+        shown = pc.if_else(pa.array(first), whole.column("word").chunk(0), pa.scalar(None, pa.string()))
+        bucket = np.full(len(index), TaskContext.get().partitionId(), np.int32)
+        made = pa.Table.from_arrays([whole.column("block"), whole.column("at"), pa.array(bucket), pa.array(index.astype(np.int64)), shown], names=["block", "at", "bucket", "nth", "word"])
+        yield from made.to_batches(max_chunksize=100_000)
 
     from pyspark import TaskContext
 
