@@ -7,6 +7,7 @@ a time. Files follow each other in the order of the partitions written; a manife
 with their ids and documents, so that files of tasks that failed or ran twice are never read.
 
     df.write.format("token_bits").option("vocabulary", 50257).save(path)      # doc_id, ids (binary, unsigned 32-bit little-endian)
+    df.write.format("token_bits").option("vocabulary", 50257).option("tokenizer", file).option("end", 2).save(path)     # doc_id, text
     spark.read.format("token_bits").load(path)                                # doc_id, start, n_tokens, ids
 """
 
@@ -17,6 +18,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import add_columns, shared_dir, table
+from .common import shared_dir, slices, table
 from .token_counts import load, tokenizer_path
 
 MAGIC, MANIFEST = b"TOKBITS1", "manifest.json"
@@ -157,8 +159,19 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, vocabulary: int):
-        self.path, self.bits = path, width(vocabulary)
+    def __init__(self, path: str, vocabulary: int, tokenizer: str | None, end: int):
+        self.path, self.bits, self.tokenizer, self.end = path, width(vocabulary), tokenizer, end
+
+    def ids(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The ids of a batch's rows: those of its texts, if there is a tokenizer."""
+        if self.tokenizer is not None:
+            run = of_worker(self.tokenizer, self.end)
+            for part in slices(batch.column("text")):
+                yield from (np.frombuffer(ids, _IDS) for ids in run(part.to_pylist()))
+        else:
+            for ids in batch.column("ids"):
+                own = ids.as_buffer()
+                yield np.frombuffer(own, _IDS) if own is not None else np.zeros(0, _IDS)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -170,10 +183,8 @@ class Writer(DataSourceArrowWriter):
         with fs.open_output_stream(f"{root}/{name}") as out:
             file = FileWriter(out, self.bits)
             for batch in iterator:
-                numbers, ids = batch.column("doc_id").to_pylist(), batch.column("ids")
-                for k, number in enumerate(numbers):
-                    own = ids[k].as_buffer()
-                    file.add(number, np.frombuffer(own, _IDS) if own is not None else np.zeros(0, _IDS))
+                for number, ids in zip(batch.column("doc_id").to_pylist(), self.ids(batch)):
+                    file.add(number, ids)
             file.close()
         return Written(partition, name, file.n_ids, len(file.numbers))
 
@@ -236,7 +247,7 @@ class Reader(DataSourceReader):
 
 
 class TokenBits(DataSource):
-    """``token_bits``: see the module. Options: path; vocabulary, for writing (ids are below it)."""
+    """``token_bits``: see the module. Options: path; for writing vocabulary (ids are below it), and tokenizer and end, to write texts."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +260,7 @@ class TokenBits(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], int(self.options["vocabulary"]))
+        return Writer(self.options["path"], int(self.options["vocabulary"]), self.options.get("tokenizer"), int(self.options.get("end", END)))
 
 
 def ids_between(path: str, lo: int, hi: int) -> np.ndarray:
@@ -263,42 +274,53 @@ def ids_between(path: str, lo: int, hi: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: What a text is cut into: white space and the signs behind it. No piece of a byte-level pre-tokenizer goes from a sign on to
-#: white space, and what follows there depends on the text behind it alone, so that the cuts are boundaries of its pieces.
-CUT = re.compile(r"[ \t-\r]+[^ \t-\r]+|[^ \t-\r]+|[ \t-\r]+\Z")
-#: White space of which the two sides' ideas could differ: texts that have it are encoded in one go. Cuts that a worker remembers.
-OTHER_SPACE, REMEMBERED = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"), 200_000
+#: What a text is cut into: letters with the white space before them, if an ASCII sign other than a letter comes next; else all
+#: up to white space. No piece of a byte-level pre-tokenizer goes from a letter on to such a sign, or from any sign on to white
+#: space, and where one begins all that follows depends on the text from there on, so that the cuts are boundaries of its pieces.
+CUT = re.compile(r"[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
+#: White space of which the two sides' ideas could differ: texts that have it are encoded in one go. Cuts that a worker remembers,
+#: and cuts that are encoded at once.
+OTHER_SPACE, REMEMBERED, AT_ONCE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"), 100_000, 1_000
 
 
 def encoder(path: str, end: int):
-    """A function that gives texts' ids with ``end`` behind them, as bytes. The library encodes each different cut once.
+    """A function that gives texts' ids with ``end`` behind them, as bytes. The library encodes each different cut once for a call; the first ones are remembered.
 
     That holds for tokenizers without a normalizer whose pre-tokenizer is the byte-level one with its own pattern; others,
     and texts with unusual white space, have every text encoded whole.
     """
     t = load(path)
-    model = json.loads(t.to_str())
-    pre = model["pre_tokenizer"] or {}
-    cuts = model["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"]) for a in model["added_tokens"])
-    known: dict[str, bytes] = {}
-    last = np.array([end], _IDS).tobytes()
-    encode = lambda texts: (np.array(e.ids, _IDS).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False))
+    pre = t.pre_tokenizer
+    plain = all(not (a.lstrip or a.rstrip) and re.fullmatch(r"[\x00-@\[-`{-\x7f]\S*", a.content) for a in t.get_added_tokens_decoder().values())
+    cuts = plain and t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+    remembered: dict[str, bytes] = {}
+    last = array("I", [end]).tobytes()
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(texts), AT_ONCE):
+            for e in t.encode_batch_fast(texts[lo : lo + AT_ONCE], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def run(texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut = {}
+        out: list[bytes] = [last] * len(texts)
+        cut, whole = {}, []
         for k, text in enumerate(texts):
             if cuts and not OTHER_SPACE.search(text or ""):
                 cut[k] = CUT.findall(text or "")
-        whole = [k for k in range(len(texts)) if k not in cut]
-        for k, ids in zip(whole, encode([texts[k] for k in whole])):
+            else:
+                whole.append(k)
+        for k, ids in zip(whole, encode([texts[k] or "" for k in whole])):
             out[k] = ids + last
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({c for row in cut.values() for c in row}.difference(known))
-        known.update(zip(fresh, encode(fresh)))
+        fresh = list(set().union(*cut.values()).difference(remembered))
+        known = dict(zip(fresh, encode(fresh)))
+        for c in fresh[: max(0, REMEMBERED - len(remembered))]:
+            remembered[c] = known[c]
+        if len(known) < len(remembered):
+            get = lambda c: remembered.get(c) or known[c]
+        else:
+            get = (remembered | known).__getitem__
         for k, row in cut.items():
-            out[k] = b"".join([known[c] for c in row]) + last
+            out[k] = b"".join(map(get, row)) + last
         return out
 
     return run
@@ -307,15 +329,9 @@ def encoder(path: str, end: int):
 _ENCODERS: dict[tuple[str, int], object] = {}
 
 
-def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """``docs`` with a column ids: those of the tokenizers file at ``path`` and ``end`` behind them (binary). A null text is empty."""
-    path = path or tokenizer_path()
-
-    def rows(texts):
-        run = _ENCODERS.get((path, end)) or _ENCODERS.setdefault((path, end), encoder(path, end))
-        return ((ids,) for ids in run(texts))
-
-    return add_columns(docs, "text", [T.StructField("ids", T.BinaryType())], rows)
+def of_worker(path: str, end: int):
+    """The encoder, once for each Python worker."""
+    return _ENCODERS.get((path, end)) or _ENCODERS.setdefault((path, end), encoder(path, end))
 
 
 def write_ids(docs: DataFrame, to: str, path: str | None = None, end: int = END, ids_per_file: int = IDS_PER_FILE) -> None:
@@ -335,7 +351,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end: int = END,
     order = ["none", "doc_id", "hash", "row"]
     placed = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     vocabulary = max(load(path).get_vocab_size(with_added_tokens=True), end + 1)
-    encoded(placed, path, end).select("doc_id", "ids").write.format("token_bits").mode("append").option("vocabulary", vocabulary).save(to)
+    placed.write.format("token_bits").mode("append").option("vocabulary", vocabulary).option("tokenizer", path).option("end", end).save(to)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
