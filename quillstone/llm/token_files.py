@@ -166,7 +166,7 @@ class Writer(DataSourceArrowWriter):
         """The ids of a batch's rows: those of its texts, if there is a tokenizer."""
         if self.tokenizer is not None:
             run = of_worker(self.tokenizer, self.end)
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), TOGETHER):
                 yield from (np.frombuffer(ids, _IDS) for ids in run(part.to_pylist()))
         else:
             for ids in batch.column("ids"):
@@ -279,8 +279,8 @@ def ids_between(path: str, lo: int, hi: int) -> np.ndarray:
 #: space, and where one begins all that follows depends on the text from there on, so that the cuts are boundaries of its pieces.
 CUT = re.compile(r"[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 #: White space of which the two sides' ideas could differ: texts that have it are encoded in one go. Cuts that a worker remembers,
-#: and cuts that are encoded at once.
-OTHER_SPACE, REMEMBERED, AT_ONCE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"), 100_000, 1_000
+#: bytes of text whose cuts are looked at together, and cuts that are encoded at once.
+OTHER_SPACE, REMEMBERED, TOGETHER, AT_ONCE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"), 600_000, 4 << 20, 1_000
 
 
 def encoder(path: str, end: int):
