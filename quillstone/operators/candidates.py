@@ -103,6 +103,11 @@ def choice(found: DataFrame) -> DataFrame:
 
 def candidate_blocks(found: DataFrame) -> DataFrame:
     """The three blocks that follow from the choice: without one, practice begins in the middle."""
+    return built(found).select("doc_id", F.explode_outer("made").alias("b")).select("doc_id", "b.*")
+
+
+def built(found: DataFrame) -> DataFrame:
+    """``chosen`` with made, an array of those blocks."""
     first, last = F.col("first"), F.col("last")
     f = chosen(found).withColumn("p0", F.coalesce("practice.para", first + ((last - first) * F.lit(0.5)).cast("int")))
     f = f.withColumn("c0", F.coalesce("consolidation.para", F.col("p0") + ((last - F.col("p0")) * F.lit(0.7)).cast("int")))
@@ -111,7 +116,7 @@ def candidate_blocks(found: DataFrame) -> DataFrame:
     made = F.array(
         block(1, P.MARKER_KNOWLEDGE, first, F.greatest(first, F.col("p") - 1)), block(2, P.MARKER_DRILL, F.col("p"), F.greatest(F.col("p"), F.col("c") - 1)), block(3, P.MARKER_CONSOLIDATION, F.col("c"), last)
     )
-    return f.select("doc_id", F.explode_outer(made).alias("b")).select("doc_id", "b.*")
+    return f.withColumn("made", made)
 
 
 def review(found: DataFrame) -> DataFrame:

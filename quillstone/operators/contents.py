@@ -7,38 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars
-from .segments import before, block
-from .tiers import protected, reading_events
+from . import hybrid
+from .segments import before, block, doc
+from .rows import refined
+from .tiers import auto_split, first_tier, protected, reading_events
 
-#: Paragraphs in which a table of contents is looked for, and behind a place those in which a heading is.
-SCANNED, REACH = 100, 300
-ENTRY = "array<struct<para:int,role:string,name:string>>"
+#: Paragraphs in which a table of contents is looked for, behind a place those in which a heading is, and letters of a name that index it.
+SCANNED, REACH, GRAM = 100, 300, 3
 
 
-def entries(paras: DataFrame) -> DataFrame:
-    """doc_id, toc_end (null where there is no table of contents) and entries (para, role, name), a row for each document with such a table.
+def listed(paras: DataFrame) -> DataFrame:
+    """doc_id, toc_end and an entry (para, role, name; null where a table has none), a row for each entry of a table of contents.
 
     A table begins at its title; it ends at an empty paragraph or, once it has an entry, at a short one that names no section.
     """
-    t, name, role = F.col("text"), F.col("name"), F.col("role")
+    t, name, role, kind = F.col("text"), F.col("name"), F.col("role"), F.col("kind")
     dotted = t.rlike(P.DOTTED)
-    listed = role.isNotNull() & F.when(dotted, F.length(name) >= 2).otherwise(F.length(t) < 60)
-    kind = F.when(t == "", "empty").when(t.isin(P.TOC_TITLES), "title").when(listed, "entry").when(~dotted & (F.length(t) < 60), "other")
-    named = paras.filter(F.col("para") <= SCANNED).repartition("doc_id").withColumn("name", scalars.clean_toc_name(t)).withColumn("role", scalars.toc_role(name))
-    rows = named.select("doc_id", F.struct("para", role.alias("role"), name.alias("name"), kind.alias("kind")).alias("row")).filter("row.kind IS NOT NULL")
-    d = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    first = lambda rows, *kinds: F.array_min(F.transform(F.filter(rows, lambda r: r["kind"].isin(*kinds)), lambda r: r["para"]))
-    d = d.withColumn("title", first("rows", "title")).filter("title IS NOT NULL")
+    is_entry = role.isNotNull() & F.when(dotted, F.length(name) >= 2).otherwise(F.length(t) < 60)
+    sort = F.when(t == "", "empty").when(t.isin(P.TOC_TITLES), "title").when(is_entry, "entry").when(~dotted & (F.length(t) < 60), "other")
+    # the shuffle that the windows need stands before the patterns
+    head = paras.filter(F.col("para") <= SCANNED).select("doc_id", "para", "text").repartition("doc_id")
+    rows = head.withColumn("name", scalars.clean_toc_name(t)).withColumn("role", scalars.toc_role(name)).withColumn("kind", sort)
+    # no filter on these columns before the windows: below the columns it would bring all patterns with it once more
+    first = lambda when: F.min(F.when(when, F.col("para"))).over(doc())
+    rows = rows.withColumn("title", first(kind == "title")).filter(F.col("para") >= F.col("title"))
     # a second title is a paragraph like any other; no title names a section
-    behind = F.transform(F.filter("rows", lambda r: r["para"] > F.col("title")), lambda r: r.withField("kind", F.when(r["kind"] == "title", "other").otherwise(r["kind"])))
-    d = d.withColumn("rows", behind).withColumn("since", first("rows", "entry"))
-    stop = F.least(first("rows", "empty"), first(F.filter("rows", lambda r: r["para"] > F.col("since")), "other"))
-    d = d.withColumn("stop", stop)
-    listed_rows = F.filter("rows", lambda r: (r["kind"] == "entry") & (F.col("stop").isNull() | (r["para"] < F.col("stop"))))
-    d = d.withColumn("entries", F.transform(listed_rows, lambda r: F.struct(r["para"].alias("para"), r["role"].alias("role"), r["name"].alias("name"))))
-    end = F.coalesce("stop", F.coalesce(F.array_max(F.transform("entries", lambda e: e["para"])), F.lit(SCANNED)) + 1)
-    # no filter passes an expression that isn't deterministic: below it, what stands here would be worked out again for each element
-    return d.select("doc_id", end.cast("int").alias("toc_end"), F.when(F.rand(0) >= 0, F.col("entries")).alias("entries"))
+    later = F.col("para") > F.col("title")
+    other = kind.isin("other", "title") & later
+    rows = rows.withColumns({"since": first((kind == "entry") & later), "blank": first((kind == "empty") & later)})
+    rows = rows.withColumn("stop", F.least("blank", first(other & (F.col("para") > F.col("since")))))
+    own = (kind == "entry") & (F.col("stop").isNull() | (F.col("para") < F.col("stop")))
+    rows = rows.withColumn("end", F.coalesce("stop", F.coalesce(F.max(F.when(own, F.col("para"))).over(doc()), F.lit(SCANNED)) + 1).cast("int"))
+    return rows.filter(own | (kind == "title") & (F.col("para") == F.col("title"))).select("doc_id", F.col("end").alias("toc_end"), F.when(own, F.struct("para", "role", "name")).alias("entry"))
+
+
+def entries(paras: DataFrame) -> DataFrame:
+    """doc_id, toc_end and entries (para, role, name) in their order, a row for each document with a table of contents."""
+    return listed(paras).groupBy("doc_id").agg(F.first("toc_end").alias("toc_end"), F.array_sort(F.collect_list("entry")).alias("entries"))
 
 
 def headings(paras: DataFrame) -> DataFrame:
@@ -56,18 +61,29 @@ def practices(entries: Column) -> Column:
     return F.filter(entries, lambda e: e["role"] != "knowledge")
 
 
+def letters(text: Column) -> Column:
+    return F.regexp_replace(text, P.NO_WORD, "")
+
+
 def located(listed: DataFrame, paras: DataFrame) -> DataFrame:
     """doc_id and places (para, role) in the body of the practice entries of ``listed`` (doc_id, toc_end, entries).
 
     Entries are looked for in order, each behind the last one that was found: a paragraph that is its name, else one that
-    begins with it, has it, or has it when only letters and digits count.
+    begins with it, has it, or has it when only letters and digits count. All four need the name's letters to stand in the
+    paragraph's, so that the first GRAM of them are an index: a paragraph meets its document's names by the grams of its
+    letters, in one lookup by hash, and only names whose gram it has are compared with it.
     """
-    each = listed.select("doc_id", "toc_end", F.posexplode_outer(practices(F.col("entries"))).alias("nth", "e")).filter(F.length("e.name") >= 2).select("doc_id", "toc_end", "nth", "e.role", "e.name")
-    t, name = F.col("text"), F.col("name")
-    letters = lambda c: F.regexp_replace(c, P.NO_WORD, "")
-    level = F.when(t == name, 1).when(t.startswith(name), 2).when(t.contains(name), 3).when((F.length(letters(name)) >= 3) & letters(t).contains(letters(name)), 4)
-    # a row for each entry of a document and paragraph that has it
-    found = paras.select("doc_id", "para", "text").join(each, "doc_id").filter(F.col("para") >= F.col("toc_end")).withColumn("level", level).filter("level IS NOT NULL")
+    each = listed.select("doc_id", "toc_end", F.posexplode(practices(F.col("entries"))).alias("nth", "e")).filter(F.length("e.name") >= 2)
+    each = each.select("doc_id", "toc_end", "nth", "e.role", "e.name", letters(F.col("e.name")).alias("plain"))
+    each = each.withColumn("gram", F.substring("plain", 1, GRAM))
+    known = each.groupBy("doc_id").agg(F.first("toc_end").alias("toc_end"), F.collect_set("gram").alias("grams"))
+    body = paras.select("doc_id", "para", "text").join(known, "doc_id").filter(F.col("para") >= F.col("toc_end"))
+    has = lambda size: F.expr(f"transform(sequence(1, greatest(1, length(plain) - {size - 1})), i -> substring(plain, i, {size}))")
+    grams = F.flatten(F.array(F.array(F.lit("")), *(has(k) for k in range(1, GRAM + 1))))
+    body = body.withColumn("plain", letters(F.col("text"))).withColumn("gram", F.explode(F.array_intersect(grams, "grams"))).select("doc_id", "gram", "para", "text", F.col("plain").alias("own"))
+    t, name, plain = F.col("text"), F.col("name"), F.col("plain")
+    level = F.when(t == name, 1).when(t.startswith(name), 2).when(t.contains(name), 3).when((F.length(plain) >= 3) & F.col("own").contains(plain), 4)
+    found = body.join(each, ["doc_id", "gram"]).withColumn("level", level).filter("level IS NOT NULL")
     of = found.groupBy("doc_id", "toc_end", "nth", "role").agg(F.array_sort(F.collect_list(F.struct("level", "para"))).alias("at"))
     d = of.groupBy("doc_id", "toc_end").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "at"))).alias("found"))
     start = F.struct(F.col("toc_end").alias("since"), F.array().cast("array<struct<para:int,role:string>>").alias("out"))
@@ -104,8 +120,15 @@ def split(paras: DataFrame, consolidation: str = P.MARKER_CONSOLIDATION) -> Data
     return protected(d, F.col("first")).select("doc_id", F.explode_outer("made").alias("b")).select("doc_id", "b.*")
 
 
-def smart_split(paras: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The blocks that contents name, for other documents ``blocks`` (doc_id, tier, ord, marker, start_para, end_para)."""
-    named = split(paras).withColumn("tier", F.lit("toc"))
-    rest = blocks.join(named.select("doc_id").distinct(), "doc_id", "left_anti")
-    return named.unionByName(rest)
+def smart_split(paras: DataFrame, hybrid_first: bool = False) -> DataFrame:
+    """doc_id, tier, ord, marker, start_para, end_para of all tiers that need no remote model, in their order.
+
+    hybrid, if it is asked for, which leaves no document to the others; toc; then those of ``tiers.auto_split``.
+    """
+    found = [] if not hybrid_first else [hybrid.split(paras).withColumn("tier", F.lit("hybrid"))]
+    return first_tier(*found, split(paras).withColumn("tier", F.lit("toc")), auto_split(paras))
+
+
+def smart_blocks(paras: DataFrame) -> DataFrame:
+    """The blocks of smart mode without a key: of the first tier of all that says anything, with practice refined."""
+    return refined(smart_split(paras), paras)

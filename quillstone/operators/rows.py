@@ -120,10 +120,12 @@ def refined(blocks: DataFrame, paras: DataFrame) -> DataFrame:
     """``blocks`` (doc_id, ord, marker, start_para, end_para) with drill and consolidation cut at the practice boundary.
 
     Only a boundary strictly inside the practice moves anything; a consolidation block that begins at or behind it stays.
+    A document of fewer than two blocks stays as it is.
     """
     drill, later = F.col("marker") == P.MARKER_DRILL, F.col("marker").isin(P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION)
     filled = F.col("start_para") <= F.col("end_para")
-    spans = blocks.filter((drill | later) & filled).groupBy("doc_id").agg(F.min_by("start_para", "ord").alias("start_para"), F.max("end_para").alias("end_para"))
+    practice = lambda c: F.when((drill | later) & filled, F.col(c))
+    spans = blocks.groupBy("doc_id").agg(F.min_by("start_para", F.when((drill | later) & filled, F.col("ord"))).alias("start_para"), F.max(practice("end_para")).alias("end_para"), F.count("*").alias("n")).filter("n >= 2 AND end_para IS NOT NULL").drop("n")
     found = practice_boundary(paras, spans).join(spans, "doc_id").filter("start_para < para AND para < end_para").select("doc_id", F.col("para").alias("cut"))
     cut = F.col("cut")
     start = F.when(later & filled & (cut > F.col("start_para")), cut).otherwise(F.col("start_para"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,16 @@ def auto_split(paras: DataFrame, ratios: tuple[float, float] = (0.5, 0.85)) -> D
     return protected(d, F.coalesce("at", "first")).select("doc_id", "tier", F.explode_outer("made").alias("b")).select("doc_id", "tier", "b.*")
 
 
+def first_tier(*tiers: DataFrame) -> DataFrame:
+    """doc_id, tier, ord, marker, start_para, end_para: for each document the rows of the first of ``tiers`` that has it.
+
+    Tiers are told apart by their place, in one shuffle of their rows, instead of an anti-join of each with those before.
+    """
+    columns = ["doc_id", "tier", "ord", "marker", "start_para", "end_para"]
+    every = reduce(DataFrame.unionByName, (t.select(*columns, F.lit(k).alias("_place")) for k, t in enumerate(tiers)))
+    return every.withColumn("_first", F.min("_place").over(doc())).filter("_place = _first").select(*columns)
+
+
 def reading_spans(paras: DataFrame) -> DataFrame:
     """Reading passages, which no cut may part."""
     d = paras.groupBy("doc_id").agg(F.min("para").alias("first"), F.max("para").alias("last"), reading_events().alias("events"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, candidates, contents, hybrid, manifests, objectives, rows, scoring, segments, tiers
+from ..operators import assembly, candidates, contents, filling, hybrid, manifests, objectives, replies, rows, scoring, segments, tiers
 from ..sources import corpora
 
 
@@ -238,21 +238,27 @@ def role_sql(column: str) -> str:
     return "CASE " + " ".join(f"WHEN {rx('|'.join(w), column)} THEN '{k}'" for w, k in words) + f" WHEN {section} <= 3 THEN 'knowledge' WHEN {section} = 4 THEN 'basic_practice' WHEN {section} > 4 THEN 'advanced_practice' WHEN {rx(P.TOC_NUMBERED, column)} THEN 'practice' END"
 
 
+ENTRIES_SQL = f"""n0 AS (SELECT doc_id, para, text, {rx(P.DOTTED)} AS dots, {name_sql("text")} AS name FROM c WHERE para <= {contents.SCANNED}), n1 AS (SELECT *, {role_sql("name")} AS role FROM n0),
+n2 AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN text IN ({", ".join(map(q, P.TOC_TITLES))}) THEN 'title' WHEN role IS NOT NULL AND CASE WHEN dots THEN length(name) >= 2 ELSE length(text) < 60 END THEN 'entry' WHEN NOT dots AND length(text) < 60 THEN 'other' END AS kind FROM n1),
+n3 AS (SELECT doc_id, min(para) AS title FROM n2 WHERE kind = 'title' GROUP BY doc_id),
+n4 AS (SELECT n2.doc_id, para, role, name, CASE kind WHEN 'title' THEN 'other' ELSE kind END AS kind FROM n2 JOIN n3 USING (doc_id) WHERE para > title),
+n5 AS (SELECT n3.doc_id, min(para) FILTER (kind = 'entry') AS since, min(para) FILTER (kind = 'empty') AS blank FROM n3 LEFT JOIN n4 USING (doc_id) GROUP BY n3.doc_id),
+n6 AS (SELECT n5.doc_id, least(blank, (SELECT min(para) FROM n4 WHERE n4.doc_id = n5.doc_id AND kind = 'other' AND para > since)) AS stop FROM n5),
+n7 AS (SELECT n4.doc_id, para, role, name FROM n4 JOIN n6 USING (doc_id) WHERE kind = 'entry' AND (stop IS NULL OR para < stop)),
+ent AS (SELECT n6.doc_id, CAST(coalesce(stop, coalesce((SELECT max(para) FROM n7 WHERE n7.doc_id = n6.doc_id), {contents.SCANNED}) + 1) AS INT) AS toc_end FROM n6)"""
+_BARE = reduce(lambda c, p: f"regexp_replace({c}, {q(p)}, '', 'g')", (P.NAV_DECOR, P.NAV_BRACKETS, P.NAV_ORDINAL), "text")
+HEADINGS_SQL = f"""v0 AS (SELECT doc_id, para, text, {_BARE} AS bare FROM c),
+v1 AS (SELECT doc_id, para, text, trim(regexp_replace(CASE WHEN bare <> '' THEN bare ELSE text END, {q(P.PARENTHESES)}, '', 'g'), ' ') AS name FROM v0 WHERE {rx(P.NAV_HEADER)} OR {rx(P.NAV_HEADER, 'bare')}),
+v2 AS (SELECT doc_id, para, coalesce({role_sql("text")}, {role_sql("name")}) AS role, name FROM v1 WHERE length(name) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY para) = 1)"""
+
+
 def contents_sql(corpus: str) -> str:
-    titles = ", ".join(map(q, P.TOC_TITLES))
     bare = "text"
     for pattern in (P.NAV_DECOR, P.NAV_BRACKETS, P.NAV_ORDINAL):
         bare = f"regexp_replace({bare}, {q(pattern)}, '', 'g')"
     letters = lambda c: f"regexp_replace({c}, {q(P.NO_WORD)}, '', 'g')"
     return f"""WITH RECURSIVE {corpus}, {READING_SQL},
-n0 AS (SELECT doc_id, para, text, {rx(P.DOTTED)} AS dots, {name_sql("text")} AS name FROM c WHERE para <= {contents.SCANNED}), n1 AS (SELECT *, {role_sql("name")} AS role FROM n0),
-n2 AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN text IN ({titles}) THEN 'title' WHEN role IS NOT NULL AND CASE WHEN dots THEN length(name) >= 2 ELSE length(text) < 60 END THEN 'entry' WHEN NOT dots AND length(text) < 60 THEN 'other' END AS kind FROM n1),
-n3 AS (SELECT doc_id, min(para) AS title FROM n2 WHERE kind = 'title' GROUP BY doc_id),
-n4 AS (SELECT n2.doc_id, para, role, name, CASE kind WHEN 'title' THEN 'other' ELSE kind END AS kind FROM n2 JOIN n3 USING (doc_id) WHERE para > title),
-n5 AS (SELECT n3.doc_id, min(para) FILTER (kind = 'entry') AS since, min(para) FILTER (kind = 'empty') AS blank FROM n3 LEFT JOIN n4 USING (doc_id) GROUP BY n3.doc_id),
-n6 AS (SELECT n5.doc_id, least(blank, (SELECT min(para) FROM n4 WHERE n4.doc_id = n5.doc_id AND kind = 'other' AND para > since)) AS stop FROM n5),
-n7 AS (SELECT n4.doc_id, para, role, name FROM n4 JOIN n6 USING (doc_id) WHERE kind = 'entry' AND (stop IS NULL OR para < stop)),
-ent AS (SELECT n6.doc_id, CAST(coalesce(stop, coalesce((SELECT max(para) FROM n7 WHERE n7.doc_id = n6.doc_id), {contents.SCANNED}) + 1) AS INT) AS toc_end FROM n6),
+{ENTRIES_SQL},
 big AS (SELECT doc_id FROM n7 GROUP BY doc_id HAVING count(*) >= 2),
 v0 AS (SELECT doc_id, para, text, {bare} AS bare FROM c WHERE doc_id NOT IN (SELECT doc_id FROM big)),
 v1 AS (SELECT doc_id, para, text, trim(regexp_replace(CASE WHEN bare <> '' THEN bare ELSE text END, {q(P.PARENTHESES)}, '', 'g'), ' ') AS name FROM v0 WHERE {rx(P.NAV_HEADER)} OR {rx(P.NAV_HEADER, 'bare')}),
@@ -328,6 +334,66 @@ sm AS (SELECT doc_id, 'toc' AS tier, ord, marker, start_para, end_para FROM tt U
 {refine_sql("sm")} {refined_sql("sm", "tier,")}"""
 
 
+def drawn_sql(name: str, sql: str) -> str:
+    return f"{name} AS (" + sql.replace("{handouts}", corpora.HANDOUTS).replace("{lineitem}", "lineitem").replace("{orders}", "orders").replace("{{", "{").replace("}}", "}") + ")"
+
+
+TABLES_SQL = f"""{drawn_sql("ts", corpora.TABLES)},
+ti AS (SELECT doc_id, min(start_para) AS s, max(end_para) AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start_para, end_para ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start_para <= max(end_para) OVER (PARTITION BY doc_id ORDER BY start_para, end_para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM ts)) GROUP BY doc_id, island)"""
+
+
+def widened_sql(blocks: str) -> str:
+    """Blocks widened to whole tables, by looking each end up among the islands."""
+    filled = "start_para > 0 AND end_para >= start_para"
+    at = lambda c, to: f"CAST(CASE WHEN {filled} THEN coalesce((SELECT {to} FROM ti WHERE ti.doc_id = b.doc_id AND b.{c} BETWEEN s AND e), {c}) ELSE {c} END AS INT) AS {c}"
+    return f"SELECT doc_id, ord, marker, {at('start_para', 's')}, {at('end_para', 'e')} FROM {blocks} b"
+
+
+#: Which template a handout is filled into, and its markers in it.
+TEMPLATE_OF = "CASE doc_id % 3 WHEN 0 THEN '1v1' WHEN 1 THEN 'class' ELSE 'short' END"
+MARKER_OF = f"CASE WHEN doc_id % 3 = 1 AND marker = {q(P.MARKER_KNOWLEDGE)} THEN {q(P.CLASS_KNOWLEDGE)} WHEN doc_id % 3 = 1 AND marker = {q(P.MARKER_CONSOLIDATION)} THEN {q(P.CLASS_CONSOLIDATION)} ELSE marker END"
+FILLED = boundary_sql(C2) + f""", bb AS ({BLOCKS}), {TABLES_SQL}, wb AS ({widened_sql("bb")}), tp AS ({corpora.TEMPLATES}), mk AS ({corpora.MARKERS}),
+tb AS (SELECT doc_id, {TEMPLATE_OF} AS template, ord, {MARKER_OF} AS marker, start_para, end_para FROM wb),
+an AS (SELECT template, marker, CAST(min(pos) AS INT) AS anchor FROM tp JOIN mk USING (template) WHERE starts_with(text, marker) GROUP BY template, marker),
+fb AS (SELECT tb.*, anchor FROM tb JOIN an USING (template, marker) WHERE start_para > 0 AND end_para >= start_para),
+fr AS (SELECT doc_id, CAST(pos AS INT) AS anchor, 0 AS layer, 0 AS turn, CAST(pos AS INT) AS para, text FROM (SELECT DISTINCT doc_id, template FROM tb) JOIN tp USING (template)
+  UNION ALL SELECT c.doc_id, anchor, 1, -ord, para, text FROM c JOIN fb ON fb.doc_id = c.doc_id AND para BETWEEN start_para AND end_para),
+fi AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY anchor, layer, turn, para) AS INT) AS pos, CASE layer WHEN 0 THEN 'template' ELSE 'source' END AS origin, para, text FROM fr)
+"""
+TRIMMED = f""", fo AS (SELECT *, coalesce(min(CASE WHEN contains(text, {q(P.MARKER_KNOWLEDGE)}) THEN pos END) OVER (PARTITION BY doc_id), max(pos) OVER (PARTITION BY doc_id)) AS opens, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM fi)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS pos, origin, para, text FROM fo WHERE pos < opens OR NOT (text = '' AND coalesce(nxt = '', false))"""
+
+#: What may be named in a reply, and replies as JSON.
+MAY = f""", may AS (SELECT doc_id, kind, para FROM ca UNION SELECT doc_id, 'practice_start', p_para FROM ch WHERE p_para IS NOT NULL UNION SELECT doc_id, 'consolidation_start', c.para FROM ch WHERE p_para IS NOT NULL AND c IS NOT NULL)"""
+REVIEW_SAMPLE = CANDIDATES + f""", ce AS (SELECT doc_id, para FROM rk WHERE place <= 5 UNION SELECT doc_id, p_para FROM ch WHERE p_para IS NOT NULL UNION SELECT doc_id, c.para FROM ch WHERE p_para IS NOT NULL AND c IS NOT NULL)
+SELECT doc_id, para, {short_sql("text", 120)} AS head FROM c WHERE text <> '' AND EXISTS (SELECT 1 FROM ce WHERE ce.doc_id = c.doc_id AND abs(ce.para - c.para) <= 10)"""
+
+
+def json_sql(column: str) -> str:
+    found = f"regexp_extract({column}, {q(r'(?s)\{.*\}')})"
+    return f"CASE WHEN {found} <> '' THEN {found} ELSE {column} END"
+
+
+CANDIDATE_BLOCKS = f", k0 AS (SELECT doc_id, first, last, coalesce(p_para, first + CAST(trunc((last - first) * 0.5::DOUBLE) AS INT)) AS p0, c.para AS c0 FROM ch), k1 AS (SELECT *, greatest(first, least(p0, last)) AS p, coalesce(c0, p0 + CAST(trunc((last - p0) * 0.7::DOUBLE) AS INT)) AS c1 FROM k0), k AS (SELECT *, CASE WHEN p < last THEN greatest(p + 1, least(c1, last)) ELSE last END AS c FROM k1), kb AS (SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, CAST(greatest(first, p - 1) AS INT) AS end_para FROM k UNION ALL SELECT doc_id, 2, {q(P.MARKER_DRILL)}, CAST(p AS INT), CAST(greatest(p, c - 1) AS INT) FROM k UNION ALL SELECT doc_id, 3, {q(P.MARKER_CONSOLIDATION)}, CAST(c AS INT), last FROM k)"
+REVIEWED = CANDIDATES + MAY + f""", {drawn_sql("rp", corpora.REPLIES)}, rj AS (SELECT doc_id, {json_sql("reply")} AS j FROM rp),
+rv AS (SELECT doc_id, TRY_CAST(json_extract_string(j, 'practice_start') AS INT) AS p, TRY_CAST(json_extract_string(j, 'consolidation_start') AS INT) AS c FROM (SELECT doc_id, CASE WHEN json_valid(j) THEN j END AS j FROM rj)),
+ok2 AS (SELECT rv.doc_id, rv.p, rv.c, first, last FROM rv JOIN e0 USING (doc_id) WHERE p < rv.c AND first < p AND rv.c <= last AND EXISTS (SELECT 1 FROM may m WHERE m.doc_id = rv.doc_id AND m.kind = 'practice_start' AND m.para = rv.p) AND EXISTS (SELECT 1 FROM may m WHERE m.doc_id = rv.doc_id AND m.kind = 'consolidation_start' AND m.para = rv.c))
+{CANDIDATE_BLOCKS}
+SELECT doc_id, 'review' AS source, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, first AS start_para, CAST(p - 1 AS INT) AS end_para FROM ok2
+UNION ALL SELECT doc_id, 'review', 2, {q(P.MARKER_DRILL)}, p, CAST(c - 1 AS INT) FROM ok2
+UNION ALL SELECT doc_id, 'review', 3, {q(P.MARKER_CONSOLIDATION)}, c, last FROM ok2
+UNION ALL SELECT doc_id, 'offline', ord, marker, start_para, end_para FROM kb WHERE doc_id NOT IN (SELECT doc_id FROM ok2)"""
+REPLY_BLOCKS = f"""WITH {C2}, {drawn_sql("rp", corpora.BLOCK_REPLIES)}, rj AS (SELECT doc_id, {json_sql("reply")} AS j FROM rp),
+rb AS (SELECT doc_id, generate_subscripts(l, 1) AS nth, unnest(l) AS b FROM (SELECT doc_id, CAST(json_extract(j, '$.blocks') AS JSON[]) AS l FROM rj WHERE json_valid(j))),
+rs AS (SELECT doc_id, nth, json_extract_string(b, 'type') AS kind, TRY_CAST(json_extract_string(b, 'start_para') AS INT) AS start FROM rb),
+rl AS (SELECT doc_id, kind, arg_max(start, nth) AS start, min(nth) AS nth FROM rs WHERE kind <> '' AND start > 0 GROUP BY doc_id, kind),
+re AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(start) OVER (PARTITION BY doc_id ORDER BY start, nth) - 1 AS stop FROM rl)
+SELECT re.doc_id, CASE kind WHEN 'knowledge' THEN 1 WHEN 'practice' THEN 2 ELSE 3 END AS ord, CASE kind WHEN 'knowledge' THEN {q(P.MARKER_KNOWLEDGE)} WHEN 'practice' THEN {q(P.MARKER_DRILL)} ELSE {q(P.MARKER_CONSOLIDATION)} END AS marker, start AS start_para, CAST(coalesce(stop, last) AS INT) AS end_para
+FROM re JOIN (SELECT doc_id, max(para) AS last FROM c GROUP BY doc_id) USING (doc_id) WHERE n >= 2 AND kind IN ('knowledge', 'practice', 'consolidation') AND coalesce(stop, last) >= start"""
+OBJECTIVES_SAMPLE = f"""WITH {C1}, l AS (SELECT doc_id, para, substring(text, 1, 100) AS line FROM (SELECT *, row_number() {W} AS nth FROM c) WHERE nth <= 150 AND text <> ''),
+s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY para) AS sample FROM l GROUP BY doc_id) SELECT doc_id, substring(sample, 1, 3000) AS sample FROM s"""
+
+
 def over(corpus, operator):
     return lambda spark, sf_dir: operator(corpus(spark, sf_dir))
 
@@ -410,6 +476,29 @@ def filename(orders):
     return orders.select("o_orderkey", F.concat(scalars.file_base(year, F.trim("o_orderpriority"), F.nullif(F.col("o_orderstatus"), F.lit("O"))), F.lit("_教师版.docx")).alias("filename"))
 
 
+def templated(blocks):
+    """Blocks with the template that their document is filled into, and its markers."""
+    template = F.when(F.col("doc_id") % 3 == 0, "1v1").when(F.col("doc_id") % 3 == 1, "class").otherwise("short")
+    named = blocks.withColumn("template", template)
+    return named.filter("template <> 'class'").unionByName(assembly.for_class(named.filter("template = 'class'")))
+
+
+def with_tables(spark, sf_dir):
+    """The handouts, and their scored blocks widened to whole tables."""
+    paras = corpora.handouts(spark, sf_dir)
+    return paras, filling.widened(scored_blocks(paras), corpora.tables(spark, sf_dir))
+
+
+def filled(spark, sf_dir):
+    paras, blocks = with_tables(spark, sf_dir)
+    templates = corpora.templates(spark)
+    return filling.filled_rows(paras, templated(blocks), templates, filling.anchors(templates, corpora.markers(spark)))
+
+
+def missing(spark, sf_dir):
+    return filling.missing_anchors(templated(with_tables(spark, sf_dir)[1]), filling.anchors(corpora.templates(spark), corpora.markers(spark)))
+
+
 QUERIES = {
     "split_blocks_scored": over(corpora.handouts, lambda p: segments.blocks(segments.boundaries(p))),
     # the windows need this shuffle anyway; before the patterns run, it also spreads a file of few row groups
@@ -467,6 +556,23 @@ QUERIES = {
     "para_count": over(corpora.documents, lambda p: p.groupBy("doc_id").agg(F.count("*").alias("n"))),
     "clean_toc_name": read("orders", contents_lines),
     "toc_role": over(corpora.handouts, roles),
+    "toc_entries": over(corpora.with_contents, toc_entries),
+    "toc_headings": over(corpora.handouts, lambda p: contents.headings(p).select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")),
+    "toc_split": over(corpora.with_contents, contents.split),
+    "smart_split": over(corpora.with_contents, contents.smart_split),
+    "smart_blocks": over(corpora.with_contents, contents.smart_blocks),
+    "hybrid_tiers": over(corpora.handouts, lambda p: contents.smart_split(p, hybrid_first=True)),
+    "refined_blocks": over(corpora.handouts, lambda p: rows.refined(scored_blocks(p), p)),
+    "table_islands": lambda spark, sf_dir: filling.table_islands(corpora.tables(spark, sf_dir)),
+    "blocks_widened": lambda spark, sf_dir: with_tables(spark, sf_dir)[1],
+    "filled_rows": filled,
+    "filled_trimmed": lambda spark, sf_dir: filling.trimmed(filled(spark, sf_dir)),
+    "missing_anchors": missing,
+    "review_sample": over(corpora.handouts, lambda p: replies.review_sample(p, candidates.collected(p))),
+    "reviewed_blocks": lambda spark, sf_dir: replies.reviewed_blocks(candidates.collected(corpora.handouts(spark, sf_dir)), corpora.replies(spark, sf_dir)),
+    "reply_blocks": lambda spark, sf_dir: replies.reply_blocks(corpora.block_replies(spark, sf_dir), rows.extent(corpora.handouts(spark, sf_dir))),
+    "objectives_sample": over(corpora.documents, replies.objectives_sample),
+    "split_sample": over(corpora.documents, replies.split_sample),
 }
 
 ORACLES = {
@@ -532,4 +638,21 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "para_count": f"WITH {C1} SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id",
     "clean_toc_name": "WITH t AS (SELECT o_orderkey, trim(concat(trim(o_orderpriority), repeat('.', CAST(o_orderkey % 9 AS INT)), ' ', o_custkey)) AS t FROM orders) SELECT o_orderkey, " + name_sql("t") + " AS name FROM t",
     "toc_role": f"WITH {C2}, r AS (SELECT doc_id, para, {role_sql('text')} AS role FROM c) SELECT * FROM r WHERE role IS NOT NULL",
+    "toc_entries": f"WITH {C3}, {ENTRIES_SQL} SELECT n7.doc_id, toc_end, para, role, name FROM n7 JOIN ent USING (doc_id)",
+    "toc_headings": f"WITH {C2}, {HEADINGS_SQL} SELECT * FROM v2 WHERE role IS NOT NULL",
+    "toc_split": contents_sql(C3) + " SELECT * FROM pr",
+    "smart_split": f"WITH tt AS ({contents_sql(C3)} SELECT * FROM pr), aa AS ({AUTO.replace(C2, C3)}) SELECT doc_id, 'toc' AS tier, ord, marker, start_para, end_para FROM tt UNION ALL SELECT doc_id, tier, ord, marker, start_para, end_para FROM aa WHERE doc_id NOT IN (SELECT doc_id FROM tt)",
+    "smart_blocks": SMART.replace(C2, C3),
+    "hybrid_tiers": f"SELECT doc_id, 'hybrid' AS tier, ord, marker, start_para, end_para FROM ({HYBRID_BLOCKS})",
+    "refined_blocks": boundary_sql(C2) + f", bb AS ({BLOCKS}), {refine_sql('bb')} {refined_sql('bb', '')}",
+    "table_islands": f"WITH {TABLES_SQL} SELECT doc_id, s AS start_para, e AS end_para FROM ti",
+    "blocks_widened": boundary_sql(C2) + f", bb AS ({BLOCKS}), {TABLES_SQL} {widened_sql('bb')}",
+    "filled_rows": FILLED + "SELECT * FROM fi",
+    "filled_trimmed": FILLED + TRIMMED,
+    "missing_anchors": FILLED + "SELECT doc_id, ord, marker FROM tb WHERE start_para > 0 AND end_para >= start_para AND NOT EXISTS (SELECT 1 FROM an WHERE an.template = tb.template AND an.marker = tb.marker)",
+    "review_sample": REVIEW_SAMPLE,
+    "reviewed_blocks": REVIEWED,
+    "reply_blocks": REPLY_BLOCKS,
+    "objectives_sample": OBJECTIVES_SAMPLE,
+    "split_sample": f"WITH {C1} SELECT doc_id, para, concat('[', para, '] ', substring(text, 1, 150), CASE WHEN length(text) > 150 THEN '...' ELSE '' END) AS line FROM c",
 }

@@ -104,3 +104,79 @@ FROM {orders}
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, pos, name and size of files, as uploads have them."""
     return spark.sql(MANIFESTS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+
+
+#: Tables in the handouts, as spans of paragraphs; some reach over the end of another one.
+TABLES = """
+WITH h AS ({handouts}), n AS (SELECT doc_id, para, max(para) OVER (PARTITION BY doc_id) AS n FROM h)
+SELECT doc_id, para AS start_para, CAST(least(para + 3, n) AS INT) AS end_para FROM n WHERE para % 9 = 4
+UNION ALL SELECT doc_id, para AS start_para, CAST(least(para + 4, n) AS INT) AS end_para FROM n WHERE para % 9 = 6 AND (doc_id + para) % 4 = 0
+UNION ALL SELECT doc_id, para AS start_para, para AS end_para FROM n WHERE para % 9 = 5
+"""
+
+#: Rows of three templates: for one pupil, for a class, and one that has no place for consolidation. Markers and layout are fixed values.
+TEMPLATES = """
+SELECT * FROM (VALUES
+  ('1v1', 1, '讲义'), ('1v1', 2, ''), ('1v1', 3, ''), ('1v1', 4, '教学目标'), ('1v1', 5, '本节的知识精讲在后'), ('1v1', 6, ''), ('1v1', 7, '知识精讲'), ('1v1', 8, ''), ('1v1', 9, ''), ('1v1', 10, '即时训练（当堂）'), ('1v1', 11, ''), ('1v1', 12, '五、归纳总结'), ('1v1', 13, '六、巩固练习'), ('1v1', 14, '即时训练'), ('1v1', 15, ''),
+  ('class', 1, '班课'), ('class', 2, '知识精讲&例题讲解'), ('class', 3, ''), ('class', 4, '即时训练'), ('class', 5, '六、出门测试'),
+  ('short', 1, '即时训练'), ('short', 2, ''), ('short', 3, ''), ('short', 4, '知识精讲')) AS t(template, pos, text)
+"""
+
+#: Markers of the templates in the order in which anchors are given out.
+MARKERS = """
+SELECT * FROM (VALUES ('1v1', 1, '知识精讲'), ('1v1', 2, '即时训练'), ('1v1', 3, '六、巩固练习'), ('class', 1, '知识精讲&例题讲解'), ('class', 2, '即时训练'), ('class', 3, '六、出门测试'), ('short', 1, '知识精讲'), ('short', 2, '即时训练'), ('short', 3, '六、巩固练习')) AS m(template, rank, marker)
+"""
+
+#: Replies of a model about the handouts: good ones, ones in the wrong order, that name other paragraphs, that are broken, and none that is JSON.
+REPLIES = """
+WITH h AS ({handouts}), d AS (SELECT doc_id, CAST(max(para) AS INT) AS n, CAST(floor(max(para) * 0.4) AS INT) AS q0, CAST(floor(max(para) * 0.75) AS INT) AS q1 FROM h GROUP BY doc_id)
+SELECT doc_id, CASE CAST(floor(doc_id / 6) AS INT) % 6
+  WHEN 0 THEN concat('好的：{{"practice_start": ', q0 + 1, ', "consolidation_start": ', q1, ', "reason": " 基础在前 "}} 完')
+  WHEN 1 THEN concat('{{"practice_start": "', q0 + 1, '", "consolidation_start": "', q1, '"}}')
+  WHEN 2 THEN concat('{{"practice_start": ', q1, ', "consolidation_start": ', q0 + 1, ', "reason": "x"}}')
+  WHEN 3 THEN concat('{{"practice_start": ', q0 + 1, ', "consolidation_start": ', n, ', "reason": null}}')
+  WHEN 4 THEN concat('{{"practice_start": ', q0 + 1, ', "consolidation_start": ')
+  ELSE '没有结果' END AS reply
+FROM d
+"""
+
+#: Replies that name the blocks of the handouts: in order, out of order, with a kind twice, with one kind alone, with an unknown one, and broken.
+BLOCK_REPLIES = """
+WITH h AS ({handouts}), d AS (SELECT doc_id, CAST(max(para) AS INT) AS n, CAST(floor(max(para) * 0.4) AS INT) AS q0, CAST(floor(max(para) * 0.75) AS INT) AS q1 FROM h GROUP BY doc_id)
+SELECT doc_id, CASE doc_id % 6
+  WHEN 0 THEN concat('{{"blocks": [{{"type": "knowledge", "start_para": 1}}, {{"type": "practice", "start_para": ', q0 + 1, '}}, {{"type": "consolidation", "start_para": ', q1 + 2, '}}]}}')
+  WHEN 1 THEN concat('分块如下 {{"blocks": [{{"type": "consolidation", "start_para": ', q1 + 2, '}}, {{"type": "knowledge", "start_para": 1}}]}} 。')
+  WHEN 2 THEN concat('{{"blocks": [{{"type": "practice", "start_para": 2}}, {{"type": "knowledge", "start_para": 1}}, {{"type": "practice", "start_para": ', q1 + 2, '}}]}}')
+  WHEN 3 THEN '{{"blocks": [{{"type": "practice", "start_para": 2}}, {{"type": "knowledge", "start_para": "one"}}]}}'
+  WHEN 4 THEN concat('{{"blocks": [{{"type": "summary", "start_para": 3}}, {{"type": "practice", "start_para": ', q0 + 1, '}}, {{"type": null, "start_para": 4}}]}}')
+  ELSE concat('{{"blocks": [{{"type": "practice", "start_para": 2}}, ') END AS reply
+FROM d
+"""
+
+#: Plans: orders as versions of handouts, in all modes; some name documents that there are none of.
+VERSIONS = """
+SELECT o_orderkey AS version_id, o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN 100000000 ELSE 0 END AS doc_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'ideal' WHEN 2 THEN 'candidate' WHEN 3 THEN 'smart' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE 'smart' END END AS mode
+FROM {orders}
+"""
+
+
+def drawn(sql: str):
+    """A corpus that ``sql`` draws from the orders and their lines."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.sql(sql.replace("{handouts}", HANDOUTS), lineitem=t("lineitem"), orders=t("orders").select("o_orderkey", "o_custkey")) if "{handouts}" in sql else spark.sql(sql, orders=t("orders").select("o_orderkey", "o_custkey"))
+
+    return read
+
+
+tables, replies, block_replies, versions = drawn(TABLES), drawn(REPLIES), drawn(BLOCK_REPLIES), drawn(VERSIONS)
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return spark.sql(TEMPLATES)
+
+
+def markers(spark: SparkSession) -> DataFrame:
+    return spark.sql(MARKERS)
