@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -134,57 +134,72 @@ def codes(stored: DataFrame) -> DataFrame:
     return listed.repartition(parts, "word").mapInArrow(run, "block long, at int, bucket int, nth long, word string")
 
 
-def document_term_matrix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The matrix of ``docs`` (doc_id, part, text) in CSR shards, and its dictionary (word, term).
+def row_counts(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row sums of a CSR shard, and how many different terms each row has with a count. Terms ascend within rows."""
+    first = np.diff(terms, prepend=-1) != 0
+    begin = starts[:-1]
+    first[begin[begin < len(terms)]] = True  # a row's first term may be the last one of the row before
+    row = np.repeat(np.arange(len(begin)), np.diff(starts))
+    total = lambda x: np.bincount(row, x, len(begin)).astype(np.int64)
+    return total(counts), total(first & (counts > 0))
 
-    A shard is a row as of ``blocks`` without its words: terms are numbers of the dictionary (64 bits), sorted within rows.
-    """
+
+def coded_blocks(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The blocks of ``docs`` (doc_id, part, text), stored, and their words with the dictionary's numbers: block, at, term and, where it is first, word."""
     stored = written(blocks(docs, block), "blocks", row_group=ROW_GROUP)
     coded = written(codes(stored), "codes")
     # a row for each bucket, of which there is one for so many words
     buckets = coded.groupBy("bucket").agg((F.max("nth") + 1).alias("n"))
     offsets = written(buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before")), "offsets")
-    term = (F.col("before") + F.col("nth")).alias("term")
-    numbered = coded.join(offsets, "bucket")
-    kind = T.StructType([f for f in stored.schema if f.name != "words"])
+    return stored, coded.join(offsets, "bucket").select("block", "at", (F.col("before") + F.col("nth")).alias("term"), "word")
 
-    def recoded(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+
+def recoded(stored: DataFrame, coded: DataFrame, kind: T.StructType, finish: Callable[[dict], dict]) -> DataFrame:
+    """A row or more for each block: what ``finish`` makes, column by column, of its shard with the dictionary's numbers."""
+    schema = to_arrow_schema(kind)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = np.zeros(len(right), np.int64)
         own[right.column("at").to_numpy()] = right.column("term").to_numpy()
-        row = left.to_pylist()[0]
-        at, local, n = (np.frombuffer(row[c], k) for c, k in (("starts", np.int64), ("terms", np.int32), ("counts", np.int32)))
+        row = {c: left.column(c)[0] for c in left.column_names}
+        starts, local, counts = (np.frombuffer(row[c].as_buffer(), k) for c, k in (("starts", np.int64), ("terms", np.int32), ("counts", np.int32)))
         terms = own[local]
-        order = np.lexsort((terms, np.repeat(np.arange(len(at) - 1), np.diff(at))))
-        row |= {"terms": terms[order].tobytes(), "counts": n[order].tobytes()}
-        return pa.Table.from_arrays([pa.array([row[f.name]], f.type) for f in to_arrow_schema(kind)], schema=to_arrow_schema(kind))
+        order = np.lexsort((terms, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        made = finish(row | {"starts": starts, "terms": terms[order], "counts": counts[order]})
+        return pa.Table.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in schema], schema=schema)
+
+    return stored.drop("words").groupBy("block").cogroup(coded.select("block", "at", "term").groupBy("block")).applyInArrow(run, kind)
+
+
+def document_term_matrix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The matrix of ``docs`` (doc_id, part, text) in CSR shards, and its dictionary (word, term).
+
+    A shard is a row as of ``blocks`` without its words: terms are numbers of the dictionary (64 bits), sorted within rows.
+    """
+    stored, coded = coded_blocks(docs, block)
+
+    def shard(row: dict) -> dict:
+        return {k: [v.tobytes() if isinstance(v, np.ndarray) else v.as_py()] for k, v in row.items()}
 
-    shards = stored.drop("words").groupBy("block").cogroup(numbered.select("block", "at", term).groupBy("block")).applyInArrow(recoded, kind)
-    return shards, numbered.filter("word IS NOT NULL").select("word", term)
+    return recoded(stored, coded, T.StructType([f for f in stored.schema if f.name != "words"]), shard), coded.filter("word IS NOT NULL").select("word", "term")
 
 
-def word_counts(shards: DataFrame) -> DataFrame:
-    """doc_id, part, flags (C, D), digest, n_words (the row's sum) and n_distinct (its nonzero counts), a row for each row of the matrix."""
+def word_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, part, flags (C, D), digest, n_words (the sum of the document's row in the matrix) and n_distinct (its nonzero counts)."""
+    stored, coded = coded_blocks(docs, block)
+    own = {"doc_id": "doc_ids", "part": "parts", "flags": "flags", "digest": "digests"}
+    kind = T.StructType([*(T.StructField(c, stored.schema[k].dataType.elementType) for c, k in own.items()), T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
 
-    def summed(starts: pa.Array, terms: pa.Array, counts: pa.Array) -> pa.Array:
-        out = []
-        for s, t, c in zip(starts, terms, counts):
-            at, term, n = (np.frombuffer(x.as_buffer(), k) for x, k in ((s, np.int64), (t, np.int64), (c, np.int32)))
-            first = np.diff(term, prepend=-1) != 0
-            first[at[:-1][at[:-1] < len(term)]] = True  # a row's first term may be the last one of the row before
-            rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            total = lambda x: np.bincount(rows, x, len(at) - 1).astype(np.int64)  # noqa: B023, E731
-            out.append({"n_words": total(n), "n_distinct": total(first & (n > 0))})
-        return pa.array(out, pa.struct([("n_words", pa.list_(pa.int64())), ("n_distinct", pa.list_(pa.int64()))]))
+    def counted(row: dict) -> dict:
+        sums, filled = row_counts(row["starts"], row["terms"], row["counts"])
+        return {**{c: row[k].values for c, k in own.items()}, "n_words": sums, "n_distinct": filled}
 
-    made = F.arrow_udf(summed, "n_words array<bigint>, n_distinct array<bigint>")("starts", "terms", "counts")
-    own = ["doc_ids", "parts", "flags", "digests"]
-    zipped = shards.select(*own, made.alias("made")).select(F.explode(F.arrays_zip(*own, "made.n_words", "made.n_distinct")).alias("r"))
-    return zipped.select(F.col("r.doc_ids").alias("doc_id"), F.col("r.parts").alias("part"), "r.flags", F.col("r.digests").alias("digest"), "r.n_words", "r.n_distinct")
+    return recoded(stored, coded, kind, counted)
 
 
 def failures(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """part, mask (the filters failed, A the lowest bit) and how many documents: n, good and toxic."""
-    rows = word_counts(document_term_matrix(docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), "text"), block)[0])
+    rows = word_counts(docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), "text"), block)
     short, poor = F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words")
     mask = F.col("flags") + F.when(short, A).otherwise(0) + F.when(poor, B).otherwise(0)
     # copies meet as counts: first rows of one document, then a text's documents of equal part and labels

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from quillstone.llm import audit
@@ -71,13 +72,18 @@ def test_audit_of_the_table(spark):
 
 def test_matrix(spark):
     rows = [(k, "p", t) for k, (_, t, _) in enumerate(documents())]
-    shards, words = audit.document_term_matrix(spark.createDataFrame(rows, "doc_id long, part string, text string").repartition(3), 200)
+    df = spark.createDataFrame(rows, "doc_id long, part string, text string").repartition(3)
+    shards, words = audit.document_term_matrix(df, 200)
     term = {r.word: r.term for r in words.collect()}
     assert sorted(term.values()) == list(range(len(term)))
-    got = {r.doc_id: (r.n_words, r.n_distinct) for r in audit.word_counts(shards).collect()}
-    want = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, _, t in rows}
+    want = {d: Counter(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, _, t in rows}
     assert set(term) == {w for row in want.values() for w in row}
-    assert got == {d: (len(w), len(set(w))) for d, w in want.items()}
+    got = {}
+    for r in shards.collect():
+        starts, terms, counts = (np.frombuffer(x, k) for x, k in ((r.starts, np.int64), (r.terms, np.int64), (r.counts, np.int32)))
+        got |= {d: dict(zip(terms[a:e].tolist(), counts[a:e].tolist())) for d, a, e in zip(r.doc_ids, starts, starts[1:])}
+    assert got == {d: {term[w]: n for w, n in c.items()} for d, c in want.items()}
+    assert {r.doc_id: (r.n_words, r.n_distinct) for r in audit.word_counts(df, 200).collect()} == {d: (c.total(), len(c)) for d, c in want.items()}
 
 
 def test_audit_of_empty_tables(spark):
