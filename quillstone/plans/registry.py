@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, candidates, contents, filling, hybrid, manifests, objectives, replies, rows, scoring, segments, tiers
+from ..operators import assembly, candidates, contents, filling, hybrid, manifests, objectives, relations, replies, rows, scoring, segments, tiers, versions
 from ..sources import corpora
 
 
@@ -394,6 +394,26 @@ OBJECTIVES_SAMPLE = f"""WITH {C1}, l AS (SELECT doc_id, para, substring(text, 1,
 s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY para) AS sample FROM l GROUP BY doc_id) SELECT doc_id, substring(sample, 1, 3000) AS sample FROM s"""
 
 
+MIGRATED = f"""WITH {drawn_sql("ow", corpora.OWN_RELATIONS)}, {drawn_sql("tk", corpora.TAKEN_RELATIONS)},
+hd AS (SELECT package, kind, target, min(rid) AS own_rid FROM ow GROUP BY ALL),
+fs AS (SELECT package, kind, target, min({{'s': source, 'a': nth, 'r': rid}}) AS f FROM tk GROUP BY ALL),
+fk AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY f, kind, target) AS k FROM fs WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.package = fs.package AND hd.kind = fs.kind AND hd.target = fs.target)),
+nk AS (SELECT package, list(k) AS ks FROM fk GROUP BY package),
+us AS (SELECT package, list(DISTINCT CAST(regexp_extract(rid, '^rId([1-9][0-9]*)$', 1) AS INT)) AS used FROM ow WHERE regexp_matches(rid, '^rId[1-9][0-9]*$') GROUP BY package),
+fr AS (SELECT package, list_filter(range(1, len(ks) + len(coalesce(used, [])) + 1), lambda x: NOT list_contains(coalesce(used, []), x)) AS free FROM nk LEFT JOIN us USING (package)),
+nw AS (SELECT fk.*, concat('rId', free[k]) AS fresh FROM fk JOIN fr USING (package))
+SELECT DISTINCT tk.package, source, rid, coalesce(own_rid, fresh) AS new_rid FROM tk LEFT JOIN hd USING (package, kind, target) LEFT JOIN nw USING (package, kind, target)"""
+
+SMART_HANDOUTS = f"""WITH {C2}, tt AS ({contents_sql(C2)} SELECT * FROM pr), aa AS ({AUTO}),
+sm AS (SELECT doc_id, 'toc' AS tier, ord, marker, start_para, end_para FROM tt UNION ALL SELECT doc_id, tier, ord, marker, start_para, end_para FROM aa WHERE doc_id NOT IN (SELECT doc_id FROM tt)),
+{refine_sql("sm")} {refined_sql("sm", "")}"""
+CANDIDATE_MODE = CANDIDATES + f"{CANDIDATE_BLOCKS}, mb AS (SELECT kb.*, last FROM kb JOIN e0 USING (doc_id)), {READING_SQL}, {protected_sql('mb')} SELECT * FROM pr"
+VERSION_BLOCKS = f"""WITH {C2}, {drawn_sql("vs", corpora.VERSIONS)}, fl AS (SELECT doc_id, 1 AS ord, {q(P.MARKER_KNOWLEDGE)} AS marker, CAST(min(para) AS INT) AS start_para, CAST(max(para) AS INT) AS end_para FROM c GROUP BY doc_id),
+id AS ({IDEAL}), cm AS ({CANDIDATE_MODE}), sb AS ({SMART_HANDOUTS}),
+al AS (SELECT 'full' AS mode, * FROM fl UNION ALL SELECT 'ideal', * FROM id UNION ALL SELECT 'ideal', * FROM sb WHERE doc_id NOT IN (SELECT doc_id FROM id) UNION ALL SELECT 'candidate', * FROM cm UNION ALL SELECT 'smart', * FROM sb)
+SELECT version_id, vs.mode, CASE WHEN vs.mode NOT IN ('full', 'ideal', 'candidate', 'smart') THEN 'no such mode' WHEN vs.doc_id NOT IN (SELECT doc_id FROM fl) THEN 'no source' ELSE 'ok' END AS status, ord, marker, start_para, end_para FROM vs LEFT JOIN al ON al.doc_id = vs.doc_id AND al.mode = vs.mode"""
+
+
 def over(corpus, operator):
     return lambda spark, sf_dir: operator(corpus(spark, sf_dir))
 
@@ -573,6 +593,9 @@ QUERIES = {
     "reply_blocks": lambda spark, sf_dir: replies.reply_blocks(corpora.block_replies(spark, sf_dir), rows.extent(corpora.handouts(spark, sf_dir))),
     "objectives_sample": over(corpora.documents, replies.objectives_sample),
     "split_sample": over(corpora.documents, replies.split_sample),
+    "candidate_mode": over(corpora.handouts, versions.candidate_mode),
+    "version_blocks": lambda spark, sf_dir: versions.version_blocks(corpora.versions(spark, sf_dir), corpora.handouts(spark, sf_dir)),
+    "migrated_relations": lambda spark, sf_dir: relations.migrated(corpora.own_relations(spark, sf_dir), corpora.taken_relations(spark, sf_dir)),
 }
 
 ORACLES = {
@@ -655,4 +678,7 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "reply_blocks": REPLY_BLOCKS,
     "objectives_sample": OBJECTIVES_SAMPLE,
     "split_sample": f"WITH {C1} SELECT doc_id, para, concat('[', para, '] ', substring(text, 1, 150), CASE WHEN length(text) > 150 THEN '...' ELSE '' END) AS line FROM c",
+    "candidate_mode": CANDIDATE_MODE,
+    "version_blocks": VERSION_BLOCKS,
+    "migrated_relations": MIGRATED,
 }

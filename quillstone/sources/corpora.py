@@ -160,18 +160,32 @@ SELECT o_orderkey AS version_id, o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN
 FROM {orders}
 """
 
+#: Relations of packages, a customer's orders each: some of the package's own, with gaps in their numbers, and those of its lines' sources.
+OWN_RELATIONS = """
+SELECT o_custkey AS package, concat(CASE WHEN n % 5 = 0 THEN 'ext' ELSE 'rId' END, CAST(n + n % 3 + CASE WHEN n > 4 THEN 7 ELSE 0 END AS INT)) AS rid, CASE o_orderkey % 2 WHEN 0 THEN 'image' ELSE 'oleObject' END AS kind, concat('media/', o_orderkey % 30) AS target
+FROM (SELECT *, CAST(3 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS n FROM {orders}) o WHERE n <= 21
+"""
+TAKEN_RELATIONS = """
+SELECT o.o_custkey AS package, l.l_orderkey AS source, CAST(l.l_linenumber AS INT) AS nth, concat('rId', CAST(l.l_linenumber AS INT)) AS rid, CASE l.l_suppkey % 3 WHEN 0 THEN 'image' ELSE 'oleObject' END AS kind, concat('media/', l.l_partkey % 60) AS target
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+"""
+
 
 def drawn(sql: str):
     """A corpus that ``sql`` draws from the orders and their lines."""
 
+    whole = sql.replace("{handouts}", HANDOUTS)
+
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spark.sql(sql.replace("{handouts}", HANDOUTS), lineitem=t("lineitem"), orders=t("orders").select("o_orderkey", "o_custkey")) if "{handouts}" in sql else spark.sql(sql, orders=t("orders").select("o_orderkey", "o_custkey"))
+        given = {"orders": t("orders").select("o_orderkey", "o_custkey")} | ({"lineitem": t("lineitem")} if "{lineitem}" in whole else {})
+        return spark.sql(whole, **given)
 
     return read
 
 
 tables, replies, block_replies, versions = drawn(TABLES), drawn(REPLIES), drawn(BLOCK_REPLIES), drawn(VERSIONS)
+own_relations, taken_relations = drawn(OWN_RELATIONS), drawn(TAKEN_RELATIONS)
 
 
 def templates(spark: SparkSession) -> DataFrame:

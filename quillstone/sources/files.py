@@ -2,62 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARAGRAPHS = "path string, para int, text string, has_img boolean, in_table boolean"
-#: Namespace of word processing documents.
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def body(content: bytes) -> Iterator[tuple[int, str, bool, bool]]:
-    """(para, text, has_img, in_table) of the paragraphs of a docx file; those directly in the body are counted from 1.
-
-    Paragraphs in tables have the number of the last one before the table, as they have none of their own.
-    """
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("word/document.xml") as f:
-        top = ElementTree.parse(f).getroot().find(f"{W}body")
-    at = 0
-    for child in top if top is not None else ():
-        if child.tag not in (f"{W}p", f"{W}tbl"):
-            continue
-        at += child.tag == f"{W}p"
-        for p in [child] if child.tag == f"{W}p" else child.iter(f"{W}p"):
-            picture = p.find(f".//{W}drawing") is not None or p.find(f".//{W}pict") is not None
-            yield at, "".join(t.text or "" for t in p.iter(f"{W}t")).strip(), picture, child.tag != f"{W}p"
-
-
-def _parsed(files: DataFrame) -> DataFrame:
-    """The paragraphs of files (path, content). A file that is no docx gives none."""
-    import zipfile
-    from xml.etree import ElementTree
-
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):  # a file at a time
-                path, content = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                try:
-                    rows = [(path, *r) for r in body(content or b"")]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], names=["path", "para", "text", "has_img", "in_table"])
+from .docx import load_docx
 
-    return files.select("path", "content").mapInArrow(run, PARAGRAPHS)
+PARAGRAPHS = ["path", "para", "text", "has_img", "in_table"]
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """The paragraphs of the docx files under ``path``; lock files (~$) are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return _parsed(files.filter(~F.element_at(F.split("path", "/"), -1).startswith("~$")))
+    """The paragraphs of the docx files under ``path``; lock files (~$) are left out, and a file that is no docx gives none."""
+    return load_docx(spark, path, PARAGRAPHS, "none")
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +41,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """The paragraphs of the docx files in the zip archives under ``path``; path is archive!name."""
-    return _parsed(members(spark, path).select(F.concat("archive", F.lit("!"), "name").alias("path"), "content"))
+    return load_docx(spark, path, PARAGRAPHS, "only")
 
 
 def read_scan(spark: SparkSession, path: str) -> DataFrame:
