@@ -33,7 +33,7 @@ A, B, C, D, E = (1 << k for k in range(5))
 #: Thresholds of A (words), B and C (hundredths), and the characters of D.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
 #: Bytes of text in a block, words of blocks in a bucket of the dictionary, and bytes of a row group of stored blocks.
-BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 4 << 20, 250_000, 16 << 20
+BLOCK, WORDS_PER_BUCKET, ROW_GROUP = 6 << 20, 250_000, 16 << 20
 _CAPITALS, _CONTINUED = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 
 
@@ -147,7 +147,7 @@ def row_counts(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tup
 def coded_blocks(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The blocks of ``docs`` (doc_id, part, text), stored, and their words with the dictionary's numbers: block, at, term and, where it is first, word."""
     stored = written(blocks(docs, block), "blocks", row_group=ROW_GROUP)
-    coded = written(codes(stored), "codes")
+    coded = written(codes(stored), "codes", row_group=ROW_GROUP)
     # a row for each bucket, of which there is one for so many words
     buckets = coded.groupBy("bucket").agg((F.max("nth") + 1).alias("n"))
     offsets = written(buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before")), "offsets")

@@ -46,11 +46,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, row
     """Writes a table into the shared folder and reads it again: the lineage ends here.
 
     A plan that reads it may run long after, so nothing here removes it: whoever owns the folder empties it between jobs.
-    row_group: bytes of a row group, for tables of large rows, of which a reader holds a row group at a time.
+    row_group: bytes of a row group, for tables of large rows, of which a reader holds a row group at a time; they are
+    compressed harder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group).option("compression", "zstd")
     writer.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
