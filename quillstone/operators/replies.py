@@ -111,7 +111,7 @@ def objectives_sample(paras: DataFrame, rows: int = SAMPLE_ROWS, line: int = SAM
     w = ordered()
     head = paras.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= rows)
     lines = head.select("doc_id", "para", F.substring(F.trim("text"), 1, line).alias("line")).filter("line <> ''")
-    begun = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("at") < size)
+    begun = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("at") <= size)  # a line that would begin right behind adds the line end before it
     cut = F.expr(f"substring(line, 1, least(length(line), {size} - at))")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", cut.alias("line")))), lambda x: x["line"]), "\n")
     whole = begun.groupBy("doc_id").agg(F.substring(joined, 1, size).alias("sample"))
