@@ -312,15 +312,12 @@ def encoder(path: str, end: int):
         for k, ids in zip(whole, encode([texts[k] or "" for k in whole])):
             out[k] = ids + last
         fresh = list(set().union(*cut.values()).difference(remembered))
-        known = dict(zip(fresh, encode(fresh)))
-        for c in fresh[: max(0, REMEMBERED - len(remembered))]:
-            remembered[c] = known[c]
-        if len(known) < len(remembered):
-            get = lambda c: remembered.get(c) or known[c]
-        else:
-            get = (remembered | known).__getitem__
+        room = max(0, REMEMBERED - len(remembered))
+        remembered.update(zip(fresh, encode(fresh)))
         for k, row in cut.items():
-            out[k] = b"".join(map(get, row)) + last
+            out[k] = b"".join(map(remembered.__getitem__, row)) + last
+        for c in fresh[room:]:
+            del remembered[c]
         return out
 
     return run
