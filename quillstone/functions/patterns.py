@@ -313,3 +313,9 @@ OBJECTIVE_TEXTS = {
     "knowledge": "①掌握{topic}核心知识：{names}等；", "no_knowledge": "①掌握{topic}的核心概念与基本方法；", "counted": "②掌握{part}题型的解法，共{count}道题；", "uncounted": "②掌握{part}题型的解法，熟练求解；", "skills": "③培养运算与推理能力，形成知识体系。",
     "any_part": "本专题典型问题", "key": "重点：{topic}核心概念（{names}）的理解与应用；", "no_key": "重点：{topic}核心知识点与基本方法；", "hard": "难点：{part}的综合运用与易错点辨析。", "no_hard": "难点：知识的综合运用与易错点辨析。",
 }
+
+# What checks of blocks and uploads say, and lines of reports.
+NO_ROWS, BLOCK_COUNT, BLOCK_OUTSIDE, BLOCK_RANGE, BLOCK_OVER = "文档无段落", "blocks 数量不是 3：", " 越界：", " 不在 ", " 与上一块重叠：start="
+NO_FILES, BAD_OPTIONS, NO_INPUT = "未收到文件", "不支持的生成配置", "未发现 zip 或 docx 文件"
+GROUP_LINE = "例题组: "
+UPLOAD_OPTIONS = {"template_type": ["1v1", "class"], "split_mode": ["smart", "candidate", "ideal", "full"], "docx_mode": ["auto", "separate"]}

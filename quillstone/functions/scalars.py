@@ -13,6 +13,16 @@ def number(digits: Column) -> Column:
     return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
 
 
+def cleaned(text: Column) -> Column:
+    """Text as a scan has it: without encoded control characters (_x0007_), with a space for each real one, and none at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "_x[0-9A-Fa-f]{4}_", ""), r"[\x00-\x1F]", " "))
+
+
+def counter(log: Column, key: str) -> Column:
+    """The number behind ``key=`` in a script's output; 0 if it has none."""
+    return F.coalesce(F.regexp_extract(log, f"{key}=([0-9]+)", 1).try_cast("int"), F.lit(0))
+
+
 def short(text: Column, limit: int) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
@@ -35,12 +45,6 @@ def is_red(colour: Column) -> Column:
     return F.coalesce(colour.rlike("^[0-9A-Fa-f]{6}$") & (part(1) >= 100) & (part(3) <= 70) & (part(5) <= 70), F.lit(False))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(0.0)
-
-
 def clean_toc_name(line: Column) -> Column:
     """A line of a table of contents without its leader dots and page number."""
     t = F.trim(line)
@@ -59,7 +63,7 @@ def toc_role(name: Column) -> Column:
 
 def topic(name: Column, fallback: Column | None = None) -> Column:
     """What a file is about: its name without folders, extension, numbers, years and words of use; else the fallback, else its bare name."""
-    bare = F.regexp_replace(F.substring_index(name, "/", -1), P.EXTENSION, "$1")
+    bare = F.regexp_replace(F.substring_index(F.regexp_replace(name, r"\\", "/"), "/", -1), P.EXTENSION, "$1")
     parts = F.split(F.regexp_replace(bare, P.TOPIC_WHOLE, " "), P.TOPIC_SPLIT)
     noise = F.array(*(F.lit(w) for w in sorted(P.TOPIC_NOISE, key=len, reverse=True)))
 

@@ -25,6 +25,25 @@ def validated(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     )
 
 
+def errors(blocks: DataFrame, extents: DataFrame) -> DataFrame:
+    """doc_id, valid and errors (lines, as reports print them) for each document of ``blocks``, one without paragraphs included.
+
+    In order: how many blocks there are, if not three, then for each block whether it is reversed, out of range, or over the one before.
+    """
+    before = F.lag("end_para").over(Window.partitionBy("doc_id").orderBy("ord"))
+    b = blocks.withColumn("before", before).join(extents.select("doc_id", F.col("start_para").alias("first"), F.col("end_para").alias("last")), "doc_id", "left")
+    s, e, first, last, text = F.col("start_para"), F.col("end_para"), F.col("first"), F.col("last"), lambda c: F.col(c).cast("string")
+    said = F.array(
+        F.when(s > e, F.concat("marker", F.lit(" start > end："), text("start_para"), F.lit(">"), text("end_para"))),
+        F.when((s < first) | (e > last), F.concat("marker", F.lit(P.BLOCK_OUTSIDE), text("start_para"), F.lit("-"), text("end_para"), F.lit(P.BLOCK_RANGE), text("first"), F.lit("-"), text("last"))),
+        F.when(s <= F.col("before"), F.concat("marker", F.lit(P.BLOCK_OVER), text("start_para"), F.lit(", prev_end="), text("before"))),
+    )
+    d = b.groupBy("doc_id").agg(F.first("first").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", F.array_compact(said).alias("said")))).alias("each"))
+    count = F.when(F.col("n") != 3, F.array(F.concat(F.lit(P.BLOCK_COUNT), F.col("n").cast("string")))).otherwise(F.array().cast("array<string>"))
+    every = F.when(F.col("first").isNull(), F.array(F.lit(P.NO_ROWS))).otherwise(F.concat(count, F.flatten(F.transform("each", lambda x: x["said"]))))
+    return d.select("doc_id", (F.size(every) == 0).alias("valid"), F.array_join(every, "\n").alias("errors"))
+
+
 def assembled(paras: DataFrame, blocks: DataFrame) -> DataFrame:
     """The paragraphs of each block in the order of the output; pos counts them from 1. The join is on doc_id, the range a filter."""
     rows = paras.join(blocks, "doc_id").filter(F.col("para").between(F.col("start_para"), F.col("end_para")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,22 @@ def accepted(files: DataFrame) -> DataFrame:
     return checked(files).groupBy("job_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"))
 
 
+def jobs_checked(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """job_id and error (null if none) of jobs (job_id and options): no files, an option that there isn't, the first bad file, or nothing to work on, in this order."""
+    own = checked(files)
+    usable = F.lower("name").rlike(r"\.(zip|docx)$")
+    found = own.groupBy("job_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("bad"), F.count_if(usable).alias("usable"))
+    unknown = reduce(lambda a, b: a | b, (~F.coalesce(F.col(k).isin(v), F.lit(False)) for k, v in P.UPLOAD_OPTIONS.items()))
+    error = F.when(F.col("usable").isNull(), P.NO_FILES).when(unknown, P.BAD_OPTIONS).when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("usable") == 0, P.NO_INPUT)
+    return jobs.join(found, "job_id", "left").select("job_id", error.alias("error"))
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """job_id, how many files of each kind a job has, and their bytes."""
+    ends = lambda kind: F.count_if(F.lower("name").endswith(kind))
+    return files.groupBy("job_id").agg(F.count("*").alias("n_files"), ends(".zip").alias("n_zip"), ends(".docx").alias("n_docx"), F.sum("size").alias("n_bytes"))
+
+
 def inputs(files: DataFrame, auto: bool = True) -> DataFrame:
     """job_id, nth, kind, label and n_files of the inputs of each job: zips first, each by itself, then two docx as a pair if ``auto``, else each by itself."""
     name = base(F.col("name"))

@@ -17,15 +17,23 @@ def weight(text: Column, table: list[tuple[str, int]]) -> Column:
 
 
 def knowing(text: Column) -> Column:
-    """Whether a paragraph is more like knowledge than like a question. Inside a lambda, so that a filter's code stays small."""
-    return F.exists(F.array(text), lambda t: weight(t, P.KNOWLEDGE) > weight(t, P.QUESTION))
+    """Whether a paragraph is more like knowledge than like a question, for which some pattern of knowledge has to match.
+
+    The weights are inside a lambda, so that a filter's code stays small; only what one of two alternations finds gets there.
+    """
+    return any_of(text, [p for p, _ in P.KNOWLEDGE]) & F.exists(F.array(text), lambda t: weight(t, P.KNOWLEDGE) > weight(t, P.QUESTION))
+
+
+def any_of(text: Column, patterns: list[str]) -> Column:
+    """Whether any of the patterns matches: one alternation, and one for those without regard to case."""
+    folded, plain = [p[4:] for p in patterns if p.startswith("(?i)")], [p for p in patterns if not p.startswith("(?i)")]
+    found = [text.rlike(flag + "|".join(f"(?:{p})" for p in ps)) for flag, ps in (("", plain), ("(?i)", folded)) if ps]
+    return reduce(lambda a, b: a | b, found)
 
 
 def is_boundary(text: Column) -> Column:
-    """One alternation, as only existence counts; patterns without regard to case stand apart."""
-    folded = [p[4:] for p in P.BOUNDARY if p.startswith("(?i)")]
-    plain = [p for p in P.BOUNDARY if not p.startswith("(?i)")]
-    return text.rlike("|".join(f"(?:{p})" for p in plain)) | text.rlike("(?i)" + "|".join(f"(?:{p})" for p in folded))
+    """As only existence counts, alternations do."""
+    return any_of(text, P.BOUNDARY)
 
 
 def section_type(text: Column) -> Column:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
-from ..operators import assembly, candidates, contents, filling, hybrid, manifests, objectives, relations, replies, rows, scoring, segments, tiers, versions
+from ..operators import assembly, candidates, contents, filling, hybrid, likeness, manifests, objectives, relations, replies, rows, scoring, segments, tiers, versions
 from ..sources import corpora
 
 
@@ -394,6 +393,12 @@ OBJECTIVES_SAMPLE = f"""WITH {C1}, l AS (SELECT doc_id, para, substring(text, 1,
 s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY para) AS sample FROM l GROUP BY doc_id) SELECT doc_id, substring(sample, 1, 3000) AS sample FROM s"""
 
 
+def red_sql(c: str) -> str:
+    """RRGGBB that reads as red, digit by digit."""
+    part = lambda k: f"(16 * (strpos('0123456789ABCDEF', upper(substring({c}, {k}, 1))) - 1) + strpos('0123456789ABCDEF', upper(substring({c}, {k + 1}, 1))) - 1)"
+    return f"regexp_matches(coalesce({c}, ''), '^[0-9A-Fa-f]{{6}}$') AND {part(1)} >= 100 AND {part(3)} <= 70 AND {part(5)} <= 70"
+
+
 MIGRATED = f"""WITH {drawn_sql("ow", corpora.OWN_RELATIONS)}, {drawn_sql("tk", corpora.TAKEN_RELATIONS)},
 hd AS (SELECT package, kind, target, min(rid) AS own_rid FROM ow GROUP BY ALL),
 fs AS (SELECT package, kind, target, min({{'s': source, 'a': nth, 'r': rid}}) AS f FROM tk GROUP BY ALL),
@@ -426,27 +431,31 @@ def outline(paras):
     return paras.filter((F.col("text") != "") & ((F.col("para") <= 60) | (F.length("text") < 50))).select("doc_id", "para", F.substring("text", 1, 80).alias("head"))
 
 
-#: Templates of a category, and templates that a task compares a vector with at once.
-TEMPLATES, TEMPLATE_BLOCK = 3, 256
+#: Templates of a category.
+TEMPLATES = 3
 
 
 def similarity(vectors):
-    """Each vector's likeness to the templates, the first vectors of each label: the best category.
-
-    Templates are handed out in blocks of TEMPLATE_BLOCK, one pass for each: no more of them are ever broadcast at once.
-    """
+    """Each vector's likeness to the templates, the first vectors of each label: the best category."""
     first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    templates = vectors.withColumn("at", first).filter(F.col("at") <= TEMPLATES).select(F.col("label").alias("category"), F.col("embedding").alias("template"), F.row_number().over(Window.partitionBy("at").orderBy("label")).alias("nth"), "at")
-    last = templates.agg(F.max("nth")).first()[0] or 0
-    passes = []
-    for lo in range(0, TEMPLATES * last, TEMPLATE_BLOCK):
-        number = (F.col("nth") - 1) * TEMPLATES + F.col("at") - 1
-        block = [(r.category, r.template) for r in templates.filter(number.between(lo, lo + TEMPLATE_BLOCK - 1)).collect()]
-        likeness = F.array(*(F.struct(F.round(scalars.cosine(F.col("embedding"), F.lit(t)), 6).alias("similarity"), F.lit(-c).alias("rank")) for c, t in block))
-        passes.append(vectors.select("vec_id", F.array_max(likeness).alias("best")))
-    every = reduce(DataFrame.unionByName, passes) if passes else vectors.select("vec_id", F.lit(None).cast("struct<similarity:double,rank:int>").alias("best")).limit(0)
-    best = every if len(passes) < 2 else every.groupBy("vec_id").agg(F.max("best").alias("best"))
-    return best.select("vec_id", (-F.col("best.rank")).alias("category"), F.col("best.similarity").alias("similarity"))
+    templates = vectors.withColumn("at", first).filter(F.col("at") <= TEMPLATES).select(F.col("label").alias("category"), F.col("embedding").alias("template"))
+    return likeness.best_category(vectors.select("vec_id", "embedding"), templates).select("vec_id", "category", "similarity")
+
+
+def counters(spark, sf_dir):
+    """For each document how many runs are red, how many paragraphs go with answers, and how many questions ask for space."""
+    runs, paras = corpora.runs(spark, sf_dir), corpora.handouts(spark, sf_dir)
+    red = runs.groupBy("doc_id").agg(F.count_if(scalars.is_red(F.col("colour"))).alias("red_runs"))
+    gone = rows.answer_ranges(paras).groupBy("doc_id").agg(F.sum(F.expr("end_para - start_para + 1")).alias("answer_rows"))
+    asked = rows.question_kinds(paras).groupBy("doc_id").agg(F.count_if(F.col("kind") == "short").alias("short_questions"), F.count_if(F.col("kind") == "blank").alias("blank_questions"))
+    return red.join(gone, "doc_id", "left").join(asked, "doc_id", "left").fillna(0)
+
+
+def group_lines(paras):
+    """A line for each example group, as its report has them, in one text for each document."""
+    line = F.concat(F.lit(P.GROUP_LINE), F.col("start_para").cast("string"), F.lit(".."), F.col("end_para").cast("string"))
+    ordered = F.array_sort(F.collect_list(F.struct("start_para", line.alias("line"))))
+    return tiers.example_groups(paras).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("summary"))
 
 
 def knowledge(paras):
@@ -594,6 +603,13 @@ QUERIES = {
     "objectives_sample": over(corpora.documents, replies.objectives_sample),
     "split_sample": over(corpora.documents, replies.split_sample),
     "candidate_mode": over(corpora.handouts, versions.candidate_mode),
+    "block_errors": lambda spark, sf_dir: assembly.errors(corpora.faulty_blocks(spark, sf_dir), rows.extent(corpora.handouts(spark, sf_dir))),
+    "counters": counters,
+    "group_lines": over(corpora.handouts, group_lines),
+    "upload_totals": over(corpora.manifests, manifests.totals),
+    "upload_options": lambda spark, sf_dir: manifests.jobs_checked(corpora.jobs(spark, sf_dir), corpora.manifests(spark, sf_dir)),
+    "cleaned_text": over(corpora.marked, lambda p: p.select("doc_id", "para", scalars.cleaned(F.col("text")).alias("text"))),
+    "log_counters": over(corpora.logs, lambda l: l.select("job_id", *(scalars.counter(F.col("log"), k).alias(k.lower()) for k in ("RED", "DELETED", "BLANKS")))),
     "version_blocks": lambda spark, sf_dir: versions.version_blocks(corpora.versions(spark, sf_dir), corpora.handouts(spark, sf_dir)),
     "migrated_relations": lambda spark, sf_dir: relations.migrated(corpora.own_relations(spark, sf_dir), corpora.taken_relations(spark, sf_dir)),
 }
@@ -629,7 +645,7 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "answer_delete_ranges": f"WITH {C2}, {ANSWERS}, i AS (SELECT doc_id, para, para - row_number() {W} AS run FROM g WHERE gone) SELECT doc_id, min(para) AS start_para, max(para) AS end_para FROM i GROUP BY doc_id, run",
     "student_rows": f"WITH {C2}, {ANSWERS}, n AS (SELECT *, lead(text) {W} AS nxt, row_number() {W} AS rn FROM g WHERE NOT gone) SELECT doc_id, CAST(row_number() {W} AS INT) AS para, text FROM n WHERE rn = 1 OR NOT (text = '' AND coalesce(nxt = '', false))",
     "answer_space": student_sql(C2),
-    "student_version": student_sql("c AS (SELECT doc_id, para, trim(string_agg(CASE WHEN regexp_matches(colour, '^C00000$') THEN '' ELSE coalesce(text, '') END, '' ORDER BY run), ' ') AS text FROM (" + corpora.RUNS.replace("{handouts}", corpora.HANDOUTS).replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ") GROUP BY doc_id, para)"),
+    "student_version": student_sql("c AS (SELECT doc_id, para, trim(string_agg(CASE WHEN " + red_sql("colour") + " THEN '' ELSE coalesce(text, '') END, '' ORDER BY run), ' ') AS text FROM (" + corpora.RUNS.replace("{handouts}", corpora.HANDOUTS).replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ") GROUP BY doc_id, para)"),
     "class_blocks": boundary_sql(C2) + f", bb AS ({BLOCKS}) SELECT doc_id, ord, CASE marker WHEN {q(P.MARKER_KNOWLEDGE)} THEN {q(P.CLASS_KNOWLEDGE)} WHEN {q(P.MARKER_CONSOLIDATION)} THEN {q(P.CLASS_CONSOLIDATION)} ELSE marker END AS marker, start_para, end_para FROM bb",
     "question_density": CANDIDATES + "SELECT doc_id, para FROM de",
     "practice_boundary": boundary_sql(C2) + f", bb AS ({BLOCKS}), {refine_sql('bb')} SELECT doc_id, para FROM pb",
@@ -681,4 +697,20 @@ SELECT doc_id, start_para, end_para, coalesce(example, 0) AS example FROM w WHER
     "candidate_mode": CANDIDATE_MODE,
     "version_blocks": VERSION_BLOCKS,
     "migrated_relations": MIGRATED,
+    "block_errors": f"""WITH {C2}, {drawn_sql("fb", corpora.FAULTY_BLOCKS)}, ex AS (SELECT doc_id, min(para) AS first, max(para) AS last FROM c GROUP BY doc_id),
+p AS (SELECT fb.*, first, last, lag(end_para) OVER (PARTITION BY fb.doc_id ORDER BY ord) AS prev FROM fb LEFT JOIN ex USING (doc_id)),
+e AS (SELECT doc_id, 0 AS ord, 0 AS k, concat({q(P.BLOCK_COUNT)}, count(*)) AS error FROM p WHERE first IS NOT NULL GROUP BY doc_id HAVING count(*) <> 3
+  UNION ALL SELECT doc_id, ord, 1, concat(marker, ' start > end：', start_para, '>', end_para) FROM p WHERE start_para > end_para AND first IS NOT NULL
+  UNION ALL SELECT doc_id, ord, 2, concat(marker, {q(P.BLOCK_OUTSIDE)}, start_para, '-', end_para, {q(P.BLOCK_RANGE)}, first, '-', last) FROM p WHERE start_para < first OR end_para > last
+  UNION ALL SELECT doc_id, ord, 3, concat(marker, {q(P.BLOCK_OVER)}, start_para, ', prev_end=', prev) FROM p WHERE start_para <= prev AND first IS NOT NULL
+  UNION ALL SELECT DISTINCT doc_id, 0, 0, {q(P.NO_ROWS)} FROM p WHERE first IS NULL)
+SELECT d.doc_id, count(error) = 0 AS valid, coalesce(string_agg(error, chr(10) ORDER BY ord, k), '') AS errors FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "counters": f"""WITH {C2}, {drawn_sql("ru", corpora.RUNS)}, {ANSWERS}, {SPANS} SELECT doc_id, red_runs, coalesce(answer_rows, 0) AS answer_rows, coalesce(short_questions, 0) AS short_questions, coalesce(blank_questions, 0) AS blank_questions
+FROM (SELECT doc_id, count(*) FILTER ({red_sql("colour")}) AS red_runs FROM ru GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS answer_rows FROM g WHERE gone GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'short') AS short_questions, count(*) FILTER (kind = 'blank') AS blank_questions FROM k GROUP BY doc_id) USING (doc_id)""",
+    "group_lines": f"WITH g0 AS ({GROUPS}) SELECT doc_id, string_agg(concat({q(P.GROUP_LINE)}, start_para, '..', end_para), chr(10) ORDER BY start_para) AS summary FROM g0 GROUP BY doc_id",
+    "upload_totals": f"WITH {MANIFESTS} SELECT job_id, count(*) AS n_files, count(*) FILTER (lower(name) LIKE '%.zip') AS n_zip, count(*) FILTER (lower(name) LIKE '%.docx') AS n_docx, CAST(sum(size) AS BIGINT) AS n_bytes FROM m GROUP BY job_id",
+    "upload_options": f"""{CHECKED}, {drawn_sql("jb", corpora.JOBS)}, fe AS (SELECT job_id, arg_min(error, pos) FILTER (error IS NOT NULL) AS error, count(*) AS n, count(*) FILTER (regexp_matches(lower(name), '\\.(zip|docx)$')) AS usable FROM k GROUP BY job_id)
+SELECT jb.job_id, CASE WHEN fe.n IS NULL THEN {q(P.NO_FILES)} WHEN template_type NOT IN ('1v1', 'class') OR split_mode NOT IN ('smart', 'candidate', 'ideal', 'full') OR docx_mode NOT IN ('auto', 'separate') THEN {q(P.BAD_OPTIONS)} WHEN error IS NOT NULL THEN error WHEN usable = 0 THEN {q(P.NO_INPUT)} END AS error FROM jb LEFT JOIN fe USING (job_id)""".replace("\\\\", "\\"),
+    "cleaned_text": f"WITH {drawn_sql('mt', corpora.MARKED)} SELECT doc_id, para, trim(regexp_replace(regexp_replace(text, '_x[0-9A-Fa-f]{{4}}_', '', 'g'), '[\\x00-\\x1F]', ' ', 'g')) AS text FROM mt".replace("\\\\", "\\"),
+    "log_counters": f"WITH {drawn_sql('lg', corpora.LOGS)} SELECT job_id, " + ", ".join(f"coalesce(TRY_CAST(regexp_extract(log, '{k}=([0-9]+)', 1) AS INT), 0) AS {k.lower()}" for k in ("RED", "DELETED", "BLANKS")) + " FROM lg",
 }

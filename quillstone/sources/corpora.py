@@ -48,9 +48,9 @@ SELECT doc_id, para, text, false AS has_img FROM t
 UNION ALL SELECT doc_id, CAST(para + 5 AS INT) AS para, text, has_img FROM h
 """
 
-#: The handouts as runs of text with colours: the first three characters of a paragraph and the rest.
+#: The handouts as runs of text with colours, some of them near what counts as red: the first three characters of a paragraph and the rest.
 RUNS = """
-SELECT doc_id, para, run, CASE WHEN (doc_id + para + run) % 5 = 0 THEN 'C00000' WHEN run = 2 THEN NULL ELSE '000000' END AS colour, CASE run WHEN 1 THEN substring(text, 1, 3) ELSE substring(text, 4) END AS text
+SELECT doc_id, para, run, CASE (doc_id + para + run) % 11 WHEN 0 THEN 'C00000' WHEN 1 THEN '640000' WHEN 2 THEN '630000' WHEN 3 THEN 'ff4646' WHEN 4 THEN 'FF4746' WHEN 5 THEN 'FF4647' WHEN 6 THEN 'red' WHEN 7 THEN NULL ELSE '000000' END AS colour, CASE run WHEN 1 THEN substring(text, 1, 3) ELSE substring(text, 4) END AS text
 FROM ({handouts}) h CROSS JOIN (SELECT 1 AS run UNION ALL SELECT 2 AS run) r
 """
 
@@ -170,6 +170,27 @@ SELECT o.o_custkey AS package, l.l_orderkey AS source, CAST(l.l_linenumber AS IN
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 """
 
+#: Blocks of the handouts with faults: too few, reversed, out of range, over one another; some documents there are none of.
+FAULTY_BLOCKS = """
+WITH h AS ({handouts}), d AS (SELECT doc_id, CAST(max(para) AS INT) AS n FROM h GROUP BY doc_id), e AS (SELECT doc_id, n, o FROM d CROSS JOIN (SELECT 1 AS o UNION ALL SELECT 2 AS o UNION ALL SELECT 3 AS o) x)
+SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 100000000 ELSE 0 END AS doc_id, CAST(o AS INT) AS ord, CASE o WHEN 1 THEN '知识精讲' WHEN 2 THEN '即时训练' ELSE '六、巩固练习' END AS marker,
+  CAST(CASE WHEN o = 1 THEN doc_id % 2 WHEN o = 2 THEN 2 + doc_id % 3 ELSE 6 END AS INT) AS start_para, CAST(CASE o WHEN 1 THEN 2 WHEN 2 THEN 5 - doc_id % 4 ELSE n + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END END AS INT) AS end_para
+FROM e WHERE NOT (o = 3 AND doc_id % 7 = 0)
+"""
+
+#: The handouts as a word processor exports them: with encoded and real control characters.
+MARKED = """
+SELECT doc_id, para, concat(CASE para % 4 WHEN 0 THEN '_x0007_' WHEN 1 THEN chr(9) WHEN 2 THEN ' ' ELSE '_x00G7_' END, text, CASE para % 3 WHEN 0 THEN chr(11) WHEN 1 THEN concat('_x001f_', chr(13)) ELSE '' END, CASE para % 5 WHEN 0 THEN '_x000D_尾' ELSE '' END) AS text FROM ({handouts}) h
+"""
+
+#: Output of scripts, and the options of jobs, some unknown; a customer's orders are a job's.
+LOGS = """
+SELECT o_orderkey AS job_id, concat('start RED=', o_orderkey % 97, CASE o_orderkey % 3 WHEN 0 THEN concat(chr(10), 'DELETED=', o_custkey % 31, ' rows') WHEN 1 THEN ' DELETED=none' ELSE '' END, CASE o_orderkey % 2 WHEN 0 THEN concat(' BLANKS=', o_custkey, ' BLANKS=1') ELSE '' END) AS log FROM {orders}
+"""
+JOBS = """
+SELECT DISTINCT o_custkey + CASE WHEN o_custkey % 13 = 0 THEN 100000000 ELSE 0 END AS job_id, CASE o_custkey % 7 WHEN 0 THEN 'class' WHEN 1 THEN 'small' ELSE '1v1' END AS template_type, CASE o_custkey % 5 WHEN 0 THEN 'smart' WHEN 1 THEN 'full' WHEN 2 THEN 'ideal' WHEN 3 THEN 'candidate' ELSE CASE WHEN o_custkey % 3 = 0 THEN 'fast' ELSE 'smart' END END AS split_mode, CASE o_custkey % 4 WHEN 0 THEN 'separate' WHEN 1 THEN CASE WHEN o_custkey % 3 = 1 THEN '' ELSE 'auto' END ELSE 'auto' END AS docx_mode FROM {orders}
+"""
+
 
 def drawn(sql: str):
     """A corpus that ``sql`` draws from the orders and their lines."""
@@ -186,6 +207,7 @@ def drawn(sql: str):
 
 tables, replies, block_replies, versions = drawn(TABLES), drawn(REPLIES), drawn(BLOCK_REPLIES), drawn(VERSIONS)
 own_relations, taken_relations = drawn(OWN_RELATIONS), drawn(TAKEN_RELATIONS)
+faulty_blocks, marked, logs, jobs = drawn(FAULTY_BLOCKS), drawn(MARKED), drawn(LOGS), drawn(JOBS)
 
 
 def templates(spark: SparkSession) -> DataFrame:
