@@ -14,6 +14,7 @@ aligned, so that nothing is laid out twice. Both passes take time in proportion
 from __future__ import annotations
 
 import re
+from collections import Counter
 from bisect import bisect_right
 from html import unescape
 from unicodedata import combining, east_asian_width
@@ -53,6 +54,8 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 BULLET = "- "
 #: Characters beyond which deeper lists are indented no further.
 DEEPEST_INDENT = 80
+#: Columns of a terminal up to which a table's column is as wide as its widest line, and up to which cells are aligned at all.
+WIDEST, FARTHEST = 80, 400
 #: The most columns and rows that a cell may span, as the standard has it.
 COLUMNS, ROWS = 1000, 65534
 
@@ -221,24 +224,31 @@ def declared(style: str) -> tuple[str | None, str | None]:
 class Rules:
     """A page's own style rules for display and visibility: those whose selectors name an element by tag, classes and id.
 
-    Selectors with combinators, attributes or pseudo-classes aren't followed; of at-rules only @media for screens are.
+    Selectors with combinators, attributes or pseudo-classes aren't followed; of at-rules only @media for screens are. Rules
+    of one selector are one, the last of each property. The rarest of its names finds it, the others are checked.
     """
 
     def __init__(self, sheets: list[str]):
-        self.by_key: dict[str, list] = {}
+        merged: dict[tuple[str, frozenset], list] = {}
         order = 0
         for sheet in sheets:
             for selectors, body in self.blocks(re.sub(r"/\*.*?(?:\*/|$)", " ", sheet, flags=re.S)):
-                display, visibility = declared(body)
-                if display or visibility:
+                given = declared(body)
+                if any(given):
                     for selector in selectors.split(","):
                         if (m := COMPOUND.fullmatch(selector.strip())) and m[0]:
-                            names = re.findall(r"[.#][\w-]+", m[2])
-                            ids, tag = [x[1:] for x in names if x[0] == "#"], (m[1] or "*").lower()
+                            names = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                            tag = (m[1] or "*").lower()
                             order += 1
-                            rank = (len(ids), len(names) - len(ids), tag != "*", order)
-                            # one of its names finds the rule; the others are checked
-                            self.by_key.setdefault(names[0] if names else tag, []).append((rank, tag, frozenset(names), display, visibility))
+                            ids = sum(x[0] == "#" for x in names)
+                            values = merged.setdefault((tag, names), [None, None])
+                            for k, value in enumerate(given):
+                                if value:
+                                    values[k] = ((ids, len(names) - ids, tag != "*", order), value)
+        common = Counter(x for tag, names in merged for x in names or (tag,))
+        self.by_key: dict[str, list] = {}
+        for (tag, names), values in merged.items():
+            self.by_key.setdefault(min(names or (tag,), key=lambda x: (common[x], x)), []).append((tag, names, values))
 
     @staticmethod
     def blocks(sheet: str):
@@ -261,9 +271,8 @@ class Rules:
         display = visibility = None
         if self.by_key:
             names = {f".{c}" for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if node.attrs.get("id") else set())
-            found = [r for key in (*names, node.name, "*") for r in self.by_key.get(key, ()) if r[1] in ("*", node.name) and r[2] <= names]
-            for _, _, _, d, v in sorted(found, key=lambda r: r[0]):
-                display, visibility = d or display, v or visibility
+            found = [values for key in (*names, node.name, "*") for tag, own, values in self.by_key.get(key, ()) if tag in ("*", node.name) and own <= names]
+            display, visibility = (max(given)[1] if (given := [v[k] for v in found if v[k]]) else None for k in (0, 1))
         if "style" in node.attrs:
             d, v = declared(node.attrs["style"])
             display, visibility = d or display, v or visibility
@@ -347,7 +356,8 @@ def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
     """Rows of cells (columns and rows that it spans, lines) as lines: columns are as wide as their widest line and stand two spaces apart.
 
     A cell begins in the first column that no cell above reaches into. What a cell of several columns needs beyond their
-    widths widens the last of them.
+    widths widens the last of them. A column is no wider than WIDEST: what stands behind a longer cell begins two spaces
+    after it, and so does what would begin beyond FARTHEST, so that spaces stay in proportion to the cells.
     """
     placed: list[list[tuple[int, int, list[str]]]] = []
     taken: list[tuple[int, int, int]] = []  # (first column, column behind, row behind) of cells that reach further down
@@ -375,18 +385,19 @@ def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
     width = [0] * len(edges)
     for b, e, _, need in sorted((c for row in cells for c in row), key=lambda c: c[1] - c[0]):
         have = sum(width[b:e]) + 2 * (e - b - 1) if e - b > 1 else width[b]
-        width[e - 1] += max(0, need - have)
+        width[e - 1] = min(WIDEST, width[e - 1] + max(0, need - have))
     left = [0]
     for w in width:
-        left.append(left[-1] + w + 2)
+        left.append(min(FARTHEST, left[-1] + w + 2))
     out = []
     for row in cells:
         for i in range(max((len(c[2]) for c in row), default=0)):
             line, at = [], 0
             for b, _, lines, _ in row:
                 if i < len(lines) and lines[i]:
-                    line.append(" " * (left[b] - at) + lines[i])
-                    at = left[b] + columns(lines[i])
+                    gap = max(2 if at else 0, left[b] - at)
+                    line.append(" " * gap + lines[i])
+                    at += gap + columns(lines[i])
             out.append("".join(line).rstrip())
     return out
 

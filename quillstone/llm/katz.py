@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, table, written
+from .common import WORD, lower_ascii, shared_dir, table, written
 from .suffixes import Hashes, mixed
 
 #: Counts up to CUT are discounted; tokens of a block; tokens of the corpus for each part of the key space.
@@ -327,7 +327,7 @@ def _scored_blocks(state: DataFrame, replies: DataFrame, stats: dict, name: str)
 
 
 class _Stored:
-    """The blocks of documents as a table that is bucketed by block, so that replies alone are shuffled; it goes at the end, failed or not."""
+    """The blocks of documents as a table in the shared folder, bucketed by block, so that replies alone are shuffled; its name goes at the end, failed or not."""
 
     def __init__(self, docs: DataFrame, train, block: int):
         self.spark, self.name = docs.sparkSession, f"katz_blocks_{uuid.uuid4().hex}"
@@ -335,7 +335,7 @@ class _Stored:
 
     def __enter__(self) -> DataFrame:
         try:
-            self.rows.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
+            self.rows.write.option("path", f"{shared_dir(self.spark)}/{self.name}").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
         except BaseException:
             self.__exit__()
             raise

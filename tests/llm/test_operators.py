@@ -619,14 +619,30 @@ def test_html_shows_the_visible_words_in_order():
 HOSTILE = {
     "open blocks": "<div>" * 16_000 + "<p>x" * 16_000, "open tags": "<b>" * 300_000, "nested tables": "<table><tr><td>x<td>" * 50_000, "nested lists": "<ul><li>x" * 100_000, "ends": "<table><tr><td>" + "<i>" * 16_000 + "</b>" * 64_000,
     "signs": "<" * 1_000_000, "attributes": "<a " + "a=b " * 250_000, "quotes": "<a href='" * 100_000, "comments": "<!--" * 250_000, "spans": "<table>" + "".join(f"<tr><td colspan={k % 1000}>x" for k in range(50_000)), "rules": "<style>" + ".a{display:none}" * 60_000 + "</style><p class=a>x",
+    "elements of one rule": "<style>" + ".a{visibility:visible}" * 16_000 + "</style>" + "<p class=a>x" * 40_000, "elements of many rules": "<style>" + "".join(f".a.b{k}{{display:none}}" for k in range(16_000)) + "</style>" + "<p class='a c'>x" * 30_000,
+    "wide cell": "<table><tr><td>" + "x" * 400_000 + "<td>y" + "<tr><td>a<td>b" * 40_000,
 }
 
 
 @pytest.mark.parametrize("name", HOSTILE)
 def test_html_takes_linear_time(name):
     began = time.process_time()
-    html.visible_text(HOSTILE[name])
+    text = html.visible_text(HOSTILE[name])
     assert time.process_time() - began < 20
+    assert len(text) < 60 * len(HOSTILE[name])
+
+
+def test_html_rules_of_equal_selectors():
+    shown = lambda sheet, body: html.visible_text(f"<style>{sheet}</style>{body}")
+    assert shown(".a{display:none} .a{visibility:hidden} .a{display:block}", "<p class=a>x<b style='visibility:visible'>y</b>") == "y"
+    assert shown(".a.b{display:none} .a{display:block}", "<p class='b a'>x<p class=a>y") == "y"
+    assert shown("#i{display:block} .a.b{display:none}", "<p id=i class='a b'>x") == "x"
+    assert shown(".a{display:none} p{display:block}", "<p class=a>x<p>y") == "y"
+
+
+def test_html_wide_cells():
+    page = "<table><tr><td>" + "w" * 300 + "<td>z<tr><td>a<td>b</table>"
+    assert html.visible_text(page) == "w" * 300 + "  z\na" + " " * 81 + "b"
 
 
 def test_html_operator(spark):
