@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
+from .assembly import errors
 from .segments import block, fold_numbers, ordered, share
 
 CANDIDATE = "array<struct<kind:string,para:int,score:int,reason:string,text:string,source:string,seq:int>>"
@@ -20,6 +21,9 @@ DENSE_STRONG, DENSE_LATE, DENSE_EARLY = "连续编号题且有年份/选项/填
 BY_COUNT, BY_SHARE = "未发现明确巩固标记，按题目数量 70% 兜底", "未发现明确巩固标记，按段落比例 70% 兜底"
 NO_PRACTICE, NO_CONSOLIDATION = "缺少即时训练候选", "缺少巩固练习候选"
 PRACTICE_UNSURE, CONSOLIDATION_UNSURE = "即时训练候选置信度偏低：", "巩固练习候选置信度偏低："
+REPORT_CANDIDATES, REPORT_CHOICE, REPORT_BLOCKS, RULE = "候选边界", "最终选择", "生成 blocks", "-" * 50
+TITLES = {"practice_start": ("即时训练候选", "即时训练开始"), "consolidation_start": ("巩固练习候选", "巩固练习开始")}
+NONE, NOT_FOUND, VALID, INVALID = "  （无）", ": 未找到明确候选", "合法性: 通过", "合法性: 失败"
 SEVERAL_PRACTICES, SEVERAL_CONSOLIDATIONS, CLEAR = "即时训练存在多个高分候选", "巩固练习存在多个高分候选", "离线候选足够明确"
 
 
@@ -143,3 +147,25 @@ def report(found: DataFrame, top: int = 6) -> DataFrame:
     line = F.concat(F.lit("  ["), F.lpad(F.col("score").cast("string"), 3, " "), F.lit("] 段落 "), F.col("para").cast("string"), F.lit(": "), F.col("reason"), F.lit(" | "), F.col("text"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
     return best.groupBy("doc_id", "kind").agg(lines.alias("lines"))
+
+
+def full_report(found: DataFrame, top: int = 6) -> DataFrame:
+    """doc_id and report: the best candidates, the choice, its blocks and what is wrong with them, as one text for each document."""
+    best = report(found, top).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("lines"))).alias(f"{k}_lines") for k in TITLES))
+    reasons = merged(found).select("doc_id", "kind", "para", "reason")
+    picks = choice(found)
+    for kind, name in ((PRACTICE, "practice"), (CONSOLIDATION, "consolidation")):
+        own = reasons.filter(F.col("kind") == kind).select("doc_id", F.col("para").alias(f"{name}_para"), F.col("reason").alias(f"{name}_reason"))
+        picks = picks.join(own, ["doc_id", f"{name}_para"], "left")
+    fallback = F.when(F.col("consolidation_score") == 55, BY_COUNT).otherwise(BY_SHARE)
+    reason = {"practice": F.col("practice_reason"), "consolidation": F.when(F.col("consolidation_source") == "fallback", fallback).otherwise(F.col("consolidation_reason"))}
+    blocks = candidate_blocks(found)
+    wrong = errors(blocks, found.select("doc_id", F.col("first").alias("start_para"), F.col("last").alias("end_para")))
+    line = F.concat(F.lit("  "), "marker", F.lit(": "), F.col("start_para").cast("string"), F.lit("-"), F.col("end_para").cast("string"))
+    made = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("blocks"))
+    d = made.join(wrong, "doc_id").join(best, "doc_id", "left").join(picks, "doc_id", "left")
+    pick = lambda kind, name: F.concat(F.lit(TITLES[kind][1]), F.when(F.col(f"{name}_para").isNull(), NOT_FOUND).otherwise(F.concat(F.lit(": 段落 "), F.col(f"{name}_para").cast("string"), F.lit("，"), reason[name], F.lit("，置信度 "), F.col(f"{name}_score").cast("string"))))
+    listed = [x for k, (title, _) in TITLES.items() for x in (F.lit(title), F.coalesce(f"{k}_lines", F.lit(NONE)))]
+    faults = F.when(F.col("valid"), VALID).otherwise(F.concat(F.lit(INVALID + "\n  - "), F.replace(F.col("errors"), F.lit("\n"), F.lit("\n  - "))))
+    parts = [F.lit(REPORT_CANDIDATES), F.lit(RULE), *listed, F.lit(""), F.lit(REPORT_CHOICE), F.lit(RULE), pick(PRACTICE, "practice"), pick(CONSOLIDATION, "consolidation"), F.lit(""), F.lit(REPORT_BLOCKS), F.lit(RULE), F.col("blocks"), faults]
+    return d.select("doc_id", F.concat_ws("\n", *parts).alias("report"))

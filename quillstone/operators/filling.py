@@ -12,6 +12,11 @@ from .rows import doc
 #: Places of markers in the layout; blocks are pasted from the last place to the first. Fixed values.
 PLACES = {"二、知识回顾": 2, "知识回顾": 2, P.MARKER_KNOWLEDGE: 3, P.CLASS_KNOWLEDGE: 3, P.MARKER_DRILL: 4, "五、归纳总结": 5, "归纳总结": 5, P.MARKER_CONSOLIDATION: 6, "巩固练习": 6, P.CLASS_CONSOLIDATION: 6, "出门测试": 6}
 
+#: Where fields stand in the cover's table for one pupil (row, column), and what they replace in the template for a class. Fixed values.
+CELLS = {"subject": (1, 1), "grade": (1, 3), "topic": (2, 2), "handout_type": (2, 4), "objectives": (3, 2), "difficulties": (4, 2)}
+SUBJECT = "科 目："
+PLACEHOLDERS = {"grade": "五年级", "subject": "数学", "topic": "第二单元 因数与倍数", "objectives": "掌握重难点题型", "difficulties": "质数和合数的概念以及综合运用", "authors": "审核老师"}
+
 
 def place(marker: Column) -> Column:
     """The marker's place in the layout; 0 for one that has none."""
@@ -99,3 +104,21 @@ def trimmed(rows: DataFrame) -> DataFrame:
     f = rows.withColumns({"opens": F.coalesce(opens, F.max("pos").over(doc())), "following": F.lead("text").over(w)})
     kept = f.filter((F.col("pos") < F.col("opens")) | ~((F.trim("text") == "") & F.coalesce(F.trim("following") == "", F.lit(False))))
     return kept.select("doc_id", F.row_number().over(w).alias("pos"), "origin", "para", "text")
+
+
+def cover_cells(fields: DataFrame) -> DataFrame:
+    """doc_id, row, col and text of the cells of a cover from fields (doc_id and those of CELLS); a null field is empty."""
+    text = lambda name: F.concat(F.lit(SUBJECT if name == "subject" else ""), F.coalesce(name, F.lit("")))
+    each = F.array(*(F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), text(k).alias("text")) for k, (r, c) in CELLS.items()))
+    return fields.select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.*")
+
+
+def covered(rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """Filled rows with the placeholders of the template's own rows replaced by a document's fields, in the order of PLACEHOLDERS; empty and null fields replace nothing."""
+    known = [k for k in PLACEHOLDERS if k in fields.columns]
+    f = rows.join(fields.select("doc_id", F.struct(*known).alias("f")), "doc_id", "left")
+    text = F.col("text")
+    for k in known:
+        value = F.col(f"f.{k}")
+        text = F.when(F.coalesce(value, F.lit("")) != "", F.replace(text, F.lit(PLACEHOLDERS[k]), value)).otherwise(text)
+    return f.select(*(F.when(F.col("origin") == "template", text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in rows.columns))

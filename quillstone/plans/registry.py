@@ -362,6 +362,11 @@ fi AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ancho
 TRIMMED = f""", fo AS (SELECT *, coalesce(min(CASE WHEN contains(text, {q(P.MARKER_KNOWLEDGE)}) THEN pos END) OVER (PARTITION BY doc_id), max(pos) OVER (PARTITION BY doc_id)) AS opens, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM fi)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS pos, origin, para, text FROM fo WHERE pos < opens OR NOT (text = '' AND coalesce(nxt = '', false))"""
 
+FIELDS = f"fl AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '物理' WHEN 1 THEN '数学' WHEN 2 THEN '' END AS subject, CASE WHEN doc_id % 5 > 0 THEN '高一' END AS grade, concat('专题', doc_id) AS topic, '复习讲义' AS handout_type, objectives, difficulties FROM ({OBJECTIVES}))"
+COVER_CELLS = f"WITH {FIELDS} SELECT doc_id, unnest([{', '.join(str(r) for r, _ in filling.CELLS.values())}]) AS row, unnest([{', '.join(str(c) for _, c in filling.CELLS.values())}]) AS col, unnest([{', '.join((q(filling.SUBJECT) + ' || ' if k == 'subject' else '') + f'coalesce({k}, {q('')})' for k in filling.CELLS)}]) AS text FROM fl"
+_COVERED = reduce(lambda t, k: f"CASE WHEN coalesce({k}, '') <> '' THEN replace({t}, {q(filling.PLACEHOLDERS[k])}, {k}) ELSE {t} END", [k for k in filling.PLACEHOLDERS if k != "authors"], "fi.text")
+COVER_ROWS = FILLED + f", {FIELDS} SELECT fi.doc_id, pos, origin, para, CASE WHEN origin = 'template' THEN {_COVERED} ELSE fi.text END AS text FROM fi LEFT JOIN fl USING (doc_id)"
+
 #: What may be named in a reply, and replies as JSON.
 MAY = f""", may AS (SELECT doc_id, kind, para FROM ca UNION SELECT doc_id, 'practice_start', p_para FROM ch WHERE p_para IS NOT NULL UNION SELECT doc_id, 'consolidation_start', c.para FROM ch WHERE p_para IS NOT NULL AND c IS NOT NULL)"""
 REVIEW_SAMPLE = CANDIDATES + f""", ce AS (SELECT doc_id, para FROM rk WHERE place <= 5 UNION SELECT doc_id, p_para FROM ch WHERE p_para IS NOT NULL UNION SELECT doc_id, c.para FROM ch WHERE p_para IS NOT NULL AND c IS NOT NULL)
@@ -524,6 +529,13 @@ def filled(spark, sf_dir):
     return filling.filled_rows(paras, templated(blocks), templates, filling.anchors(templates, corpora.markers(spark)))
 
 
+def fields(paras):
+    """The fields of a handout's cover."""
+    made = objectives.objectives(objectives.features(paras), F.concat(F.lit("专题"), F.col("doc_id").cast("string")))
+    subject = F.when(F.col("doc_id") % 4 == 0, "物理").when(F.col("doc_id") % 4 == 1, "数学").when(F.col("doc_id") % 4 == 2, "")
+    return made.withColumns({"subject": subject, "grade": F.when(F.col("doc_id") % 5 > 0, "高一"), "topic": F.concat(F.lit("专题"), F.col("doc_id").cast("string")), "handout_type": F.lit("复习讲义")})
+
+
 def missing(spark, sf_dir):
     return filling.missing_anchors(templated(with_tables(spark, sf_dir)[1]), filling.anchors(corpora.templates(spark), corpora.markers(spark)))
 
@@ -597,6 +609,9 @@ QUERIES = {
     "filled_rows": filled,
     "filled_trimmed": lambda spark, sf_dir: filling.trimmed(filled(spark, sf_dir)),
     "missing_anchors": missing,
+    "cover_cells": over(corpora.handouts, lambda p: filling.cover_cells(fields(p))),
+    "cover_rows": lambda spark, sf_dir: filling.covered(filled(spark, sf_dir), fields(corpora.handouts(spark, sf_dir))),
+    "full_report": candidate_query(candidates.full_report),
     "review_sample": over(corpora.handouts, lambda p: replies.review_sample(p, candidates.collected(p))),
     "reviewed_blocks": lambda spark, sf_dir: replies.reviewed_blocks(candidates.collected(corpora.handouts(spark, sf_dir)), corpora.replies(spark, sf_dir)),
     "reply_blocks": lambda spark, sf_dir: replies.reply_blocks(corpora.block_replies(spark, sf_dir), rows.extent(corpora.handouts(spark, sf_dir))),
@@ -713,4 +728,17 @@ FROM (SELECT doc_id, count(*) FILTER ({red_sql("colour")}) AS red_runs FROM ru G
 SELECT jb.job_id, CASE WHEN fe.n IS NULL THEN {q(P.NO_FILES)} WHEN template_type NOT IN ('1v1', 'class') OR split_mode NOT IN ('smart', 'candidate', 'ideal', 'full') OR docx_mode NOT IN ('auto', 'separate') THEN {q(P.BAD_OPTIONS)} WHEN error IS NOT NULL THEN error WHEN usable = 0 THEN {q(P.NO_INPUT)} END AS error FROM jb LEFT JOIN fe USING (job_id)""".replace("\\\\", "\\"),
     "cleaned_text": f"WITH {drawn_sql('mt', corpora.MARKED)} SELECT doc_id, para, trim(regexp_replace(regexp_replace(text, '_x[0-9A-Fa-f]{{4}}_', '', 'g'), '[\\x00-\\x1F]', ' ', 'g')) AS text FROM mt".replace("\\\\", "\\"),
     "log_counters": f"WITH {drawn_sql('lg', corpora.LOGS)} SELECT job_id, " + ", ".join(f"coalesce(TRY_CAST(regexp_extract(log, '{k}=([0-9]+)', 1) AS INT), 0) AS {k.lower()}" for k in ("RED", "DELETED", "BLANKS")) + " FROM lg",
+    "cover_cells": COVER_CELLS,
+    "cover_rows": COVER_ROWS,
+    "full_report": CANDIDATES + f"""{CANDIDATE_BLOCKS}, ln AS (SELECT doc_id, kind, string_agg(concat('  [', lpad(CAST(score AS VARCHAR), 3, ' '), '] 段落 ', para, ': ', reason, ' | ', text), chr(10) ORDER BY place) AS lines FROM rk WHERE place <= 6 GROUP BY doc_id, kind),
+bd AS (SELECT kb.*, lag(end_para) OVER (PARTITION BY kb.doc_id ORDER BY ord) AS prev, first, last FROM kb JOIN e0 USING (doc_id)),
+er AS (SELECT doc_id, ord, 1 AS k, concat(marker, ' start > end：', start_para, '>', end_para) AS error FROM bd WHERE start_para > end_para UNION ALL SELECT doc_id, ord, 2, concat(marker, {q(P.BLOCK_OUTSIDE)}, start_para, '-', end_para, {q(P.BLOCK_RANGE)}, first, '-', last) FROM bd WHERE start_para < first OR end_para > last UNION ALL SELECT doc_id, ord, 3, concat(marker, {q(P.BLOCK_OVER)}, start_para, ', prev_end=', prev) FROM bd WHERE start_para <= prev),
+ee AS (SELECT doc_id, string_agg(concat('  - ', error), chr(10) ORDER BY ord, k) AS errors FROM er GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(concat('  ', marker, ': ', start_para, '-', end_para), chr(10) ORDER BY ord) AS blocks FROM kb GROUP BY doc_id)
+SELECT bl.doc_id, concat_ws(chr(10), {q(candidates.REPORT_CANDIDATES)}, {q(candidates.RULE)}, '即时训练候选', coalesce(lp.lines, '  （无）'), '巩固练习候选', coalesce(lc.lines, '  （无）'), '', {q(candidates.REPORT_CHOICE)}, {q(candidates.RULE)},
+  CASE WHEN p_para IS NULL THEN '即时训练开始: 未找到明确候选' ELSE concat('即时训练开始: 段落 ', p_para, '，', mp.reason, '，置信度 ', p_score) END,
+  CASE WHEN p_para IS NULL THEN '巩固练习开始: 未找到明确候选' ELSE concat('巩固练习开始: 段落 ', ch.c.para, '，', CASE ch.c.source WHEN 'fallback' THEN CASE ch.c.score WHEN 55 THEN {q(candidates.BY_COUNT)} ELSE {q(candidates.BY_SHARE)} END ELSE mc.reason END, '，置信度 ', ch.c.score) END,
+  '', {q(candidates.REPORT_BLOCKS)}, {q(candidates.RULE)}, blocks, CASE WHEN errors IS NULL THEN '合法性: 通过' ELSE concat('合法性: 失败', chr(10), errors) END) AS report
+FROM bl JOIN ch USING (doc_id) LEFT JOIN ee USING (doc_id) LEFT JOIN ln lp ON lp.doc_id = bl.doc_id AND lp.kind = 'practice_start' LEFT JOIN ln lc ON lc.doc_id = bl.doc_id AND lc.kind = 'consolidation_start'
+LEFT JOIN me mp ON mp.doc_id = bl.doc_id AND mp.kind = 'practice_start' AND mp.para = p_para LEFT JOIN me mc ON mc.doc_id = bl.doc_id AND mc.kind = 'consolidation_start' AND mc.para = ch.c.para""",
 }

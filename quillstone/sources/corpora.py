@@ -118,7 +118,7 @@ UNION ALL SELECT doc_id, para AS start_para, para AS end_para FROM n WHERE para
 TEMPLATES = """
 SELECT * FROM (VALUES
   ('1v1', 1, '讲义'), ('1v1', 2, ''), ('1v1', 3, ''), ('1v1', 4, '教学目标'), ('1v1', 5, '本节的知识精讲在后'), ('1v1', 6, ''), ('1v1', 7, '知识精讲'), ('1v1', 8, ''), ('1v1', 9, ''), ('1v1', 10, '即时训练（当堂）'), ('1v1', 11, ''), ('1v1', 12, '五、归纳总结'), ('1v1', 13, '六、巩固练习'), ('1v1', 14, '即时训练'), ('1v1', 15, ''),
-  ('class', 1, '班课'), ('class', 2, '知识精讲&例题讲解'), ('class', 3, ''), ('class', 4, '即时训练'), ('class', 5, '六、出门测试'),
+  ('class', 1, '班课'), ('class', 2, '知识精讲&例题讲解'), ('class', 3, ''), ('class', 4, '即时训练'), ('class', 5, '六、出门测试'), ('class', 6, '五年级数学：第二单元 因数与倍数'), ('class', 7, '掌握重难点题型；质数和合数的概念以及综合运用'),
   ('short', 1, '即时训练'), ('short', 2, ''), ('short', 3, ''), ('short', 4, '知识精讲')) AS t(template, pos, text)
 """
 

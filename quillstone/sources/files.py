@@ -54,8 +54,15 @@ def read_scan(spark: SparkSession, path: str) -> DataFrame:
 PLAN = "template string, versions array<struct<label:string,source:string,output:string,topic:string,objectives:string,difficulties:string,blocks:array<struct<marker:string,start:int,end:int>>>>"
 
 
-def read_plans(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each block of each version of the plans (JSON files) under ``path``; ord counts a version's blocks from 1."""
+def read_plans(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """A row for each block of each version of the plans (JSON files) under ``path``; ord counts a version's blocks from 1.
+
+    folder: where a template stands that is named by a relative path.
+    """
     plans = spark.read.schema(PLAN).json(path, multiLine=True).select(F.input_file_name().alias("path"), "template", F.explode("versions").alias("v"))
-    blocks = plans.select("path", "template", "v.label", "v.source", "v.output", "v.topic", F.posexplode_outer("v.blocks").alias("at", "b"))
-    return blocks.select("path", "template", "label", "source", "output", "topic", (F.col("at") + 1).alias("ord"), "b.marker", F.col("b.start").alias("start_para"), F.col("b.end").alias("end_para"))
+    if folder is not None:
+        absolute = F.col("template").rlike(r"^(/|\\\\|[A-Za-z]:)")
+        plans = plans.withColumn("template", F.when(absolute, F.col("template")).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), "template")))
+    own = ["path", "template", "v.label", "v.source", "v.output", "v.topic", "v.objectives", "v.difficulties"]
+    blocks = plans.select(*own, F.posexplode_outer("v.blocks").alias("at", "b"))
+    return blocks.select(*(c.removeprefix("v.") for c in own), (F.col("at") + 1).alias("ord"), "b.marker", F.col("b.start").alias("start_para"), F.col("b.end").alias("end_para"))
