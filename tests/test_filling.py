@@ -139,3 +139,31 @@ def test_versions_fail_alone(spark):
     three = [(1, 1, 9), (2, 10, 19), (3, 20, 50)]
     none = [(None, None, None)]
     assert got == {(1, "ok"): [(1, 1, 50)], (2, "ok"): three, (3, "ok"): three, (4, "no source"): none, (5, "no such mode"): none, (6, "ok"): three, (7, "no such mode"): none, (8, "ok"): [(1, 1, 50)]}
+
+
+FIELDS = "doc_id long, subject string, grade string, topic string, handout_type string, objectives string, difficulties string"
+
+
+def test_covers(spark):
+    fields = spark.createDataFrame([(1, "物理", None, "力", "讲义", "目标 五年级", ""), (2, "", "高一", "集合", None, None, "难")], FIELDS)
+    got = {(r.doc_id, r.row, r.col): r.text for r in filling.cover_cells(fields).collect()}
+    assert [got[1, *at] for at in ((1, 1), (1, 3), (2, 2), (2, 4), (3, 2), (4, 2))] == ["科 目：物理", "", "力", "讲义", "目标 五年级", ""]
+    assert got[2, 1, 1] == "科 目：" and got[2, 2, 4] == "" and len(got) == 12
+    text = "五年级数学：第二单元 因数与倍数，掌握重难点题型"
+    rows_ = spark.createDataFrame([(d, 1, "template", 1, text) for d in (1, 2, 3)] + [(1, 2, "source", 1, text)], "doc_id long, pos int, origin string, para int, text string")
+    made = {(r.doc_id, r.origin): r.text for r in filling.covered(rows_, fields).collect()}
+    assert made[1, "template"] == "五年级物理：力，目标 五年级" and made[2, "template"] == "高一数学：集合，掌握重难点题型"
+    assert made[3, "template"] == text == made[1, "source"]
+
+
+def test_the_whole_report(spark):
+    texts = ["甲"] * 9 + ["基础训练"] + ["甲"] * 9 + ["能力提升"] + ["甲"] * 30
+    f = paras(spark, texts).unionByName(paras(spark, ["甲"] * 10, 2))
+    got = {r.doc_id: r.report.split("\n") for r in candidates.full_report(candidates.collected(f)).collect()}
+    rule = "-" * 50
+    assert got[2] == ["候选边界", rule, "即时训练候选", "  （无）", "巩固练习候选", "  （无）", "", "最终选择", rule, "即时训练开始: 未找到明确候选", "巩固练习开始: 未找到明确候选", "", "生成 blocks", rule, "  知识精讲: 1-4", "  即时训练: 5-7", "  六、巩固练习: 8-10", "合法性: 通过"]
+    one = got[1]
+    assert one[2] == "即时训练候选" and one[3].startswith("  [ 9") and "段落 10: 练习标记：" in one[3] and one[3].endswith(" | 基础训练")
+    at = one.index("最终选择")
+    assert one[at + 2].startswith("即时训练开始: 段落 10，练习标记：") and one[at + 3].startswith("巩固练习开始: 段落 20，巩固标记：")
+    assert one[one.index("生成 blocks") + 2 :] == ["  知识精讲: 1-9", "  即时训练: 10-19", "  六、巩固练习: 20-50", "合法性: 通过"]

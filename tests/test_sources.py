@@ -60,6 +60,9 @@ def test_plans(spark, tmp_path):
     got = sorted((r.label, r.ord, r.marker, r.start_para, r.end_para) for r in files.read_plans(spark, str(tmp_path)).filter("ord IS NOT NULL").collect())
     assert got == [("教师版", 1, "知识精讲", 1, 4), ("教师版", 2, "即时训练", 5, 9)]
     assert files.read_plans(spark, str(tmp_path)).count() == 3
+    assert {r.template for r in files.read_plans(spark, str(tmp_path), "/app/").collect()} == {"/app/t.docx"}
+    first = files.read_plans(spark, str(tmp_path)).filter("label = '教师版'").first()
+    assert (first.objectives, first.difficulties) == (plan["versions"][0].get("objectives"), plan["versions"][0].get("difficulties"))
 
 
 @pytest.fixture(scope="module")
