@@ -22,19 +22,19 @@ def listed(paras: DataFrame) -> DataFrame:
     A table begins at its title; it ends at an empty paragraph or, once it has an entry, at a short one that names no section.
     """
     t, name, role, kind = F.col("text"), F.col("name"), F.col("role"), F.col("kind")
+    first = lambda when: F.min(F.when(when, F.col("para"))).over(doc())
+    later = F.col("para") > F.col("title")
+    # a title and the empty paragraph behind it bound what the patterns of names and roles are tried on
+    head = paras.filter(F.col("para") <= SCANNED).select("doc_id", "para", "text").withColumn("title", first(t.isin(P.TOC_TITLES))).filter(F.col("para") >= F.col("title"))
+    head = head.withColumn("blank", first((t == "") & later)).filter(F.col("blank").isNull() | (F.col("para") <= F.col("blank")))
     dotted = t.rlike(P.DOTTED)
     is_entry = role.isNotNull() & F.when(dotted, F.length(name) >= 2).otherwise(F.length(t) < 60)
     sort = F.when(t == "", "empty").when(t.isin(P.TOC_TITLES), "title").when(is_entry, "entry").when(~dotted & (F.length(t) < 60), "other")
-    # the shuffle that the windows need stands before the patterns
-    head = paras.filter(F.col("para") <= SCANNED).select("doc_id", "para", "text").repartition("doc_id")
-    rows = head.withColumn("name", scalars.clean_toc_name(t)).withColumn("role", scalars.toc_role(name)).withColumn("kind", sort)
     # no filter on these columns before the windows: below the columns it would bring all patterns with it once more
-    first = lambda when: F.min(F.when(when, F.col("para"))).over(doc())
-    rows = rows.withColumn("title", first(kind == "title")).filter(F.col("para") >= F.col("title"))
+    rows = head.withColumn("name", scalars.clean_toc_name(t)).withColumn("role", scalars.toc_role(name)).withColumn("kind", sort)
     # a second title is a paragraph like any other; no title names a section
-    later = F.col("para") > F.col("title")
     other = kind.isin("other", "title") & later
-    rows = rows.withColumns({"since": first((kind == "entry") & later), "blank": first((kind == "empty") & later)})
+    rows = rows.withColumn("since", first((kind == "entry") & later))
     rows = rows.withColumn("stop", F.least("blank", first(other & (F.col("para") > F.col("since")))))
     own = (kind == "entry") & (F.col("stop").isNull() | (F.col("para") < F.col("stop")))
     rows = rows.withColumn("end", F.coalesce("stop", F.coalesce(F.max(F.when(own, F.col("para"))).over(doc()), F.lit(SCANNED)) + 1).cast("int"))
