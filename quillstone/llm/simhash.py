@@ -37,6 +37,8 @@ FAN = 8
 BLOCK = 1 << 16
 #: Differing bits of fingerprints up to which sets of shingles are compared, and shingles that a task compares with as many others.
 WIDE, COMPARED = 24, 1_000_000
+#: Words whose hashes a worker remembers, which bounds its memory.
+REMEMBERED = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -286,7 +288,7 @@ def hexed(code: Column) -> Column:
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, hash, code, size, fingerprint, keys): the hash of the text, and of its set of shingles a hash, the size, the SimHash and the bands' keys."""
     fields = [T.StructField("code", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    minhashes, word_hashes = MinHashes(), Hashes()
+    minhashes, word_hashes = MinHashes(), Hashes(REMEMBERED)
 
     def rows(texts: list) -> Iterator[tuple]:
         for text in texts:
@@ -314,7 +316,7 @@ def _compared(rows: DataFrame, shingle: int, least: tuple[int, int]) -> DataFram
     import pyarrow as pa
 
     def run(batches):
-        word_hashes, group, held = Hashes(), None, {}
+        word_hashes, group, held = Hashes(REMEMBERED), None, {}
 
         def flush():
             codes = np.array(sorted(held), np.int64)

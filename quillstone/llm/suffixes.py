@@ -37,15 +37,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of words, each word once as long as it is remembered."""
+    """Hashes of words, each word once as long as it is remembered: until there are more than ``most``."""
 
-    def __init__(self):
+    def __init__(self, most: int = VOCABULARY):
         self.ids: dict[str, int] = {}
+        self.most = most
 
     def __call__(self, words: list[str]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        if len(self.ids) > VOCABULARY:
+        if len(self.ids) > self.most:
             self.ids.clear()
         out, ids = [], self.ids
         for w in words:
