@@ -38,7 +38,7 @@ RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationshi
 #: What opening a file that is no package, or a short one, raises.
 NOT_ZIP = (zipfile.BadZipFile, KeyError, pa.ArrowInvalid)
 #: Characters that XML can't have, white space apart.
-NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
