@@ -231,6 +231,8 @@ TOC_KNOWLEDGE = [
 
 # Single patterns of the tiers, of candidates and of example groups.
 SEPARATOR = r"^[~/\-_=*#]{10,}\s*$"
+#: What every separator begins with, whatever slashes it ends with.
+DECOR_BEGINS = r"^[~/\-_=*#]{10}"
 SECTION_HEADER = r"(?i)^([一二三四五六七八九十]+[、.．]|(题型|考点|知识点|专题|Part|Section|Lesson|Unit))"
 PART_HEADER = r"^(即时训练|巩固练习|归纳总结|课堂启动|知识回顾|出门测试)"
 ENGLISH = r"^[A-Za-z0-9\s,.!?;:\"'\-()]{30,}"
@@ -245,6 +247,12 @@ EXAM_QUESTION = r"^\s*\p{Nd}{1,3}\s*[.．、]\s*[（(]\s*(20\p{Nd}\p{Nd}|\p{Nd}{
 SECTOR = r"提升专练|真题感知"
 TOC_SECTION = r"^0(\p{Nd})\s+[^\s]+·[^\s]+"
 TOC_NUMBERED = r"^(第[一二三四五六七八九十\p{Nd}]+[部分章节课时单元模块]|专题\s*\p{Nd}+|考点\s*\p{Nd}+)"
+_SECTION_NAMED = r"\s+[^\s]+·[^\s]+"
+#: (pattern, role) of headings, by words first and then by numbers; the first that matches decides.
+TOC_ROLES = [
+    ("|".join(TOC_ADVANCED), "advanced_practice"), ("|".join(TOC_BASIC), "basic_practice"), ("|".join(TOC_PRACTICE), "practice"), ("|".join(TOC_KNOWLEDGE), "knowledge"),
+    ("^0[0-3０-３]" + _SECTION_NAMED, "knowledge"), ("^0[4４]" + _SECTION_NAMED, "basic_practice"), ("^0[5-9５-９]" + _SECTION_NAMED, "advanced_practice"), (TOC_NUMBERED, "practice"),
+]
 
 # Patterns of the rules that tell paragraphs apart one by one.
 EXAMPLE = r"^【例\s*\p{Nd}+】|^例\s*\p{Nd}+\s*[.．]|^【典例】|^【典例精讲】"

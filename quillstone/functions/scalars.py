@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import matching
 from . import patterns as P
 
 
@@ -54,11 +55,7 @@ def clean_toc_name(line: Column) -> Column:
 
 def toc_role(name: Column) -> Column:
     """advanced_practice, basic_practice, practice or knowledge, by words first and then by numbers; null for neither."""
-    has = lambda words: name.rlike("|".join(words))
-    section = number(F.regexp_extract(name, P.TOC_SECTION, 1))
-    by_word = F.when(has(P.TOC_ADVANCED), "advanced_practice").when(has(P.TOC_BASIC), "basic_practice").when(has(P.TOC_PRACTICE), "practice").when(has(P.TOC_KNOWLEDGE), "knowledge")
-    by_number = F.when(section <= 3, "knowledge").when(section == 4, "basic_practice").when(section > 4, "advanced_practice")
-    return F.coalesce(by_word, by_number, F.when(name.rlike(P.TOC_NUMBERED), "practice"))
+    return matching.tried(name, {}, firsts={"role": P.TOC_ROLES})["role"]
 
 
 def topic(name: Column, fallback: Column | None = None) -> Column:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matching, scalars
 from ..functions import patterns as P
-from ..functions import scalars
 
 
 def weight(text: Column, table: list[tuple[str, int]]) -> Column:
@@ -31,24 +30,10 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def is_boundary(text: Column) -> Column:
-    """As only existence counts, alternations do."""
-    return any_of(text, P.BOUNDARY)
-
-
-def section_type(text: Column) -> Column:
-    """The type of the first pattern that matches; neighbours of one type are one alternation, as their order makes no difference."""
-    out = None
-    for (kind, folded), run in groupby(P.SECTION, key=lambda x: (x[1], x[0].startswith("(?i)"))):
-        found = text.rlike("(?i)" * folded + "|".join(f"(?:{p.removeprefix('(?i)')})" for p, _ in run))
-        out = F.when(found, kind) if out is None else out.when(found, kind)
-    return out
-
-
-def scored(paras: DataFrame) -> DataFrame:
-    """``paras`` with q, k, is_boundary and section_type."""
-    t = F.col("text")
-    return paras.withColumns({"q": weight(t, P.QUESTION), "k": weight(t, P.KNOWLEDGE), "is_boundary": is_boundary(t), "section_type": section_type(t)})
+def scored(paras: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """``paras`` with q, k, is_boundary and section_type, and a boolean for each of the patterns in ``more``."""
+    found = {"is_boundary": matching.alternation(P.BOUNDARY)} | (more or {})
+    return matching.with_tried(paras, found, {"q": P.QUESTION, "k": P.KNOWLEDGE}, {"section_type": P.SECTION})
 
 
 def type_positions(paras: DataFrame) -> DataFrame:

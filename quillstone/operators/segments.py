@@ -19,23 +19,22 @@ def ordered():
     return doc().orderBy("para")
 
 
-def marked(paras: DataFrame) -> DataFrame:
-    """The features that boundaries are found by, and ``b0``, the first strong boundary of the document."""
+def marked(paras: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """The features that boundaries are found by, a boolean for each pattern in ``more``, and ``b0``, the first strong boundary of the document."""
     t = F.col("text")
     after = lambda pattern: F.length(F.trim(F.regexp_replace(t, pattern, "")))
-    f = scored(paras).withColumns(
+    first = lambda pattern: F.regexp_extract(t, pattern, 1)
+    f = scored(paras, {"numbered": P.NUMBER, "_main": P.MAIN_NUMBER, "heading": P.KNOWLEDGE_HEADING, "_dotted": P.DOTTED} | (more or {})).withColumns(
         {
-            "numbered": t.rlike(P.NUMBER),
-            "question": t.rlike(P.NUMBER) & (after(P.NUMBER) >= 6),
-            "heading": t.rlike(P.KNOWLEDGE_HEADING),
-            "number": F.regexp_extract(t, P.NUMBER, 1),
-            "main": F.when(t.rlike(P.MAIN_NUMBER) & (after(P.MAIN_NUMBER) >= 8), F.regexp_extract(t, P.MAIN_NUMBER, 1)),
+            "question": F.col("numbered") & F.when(F.col("numbered"), after(P.NUMBER) >= 6),
+            "number": F.when(F.col("numbered"), first(P.NUMBER)),
+            "main": F.when(F.col("_main"), F.when(after(P.MAIN_NUMBER) >= 8, first(P.MAIN_NUMBER))),
         }
     )
     leads = {f"{c}{d}": F.lead(c, d).over(ordered()) for c in "qk" for d in (1, 2)}
     f = f.withColumns(leads)
     three = (F.col("q") > F.col("k")) & (F.col("q") >= 2) & (F.col("q1") > F.col("k1")) & (F.col("q1") >= 1) & (F.col("q2") > F.col("k2")) & (F.col("q2") >= 1)
-    signal = F.min(F.when(F.col("is_boundary") & ~t.rlike(P.DOTTED), F.col("para"))).over(doc())
+    signal = F.min(F.when(F.col("is_boundary") & ~F.col("_dotted"), F.col("para"))).over(doc())
     return f.withColumn("b0", F.coalesce(signal, F.min(F.when(three, F.col("para"))).over(doc())))
 
 
@@ -52,13 +51,14 @@ def fold_numbers(rows: Column, strict: bool) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["hits"])
 
 
-def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """doc_id, first, last, n, boundary (null where none) and points (question starts), a row for each document; one shuffle.
 
-    extra: further aggregates over a document's paragraphs, by name; they come from the same shuffle.
+    extra: further aggregates over a document's paragraphs, by name, which may use whether patterns in ``more`` match; they
+    come from the same shuffle.
     """
     extra = extra or {}
-    f = marked(paras)
+    f = marked(paras, more)
     rows = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("para", scalars.number(F.col(c)).alias("number")))))
     before = F.col("para") < F.col("b0")
     docs = f.groupBy("doc_id").agg(

@@ -70,10 +70,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def settled(paras: DataFrame) -> DataFrame:
+    """``paras`` with texts that are made once for each paragraph.
+
+    A filter is moved below a column that it names, so that all its patterns would get a copy each of what makes the text;
+    none is moved below an explosion.
+    """
+    return paras.select("doc_id", "para", F.explode_outer(F.array("text")).alias("text"), "has_img")
+
+
 def handouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus rich in markers, one document for each customer, drawn from orders and their lines."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+    return settled(spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +94,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The handouts with tables of contents before them."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(CONTENTS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+    return settled(spark.sql(CONTENTS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
 
 
 #: Manifests of uploads: a customer's orders as the files of one job.
