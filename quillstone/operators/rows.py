@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import matching, scalars
 from ..functions import patterns as P
-from ..functions import scalars
 
 
 def doc():
@@ -99,38 +99,55 @@ def student_rows(paras: DataFrame) -> DataFrame:
 CONTENTS_END = 20
 
 
+def practice_headings(paras: DataFrame) -> DataFrame:
+    """doc_id and said (para, pair, basic, advanced): the headings of PRACTICE_PAIRS behind the contents, a row for each document that has any."""
+    each = F.array(*(F.struct("para", F.lit(k).alias("pair"), F.col("text").contains(b).alias("basic"), F.col("text").contains(a).alias("advanced")) for k, (b, a) in enumerate(P.PRACTICE_PAIRS)))
+    # few paragraphs have any of the headings, so that which ones they have is only looked at in those
+    words = {"_any": matching.alternation([w for pair in P.PRACTICE_PAIRS for w in pair])}
+    f = matching.with_tried(paras.filter(F.col("para") > CONTENTS_END).select("doc_id", "para", "text"), words).filter("_any")
+    return f.groupBy("doc_id").agg(F.flatten(F.collect_list(F.filter(each, lambda x: x["basic"] | x["advanced"]))).alias("said"))
+
+
+def first_advanced(said: Column, start: Column, end: Column) -> Column:
+    """Where advanced practice begins among the headings between ``start`` and ``end``; one pass over them for each pair."""
+    inside = F.filter(said, lambda x: x["para"].between(start, end))
+    place = lambda c: F.array_min(F.transform(c, lambda x: x["para"]))
+
+    def paired(k: int) -> Column:
+        since = place(F.filter(inside, lambda x: (x["pair"] == k) & x["basic"]))
+        return place(F.filter(inside, lambda x: (x["pair"] == k) & x["advanced"] & (x["para"] >= since)))
+
+    return F.coalesce(*(paired(k) for k in range(len(P.PRACTICE_PAIRS))), place(F.filter(inside, lambda x: x["advanced"])))
+
+
 def practice_boundary(paras: DataFrame, spans: DataFrame) -> DataFrame:
     """Where advanced practice begins within the practice of each document (spans: doc_id, start_para, end_para).
 
     The first pair of headings, in the order of the pairs, of which the basic one occurs and then, or in the same
     paragraph, the advanced one; where there is none, the first paragraph with any advanced heading.
     """
-    inside = F.col("para").between(F.greatest("start_para", F.lit(CONTENTS_END + 1)), F.col("end_para"))
-    each = F.array(*(F.struct(F.lit(k).alias("pair"), F.col("text").contains(b).alias("basic"), F.col("text").contains(a).alias("advanced")) for k, (b, a) in enumerate(P.PRACTICE_PAIRS)))
-    f = paras.select("doc_id", "para", F.filter(each, lambda x: x["basic"] | x["advanced"]).alias("said")).filter("size(said) > 0")
-    f = f.join(spans, "doc_id").filter(inside).select("doc_id", "para", F.explode("said").alias("x")).select("doc_id", "para", "x.*")
-    w = Window.partitionBy("doc_id", "pair").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
-    paired = F.col("advanced") & F.max("basic").over(w)
-    last = F.lit(len(P.PRACTICE_PAIRS))
-    f = f.withColumn("rank", F.when(paired, F.col("pair")).when(F.col("advanced"), last)).filter("rank IS NOT NULL")
-    return f.groupBy("doc_id").agg(F.min(F.struct("rank", "para")).alias("x")).select("doc_id", F.col("x.para").alias("para"))
+    f = practice_headings(paras).join(spans, "doc_id")
+    return f.select("doc_id", F.explode(F.array(first_advanced(F.col("said"), F.col("start_para"), F.col("end_para")))).alias("para")).filter("para IS NOT NULL")
 
 
 def refined(blocks: DataFrame, paras: DataFrame) -> DataFrame:
     """``blocks`` (doc_id, ord, marker, start_para, end_para) with drill and consolidation cut at the practice boundary.
 
     Only a boundary strictly inside the practice moves anything; a consolidation block that begins at or behind it stays.
-    A document of fewer than two blocks stays as it is.
+    A document of fewer than two blocks stays as it is. Blocks are gathered by document, so that what makes them runs once.
     """
     drill, later = F.col("marker") == P.MARKER_DRILL, F.col("marker").isin(P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION)
     filled = F.col("start_para") <= F.col("end_para")
-    practice = lambda c: F.when((drill | later) & filled, F.col(c))
-    spans = blocks.groupBy("doc_id").agg(F.min_by("start_para", F.when((drill | later) & filled, F.col("ord"))).alias("start_para"), F.max(practice("end_para")).alias("end_para"), F.count("*").alias("n")).filter("n >= 2 AND end_para IS NOT NULL").drop("n")
-    found = practice_boundary(paras, spans).join(spans, "doc_id").filter("start_para < para AND para < end_para").select("doc_id", F.col("para").alias("cut"))
-    cut = F.col("cut")
+    practice = (drill | later) & filled
+    own = [c for c in blocks.columns if c != "doc_id"]
+    d = blocks.groupBy("doc_id").agg(F.min_by("start_para", F.when(practice, F.col("ord"))).alias("_since"), F.max(F.when(practice, F.col("end_para"))).alias("_to"), F.count("*").alias("_n"), F.collect_list(F.struct(*own)).alias("_rows"))
+    d = d.join(practice_headings(paras), "doc_id", "left")
+    at = F.when((F.col("_n") >= 2) & F.col("said").isNotNull(), first_advanced(F.col("said"), F.col("_since"), F.col("_to")))
+    d = d.select("doc_id", "_since", "_to", F.explode_outer(F.array(at)).alias("_at"), "_rows").select("doc_id", F.when((F.col("_since") < F.col("_at")) & (F.col("_at") < F.col("_to")), F.col("_at")).alias("_cut"), F.explode_outer("_rows").alias("_row")).select("doc_id", "_cut", "_row.*")
+    cut = F.col("_cut")
     start = F.when(later & filled & (cut > F.col("start_para")), cut).otherwise(F.col("start_para"))
     end = F.when(drill & filled & cut.isNotNull(), cut - 1).otherwise(F.col("end_para"))
-    return blocks.join(found, "doc_id", "left").withColumns({"s": start, "e": end}).select(*(F.col({"start_para": "s", "end_para": "e"}.get(c, c)).alias(c) for c in blocks.columns))
+    return d.withColumns({"s": start, "e": end}).select(*(F.col({"start_para": "s", "end_para": "e"}.get(c, c)).alias(c) for c in blocks.columns))
 
 
 def without_red(runs: DataFrame) -> DataFrame:
