@@ -26,9 +26,9 @@ def separated() -> Column:
     return F.when(opens, F.struct(n["para"].alias("at"), F.coalesce(prose, F.lit(False)).alias("prose")))
 
 
-def reading_events() -> Column:
-    """Paragraphs that begin a reading passage or end one, in order."""
-    begins, ends = F.col("text").rlike(P.READING), F.col("text").rlike(P.READING_ENDS)
+def reading_events(begins: Column | None = None, ends: Column | None = None) -> Column:
+    """Paragraphs that begin a reading passage or end one, in order; where it is known which do, by those columns."""
+    begins, ends = F.col("text").rlike(P.READING) if begins is None else begins, F.col("text").rlike(P.READING_ENDS) if ends is None else ends
     return F.array_sort(F.collect_list(F.when(begins | ends, F.struct("para", begins.alias("begins")))))
 
 
@@ -73,18 +73,19 @@ def proportional_blocks(p1: Column, p2: Column) -> Column:
 def surveyed(paras: DataFrame) -> DataFrame:
     """A row for each document with all that the tiers need, from one shuffle."""
     t = F.col("text")
-    no = F.regexp_extract(t, P.TYPE_MARKER, 1)
+    no = F.when(F.col("_type"), F.regexp_extract(t, P.TYPE_MARKER, 1))
     gathered = lambda condition: F.array_sort(F.collect_list(F.when(condition, F.col("para"))))
     return boundaries(
         followed(paras),
         {
-            "separator": F.min(separated()),
+            "separator": F.min(F.when(F.col("_decor"), separated())),
             "practice": F.min(F.when((F.col("section_type") == "practice") | F.col("is_boundary"), F.col("para"))),
             "types": F.array_sort(F.collect_list(F.when(no != "", F.struct(scalars.number(no).alias("no"), "para")))),
             "blanks": gathered(t == ""),
-            "headers": gathered(t.rlike(P.SECTION_HEADER)),
-            "events": reading_events(),
+            "headers": gathered(F.col("_header")),
+            "events": reading_events(F.col("_begins"), F.col("_ends")),
         },
+        {"_type": P.TYPE_MARKER, "_decor": P.DECOR_BEGINS, "_header": P.SECTION_HEADER, "_begins": P.READING, "_ends": P.READING_ENDS},
     )
 
 
