@@ -23,8 +23,7 @@ def whole(paras: DataFrame) -> DataFrame:
 def candidate_mode(paras: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """Blocks by candidates, reviewed where there are replies, that cut no reading passage."""
     found = candidates.collected(paras)
-    none = found.select("doc_id", F.lit(None).cast("string").alias("reply")).limit(0)
-    blocks = reviewed_blocks(found, none if replies is None else replies).drop("source")
+    blocks = candidates.candidate_blocks(found) if replies is None else reviewed_blocks(found, replies).drop("source")
     made = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "marker", "start_para", "end_para"))).alias("made"))
     extents = paras.groupBy("doc_id").agg(F.min("para").alias("first"), F.max("para").alias("last"), tiers.reading_events().alias("events"))
     kept = tiers.protected(made.join(extents, "doc_id"), F.col("first"))
