@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 
 
+def class_marker(marker: Column) -> Column:
+    """The marker that stands for ``marker`` in the template for classes."""
+    return F.when(marker == P.MARKER_KNOWLEDGE, P.CLASS_KNOWLEDGE).when(marker == P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION).otherwise(marker)
+
+
 def for_class(blocks: DataFrame) -> DataFrame:
     """``blocks`` with the markers of the template for classes."""
-    marker = F.when(F.col("marker") == P.MARKER_KNOWLEDGE, P.CLASS_KNOWLEDGE).when(F.col("marker") == P.MARKER_CONSOLIDATION, P.CLASS_CONSOLIDATION).otherwise(F.col("marker"))
-    return blocks.withColumn("marker", marker)
+    return blocks.withColumn("marker", class_marker(F.col("marker")))
 
 
 def validated(blocks: DataFrame, extents: DataFrame) -> DataFrame:
