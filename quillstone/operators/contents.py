@@ -123,10 +123,12 @@ def split(paras: DataFrame, consolidation: str = P.MARKER_CONSOLIDATION) -> Data
 def smart_split(paras: DataFrame, hybrid_first: bool = False) -> DataFrame:
     """doc_id, tier, ord, marker, start_para, end_para of all tiers that need no remote model, in their order.
 
-    hybrid, if it is asked for, which leaves no document to the others; toc; then those of ``tiers.auto_split``.
+    hybrid, if it is asked for; toc; then those of ``tiers.auto_split``. As hybrid has blocks for every document that has
+    paragraphs, no document is left to the others and they aren't worked out.
     """
-    found = [] if not hybrid_first else [hybrid.split(paras).withColumn("tier", F.lit("hybrid"))]
-    return first_tier(*found, split(paras).withColumn("tier", F.lit("toc")), auto_split(paras))
+    if hybrid_first:
+        return hybrid.split(paras).select("doc_id", F.lit("hybrid").alias("tier"), "ord", "marker", "start_para", "end_para")
+    return first_tier(split(paras).withColumn("tier", F.lit("toc")), auto_split(paras))
 
 
 def smart_blocks(paras: DataFrame) -> DataFrame:
