@@ -38,18 +38,20 @@ def widened(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     Islands don't meet, so that an end that was widened is in no further table. Ends and islands stand in one order of
     paragraphs: an end looks back at the last island that has begun, which costs a sort and no pairs. Empty blocks stay.
     """
-    filled = (F.col("start_para") > 0) & (F.col("end_para") >= F.col("start_para"))
     ends = F.array(F.struct(F.lit(0).alias("which"), F.col("start_para").alias("at")), F.struct(F.lit(1).alias("which"), F.col("end_para").alias("at")))
+    own = F.struct(*blocks.columns)
     none = F.lit(None).cast("struct<first:int,last:int>")
-    points = blocks.filter(filled).select("doc_id", "ord", F.explode(ends).alias("e")).select("doc_id", "e.at", F.lit(1).alias("kind"), "ord", "e.which", none.alias("island"))
-    opened = table_islands(spans).select("doc_id", F.col("start_para").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("which"), F.struct(F.col("start_para").cast("int").alias("first"), F.col("end_para").cast("int").alias("last")).alias("island"))
+    # blocks go along with their ends, so that what makes them runs once
+    points = blocks.select("doc_id", "ord", own.alias("own"), F.explode_outer(ends).alias("e")).select("doc_id", "e.at", F.lit(1).alias("kind"), "ord", "e.which", "own", none.alias("island"))
+    opened = table_islands(spans).select("doc_id", F.col("start_para").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("which"), F.lit(None).cast(points.schema["own"].dataType).alias("own"), F.struct(F.col("start_para").cast("int").alias("first"), F.col("end_para").cast("int").alias("last")).alias("island"))
     w = doc().orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     met = points.unionByName(opened).withColumn("island", F.last("island", ignorenulls=True).over(w)).filter("kind = 1")
     inside = F.col("island.last") >= F.col("at")
     to = F.when(inside, F.when(F.col("which") == 0, F.col("island.first")).otherwise(F.col("island.last"))).otherwise(F.col("at"))
-    moved = met.groupBy("doc_id", "ord").agg(F.min(F.when(F.col("which") == 0, to)).alias("s"), F.max(F.when(F.col("which") == 1, to)).alias("e"))
-    changed = {"start_para": F.coalesce("s", "start_para"), "end_para": F.coalesce("e", "end_para")}
-    return blocks.join(moved, ["doc_id", "ord"], "left").select(*(changed.get(c, F.col(c)).alias(c) for c in blocks.columns))
+    moved = met.groupBy("doc_id", "ord").agg(F.first("own").alias("own"), F.min(F.when(F.col("which") == 0, to)).alias("s"), F.max(F.when(F.col("which") == 1, to)).alias("e"))
+    filled = (F.col("own.start_para") > 0) & (F.col("own.end_para") >= F.col("own.start_para"))
+    changed = {"start_para": F.when(filled, F.col("s")).otherwise(F.col("own.start_para")), "end_para": F.when(filled, F.col("e")).otherwise(F.col("own.end_para"))}
+    return moved.select(*(changed.get(c, F.col(f"own.{c}")).alias(c) for c in blocks.columns))
 
 
 def anchors(templates: DataFrame, markers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Unicode white space that becomes a plain space, and what is trimmed.
 ODD_SPACE = "[\u3000\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\t\x0b\f\r]"
@@ -214,11 +215,22 @@ def drawn(sql: str):
     return read
 
 
-tables, replies, block_replies, versions = drawn(TABLES), drawn(REPLIES), drawn(BLOCK_REPLIES), drawn(VERSIONS)
+replies, block_replies, versions = drawn(REPLIES), drawn(BLOCK_REPLIES), drawn(VERSIONS)
 own_relations, taken_relations = drawn(OWN_RELATIONS), drawn(TAKEN_RELATIONS)
 faulty_blocks, marked, logs, jobs = drawn(FAULTY_BLOCKS), drawn(MARKED), drawn(LOGS), drawn(JOBS)
 
 
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What TABLES draws, from one pass over the handouts: no paragraph begins two tables."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    h = spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+    p = F.col("para")
+    rest = p % 9
+    n = h.select("doc_id", "para", F.max("para").over(Window.partitionBy("doc_id")).alias("n"))
+    end = F.when(rest == 4, F.least(p + 3, "n")).when((rest == 6) & ((F.col("doc_id") + p) % 4 == 0), F.least(p + 4, "n")).when(rest == 5, p)
+    return n.select("doc_id", p.alias("start_para"), end.cast("int").alias("end_para")).filter("end_para IS NOT NULL")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return spark.sql(TEMPLATES)
 
