@@ -29,6 +29,16 @@ def validated(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     )
 
 
+def faults(b: Column, before: Column, first: Column, last: Column) -> list[Column]:
+    """What is wrong with a block behind one that ends at ``before``, in a document from ``first`` to ``last``; null for what isn't."""
+    s, e, marker, text = b["start_para"], b["end_para"], b["marker"], lambda c: c.cast("string")
+    return [
+        F.when(s > e, F.concat(marker, F.lit(" start > end："), text(s), F.lit(">"), text(e))),
+        F.when((s < first) | (e > last), F.concat(marker, F.lit(P.BLOCK_OUTSIDE), text(s), F.lit("-"), text(e), F.lit(P.BLOCK_RANGE), text(first), F.lit("-"), text(last))),
+        F.when(s <= before, F.concat(marker, F.lit(P.BLOCK_OVER), text(s), F.lit(", prev_end="), text(before))),
+    ]
+
+
 def errors(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     """doc_id, valid and errors (lines, as reports print them) for each document of ``blocks``, one without paragraphs included.
 
@@ -36,12 +46,7 @@ def errors(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     """
     before = F.lag("end_para").over(Window.partitionBy("doc_id").orderBy("ord"))
     b = blocks.withColumn("before", before).join(extents.select("doc_id", F.col("start_para").alias("first"), F.col("end_para").alias("last")), "doc_id", "left")
-    s, e, first, last, text = F.col("start_para"), F.col("end_para"), F.col("first"), F.col("last"), lambda c: F.col(c).cast("string")
-    said = F.array(
-        F.when(s > e, F.concat("marker", F.lit(" start > end："), text("start_para"), F.lit(">"), text("end_para"))),
-        F.when((s < first) | (e > last), F.concat("marker", F.lit(P.BLOCK_OUTSIDE), text("start_para"), F.lit("-"), text("end_para"), F.lit(P.BLOCK_RANGE), text("first"), F.lit("-"), text("last"))),
-        F.when(s <= F.col("before"), F.concat("marker", F.lit(P.BLOCK_OVER), text("start_para"), F.lit(", prev_end="), text("before"))),
-    )
+    said = F.array(*faults(F.struct("marker", "start_para", "end_para"), F.col("before"), F.col("first"), F.col("last")))
     d = b.groupBy("doc_id").agg(F.first("first").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", F.array_compact(said).alias("said")))).alias("each"))
     count = F.when(F.col("n") != 3, F.array(F.concat(F.lit(P.BLOCK_COUNT), F.col("n").cast("string")))).otherwise(F.array().cast("array<string>"))
     every = F.when(F.col("first").isNull(), F.array(F.lit(P.NO_ROWS))).otherwise(F.concat(count, F.flatten(F.transform("each", lambda x: x["said"]))))

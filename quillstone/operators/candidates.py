@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import scalars
-from .assembly import errors
+from .assembly import faults
 from .segments import block, fold_numbers, ordered, share
 
 CANDIDATE = "array<struct<kind:string,para:int,score:int,reason:string,text:string,source:string,seq:int>>"
@@ -80,9 +80,12 @@ def collected(paras: DataFrame) -> DataFrame:
 
 def merged(found: DataFrame) -> DataFrame:
     """A row for each kind and paragraph: the best score with its source, and all reasons once, in order of arrival."""
-    c = found.select("doc_id", F.explode("said").alias("c")).select("doc_id", "c.*")
+    return _merged(found.select("doc_id", F.explode("said").alias("c")).select("doc_id", "c.*"))
+
+
+def _merged(c: DataFrame, *more: Column) -> DataFrame:
     reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda x: x["reason"]))
-    return c.groupBy("doc_id", "kind", "para").agg(F.max("score").alias("score"), F.max_by("text", F.struct("score", -F.col("seq"))).alias("text"), F.max_by("source", F.struct("score", -F.col("seq"))).alias("source"), F.array_join(reasons, "；").alias("reason"))
+    return c.groupBy("doc_id", "kind", "para").agg(F.max("score").alias("score"), F.max_by("text", F.struct("score", -F.col("seq"))).alias("text"), F.max_by("source", F.struct("score", -F.col("seq"))).alias("source"), F.array_join(reasons, "；").alias("reason"), *more)
 
 
 def chosen(found: DataFrame) -> DataFrame:
@@ -140,32 +143,35 @@ def review(found: DataFrame) -> DataFrame:
     return chosen(found).select("doc_id", (why != CLEAR).alias("wanted"), why.alias("reason"))
 
 
+def candidate_line() -> Column:
+    return F.concat(F.lit("  ["), F.lpad(F.col("score").cast("string"), 3, " "), F.lit("] 段落 "), F.col("para").cast("string"), F.lit(": "), F.col("reason"), F.lit(" | "), F.col("text"))
+
+
 def report(found: DataFrame, top: int = 6) -> DataFrame:
     """A line for each of the ``top`` best candidates of a document and kind, in their order, as reports print them."""
     w = Window.partitionBy("doc_id", "kind").orderBy(F.desc("score"), "para")
     best = merged(found).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= top)
-    line = F.concat(F.lit("  ["), F.lpad(F.col("score").cast("string"), 3, " "), F.lit("] 段落 "), F.col("para").cast("string"), F.lit(": "), F.col("reason"), F.lit(" | "), F.col("text"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", candidate_line().alias("line")))), lambda x: x["line"]), "\n")
     return best.groupBy("doc_id", "kind").agg(lines.alias("lines"))
 
 
 def full_report(found: DataFrame, top: int = 6) -> DataFrame:
     """doc_id and report: the best candidates, the choice, its blocks and what is wrong with them, as one text for each document."""
-    best = report(found, top).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("lines"))).alias(f"{k}_lines") for k in TITLES))
-    reasons = merged(found).select("doc_id", "kind", "para", "reason")
-    picks = choice(found)
-    for kind, name in ((PRACTICE, "practice"), (CONSOLIDATION, "consolidation")):
-        own = reasons.filter(F.col("kind") == kind).select("doc_id", F.col("para").alias(f"{name}_para"), F.col("reason").alias(f"{name}_reason"))
-        picks = picks.join(own, ["doc_id", f"{name}_para"], "left")
+    # a document's choice and blocks go along with its candidates, so that what finds them runs once
+    of = F.struct("first", "last", "made", *(F.col(f"{n}.{x}").alias(f"{n}_{x}") for n in ("practice", "consolidation") for x in ("para", "score", "source")))
+    each = built(found).select("doc_id", of.alias("of"), F.explode_outer("said").alias("c")).select("doc_id", "of", "c.*")
+    at = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.desc("score"), "para"))
+    c = _merged(each, F.first("of").alias("of")).withColumn("at", at)
+    own = lambda kind, name: F.max(F.when((F.col("kind") == kind) & (F.col("para") == F.col(f"of.{name}_para")), F.col("reason"))).alias(f"{name}_reason")
+    best = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("at") <= top), F.struct("at", candidate_line().alias("line"))))), lambda x: x["line"]), "\n")
+    d = c.groupBy("doc_id").agg(F.first("of").alias("of"), *(F.nullif(best(k), F.lit("")).alias(f"{k}_lines") for k in TITLES), own(PRACTICE, "practice"), own(CONSOLIDATION, "consolidation")).select("*", "of.*")
     fallback = F.when(F.col("consolidation_score") == 55, BY_COUNT).otherwise(BY_SHARE)
     reason = {"practice": F.col("practice_reason"), "consolidation": F.when(F.col("consolidation_source") == "fallback", fallback).otherwise(F.col("consolidation_reason"))}
-    blocks = candidate_blocks(found)
-    wrong = errors(blocks, found.select("doc_id", F.col("first").alias("start_para"), F.col("last").alias("end_para")))
-    line = F.concat(F.lit("  "), "marker", F.lit(": "), F.col("start_para").cast("string"), F.lit("-"), F.col("end_para").cast("string"))
-    made = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("blocks"))
-    d = made.join(wrong, "doc_id").join(best, "doc_id", "left").join(picks, "doc_id", "left")
+    line = lambda b: F.concat(F.lit("  "), b["marker"], F.lit(": "), b["start_para"].cast("string"), F.lit("-"), b["end_para"].cast("string"))
+    wrong = F.flatten(F.transform("made", lambda b, i: F.array_compact(F.array(*faults(b, F.when(i > 0, F.get("made", i - 1)["end_para"]), F.col("first"), F.col("last"))))))
+    d = d.withColumns({"blocks": F.array_join(F.transform("made", line), "\n"), "valid": F.size(wrong) == 0, "errors": F.array_join(wrong, "\n")})
     pick = lambda kind, name: F.concat(F.lit(TITLES[kind][1]), F.when(F.col(f"{name}_para").isNull(), NOT_FOUND).otherwise(F.concat(F.lit(": 段落 "), F.col(f"{name}_para").cast("string"), F.lit("，"), reason[name], F.lit("，置信度 "), F.col(f"{name}_score").cast("string"))))
     listed = [x for k, (title, _) in TITLES.items() for x in (F.lit(title), F.coalesce(f"{k}_lines", F.lit(NONE)))]
-    faults = F.when(F.col("valid"), VALID).otherwise(F.concat(F.lit(INVALID + "\n  - "), F.replace(F.col("errors"), F.lit("\n"), F.lit("\n  - "))))
-    parts = [F.lit(REPORT_CANDIDATES), F.lit(RULE), *listed, F.lit(""), F.lit(REPORT_CHOICE), F.lit(RULE), pick(PRACTICE, "practice"), pick(CONSOLIDATION, "consolidation"), F.lit(""), F.lit(REPORT_BLOCKS), F.lit(RULE), F.col("blocks"), faults]
+    verdict = F.when(F.col("valid"), VALID).otherwise(F.concat(F.lit(INVALID + "\n  - "), F.replace(F.col("errors"), F.lit("\n"), F.lit("\n  - "))))
+    parts = [F.lit(REPORT_CANDIDATES), F.lit(RULE), *listed, F.lit(""), F.lit(REPORT_CHOICE), F.lit(RULE), pick(PRACTICE, "practice"), pick(CONSOLIDATION, "consolidation"), F.lit(""), F.lit(REPORT_BLOCKS), F.lit(RULE), F.col("blocks"), verdict]
     return d.select("doc_id", F.concat_ws("\n", *parts).alias("report"))

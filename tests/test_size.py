@@ -37,3 +37,9 @@ def test_kernels_find_what_rlike_finds(spark):
     assert all((r.q, r.k) == (r.q2, r.k2) for r in scored)
     types = {r.text: r.section_type for r in scored}
     assert [types[x] for x in ("第三部分", "passage 3", "目录......", "题型２", "04 真题·演练", "甲__", None)] == ["mixed", "practice", "toc", "practice", "practice", None, None]
+
+
+def test_corpora_are_read_once(spark):
+    # how often the lines are read; each was more: 44, 28, 10, 5, 7, 4 and 8
+    for name, most in (("smart_blocks", 15), ("version_blocks", 14), ("missing_anchors", 2), ("blocks_widened", 2), ("full_report", 1), ("refined_blocks", 2), ("hybrid_tiers", 1)):
+        assert plan(registry.QUERIES[name](spark, SF)).count("Relation [l_orderkey") <= most, name
