@@ -28,19 +28,33 @@ def tried(text: Column, found: dict[str, str], sums: dict[str, list[tuple[str, i
     """
     sums = sums or {}
     runs = {name: [(value, alternation([p for p, _ in run])) for value, run in groupby(table, key=lambda x: x[1])] for name, table in (firsts or {}).items()}
+    parts = {name: ([x for x in table if x[0].startswith("^")], [x for x in table if not x[0].startswith("^")]) for name, table in sums.items()}
+    opening = {name: alternation([p for p, _ in begins]) for name, (begins, _) in parts.items()}
+
+    def sure(texts: pa.Array, p: str) -> np.ndarray:
+        return pc.match_substring_regex(texts, p).fill_null(False).to_numpy(zero_copy_only=False)
+
+    def summed(texts: pa.Array, table: list[tuple[str, int]]) -> np.ndarray:
+        return sum((w * sure(texts, p) for p, w in table), np.zeros(len(texts), np.int32)).astype(np.int32)
 
     def run(texts: pa.Array) -> pa.Array:
-        met = lambda p: pc.match_substring_regex(texts, p)
-        sure = lambda p: met(p).fill_null(False)
-        out = {name: met(p) for name, p in found.items()}
-        for name, table in sums.items():
-            out[name] = pa.array(sum((w * sure(p).to_numpy(zero_copy_only=False) for p, w in table), np.zeros(len(texts))).astype(np.int32))
+        # a text that a batch has more than once is tried once
+        coded = texts.dictionary_encode(null_encoding="encode")
+        texts = coded.dictionary
+        out = {name: pc.match_substring_regex(texts, p) for name, p in found.items()}
+        for name, (begins, anywhere) in parts.items():
+            total = summed(texts, anywhere)
+            # few texts begin with anything of a table: one alternation tells which, and its patterns are tried on those alone
+            at = np.flatnonzero(sure(texts, opening[name])) if begins else []
+            if len(at):
+                total[at] += summed(texts.take(pa.array(at)), begins)
+            out[name] = pa.array(total)
         for name, each in runs.items():
             value = pa.nulls(len(texts), pa.string())
             for v, p in reversed(each):
-                value = pc.if_else(sure(p), v, value)
+                value = pc.if_else(pa.array(sure(texts, p)), v, value)
             out[name] = value
-        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
+        return pa.StructArray.from_arrays(list(out.values()), names=list(out)).take(coded.indices)
 
     kinds = [*(f"{name} boolean" for name in found), *(f"{name} int" for name in sums), *(f"{name} string" for name in runs)]
     return F.arrow_udf(run, ", ".join(kinds)).asNondeterministic()(text)

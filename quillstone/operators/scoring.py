@@ -30,10 +30,10 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def scored(paras: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
-    """``paras`` with q, k, is_boundary and section_type, and a boolean for each of the patterns in ``more``."""
+def scored(paras: DataFrame, more: dict[str, str] | None = None, sections: bool = True) -> DataFrame:
+    """``paras`` with q, k, is_boundary and, if ``sections`` are asked for, section_type, and a boolean for each of the patterns in ``more``."""
     found = {"is_boundary": matching.alternation(P.BOUNDARY)} | (more or {})
-    return matching.with_tried(paras, found, {"q": P.QUESTION, "k": P.KNOWLEDGE}, {"section_type": P.SECTION})
+    return matching.with_tried(paras, found, {"q": P.QUESTION, "k": P.KNOWLEDGE}, {"section_type": P.SECTION} if sections else None)
 
 
 def type_positions(paras: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ def ordered():
     return doc().orderBy("para")
 
 
-def marked(paras: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+def marked(paras: DataFrame, more: dict[str, str] | None = None, sections: bool = False) -> DataFrame:
     """The features that boundaries are found by, a boolean for each pattern in ``more``, and ``b0``, the first strong boundary of the document."""
     t = F.col("text")
     after = lambda pattern: F.length(F.trim(F.regexp_replace(t, pattern, "")))
     first = lambda pattern: F.regexp_extract(t, pattern, 1)
-    f = scored(paras, {"numbered": P.NUMBER, "_main": P.MAIN_NUMBER, "heading": P.KNOWLEDGE_HEADING, "_dotted": P.DOTTED} | (more or {})).withColumns(
+    f = scored(paras, {"numbered": P.NUMBER, "_main": P.MAIN_NUMBER, "heading": P.KNOWLEDGE_HEADING, "_dotted": P.DOTTED} | (more or {}), sections).withColumns(
         {
             "question": F.col("numbered") & F.when(F.col("numbered"), after(P.NUMBER) >= 6),
             "number": F.when(F.col("numbered"), first(P.NUMBER)),
@@ -51,14 +51,14 @@ def fold_numbers(rows: Column, strict: bool) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["hits"])
 
 
-def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None, more: dict[str, str] | None = None) -> DataFrame:
+def boundaries(paras: DataFrame, extra: dict[str, Column] | None = None, more: dict[str, str] | None = None, sections: bool = False) -> DataFrame:
     """doc_id, first, last, n, boundary (null where none) and points (question starts), a row for each document; one shuffle.
 
-    extra: further aggregates over a document's paragraphs, by name, which may use whether patterns in ``more`` match; they
-    come from the same shuffle.
+    extra: further aggregates over a document's paragraphs, by name, which may use whether patterns in ``more`` match and, if
+    ``sections`` are asked for, section_type; they come from the same shuffle.
     """
     extra = extra or {}
-    f = marked(paras, more)
+    f = marked(paras, more, sections)
     rows = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("para", scalars.number(F.col(c)).alias("number")))))
     before = F.col("para") < F.col("b0")
     docs = f.groupBy("doc_id").agg(

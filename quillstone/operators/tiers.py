@@ -86,6 +86,7 @@ def surveyed(paras: DataFrame) -> DataFrame:
             "events": reading_events(F.col("_begins"), F.col("_ends")),
         },
         {"_type": P.TYPE_MARKER, "_decor": P.DECOR_BEGINS, "_header": P.SECTION_HEADER, "_begins": P.READING, "_ends": P.READING_ENDS},
+        sections=True,
     )
 
 

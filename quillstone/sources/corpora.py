@@ -34,6 +34,9 @@ SELECT doc_id, para,
 FROM k
 """
 
+#: HANDOUTS as Spark runs them: the last two columns of the order don't go along, as lines that only they tell apart have the same text.
+DRAWN = HANDOUTS.replace(", l.l_linestatus, l.l_shipdate)", ")")
+
 #: The handouts with a table of contents before them: most with leader dots, some with short lines, some without either.
 CONTENTS = """
 WITH h AS ({handouts}),
@@ -83,19 +86,19 @@ def settled(paras: DataFrame) -> DataFrame:
 def handouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus rich in markers, one document for each customer, drawn from orders and their lines."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return settled(spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
+    return settled(spark.sql(DRAWN, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The handouts as runs: doc_id, para, run, colour and text."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(RUNS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+    return spark.sql(RUNS.replace("{handouts}", DRAWN), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
 
 
 def with_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The handouts with tables of contents before them."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return settled(spark.sql(CONTENTS.replace("{handouts}", HANDOUTS), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
+    return settled(spark.sql(CONTENTS.replace("{handouts}", DRAWN), lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey")))
 
 
 #: Manifests of uploads: a customer's orders as the files of one job.
@@ -205,7 +208,7 @@ SELECT DISTINCT o_custkey + CASE WHEN o_custkey % 13 = 0 THEN 100000000 ELSE 0 E
 def drawn(sql: str):
     """A corpus that ``sql`` draws from the orders and their lines."""
 
-    whole = sql.replace("{handouts}", HANDOUTS)
+    whole = sql.replace("{handouts}", DRAWN)
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -223,7 +226,7 @@ faulty_blocks, marked, logs, jobs = drawn(FAULTY_BLOCKS), drawn(MARKED), drawn(L
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What TABLES draws, from one pass over the handouts: no paragraph begins two tables."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    h = spark.sql(HANDOUTS, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
+    h = spark.sql(DRAWN, lineitem=read("lineitem"), orders=read("orders").select("o_orderkey", "o_custkey"))
     p = F.col("para")
     rest = p % 9
     n = h.select("doc_id", "para", F.max("para").over(Window.partitionBy("doc_id")).alias("n"))

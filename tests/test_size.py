@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import matching
 from quillstone.functions import patterns as P
-from quillstone.operators import scoring
+from quillstone.operators import scoring, segments
 from quillstone.plans import registry
+from quillstone.sources import corpora
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,9 @@ def test_corpora_are_read_once(spark):
     # how often the lines are read; each was more: 44, 28, 10, 5, 7, 4 and 8
     for name, most in (("smart_blocks", 15), ("version_blocks", 14), ("missing_anchors", 2), ("blocks_widened", 2), ("full_report", 1), ("refined_blocks", 2), ("hybrid_tiers", 1)):
         assert plan(registry.QUERIES[name](spark, SF)).count("Relation [l_orderkey") <= most, name
+
+
+def test_blocks_carry_what_they_need(spark):
+    # the section's 62 patterns were tried for blocks as well, and two columns went along that change no text
+    assert "section_type" not in segments.marked(corpora.handouts(spark, SF)).columns
+    assert "l_shipdate" not in plan(registry.QUERIES["split_blocks_scored"](spark, SF)).split("Relation")[0]
