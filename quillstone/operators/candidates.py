@@ -78,9 +78,17 @@ def collected(paras: DataFrame) -> DataFrame:
     return d.select("doc_id", "first", "last", "hits", with_dense.alias("said"))
 
 
+def each(found: DataFrame) -> DataFrame:
+    """doc_id and c, a row for each candidate.
+
+    Outer, with a filter behind it: that of an inner explosion would go down the plan and find all candidates once more for it.
+    """
+    return found.select("doc_id", F.explode_outer("said").alias("c")).filter("c IS NOT NULL")
+
+
 def merged(found: DataFrame) -> DataFrame:
     """A row for each kind and paragraph: the best score with its source, and all reasons once, in order of arrival."""
-    return _merged(found.select("doc_id", F.explode("said").alias("c")).select("doc_id", "c.*"))
+    return _merged(each(found).select("doc_id", "c.*"))
 
 
 def _merged(c: DataFrame, *more: Column) -> DataFrame:

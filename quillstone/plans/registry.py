@@ -476,7 +476,7 @@ def candidate_query(operator):
 
 
 def dense(found):
-    return found.select("doc_id", F.explode("said").alias("c")).filter("c.source = 'question_density'").select("doc_id", "c.para")
+    return candidates.each(found).filter("c.source = 'question_density'").select("doc_id", "c.para")
 
 
 def practice_boundary(paras):

@@ -50,3 +50,9 @@ def test_blocks_carry_what_they_need(spark):
     # the section's 62 patterns were tried for blocks as well, and two columns went along that change no text
     assert "section_type" not in segments.marked(corpora.handouts(spark, SF)).columns
     assert "l_shipdate" not in plan(registry.QUERIES["split_blocks_scored"](spark, SF)).split("Relation")[0]
+
+
+def test_candidates_are_found_once(spark):
+    # the filter of an explosion had all of them once more
+    for name in ("candidates", "candidate_report", "question_density"):
+        assert plan(registry.QUERIES[name](spark, SF)).count("学科网 04 练习章节") == 1, name
