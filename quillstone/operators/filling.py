@@ -89,14 +89,22 @@ def filled_rows(paras: DataFrame, blocks: DataFrame, templates: DataFrame, found
     with the same anchor that pasted last stands first: those of earlier places in the layout, then later blocks. Blocks
     without an anchor are left out.
     """
-    placed = pasted(blocks).join(found, ["template", "marker"])
-    key = [F.col("at"), place(F.col("marker")).alias("place"), (-F.col("ord")).alias("turn")]
-    sources = paras.select("doc_id", "para", "text").join(placed.select("doc_id", "start_para", "end_para", *key), "doc_id").filter(F.col("para").between(F.col("start_para"), F.col("end_para")))
-    own = sources.select("doc_id", "at", F.lit(1).alias("layer"), "place", "turn", "para", "text")
-    frame = blocks.select("doc_id", "template").distinct().join(templates, "template")
-    given = frame.select("doc_id", F.col("pos").cast("int").alias("at"), F.lit(0).alias("layer"), F.lit(0).alias("place"), F.lit(0).alias("turn"), F.col("pos").cast("int").alias("para"), "text")
+    # a document's template rows and blocks come from one row and meet its paragraphs in one join, so that what makes the blocks runs once
+    kind = "array<struct<at:int,layer:int,place:int,turn:int,start_para:int,end_para:int,text:string>>"
+    anchored = blocks.join(F.broadcast(found), ["template", "marker"], "left").withColumn("layer", F.lit(1))
+    own = F.struct("at", "layer", place(F.col("marker")).alias("place"), (-F.col("ord")).alias("turn"), "start_para", "end_para", F.lit(None).cast("string").alias("text"))
+    has_rows = (F.col("start_para") > 0) & (F.col("end_para") >= F.col("start_para"))
+    docs = anchored.groupBy("doc_id", "template").agg(F.collect_list(F.when(F.col("at").isNotNull() & has_rows, own)).cast(kind).alias("own"))
+    given = F.struct(F.col("pos").alias("at"), F.lit(0).alias("layer"), F.lit(0).alias("place"), F.lit(0).alias("turn"), F.col("pos").alias("start_para"), F.col("pos").alias("end_para"), "text")
+    frames = templates.groupBy("template").agg(F.collect_list(given).cast(kind).alias("given"))
+    items = docs.join(F.broadcast(frames), "template").select("doc_id", F.explode_outer(F.concat("given", "own")).alias("i")).select("doc_id", "i.*")
+    p = paras.select(F.col("doc_id").alias("_doc"), F.col("para").alias("_para"), F.col("text").alias("_text"))
+    # few rows are hashed, so that the many texts needn't be sorted for the join
+    met = items.hint("shuffle_hash").join(p, (F.col("doc_id") == F.col("_doc")) & (F.col("layer") == 1) & F.col("_para").between(F.col("start_para"), F.col("end_para")), "left")
+    of_template = F.col("layer") == 0
+    rows = met.filter(of_template | F.col("_para").isNotNull()).withColumns({"para": F.when(of_template, F.col("start_para")).otherwise(F.col("_para")), "text": F.when(of_template, F.col("text")).otherwise(F.col("_text"))})
     pos = F.row_number().over(doc().orderBy("at", "layer", "place", "turn", "para"))
-    return given.unionByName(own).select("doc_id", pos.alias("pos"), F.when(F.col("layer") == 0, "template").otherwise("source").alias("origin"), "para", "text")
+    return rows.select("doc_id", pos.alias("pos"), F.when(of_template, "template").otherwise("source").alias("origin"), "para", "text")
 
 
 def trimmed(rows: DataFrame) -> DataFrame:

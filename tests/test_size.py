@@ -56,3 +56,11 @@ def test_candidates_are_found_once(spark):
     # the filter of an explosion had all of them once more
     for name in ("candidates", "candidate_report", "question_density"):
         assert plan(registry.QUERIES[name](spark, SF)).count("学科网 04 练习章节") == 1, name
+
+
+def test_templates_are_filled_from_one_pass(spark):
+    # the blocks were worked out for the template's rows and once more for those that are pasted
+    for name in ("filled_rows", "filled_trimmed"):
+        assert plan(registry.QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1, name
+    # tables follow from counts; no paragraph is put in order for them
+    assert "l_linenumber" not in plan(corpora.tables(spark, SF)).split("Relation")[0]
