@@ -55,7 +55,8 @@ def errors(blocks: DataFrame, extents: DataFrame) -> DataFrame:
 
 def assembled(paras: DataFrame, blocks: DataFrame) -> DataFrame:
     """The paragraphs of each block in the order of the output; pos counts them from 1. The join is on doc_id, the range a filter."""
-    rows = paras.join(blocks, "doc_id").filter(F.col("para").between(F.col("start_para"), F.col("end_para")))
+    # few blocks are hashed, so that the many texts needn't be sorted for the join
+    rows = paras.join(blocks.hint("shuffle_hash"), "doc_id").filter(F.col("para").between(F.col("start_para"), F.col("end_para")))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "para"))
     return rows.select("doc_id", pos.alias("pos"), "marker", "para", "text")
 

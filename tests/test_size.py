@@ -64,3 +64,7 @@ def test_templates_are_filled_from_one_pass(spark):
         assert plan(registry.QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1, name
     # tables follow from counts; no paragraph is put in order for them
     assert "l_linenumber" not in plan(corpora.tables(spark, SF)).split("Relation")[0]
+
+
+def test_texts_are_not_sorted_for_blocks(spark):
+    assert "strategy=shuffle_hash" in plan(registry.QUERIES["assemble_rows"](spark, SF))
