@@ -29,6 +29,15 @@ def validated(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     )
 
 
+def validated_rows(found: DataFrame) -> DataFrame:
+    """What ``validated`` says, for rows that have a document's blocks (made, in their order) and its extent (first, last) already."""
+    s, e = (lambda b: b["start_para"]), (lambda b: b["end_para"])
+    over = F.exists(F.transform("made", lambda b, i: (i > 0) & (s(b) <= F.get("made", i - 1)["end_para"])), lambda x: F.coalesce(x, F.lit(False)))
+    return found.select(
+        "doc_id", (F.size("made") != 3).alias("not_three"), F.exists("made", lambda b: s(b) > e(b)).alias("reversed"), F.exists("made", lambda b: (s(b) < F.col("first")) | (e(b) > F.col("last"))).alias("outside"), over.alias("overlapping")
+    )
+
+
 def faults(b: Column, before: Column, first: Column, last: Column) -> list[Column]:
     """What is wrong with a block behind one that ends at ``before``, in a document from ``first`` to ``last``; null for what isn't."""
     s, e, marker, text = b["start_para"], b["end_para"], b["marker"], lambda c: c.cast("string")

@@ -100,5 +100,9 @@ def cut_at(b: Column) -> Column:
 
 def blocks(found: DataFrame) -> DataFrame:
     """The blocks of documents with a boundary: ord, marker, start_para, end_para; an empty block is 1 to 0."""
-    b = F.col("boundary")
-    return found.filter(b.isNotNull()).select("doc_id", F.explode_outer(cut_at(b)).alias("b")).select("doc_id", "b.*")
+    return gathered(found).select("doc_id", F.explode_outer("made").alias("b")).select("doc_id", "b.*")
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """``found`` with made, an array of those blocks, for documents with a boundary."""
+    return found.filter(F.col("boundary").isNotNull()).withColumn("made", cut_at(F.col("boundary")))

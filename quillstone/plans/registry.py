@@ -559,7 +559,7 @@ QUERIES = {
     "position_ratio": over(corpora.documents, rows.position_ratio),
     "gap_runs": over(corpora.handouts, lambda p: rows.gap_runs(p.filter(scoring.knowing(F.col("text"))).select("doc_id", "para"))),
     "pair_examples": over(corpora.handouts, lambda p: assembly.paired(rows.gap_runs(knowledge(p)), p.filter(F.col("text").rlike("^【例 *[0-9]+】"))).fillna(0, ["example"])),
-    "validate_blocks": over(corpora.handouts, lambda p: assembly.validated(scored_blocks(p), rows.extent(p))),
+    "validate_blocks": over(corpora.handouts, lambda p: assembly.validated_rows(segments.gathered(segments.boundaries(p)))),
     "assemble_rows": over(corpora.handouts, lambda p: assembly.assembled(p, scored_blocks(p))),
     "filename": read("orders", filename),
     "answer_delete_ranges": over(corpora.handouts, rows.answer_ranges),

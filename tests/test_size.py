@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import matching
 from quillstone.functions import patterns as P
-from quillstone.operators import scoring, segments
+from quillstone.operators import assembly, scoring, segments
 from quillstone.plans import registry
 from quillstone.sources import corpora
 
@@ -66,5 +66,14 @@ def test_templates_are_filled_from_one_pass(spark):
     assert "l_linenumber" not in plan(corpora.tables(spark, SF)).split("Relation")[0]
 
 
+def test_blocks_are_checked_in_their_pass(spark):
+    # extents were gathered in a pass of their own and joined
+    for name in ("validate_blocks",):
+        assert plan(registry.QUERIES[name](spark, SF)).count("Relation [l_orderkey") == 1, name
+    made = "array(named_struct('ord', 1, 'marker', 'a', 'start_para', 1, 'end_para', 5), named_struct('ord', 2, 'marker', 'b', 'start_para', 5, 'end_para', 4), named_struct('ord', 3, 'marker', 'c', 'start_para', 6, 'end_para', 99))"
+    got = assembly.validated_rows(spark.sql(f"SELECT 1 AS doc_id, 1 AS first, 20 AS last, {made} AS made UNION ALL SELECT 2, 1, 5, slice({made}, 1, 1)")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == {1: (False, True, True, True), 2: (True, False, False, False)}
+
+
 def test_texts_are_not_sorted_for_blocks(spark):
     assert "strategy=shuffle_hash" in plan(registry.QUERIES["assemble_rows"](spark, SF))
