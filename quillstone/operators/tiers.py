@@ -125,6 +125,11 @@ def images_moved(blocks: DataFrame, paras: DataFrame) -> DataFrame:
     """Blocks with the pictures that stand right before a block, in paragraphs without words, made part of it; three at most."""
     pictures = paras.groupBy("doc_id").agg(F.collect_list(F.when(F.col("has_img") & F.col("text").rlike(P.DECOR), F.col("para"))).alias("pictures"))
     each = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "marker", "start_para", "end_para"))).alias("made"))
+    return pictured(each.join(pictures, "doc_id"))
+
+
+def pictured(found: DataFrame) -> DataFrame:
+    """What ``images_moved`` gives, for rows that have a document's blocks (made, in their order) and pictures already."""
     kind = "array<struct<ord:int,marker:string,start_para:int,end_para:int>>"
 
     def step(acc, b):
@@ -136,7 +141,7 @@ def images_moved(blocks: DataFrame, paras: DataFrame) -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(b)).otherwise(F.array_append(shorter, moved)).cast(kind)
 
     made = F.aggregate("made", F.array().cast(kind), step)
-    return each.join(pictures, "doc_id").select("doc_id", F.explode_outer(made).alias("b")).select("doc_id", "b.*")
+    return found.select("doc_id", F.explode_outer(made).alias("b")).select("doc_id", "b.*")
 
 
 def example_groups(paras: DataFrame, most: float = 0.4) -> DataFrame:

@@ -471,6 +471,12 @@ def scored_blocks(paras):
     return segments.blocks(segments.boundaries(paras))
 
 
+def with_pictures(paras):
+    """Boundaries with the pictures that stand in paragraphs without words, from the same pass."""
+    pictures = F.collect_list(F.when(F.col("has_img") & F.col("_decor"), F.col("para"))).alias("pictures")
+    return segments.boundaries(paras, {"pictures": pictures}, {"_decor": P.DECOR})
+
+
 def candidate_query(operator):
     return over(corpora.handouts, lambda p: operator(candidates.collected(p)))
 
@@ -586,7 +592,7 @@ QUERIES = {
     "template_similarity": read("embeddings", similarity),
     "auto_split": over(corpora.handouts, tiers.auto_split),
     "reading_spans": over(corpora.handouts, tiers.reading_spans),
-    "image_fix": over(corpora.handouts, lambda p: tiers.images_moved(scored_blocks(p), p)),
+    "image_fix": over(corpora.handouts, lambda p: tiers.pictured(segments.gathered(with_pictures(p)))),
     "example_groups": over(corpora.handouts, tiers.example_groups),
     "ideal_split": over(corpora.handouts, tiers.ideal_split),
     "candidates": candidate_query(candidates.merged),

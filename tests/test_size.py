@@ -67,8 +67,8 @@ def test_templates_are_filled_from_one_pass(spark):
 
 
 def test_blocks_are_checked_in_their_pass(spark):
-    # extents were gathered in a pass of their own and joined
-    for name in ("validate_blocks",):
+    # extents and pictures were gathered in a pass of their own and joined
+    for name in ("validate_blocks", "image_fix"):
         assert plan(registry.QUERIES[name](spark, SF)).count("Relation [l_orderkey") == 1, name
     made = "array(named_struct('ord', 1, 'marker', 'a', 'start_para', 1, 'end_para', 5), named_struct('ord', 2, 'marker', 'b', 'start_para', 5, 'end_para', 4), named_struct('ord', 3, 'marker', 'c', 'start_para', 6, 'end_para', 99))"
     got = assembly.validated_rows(spark.sql(f"SELECT 1 AS doc_id, 1 AS first, 20 AS last, {made} AS made UNION ALL SELECT 2, 1, 5, slice({made}, 1, 1)")).collect()
