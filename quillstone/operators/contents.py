@@ -12,8 +12,8 @@ from .segments import before, block, doc
 from .rows import refined
 from .tiers import auto_split, first_tier, protected, reading_events
 
-#: Paragraphs in which a table of contents is looked for, behind a place those in which a heading is, and letters of a name that index it.
-SCANNED, REACH, GRAM = 100, 300, 3
+#: Paragraphs in which a table of contents is looked for, and behind a place those in which a heading is.
+SCANNED, REACH = 100, 300
 
 
 def listed(paras: DataFrame) -> DataFrame:
@@ -65,35 +65,41 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(text, P.NO_WORD, "")
 
 
-def located(listed: DataFrame, paras: DataFrame) -> DataFrame:
-    """doc_id and places (para, role) in the body of the practice entries of ``listed`` (doc_id, toc_end, entries).
+def surveyed(listed: DataFrame, paras: DataFrame) -> DataFrame:
+    """doc_id, first, last, events (of reading) and places, a row for each document, from one pass over the paragraphs.
 
+    places (para, role) are those in the body of the practice entries of ``listed`` (doc_id, toc_end, entries); empty for none.
     Entries are looked for in order, each behind the last one that was found: a paragraph that is its name, else one that
-    begins with it, has it, or has it when only letters and digits count. All four need the name's letters to stand in the
-    paragraph's, so that the first GRAM of them are an index: a paragraph meets its document's names by the grams of its
-    letters, in one lookup by hash, and only names whose gram it has are compared with it.
+    begins with it, has it, or has it when only letters and digits count. A paragraph meets the names of its own document,
+    which are SCANNED at most, as no table of contents goes on behind that.
     """
-    each = listed.select("doc_id", "toc_end", F.posexplode(practices(F.col("entries"))).alias("nth", "e")).filter(F.length("e.name") >= 2)
-    each = each.select("doc_id", "toc_end", "nth", "e.role", "e.name", letters(F.col("e.name")).alias("plain"))
-    each = each.withColumn("gram", F.substring("plain", 1, GRAM))
-    known = each.groupBy("doc_id").agg(F.first("toc_end").alias("toc_end"), F.collect_set("gram").alias("grams"))
-    body = paras.select("doc_id", "para", "text").join(known, "doc_id").filter(F.col("para") >= F.col("toc_end"))
-    has = lambda size: F.expr(f"transform(sequence(1, greatest(1, length(plain) - {size - 1})), i -> substring(plain, i, {size}))")
-    grams = F.flatten(F.array(F.array(F.lit("")), *(has(k) for k in range(1, GRAM + 1))))
-    body = body.withColumn("plain", letters(F.col("text"))).withColumn("gram", F.explode(F.array_intersect(grams, "grams"))).select("doc_id", "gram", "para", "text", F.col("plain").alias("own"))
-    t, name, plain = F.col("text"), F.col("name"), F.col("plain")
-    level = F.when(t == name, 1).when(t.startswith(name), 2).when(t.contains(name), 3).when((F.length(plain) >= 3) & F.col("own").contains(plain), 4)
-    found = body.join(each, ["doc_id", "gram"]).withColumn("level", level).filter("level IS NOT NULL")
-    of = found.groupBy("doc_id", "toc_end", "nth", "role").agg(F.array_sort(F.collect_list(F.struct("level", "para"))).alias("at"))
-    d = of.groupBy("doc_id", "toc_end").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "at"))).alias("found"))
-    start = F.struct(F.col("toc_end").alias("since"), F.array().cast("array<struct<para:int,role:string>>").alias("out"))
+    each = F.filter(F.transform(practices(F.col("entries")), lambda e, i: F.struct(i.alias("nth"), e["role"].alias("role"), e["name"].alias("name"), letters(e["name"]).alias("plain"))), lambda e: F.length(e["name"]) >= 2)
+    # few rows are hashed, so that the many texts needn't be sorted for the join
+    names = listed.select("doc_id", "toc_end", each.alias("names")).filter("size(names) > 0").hint("shuffle_hash")
+    t = F.col("text")
+
+    def level(e: Column, own: Column) -> Column:
+        name, plain = e["name"], e["plain"]
+        return F.when(t == name, 1).when(t.startswith(name), 2).when(t.contains(name), 3).when((F.length(plain) >= 3) & own.contains(plain), 4)
+
+    def met(own: Column) -> Column:
+        of = F.transform("names", lambda e: F.struct(e["nth"].alias("nth"), e["role"].alias("role"), level(e, own).alias("level"), F.col("para").alias("para")))
+        return F.filter(of, lambda x: x["level"].isNotNull())
+
+    # in a lambda, so that a paragraph's letters are taken once and not for each name
+    hits = F.when(F.col("para") >= F.col("toc_end"), F.flatten(F.transform(F.array(letters(t)), met)))
+    body = paras.select("doc_id", "para", "text").join(names, "doc_id", "left").withColumn("hits", hits)
+    d = body.groupBy("doc_id").agg(F.min("para").alias("first"), F.max("para").alias("last"), reading_events().alias("events"), F.first("toc_end", ignorenulls=True).alias("toc_end"), F.flatten(F.collect_list("hits")).alias("hits"))
+    # hits are in the order of entries, then of levels, then of paragraphs: the first of an entry that is within reach is its place
+    start = F.struct(F.col("toc_end").alias("since"), F.lit(-1).alias("done"), F.array().cast("array<struct<para:int,role:string>>").alias("out"))
+    ordered = F.array_sort(F.transform("hits", lambda x: F.struct(x["nth"].alias("nth"), x["level"].alias("level"), x["para"].alias("para"), x["role"].alias("role"))))
 
     def step(acc, x):
-        place = F.get(F.filter(x["at"], lambda a: a["para"].between(acc["since"], acc["since"] + REACH)), F.lit(0))["para"]
-        out = F.array_append(acc["out"], F.struct(place.alias("para"), x["role"].alias("role")))
-        return F.struct(F.coalesce(place + 1, acc["since"]).alias("since"), F.when(place.isNotNull(), out).otherwise(acc["out"]).alias("out"))
+        takes = (x["nth"] > acc["done"]) & x["para"].between(acc["since"], acc["since"] + REACH)
+        out = F.array_append(acc["out"], F.struct(x["para"].alias("para"), x["role"].alias("role")))
+        return F.when(takes, F.struct((x["para"] + 1).alias("since"), x["nth"].alias("done"), out.alias("out"))).otherwise(acc)
 
-    return d.select("doc_id", F.aggregate("found", start, step, lambda acc: acc["out"]).alias("places")).filter("size(places) > 0")
+    return d.select("doc_id", "first", "last", "events", F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("places"))
 
 
 def split(paras: DataFrame, consolidation: str = P.MARKER_CONSOLIDATION) -> DataFrame:
@@ -103,11 +109,10 @@ def split(paras: DataFrame, consolidation: str = P.MARKER_CONSOLIDATION) -> Data
     is one block, which nothing cuts.
     """
     listed = entries(paras).filter("size(entries) >= 2")
-    named = headings(paras).join(listed.select("doc_id"), "doc_id", "left_anti")
-    direct = named.select("doc_id", F.transform(practices(F.col("entries")), lambda e: F.struct(e["para"].alias("para"), e["role"].alias("role"))).alias("places")).filter("size(places) > 0")
-    places = located(listed, paras).unionByName(direct)
-    extents = paras.groupBy("doc_id").agg(F.min("para").alias("first"), F.max("para").alias("last"), reading_events().alias("events"))
-    d = extents.join(places, "doc_id")
+    # no heading is looked for in documents whose contents tell
+    named = headings(paras.join(listed.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti"))
+    direct = named.select("doc_id", F.transform(practices(F.col("entries")), lambda e: F.struct(e["para"].alias("para"), e["role"].alias("role"))).alias("direct"))
+    d = surveyed(listed, paras).join(direct, "doc_id", "left").withColumn("places", F.coalesce("direct", "places")).filter("size(places) > 0")
     at = lambda role: F.array_min(F.transform(F.filter("places", lambda p: p["role"] == role), lambda p: p["para"]))
     d = d.withColumns({"lead": F.array_min("places"), "basic": at("basic_practice")})
     advanced = F.array_min(F.transform(F.filter("places", lambda p: (p["role"] == "advanced_practice") & (p["para"] > F.col("basic"))), lambda p: p["para"]))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import matching
 from quillstone.functions import patterns as P
-from quillstone.operators import assembly, scoring, segments
+from quillstone.operators import assembly, contents, scoring, segments
 from quillstone.plans import registry
 from quillstone.sources import corpora
 
@@ -77,3 +77,13 @@ def test_blocks_are_checked_in_their_pass(spark):
 
 def test_texts_are_not_sorted_for_blocks(spark):
     assert "strategy=shuffle_hash" in plan(registry.QUERIES["assemble_rows"](spark, SF))
+
+
+def test_names_and_extents_are_one_pass(spark):
+    # a document's extent was gathered in a pass of its own, and grams of every paragraph were made for its names
+    assert plan(registry.QUERIES["toc_split"](spark, SF)).count("Relation [l_orderkey") < 12
+    p = spark.createDataFrame([(1, k, x, False) for k, x in enumerate(["目录", "甲", "", "乙练习", "乙 练习", "乙练习题", "丙训练"], 1)] + [(2, 3, "甲", False)], "doc_id long, para int, text string, has_img boolean")
+    names = "array(named_struct('para', 2, 'role', 'practice', 'name', '乙 练习'), named_struct('para', 3, 'role', 'practice', 'name', '丙训练'), named_struct('para', 4, 'role', 'practice', 'name', '乙'))"
+    got = {r.doc_id: (r.first, r.last, [x.para for x in r.places]) for r in contents.surveyed(spark.sql(f"SELECT 1L AS doc_id, 4 AS toc_end, {names} AS entries"), p).select(F.col("doc_id"), F.col("first").alias("first"), "last", "places").collect()}
+    # its own name goes before one that only has its letters; a name of one letter isn't looked for
+    assert got == {1: (1, 7, [5, 7]), 2: (3, 3, [])}
